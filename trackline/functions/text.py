@@ -50,8 +50,4 @@ def sanitize_names(names: list[str]) -> list[str]:
 def sanitized(col: Column) -> Column:
     """``sanitize_name`` as an expression, for names that are data."""
     name = F.trim(F.regexp_replace(F.lower(col), "[^a-z0-9]+", "_"), F.lit("_"))
-    return (
-        F.when(name == "", F.lit("dataset"))
-        .when(name.rlike("^[0-9]"), F.concat(F.lit("t_"), name))
-        .otherwise(name)
-    )
+    return F.regexp_replace(F.regexp_replace(name, "^$", "dataset"), "^([0-9])", "t_$1")

@@ -44,12 +44,14 @@ def permutation_importance(
         .groupBy("feature", "repeat")
         .agg(F.sum(error * error).alias("sse"), (F.var_pop(LABEL) * F.count(F.lit(1))).alias("sst"))
     )
+    # At most features x repeats + 1 rows are left; the one without a feature is the base.
     r2 = 1 - F.col("sse") / F.col("sst")
-    base = scored.filter(F.col("feature").isNull()).select(r2.alias("r2")).scalar()
+    base = F.max(F.when(F.col("feature").isNull(), r2)).over(W.partitionBy(F.lit(0)))
     return (
-        scored.filter(F.col("feature").isNotNull())
+        scored.withColumn("drop", base - r2)
+        .filter(F.col("feature").isNotNull())
         .groupBy("feature")
-        .agg(F.avg(base - r2).alias("importance"))
+        .agg(F.avg("drop").alias("importance"))
         .orderBy(F.desc("importance"), "feature")
     )
 

@@ -13,6 +13,14 @@ from trackline.functions import sanitized
 
 # Folders whose .txt files are schedule tables.
 SCHEDULE_FOLDERS = ["google_transit", "fomento_transit", "horarios-feve"]
+# Which names belong to which layout; extensions in any case.
+LAYOUTS = {
+    "json": r"(?i)[^/]\.json$",
+    "csv": r"(?i)[^/]\.csv$",
+    "schedule": f"^({'|'.join(SCHEDULE_FOLDERS)})/[^/]+\\.(?i:txt)$",
+    "binary": r"(?i)[^/]\.(pb|xlsx)$",
+}
+FORMATS = {"json": "json", "csv": "csv", "schedule": "csv", "binary": "binaryFile"}
 # A folder named like a file holds the parts of one logical file.
 _DATASET = r"^((?:[^/]+/)*?[^/]+\.(?i:json|csv|txt|pb|xlsx))(?:/.*)?$"
 
@@ -48,32 +56,21 @@ def list_files(spark: SparkSession, base: str) -> DataFrame:
 
 def route_files(files: DataFrame) -> DataFrame:
     """Add the logical file, target table, layout and source format; null when no rule covers it."""
-    dataset = F.coalesce(F.nullif(F.regexp_extract("rel_path", _DATASET, 1), F.lit("")), F.col("rel_path"))
-    named = files.withColumn("dataset", dataset).withColumns(
-        {
-            "parent": F.regexp_extract("dataset", "^(.*)/[^/]*$", 1),
-            "stem": sanitized(F.regexp_replace(F.regexp_extract("dataset", "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")),
-            "ext": F.lower(F.regexp_extract("dataset", r"[^/]\.([^./]+)$", 1)),
-        }
-    )
-    scheduled = (F.col("ext") == "txt") & F.col("parent").isin(*SCHEDULE_FOLDERS)
-    layout = (
-        F.when(F.col("ext") == "json", "json")
-        .when(F.col("ext") == "csv", "csv")
-        .when(scheduled, "schedule")
-        .when(F.col("ext").isin("pb", "xlsx"), "binary")
-    )
-    family = F.when(F.col("layout") == "schedule", sanitized(F.col("parent"))).otherwise(F.col("layout"))
-    source_format = (
-        F.when(F.col("layout") == "schedule", "csv")
-        .when(F.col("layout") == "binary", "binaryFile")
-        .otherwise(F.col("layout"))
-    )
+    dataset = F.col("dataset")
+    layout = F.lit(None).cast("string")
+    for name, pattern in reversed(LAYOUTS.items()):
+        layout = F.when(dataset.rlike(pattern), name).otherwise(layout)
+    folder = sanitized(F.regexp_extract("dataset", "^(.*)/[^/]*$", 1))
+    source_format = F.lit(None).cast("string")
+    for name, kind in FORMATS.items():
+        source_format = F.when(F.col("layout") == name, kind).otherwise(source_format)
+    family = F.when(F.col("layout") == "schedule", folder).otherwise(F.col("layout"))
+    stem = sanitized(F.regexp_extract("dataset", r"([^/]+)\.[^./]*$", 1))
     return (
-        named.withColumn("layout", layout)
+        files.withColumn("dataset", F.regexp_replace("rel_path", _DATASET, "$1"))
+        .withColumn("layout", layout)
         .withColumn("source_format", source_format)
-        .withColumn("table_name", F.concat(F.lit("bronze_"), family, F.lit("_"), F.col("stem")))
-        .drop("parent", "stem", "ext")
+        .withColumn("table_name", F.concat(F.lit("bronze_"), family, F.lit("_"), stem))
     )
 
 

@@ -16,21 +16,28 @@ def parse_documents(texts: DataFrame, schema: StructType) -> DataFrame:
     ``texts`` are kept.
     """
     others = [c for c in texts.columns if c != "value"]
-    typed = F.from_json("value", ArrayType(schema))
-    raw = F.from_json("value", ArrayType(MapType(StringType(), StringType())))
-    pairs = texts.select(
+    value = F.col("value")
+    is_array = F.ltrim(value, F.lit(" \t\r\n")).startswith("[")
+    # One JSON text per object, so a bad value costs its own field only.
+    objects = F.from_json(
+        F.when(is_array, value).otherwise(F.concat(F.lit("["), value, F.lit("]"))), ArrayType(StringType())
+    )
+    rows = texts.select(
+        *others, F.when(objects.isNull(), value).alias("unparsed"), F.explode_outer(objects).alias("object")
+    ).select(
         *others,
-        F.when(raw.isNull(), F.col("value")).alias("unparsed"),
-        F.explode_outer(F.arrays_zip(typed.alias("typed"), raw.alias("raw"))).alias("doc"),
+        "unparsed",
+        F.from_json("object", schema).alias("typed"),
+        F.from_json("object", MapType(StringType(), StringType())).alias("raw"),
     )
-    left_over = F.map_filter("doc.raw", lambda key, value: _not_taken(schema, key, value))
+    left_over = F.map_filter("raw", lambda key, value: _not_taken(schema, key, value))
     rescued = F.coalesce(F.nullif(F.to_json(left_over), F.lit("{}")), F.col("unparsed"))
-    fields = [F.col(f"doc.typed.`{f.name}`").alias(f.name) for f in schema]
-    return pairs.select(*fields, rescued.alias(RESCUED), *others)
+    fields = [F.col(f"typed.`{f.name}`").alias(f.name) for f in schema]
+    return rows.select(*fields, rescued.alias(RESCUED), *others)
 
 
 def _not_taken(schema: StructType, key: Column, value: Column) -> Column:
     undeclared = ~key.isin(*schema.fieldNames())
     for f in schema:
-        undeclared |= (key == f.name) & value.isNotNull() & F.col(f"doc.typed.`{f.name}`").isNull()
+        undeclared |= (key == f.name) & value.isNotNull() & F.col(f"typed.`{f.name}`").isNull()
     return undeclared

@@ -1,0 +1 @@
+"""Registered queries over the driver tables, with their SQL equivalents."""
