@@ -103,25 +103,21 @@ def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def distinct_counts(metrics: dict[str, tuple[DataFrame, str]], approximate: bool = False) -> DataFrame:
-    """One (metric, value) row per (dataset, column); nulls do not count."""
+def distinct_counts(df: DataFrame, metrics: dict[str, Column], approximate: bool = False) -> DataFrame:
+    """One (metric, value) row per expression, all in one pass; nulls do not count."""
     counter = F.approx_count_distinct if approximate else F.count_distinct
-    rows = [
-        df.agg(counter(F.col(c)).alias("value")).select(F.lit(k).alias("metric"), "value")
-        for k, (df, c) in metrics.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    one_row = df.agg(*[counter(c).alias(k) for k, c in metrics.items()])
+    return one_row.unpivot([], list(metrics), "metric", "value")
 
 
 def overview_kpis(stations: DataFrame, access: DataFrame, trains: DataFrame) -> DataFrame:
     """Distinct stations, provinces and train models, and accessible stations."""
-    return distinct_counts(
-        {
-            "stations": (stations, "station_code"),
-            "provinces": (stations.withColumn("province", label(F.col("province"))), "province"),
-            "train_models": (trains, "modelo"),
-        }
-    ).unionByName(row_counts({"atendo_stations": access}))
+    of_stations = {"stations": F.col("station_code"), "provinces": label(F.col("province"))}
+    return (
+        distinct_counts(stations, of_stations)
+        .unionByName(distinct_counts(trains, {"train_models": F.col("modelo")}))
+        .unionByName(row_counts({"atendo_stations": access}))
+    )
 
 
 def operations_kpis(bundle: dict[str, DataFrame]) -> DataFrame:
@@ -136,7 +132,7 @@ def operations_kpis(bundle: dict[str, DataFrame]) -> DataFrame:
         "incidents": "incidents",
     }
     return row_counts({k: bundle[n] for k, n in names.items()}).unionByName(
-        distinct_counts({"distinct_trips": (bundle["gtfs_trips"], "trip_id")})
+        distinct_counts(bundle["gtfs_trips"], {"distinct_trips": F.col("trip_id")})
     )
 
 

@@ -3,28 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # A key is hot when it holds more than this part of all rows ...
 HOT_SHARE = 1e-4
 # ... and at least so many of them.
 HOT_ROWS = 1_000_000
+# Hash slots counted before any key is.
+SLOTS = 65_536
 
 
-def hot_keys(fact: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Hot keys with the number of salts each needs.
+def hot_keys(
+    fact: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS
+) -> list[tuple[str, int]]:
+    """Hot keys with the number of salts each needs; runs at once.
 
-    At most ``1 / share`` keys can pass, so the result is safe to broadcast whatever
-    the size of ``fact``.
+    The first job counts rows per hash slot and brings back at most ``SLOTS`` numbers. A
+    hot key makes its slot hot, so without a hot slot nothing else runs and no key was
+    shuffled. Otherwise only rows of hot slots are counted by key. At most ``1 / share``
+    keys can pass, whatever the size of ``fact``.
     """
-    counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    limit = F.greatest(total * F.lit(share), F.lit(float(min_rows)))
-    return (
-        counts.filter(F.col(key).isNotNull() & (F.col("n") > limit))
-        .select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
-    )
+    keys = fact.select(key).filter(F.col(key).isNotNull()).withColumn("slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)))
+    per_slot = keys.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()
+    limit = max(sum(r.n for r in per_slot) * share, min_rows)
+    slots = [(r.slot,) for r in per_slot if r.n > limit]
+    if not slots:
+        return []
+    hot_slots = F.broadcast(fact.sparkSession.createDataFrame(slots, "slot bigint"))
+    counts = keys.join(hot_slots, "slot", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return [(r[key], ceil(r.n / limit)) for r in counts.filter(F.col("n") > limit).collect()]
 
 
 def salt_fact(fact: DataFrame, hot: DataFrame, key: str, identity: Sequence[str] = ()) -> DataFrame:
@@ -34,7 +43,7 @@ def salt_fact(fact: DataFrame, hot: DataFrame, key: str, identity: Sequence[str]
     row's position, which a recomputed task repeats only when ``fact`` comes from a scan
     or a checkpoint through row-wise steps.
     """
-    row: Column = F.xxhash64(*identity) if identity else F.monotonically_increasing_id()
+    row = F.xxhash64(*identity) if identity else F.monotonically_increasing_id()
     salt = F.coalesce(F.pmod(row, F.col("salts")).cast("int"), F.lit(0))
     return fact.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("salts")
 
@@ -55,10 +64,17 @@ def salted_left_join(
 ) -> DataFrame:
     """Left join ``fact`` with each lookup on ``key``; all joins share one shuffle of ``fact``.
 
-    Lookups are not deduplicated: a key they hold twice doubles the matching rows.
+    Only hot keys are salted, and a lookup row of a hot key is repeated once per salt, so
+    no more than ``2 / share`` salts exist in all. Lookups are not deduplicated: a key they
+    hold twice doubles the matching rows.
     """
     hot = hot_keys(fact, key, share, min_rows)
-    out = salt_fact(fact, hot, key, identity)
+    if not hot:
+        for lookup in lookups:
+            fact = fact.join(lookup, key, "left")
+        return fact
+    hot_frame = fact.sparkSession.createDataFrame(hot, f"{key} string, salts int")
+    out = salt_fact(fact, hot_frame, key, identity)
     for lookup in lookups:
-        out = out.join(salt_lookup(lookup, hot, key), [key, "salt"], "left")
+        out = out.join(salt_lookup(lookup, hot_frame, key), [key, "salt"], "left")
     return out.drop("salt")

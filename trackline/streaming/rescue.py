@@ -18,20 +18,24 @@ def parse_documents(texts: DataFrame, schema: StructType) -> DataFrame:
     others = [c for c in texts.columns if c != "value"]
     value = F.col("value")
     is_array = F.ltrim(value, F.lit(" \t\r\n")).startswith("[")
-    # One JSON text per object, so a bad value costs its own field only.
-    objects = F.from_json(
-        F.when(is_array, value).otherwise(F.concat(F.lit("["), value, F.lit("]"))), ArrayType(StringType())
+    # One JSON text per object, so a bad value costs its own field only. The text of a
+    # broken array travels in the array it is replaced by: the document itself must not
+    # be carried along, or every object would copy it.
+    pieces = F.transform(
+        F.from_json(value, ArrayType(StringType())),
+        lambda text: F.struct(text.alias("object"), F.lit(None).cast("string").alias("unparsed")),
     )
-    rows = texts.select(
-        *others, F.when(objects.isNull(), value).alias("unparsed"), F.explode_outer(objects).alias("object")
-    ).select(
+    broken = F.array(F.struct(F.lit(None).cast("string").alias("object"), value.alias("unparsed")))
+    single = F.array(F.struct(value.alias("object"), F.lit(None).cast("string").alias("unparsed")))
+    pieces = F.when(is_array, F.coalesce(pieces, broken)).otherwise(single)
+    rows = texts.select(*others, F.explode(pieces).alias("piece")).select(
         *others,
-        "unparsed",
-        F.from_json("object", schema).alias("typed"),
-        F.from_json("object", MapType(StringType(), StringType())).alias("raw"),
+        F.coalesce("piece.unparsed", "piece.object").alias("text"),
+        F.from_json("piece.object", schema).alias("typed"),
+        F.from_json("piece.object", MapType(StringType(), StringType())).alias("raw"),
     )
     left_over = F.map_filter("raw", lambda key, value: _not_taken(schema, key, value))
-    rescued = F.coalesce(F.nullif(F.to_json(left_over), F.lit("{}")), F.col("unparsed"))
+    rescued = F.when(F.col("raw").isNull(), F.col("text")).otherwise(F.nullif(F.to_json(left_over), F.lit("{}")))
     fields = [F.col(f"typed.`{f.name}`").alias(f.name) for f in schema]
     return rows.select(*fields, rescued.alias(RESCUED), *others)
 
