@@ -96,5 +96,7 @@ def delay_box(updates: DataFrame) -> DataFrame:
 
 def delay_box_overall(updates: DataFrame) -> DataFrame:
     """Box statistics over all feeds."""
-    minutes = updates.select(F.lit("all").alias("feed"), _filled_minutes().alias("delay_min"))
+    # Not a plain constant: the optimizer would drop it as a join key and nest loops.
+    everything = F.when(_filled_minutes().isNotNull(), F.lit("all"))
+    minutes = updates.select(everything.alias("feed"), _filled_minutes().alias("delay_min"))
     return box_statistics(minutes, "feed", "delay_min")

@@ -1,7 +1,12 @@
-"""Every report over a dataset bundle, as lazy frames by page."""
+"""Every report over a dataset bundle, as lazy frames by page.
+
+A report whose columns a dataset does not have is left out.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from trackline.functions import STRICT_YES
@@ -9,67 +14,105 @@ from trackline.operators import counts, distributions, filters, rankings
 from trackline.operators.columns import preview
 from trackline.operators.stations import station_master
 
+FLEET = ["modelo", "constructor", "velocidad_maxima", "plazas_sentadas", "proposito"]
+INCIDENT = ["chipText", "aspect", "paragraph", "link"]
+
+# Report, the columns it needs, and how it is built from its dataset.
+Report = tuple[str, list[str], Callable[[DataFrame], DataFrame]]
+
+ACCESS_REPORTS: list[Report] = [
+    ("accessibility_coverage", [], counts.accessibility_coverage),
+    ("accessibility_coverage_strict", [], lambda df: counts.accessibility_coverage(df, pattern=STRICT_YES)),
+    ("lead_time", ["tiempo_de_antelacion"], lambda df: counts.with_share(counts.lead_time(df), "count")),
+    ("accessibility_preview", [], lambda df: preview(df, df.columns, 50, df.columns)),
+]
+TRAIN_REPORTS: list[Report] = [
+    ("models_by_constructor", ["constructor"], counts.models_by_constructor),
+    ("speed_histogram", ["velocidad_maxima"], distributions.speed_histogram),
+    ("purpose_mix", ["proposito"], counts.purpose_mix),
+    ("fleet_preview", [], lambda df: preview(df, FLEET, 100, [c for c in FLEET if c in df.columns])),
+]
+UPDATE_REPORTS: list[Report] = [
+    ("delay_kpis", ["delay_seconds"], counts.delay_kpis),
+    ("delay_histogram", ["delay_seconds", "feed"], distributions.delay_histogram),
+    ("top_delayed_trips", ["delay_seconds", "feed", "trip_id", "timestamp"], rankings.top_delayed_trips),
+    ("delay_box", ["delay_seconds", "feed"], distributions.delay_box),
+    ("delay_box_overall", ["delay_seconds"], distributions.delay_box_overall),
+    ("severity_mix", ["delay_seconds"], distributions.severity_mix),
+    ("delay_by_hour", ["delay_seconds", "timestamp"], distributions.delay_by_hour),
+]
+ROUTE_REPORTS: list[Report] = [
+    ("service_mix", ["route_short_name"], lambda df: counts.with_share(counts.service_mix(df), "routes")),
+    ("top_services", ["route_short_name"], lambda df: counts.service_mix(df, 15)),
+    ("route_families", ["route_short_name"], counts.route_families),
+]
+VEHICLE_REPORTS: list[Report] = [
+    ("vehicle_status", ["status"], counts.vehicle_status),
+    ("vehicle_status_by_key", ["status"], counts.vehicle_status_by_key),
+]
+ALERT_REPORTS: list[Report] = [
+    ("alert_histogram", ["route_count"], distributions.alert_histogram),
+    ("alerts", [], lambda df: preview(df, ["id", "route_count", "description"], None, ["id"])),
+]
+
+
+def _reports(df: DataFrame, reports: list[Report]) -> dict[str, DataFrame]:
+    return {name: build(df) for name, needs, build in reports if set(needs) <= set(df.columns)}
+
 
 def station_pages(bundle: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Overview, map, accessibility and fleet pages."""
     stations, access, trains = station_master(bundle), bundle["atendo"], bundle["train_info"]
     on_map = filters.in_map_window(stations)
-    return {
-        "overview_kpis": counts.overview_kpis(stations, access, trains),
+    out = {
         "stations_by_province": counts.stations_by_province(stations),
-        "models_by_constructor": counts.models_by_constructor(trains),
         "map_points": on_map,
         "map_centre": counts.centroid(on_map),
-        "accessibility_coverage": counts.accessibility_coverage(access),
-        "accessibility_coverage_strict": counts.accessibility_coverage(access, pattern=STRICT_YES),
-        "lead_time": counts.with_share(counts.lead_time(access), "count"),
-        "speed_histogram": distributions.speed_histogram(trains),
-        "purpose_mix": counts.purpose_mix(trains),
-        "fleet_preview": preview(
-            trains, ["modelo", "constructor", "velocidad_maxima", "plazas_sentadas", "proposito"], 100, ["modelo"]
-        ),
+        **_reports(access, ACCESS_REPORTS),
+        **_reports(trains, TRAIN_REPORTS),
     }
+    if "modelo" in trains.columns:
+        out["overview_kpis"] = counts.overview_kpis(stations, access, trains)
+    return out
 
 
 def operations_pages(bundle: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Insight, dashboard, analytics and operations pages over the live data."""
-    updates, vehicles = bundle["trip_updates"], bundle["vehicles"]
-    routes, alerts, stations = bundle["gtfs_routes"], bundle["alerts"], bundle["stations"]
+    stations, incidents = bundle["stations"], bundle["incidents"]
     coverage = counts.stations_by_source_province(stations)
+    shown = [c for c in incidents.columns if c.lower() in {i.lower() for i in INCIDENT}]
     return {
         "operations_kpis": counts.operations_kpis(bundle),
-        "delay_kpis": counts.delay_kpis(updates),
-        "delay_histogram": distributions.delay_histogram(updates),
         "stations_by_raw_province": counts.stations_by_raw_province(stations),
-        "network_centre": counts.centroid(stations, vehicles),
-        "top_delayed_trips": rankings.top_delayed_trips(updates),
-        "service_mix": counts.with_share(counts.service_mix(routes), "routes"),
-        "alerts": preview(alerts, ["id", "route_count", "description"], None, ["id"]),
-        "vehicle_status": counts.vehicle_status(vehicles),
-        "vehicle_status_by_key": counts.vehicle_status_by_key(vehicles),
-        "alert_histogram": distributions.alert_histogram(alerts),
-        "delay_box": distributions.delay_box(updates),
-        "incident_preview": preview(bundle["incidents"], ["chipText", "aspect", "paragraph", "link"], 20, ["link"]),
-        "accessibility_preview": preview(
-            bundle["atendo"], bundle["atendo"].columns, 50, bundle["atendo"].columns[:1]
-        ),
+        "network_centre": counts.centroid(stations, bundle["vehicles"]),
         "stations_by_source_province": coverage,
         "source_totals": counts.source_totals(coverage),
-        "severity_mix": distributions.severity_mix(updates),
-        "top_services": counts.service_mix(routes, 15),
-        "route_families": counts.route_families(routes),
-        "delay_by_hour": distributions.delay_by_hour(updates),
+        "incident_preview": preview(incidents, INCIDENT, 20, shown),
+        **_reports(bundle["trip_updates"], UPDATE_REPORTS),
+        **_reports(bundle["gtfs_routes"], ROUTE_REPORTS),
+        **_reports(bundle["vehicles"], VEHICLE_REPORTS),
+        **_reports(bundle["alerts"], ALERT_REPORTS),
     }
 
 
 def filter_choices(bundle: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Sorted values for every user filter."""
     stations = station_master(bundle)
+    columns = {
+        "province": stations,
+        "source": stations,
+        "constructor": bundle["train_info"],
+        "feed": bundle["trip_updates"],
+        "route_type": bundle["gtfs_routes"],
+        "status": bundle["vehicles"],
+    }
+    return {name: counts.distinct_values(df, name) for name, df in columns.items() if name in df.columns}
+
+
+def inventory_pages(inventory: DataFrame) -> dict[str, DataFrame]:
+    """Table inventory page."""
     return {
-        "province": counts.distinct_values(stations, "province"),
-        "source": counts.distinct_values(stations, "source"),
-        "constructor": counts.distinct_values(bundle["train_info"], "constructor"),
-        "feed": counts.distinct_values(bundle["trip_updates"], "feed"),
-        "route_type": counts.distinct_values(bundle["gtfs_routes"], "route_type"),
-        "status": counts.distinct_values(bundle["vehicles"], "status"),
+        "inventory_kpis": counts.inventory_kpis(inventory),
+        "tables_by_domain": counts.tables_by_domain(inventory),
+        "tables": inventory,
     }

@@ -79,7 +79,11 @@ def first_available(spark: SparkSession, candidates: Sequence[str], schema: Stru
 
 
 def load_tables(spark: SparkSession, database: str, curated: bool = True) -> dict[str, DataFrame]:
-    """The bundle from a database: curated tables where present, else bronze ones."""
+    """The bundle from a database: curated tables where present, else bronze ones.
+
+    Entity ids of trip updates are kept; the delay model tells rows apart by them.
+    """
+    normalizers = {**NORMALIZERS, "trip_updates": lambda df: normalize_trip_updates(df, keep_entity_id=True)}
     out = schemas.empty_bundle(spark)
 
     def existing(table: str) -> DataFrame | None:
@@ -93,7 +97,7 @@ def load_tables(spark: SparkSession, database: str, curated: bool = True) -> dic
         if table is None:
             names = [f"{database}.{t}" for t in BRONZE.get(key, [])]
             table = first_available(spark, names, schemas.BUNDLE[key])
-        out[key] = NORMALIZERS.get(key, lambda df: df)(table)
+        out[key] = normalizers.get(key, lambda df: df)(table)
     return out
 
 

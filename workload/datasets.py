@@ -235,7 +235,7 @@ def filtered_updates(spark, sf_dir):
 )
 def filtered_fleet(spark, sf_dir):
     names = {"gtfs_routes": ("route", "route_id"), "vehicles": ("vehicle", "entity_id"), "train_info": ("train", "modelo")}
-    data = views.bundle(spark, sf_dir)
+    data = views.bundle(spark, sf_dir, *names)
     kept = filters.business_filters(
         {n: data[n] for n in names},
         route_types=["109"],

@@ -122,19 +122,14 @@ def regression_metrics(spark, sf_dir):
 
 
 @lru_cache(maxsize=2)
-def trained(app: str, sf_dir: str) -> tuple[forest.DelayModel, DataFrame, DataFrame]:
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[forest.DelayModel, DataFrame, DataFrame]:
     """Model, training rows and test rows, fitted once per session and folder."""
-    spark = SparkSession.getActiveSession()
     # The trip side can repeat an update, so the id takes the direction in as well.
     table = feature_table(spark, sf_dir)
     train, test = forest.split(forest.with_row_id(table, ["entity_id", "direction_id", "route_short_name"]))
     return forest.train(train, trees=TREES, depth=DEPTH), train, test
 
 
-def _trained(spark, sf_dir):
-    return trained(spark.sparkContext.applicationId, sf_dir)
-
-
 @query("ml_split_counts")
 def ml_split_counts(spark, sf_dir):
     _, train, test = _trained(spark, sf_dir)

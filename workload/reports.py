@@ -34,7 +34,7 @@ def top_delayed_trips(spark, sf_dir):
         UNION ALL SELECT 'atendo_stations', count(*) FROM fx_access""",
 )
 def kpi_overview(spark, sf_dir):
-    data = views.bundle(spark, sf_dir)
+    data = views.bundle(spark, sf_dir, "atendo", "train_info")
     return counts.overview_kpis(station_master(data), data["atendo"], data["train_info"])
 
 

@@ -7,6 +7,7 @@ values, so the views put them in. Every view covers its whole tables.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -166,12 +167,18 @@ def with_views(sql: str) -> str:
     return f"{joined},\n{sql.strip()[5:]}" if sql.strip().upper().startswith("WITH ") else f"{joined}\n{sql}"
 
 
+@lru_cache(maxsize=64)
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """A driver table; its footer is read once per session."""
+    return spark.read.parquet(path)
+
+
 def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """A view as a DataFrame over the parquet tables of ``sf_dir``."""
     sql = with_views(f"SELECT * FROM {view}")
     for table in TABLES:
         if re.search(rf"\b{table}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            _table(spark, f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     return spark.sql(sql)
 
 
@@ -240,16 +247,23 @@ def station_lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: stations.filter(F.col("list_no") == i).drop("list_no") for i, name in enumerate(names)}
 
 
-def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Every dataset the reports need."""
-    return {
-        **station_lists(spark, sf_dir),
-        "trip_updates": frame(spark, sf_dir, "fx_updates"),
-        "vehicles": frame(spark, sf_dir, "fx_vehicles"),
-        "gtfs_routes": frame(spark, sf_dir, "fx_routes"),
-        "gtfs_trips": frame(spark, sf_dir, "fx_trips"),
-        "alerts": frame(spark, sf_dir, "fx_alerts"),
-        "incidents": frame(spark, sf_dir, "fx_incidents").drop("page_id"),
-        "atendo": frame(spark, sf_dir, "fx_access").drop("p_partkey"),
-        "train_info": frame(spark, sf_dir, "fx_train_info").drop("p_partkey"),
-    }
+SOURCES = {
+    "trip_updates": ("fx_updates", None),
+    "vehicles": ("fx_vehicles", None),
+    "gtfs_routes": ("fx_routes", None),
+    "gtfs_trips": ("fx_trips", None),
+    "alerts": ("fx_alerts", None),
+    "incidents": ("fx_incidents", "page_id"),
+    "atendo": ("fx_access", "p_partkey"),
+    "train_info": ("fx_train_info", "p_partkey"),
+}
+
+
+def bundle(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The station lists and the named datasets, or every dataset the reports need."""
+    out = station_lists(spark, sf_dir)
+    for name in names or SOURCES:
+        view, extra = SOURCES[name]
+        df = frame(spark, sf_dir, view)
+        out[name] = df.drop(extra) if extra else df
+    return out
