@@ -203,6 +203,16 @@ def test_rescue_of_documents(spark):
     ]
 
 
+def test_broken_documents_do_not_stop_the_load(spark, place):
+    put(place.raw, "b.json/1.json", '{"id": ')
+    put(place.raw, "b.json/2.json", {"id": 1})
+    put(place.raw, "only.json", "no json at all")
+    place.load()
+    rows = [(r.id, r.rescued_data) for r in place.table("bronze_json_b").orderBy("id").collect()]
+    assert rows == [(None, '{"id": '), (1, None)]
+    assert place.table("bronze_json_only").first().rescued_data == "no json at all"
+
+
 def test_type_merging_keeps_stored_types():
     old = StructType([StructField("a", LongType()), StructField("s", ArrayType(StructType([StructField("x", LongType())])))])
     new = StructType([StructField("s", ArrayType(StructType([StructField("y", StringType())]))), StructField("a", StringType())])

@@ -38,6 +38,13 @@ def test_feature_table(spark):
     assert features.delay_features(*frames(spark), unique_lookup=True).count() == 3
 
 
+def test_feature_table_without_optional_columns(spark):
+    updates = spark.createDataFrame([("60",)], "delay_seconds string")
+    other = spark.createDataFrame([("x",)], "other string")
+    rows = [tuple(r) for r in features.delay_features(updates, other, other, other).collect()]
+    assert rows == [("Unknown", 0, 0, 0, 1, "night", "Unknown", "Unknown", 0, 0, "UNKNOWN", 0, 60.0)]
+
+
 def test_guards(spark):
     table = features.delay_features(*frames(spark))
     assert tuple(features.training_guards(table).first()) == (4, 3, False)

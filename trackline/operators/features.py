@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
-
-from trackline.functions import hour_of_day, integer, label, month_of_year, number, time_bucket, weekday
+from pyspark.sql import Column, DataFrame, functions as F
+
+from trackline.functions import (
+    hour_of_day,
+    integer,
+    label,
+    month_of_year,
+    number,
+    parse_timestamp,
+    time_bucket,
+    weekday,
+)
 from trackline.operators.joins import HOT_ROWS, HOT_SHARE, salted_left_join
 
 CATEGORICAL = ["feed", "time_bucket", "route_type", "route_short_name", "vehicle_status_mode"]
@@ -51,11 +60,12 @@ def trip_vehicle_features(vehicles: DataFrame) -> DataFrame:
     Counting per (trip, status) first keeps the state of a trip with very many
     positions at one row per status.
     """
-    status = "status" if "status" in vehicles.columns else None
-    by_status = vehicles.groupBy(
-        F.coalesce(F.col("trip_id"), F.lit("")).alias("trip_id"),
-        (F.col(status) if status else F.lit(None).cast("string")).alias("status"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    trip = _text_or(vehicles, "trip_id", None)
+    if "trip_id" in vehicles.columns:
+        trip = F.coalesce(trip, F.lit(""))
+    by_status = vehicles.groupBy(trip.alias("trip_id"), _text_or(vehicles, "status", None).alias("status")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
     # Smallest (-count, status) is the mode; rows without a status sort last.
     order = F.struct(F.col("status").isNull().alias("missing"), (-F.col("n")).alias("n"), F.col("status"))
     return (
@@ -70,13 +80,13 @@ def trip_vehicle_features(vehicles: DataFrame) -> DataFrame:
     )
 
 
-def _text_or(df: DataFrame, name: str, default: str):
-    return F.col(name).cast("string") if name in df.columns else F.lit(default)
+def _text_or(df: DataFrame, name: str, default: str | None) -> Column:
+    return F.col(name).cast("string") if name in df.columns else F.lit(default).cast("string")
 
 
 def _trip_lookup(trips: DataFrame, unique: bool) -> DataFrame:
     lookup = trips.select(
-        F.col("trip_id").cast("string").alias("trip_id"),
+        _text_or(trips, "trip_id", None).alias("trip_id"),
         _text_or(trips, "route_id", "").alias("route_id"),
         integer(trips, "direction_id" if "direction_id" in trips.columns else None).alias("direction_id"),
     )
@@ -85,7 +95,7 @@ def _trip_lookup(trips: DataFrame, unique: bool) -> DataFrame:
 
 def _route_lookup(routes: DataFrame, unique: bool) -> DataFrame:
     lookup = routes.select(
-        F.col("route_id").cast("string").alias("route_id"),
+        _text_or(routes, "route_id", None).alias("route_id"),
         _text_or(routes, "route_type", "Unknown").alias("route_type"),
         _text_or(routes, "route_short_name", "Unknown").alias("route_short_name"),
     )
@@ -118,9 +128,9 @@ def delay_features(
     facts = calendar_features(
         updates.select(
             *keep,
-            F.coalesce(F.col("feed").cast("string"), F.lit("Unknown")).alias("feed"),
-            F.coalesce(F.col("trip_id").cast("string"), F.lit("")).alias("trip_id"),
-            "timestamp",
+            F.coalesce(_text_or(updates, "feed", "Unknown"), F.lit("Unknown")).alias("feed"),
+            F.coalesce(_text_or(updates, "trip_id", ""), F.lit("")).alias("trip_id"),
+            parse_timestamp(updates, "timestamp" if "timestamp" in updates.columns else None).alias("timestamp"),
             seconds.alias(LABEL),
         ).filter(F.col(LABEL).isNotNull())
     ).drop("timestamp")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trackline import schemas
 from trackline.functions import comma_double, integer, number, parse_timestamp, strip
 from trackline.operators.columns import pick_column
+from trackline.operators.filters import nonzero_coords
 
 # Accepted spellings per field, in order of preference.
 TRIP_ID = ["trip_id", "tripid", "id"]
@@ -134,7 +135,7 @@ def normalize_station_csv(df: DataFrame, source: str, drop_zero: bool = True) ->
         strip(_text(df, ["PROVINCIA"], None)).alias("province"),
         F.lit(source).alias("source"),
     ).dropna(subset=["lat", "lon"])
-    return points.filter((F.col("lat") != 0) & (F.col("lon") != 0)) if drop_zero else points
+    return nonzero_coords(points) if drop_zero else points
 
 
 def normalize_stops(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ One file stream per table, with its own checkpoint, run to the end of what is th
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -99,6 +101,8 @@ def ingest(
 ) -> list[Spec]:
     """Load every covered file below ``base`` into its bronze table.
 
+    Up to ``concurrent`` streams run at a time, each in batches of ``max_files``.
+
     ``state`` holds checkpoints and schemas, in a folder all executors reach; the same
     holds for ``location``, where the tables of a new database are kept.
     """
@@ -106,10 +110,12 @@ def ingest(
     specs = build_specs(spark, base)
     if not specs:
         raise ValueError(f"no supported files under {base}")
-    for i in range(0, len(specs), concurrent):
-        running = [start_stream(spark, base, state, database, s, declared, max_files) for s in specs[i : i + concurrent]]
-        for query in running:
-            query.awaitTermination()
+
+    def load(spec: Spec) -> None:
+        start_stream(spark, base, state, database, spec, declared, max_files).awaitTermination()
+
+    with ThreadPoolExecutor(concurrent) as pool:
+        list(pool.map(load, specs))
     return specs
 
 
