@@ -108,6 +108,13 @@ def test_no_python_workers(spark, name):
         assert word not in text, word
 
 
+def test_box_statistics_scan_once(spark):
+    df = spark_entry.queries()["delay_box"](spark, SF_DIR)
+    df.collect()
+    final = plan(df).split("== Initial Plan")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 2
+
+
 def test_top_k_needs_no_sort(spark):
     assert "TakeOrderedAndProject" in plan(spark_entry.queries()["top_delayed_trips"](spark, SF_DIR))
 

@@ -1,6 +1,6 @@
 """Exact quantiles per group without gathering a group.
 
-Works on value frequencies. Values fall into logarithmic buckets whose order follows
+Works on value frequencies, so repeated values cost one row. Values fall into logarithmic buckets whose order follows
 the value order; bucket totals, a few thousand rows per group, locate the bucket that
 holds each wanted rank, and only those buckets are ranked value by value.
 """
@@ -20,13 +20,21 @@ def _bucket(value: Column) -> Column:
     return F.when(value < 0, -size - 1).otherwise(size)
 
 
-def exact_quantiles(freq: DataFrame, group: str, value: str, count: str, probs: dict[str, float]) -> DataFrame:
+def value_frequencies(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Rows (``freq``) per group and known value, with the value's bucket."""
+    # The filter names what the joins below require, so all of them share one shuffle.
+    rows = df.select(group, value).withColumn("bucket", _bucket(F.col(value)))
+    known = F.col(value).isNotNull() & ~F.isnan(value)
+    rows = rows.filter(F.col(group).isNotNull() & known & F.col("bucket").isNotNull())
+    return rows.groupBy(group, "bucket", value).agg(F.count(F.lit(1)).alias("freq"))
+
+
+def exact_quantiles(freq: DataFrame, group: str, value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group with a linearly interpolated quantile per entry of ``probs``.
 
-    ``freq`` holds one row per non-null (group, value) with its count.
+    ``freq`` comes from ``value_frequencies``; rows without a group do not count.
     """
-    buckets = freq.withColumn("bucket", _bucket(F.col(value)))
-    by_bucket = buckets.groupBy(group, "bucket").agg(F.sum(count).alias("n"))
+    by_bucket = freq.groupBy(group, "bucket").agg(F.sum("freq").alias("n"))
     upto = F.sum("n").over(W.partitionBy(group).orderBy("bucket"))
     total = F.sum("n").over(W.partitionBy(group))
     ranked = by_bucket.select(group, "bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"), total.alias("total"))
@@ -36,9 +44,9 @@ def exact_quantiles(freq: DataFrame, group: str, value: str, count: str, probs:
         .filter((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("upto")))
         .select(group, "bucket", "before", "w.*")
     )
-    running = F.col("before") + F.sum(count).over(W.partitionBy(group, "bucket", "name", "side").orderBy(value))
+    running = F.col("before") + F.sum("freq").over(W.partitionBy(group, "bucket", "name", "side").orderBy(value))
     hits = (
-        buckets.join(targets, [group, "bucket"])
+        freq.join(targets, [group, "bucket"])
         .withColumn("running", running)
         .filter(F.col("running") > F.col("rank"))
         .groupBy(group, "name", "side", "weight")
@@ -68,8 +76,8 @@ def _wanted_ranks(probs: dict[str, float]) -> Column:
 def box_statistics(df: DataFrame, group: str, value: str, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Quartiles, whisker ends at 1.5 IQR and outlier count per group."""
     names = dict(zip(("q1", "median", "q3"), probs))
-    freq = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("freq"))
-    quartiles = exact_quantiles(freq, group, value, "freq", names)
+    freq = value_frequencies(df, group, value)
+    quartiles = exact_quantiles(freq, group, value, names)
     low = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     high = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(low, high)
