@@ -29,15 +29,11 @@ def permutation_importance(
     block = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(blocks))
     rows = test.withColumn("block", block)
     rows = rows.withColumns({f"donor_{r}": _donor(r, seed) for r in range(repeats)})
-    swaps = F.array(
-        F.struct(F.lit(None).cast("string").alias("feature"), F.lit(0).alias("repeat"), F.struct(*FEATURES).alias("x")),
-        *[
-            F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), _swapped(f, r).alias("x"))
-            for f in FEATURES
-            for r in range(repeats)
-        ],
+    swaps = [F.struct(F.lit(None).cast("string").alias("feature"), F.lit(0).alias("repeat"))]
+    swaps += [F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in FEATURES for r in range(repeats)]
+    swapped = rows.withColumn("swap", F.explode(F.array(*swaps))).select(
+        LABEL, "swap.feature", "swap.repeat", *[_swapped(f, repeats).alias(f) for f in FEATURES]
     )
-    swapped = rows.select(LABEL, F.explode(swaps).alias("s")).select(LABEL, "s.feature", "s.repeat", "s.x.*")
     error = F.col(LABEL) - F.col("predicted_seconds")
     scored = (
         predict(model, swapped)
@@ -63,5 +59,7 @@ def _donor(repeat: int, seed: int) -> Column:
     return F.coalesce(F.lead(values).over(block), F.first(values).over(everything))
 
 
-def _swapped(feature: str, repeat: int) -> Column:
-    return F.struct(*[(F.col(f"donor_{repeat}.{f}") if f == feature else F.col(f)).alias(f) for f in FEATURES])
+def _swapped(feature: str, repeats: int) -> Column:
+    """The donor's value in rows that swap ``feature``, the row's own elsewhere."""
+    donors = F.array(*[F.col(f"donor_{r}.{feature}") for r in range(repeats)])
+    return F.when(F.col("swap.feature") == feature, F.get(donors, F.col("swap.repeat"))).otherwise(F.col(feature))

@@ -15,7 +15,7 @@ CSV_OPTIONS = {"header": "true", "sep": ";", "quote": '"', "escape": '"', "encod
 SCHEDULE_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"'}
 BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
-_OVERFLOW, _RAW = "_overflow", "_raw_line"
+_OVERFLOW, _RAW, _PATH = "_overflow", "_raw_line", "_path"
 
 
 def exact_glob(base: str, rel_path: str) -> str:
@@ -51,14 +51,8 @@ def files_by_encoding(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_delimited(
-    spark: SparkSession, path: str | list[str], sep: str = ";", encoding: str = "UTF-8", skip_long: bool = True
-) -> DataFrame:
-    """Delimited text, all columns text. Short lines are padded.
-
-    Lines with too many fields are skipped; ``skip_long=False`` keeps them without the
-    surplus.
-    """
+def _delimited(spark: SparkSession, path: str, sep: str, encoding: str, skip_long: bool) -> DataFrame:
+    """Delimited text as text columns, plus ``_path``."""
     options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "encoding": encoding}
     header = spark.read.options(**options).csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in [*header, _OVERFLOW, _RAW]])
@@ -66,21 +60,43 @@ def read_delimited(
     if skip_long:
         # The schema has one field too many, so a full line counts as too short.
         rows = rows.filter(F.col(_OVERFLOW).isNull() & F.col(_RAW).isNotNull())
-    return clean_columns(rows.drop(_OVERFLOW, _RAW))
+    return clean_columns(rows.withColumn(_PATH, F.col("_metadata.file_path")).drop(_OVERFLOW, _RAW))
+
+
+def read_delimited(
+    spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8", skip_long: bool = True
+) -> DataFrame:
+    """Delimited text, all columns text. Short lines are padded.
+
+    Lines with too many fields are skipped; ``skip_long=False`` keeps them without the
+    surplus.
+    """
+    return _delimited(spark, path, sep, encoding, skip_long).drop(_PATH)
 
 
 def read_csv_flexible(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """Delimited text in UTF-8 or, file by file, Latin-1; falls back to ``;``."""
-    kinds = files_by_encoding(spark, path).collect()
+    """Delimited text in UTF-8 or, file by file, Latin-1; falls back to ``;``.
+
+    Only one row of flags reaches the driver. A folder with both encodings is read once in
+    each, every read keeping its own files.
+    """
+    kinds = files_by_encoding(spark, path)
+    seen = kinds.agg(F.bool_or("utf8").alias("utf8"), F.bool_or(~F.col("utf8")).alias("latin")).first()
     chosen = sniff_separator(spark, path, sep)
     frames = []
-    for encoding, utf8 in (("UTF-8", True), ("ISO-8859-1", False)):
-        paths = [r.path for r in kinds if r.utf8 == utf8]
-        if paths:
-            frames.append(read_delimited(spark, paths, chosen, encoding))
+    for encoding, utf8, present in (("UTF-8", True, seen.utf8), ("ISO-8859-1", False, seen.latin)):
+        if not present:
+            continue
+        rows = _delimited(spark, path, chosen, encoding, skip_long=True)
+        if seen.utf8 and seen.latin:
+            own = kinds.filter(F.col("utf8") == utf8).select(F.col("path").alias(_PATH))
+            rows = rows.join(own, _PATH, "left_semi")
+        frames.append(rows.drop(_PATH))
     if not frames:
         return spark.createDataFrame([], StructType())
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    # The header is read once per encoding; positions, not spellings, line the columns up.
+    names = frames[0].columns
+    return reduce(DataFrame.union, [f.toDF(*names) for f in frames])
 
 
 def read_if_exists(spark: SparkSession, path: str, reader, schema: StructType) -> DataFrame:
