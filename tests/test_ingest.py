@@ -274,6 +274,7 @@ def test_reader_fallbacks(spark, folder):
     assert readers.sniff_separator(spark, path, ",") == ";"
     rows = readers.read_csv_flexible(spark, path, sep=",")
     assert [tuple(r) for r in rows.collect()] == [("1", "2"), ("4", None)]
+    assert rows.count() == 2 and [r.b for r in rows.select("b").collect()] == ["2", None]
     assert readers.read_delimited(spark, path, skip_long=False).count() == 3
     missing = readers.read_if_exists(spark, f"{folder}/none.csv", lambda p: None, schemas.ROUTES)
     assert missing.schema == schemas.ROUTES and missing.count() == 0

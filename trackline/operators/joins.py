@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from math import ceil
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # A key is hot when it holds more than this part of all rows ...
 HOT_SHARE = 1e-4
@@ -73,7 +74,8 @@ def salted_left_join(
         for lookup in lookups:
             fact = fact.join(lookup, key, "left")
         return fact
-    hot_frame = fact.sparkSession.createDataFrame(hot, f"{key} string, salts int")
+    schema = StructType([StructField(key, fact.schema[key].dataType), StructField("salts", IntegerType())])
+    hot_frame = fact.sparkSession.createDataFrame(hot, schema)
     out = salt_fact(fact, hot_frame, key, identity)
     for lookup in lookups:
         out = out.join(salt_lookup(lookup, hot_frame, key), [key, "salt"], "left")

@@ -1,8 +1,11 @@
-"""Exact quantiles per group without gathering a group.
-
-Works on value frequencies, so repeated values cost one row. Values fall into logarithmic buckets whose order follows
-the value order; bucket totals, a few thousand rows per group, locate the bucket that
-holds each wanted rank, and only those buckets are ranked value by value.
+"""Exact quantiles and box statistics per group without gathering a group.
+
+Works on value frequencies, so repeated values cost one row. Values fall into
+logarithmic buckets whose order follows the value order. Bucket totals, never more than
+a few million small rows per group, locate the buckets that matter: those holding a
+wanted rank and those a whisker limit cuts. Only their values are looked at one by one.
+A bucket spans a 65,536th of a doubling, so even 10^12 distinct values between 0 and 1
+leave it some 10^7 to sort.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Buckets per doubling of the magnitude.
-RESOLUTION = 32
+RESOLUTION = 65_536
 
 
 def _bucket(value: Column) -> Column:
@@ -29,15 +32,23 @@ def value_frequencies(df: DataFrame, group: str, value: str) -> DataFrame:
     return rows.groupBy(group, "bucket", value).agg(F.count(F.lit(1)).alias("freq"))
 
 
-def exact_quantiles(freq: DataFrame, group: str, value: str, probs: dict[str, float]) -> DataFrame:
+def bucket_totals(freq: DataFrame, group: str, value: str) -> DataFrame:
+    """Rows (``n``) and extremes (``lo``, ``hi``) per group and bucket."""
+    return freq.groupBy(group, "bucket").agg(
+        F.sum("freq").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
+    )
+
+
+def exact_quantiles(
+    freq: DataFrame, buckets: DataFrame, group: str, value: str, probs: dict[str, float]
+) -> DataFrame:
     """One row per group with a linearly interpolated quantile per entry of ``probs``.
 
-    ``freq`` comes from ``value_frequencies``; rows without a group do not count.
+    ``freq`` comes from ``value_frequencies`` and ``buckets`` from ``bucket_totals``.
     """
-    by_bucket = freq.groupBy(group, "bucket").agg(F.sum("freq").alias("n"))
     upto = F.sum("n").over(W.partitionBy(group).orderBy("bucket"))
     total = F.sum("n").over(W.partitionBy(group))
-    ranked = by_bucket.select(group, "bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"), total.alias("total"))
+    ranked = buckets.select(group, "bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"), total.alias("total"))
     wanted = _wanted_ranks(probs)
     targets = (
         ranked.select(group, "bucket", "before", "upto", F.explode(wanted).alias("w"))
@@ -77,15 +88,49 @@ def box_statistics(df: DataFrame, group: str, value: str, probs: Sequence[float]
     """Quartiles, whisker ends at 1.5 IQR and outlier count per group."""
     names = dict(zip(("q1", "median", "q3"), probs))
     freq = value_frequencies(df, group, value)
-    quartiles = exact_quantiles(freq, group, value, names)
-    low = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    high = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.col(value).between(low, high)
-    return freq.join(quartiles, group).groupBy(group, *names).agg(
-        F.sum("freq").alias("n"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.min(F.when(inside, F.col(value))).alias("lower_fence"),
-        F.max(F.when(inside, F.col(value))).alias("upper_fence"),
-        F.sum(F.when(inside, 0).otherwise(F.col("freq"))).alias("outliers"),
+    buckets = bucket_totals(freq, group, value)
+    spread = F.col("q3") - F.col("q1")
+    placed = buckets.join(exact_quantiles(freq, buckets, group, value, names), group).withColumns(
+        {"low": F.col("q1") - 1.5 * spread, "high": F.col("q3") + 1.5 * spread}
+    )
+    lo, hi, low, high = F.col("lo"), F.col("hi"), F.col("low"), F.col("high")
+    within = (lo >= low) & (hi <= high)
+    beyond = (hi < low) | (lo > high)
+    cut = ~(within | beyond)
+    # Each limit runs through at most one bucket; all others count as a whole.
+    whole = (
+        placed.groupBy(group, *names, "low", "high")
+        .agg(
+            F.sum("n").alias("n"),
+            F.min(lo).alias("min"),
+            F.max(hi).alias("max"),
+            F.min(F.when(within, lo)).alias("lower"),
+            F.max(F.when(within, hi)).alias("upper"),
+            F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outside"),
+            F.max(F.when(cut & (lo < low), F.col("bucket"))).alias("cut_low"),
+            F.max(F.when(cut & (hi > high), F.col("bucket"))).alias("cut_high"),
+        )
+        .withColumn("bucket", F.explode(F.array_distinct(F.array("cut_low", "cut_high"))))
+        .drop("cut_low", "cut_high")
+    )
+    x, inside = F.col(value), F.col(value).between(low, high)
+    kept = [group, *names, "n", "min", "max", "lower", "upper", "outside"]
+    return (
+        whole.join(freq, [group, "bucket"], "left")
+        .groupBy(*kept)
+        .agg(
+            F.min(F.when(inside, x)).alias("cut_lower"),
+            F.max(F.when(inside, x)).alias("cut_upper"),
+            F.coalesce(F.sum(F.when(~inside, F.col("freq"))), F.lit(0)).alias("cut_outside"),
+        )
+        .select(
+            group,
+            *names,
+            "n",
+            "min",
+            "max",
+            F.least("lower", "cut_lower").alias("lower_fence"),
+            F.greatest("upper", "cut_upper").alias("upper_fence"),
+            (F.col("outside") + F.col("cut_outside")).alias("outliers"),
+        )
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from datetime import datetime
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,7 +32,8 @@ class Spec:
     dataset: str
     layout: str
     source_format: str
-    latest: datetime
+    # Newest modification, in epoch seconds.
+    latest: int
 
 
 def list_files(spark: SparkSession, base: str) -> DataFrame:
@@ -77,13 +77,14 @@ def route_files(files: DataFrame) -> DataFrame:
 def uncovered_files(files: DataFrame, specs: DataFrame) -> DataFrame:
     """Files no spec covers, sorted."""
     datasets = route_files(files).select("rel_path", "dataset")
-    return datasets.join(specs.select("dataset").distinct(), "dataset", "left_anti").select("rel_path").orderBy("rel_path")
+    covered = specs.select("dataset").distinct()
+    return datasets.join(covered, "dataset", "left_anti").select("rel_path").orderBy("rel_path")
 
 
 def spec_table(files: DataFrame) -> DataFrame:
     """One row per covered logical file."""
     covered = route_files(files).filter(F.col("table_name").isNotNull())
-    return covered.groupBy("table_name", "dataset", "layout", "source_format").agg(F.max("modified").alias("latest"))
+    return covered.groupBy("table_name", "dataset", "layout", "source_format").agg(F.max(F.unix_seconds("modified")).alias("latest"))
 
 
 def build_specs(spark: SparkSession, base: str) -> list[Spec]:

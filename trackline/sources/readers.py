@@ -56,7 +56,8 @@ def _delimited(spark: SparkSession, path: str, sep: str, encoding: str, skip_lon
     options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "encoding": encoding}
     header = spark.read.options(**options).csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in [*header, _OVERFLOW, _RAW]])
-    rows = spark.read.options(**options, columnNameOfCorruptRecord=_RAW).schema(schema).csv(path)
+    # Without every column parsed, the number of fields in a line would go unnoticed.
+    rows = spark.read.options(**options, columnNameOfCorruptRecord=_RAW, columnPruning=False).schema(schema).csv(path)
     if skip_long:
         # The schema has one field too many, so a full line counts as too short.
         rows = rows.filter(F.col(_OVERFLOW).isNull() & F.col(_RAW).isNotNull())

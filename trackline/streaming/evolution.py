@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime, timedelta
+import time
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
@@ -27,17 +28,16 @@ def merge_types(stored: DataType, seen: DataType) -> DataType:
     return stored
 
 
-def _load(spark: SparkSession, state: str, table: str) -> tuple[StructType, datetime] | None:
+def _load(spark: SparkSession, state: str, table: str) -> tuple[StructType, int] | None:
     path = f"{state}/schemas/{table}"
     if not path_exists(spark, path):
         return None
     entry = max((json.loads(r.value) for r in spark.read.text(path).collect()), key=lambda e: e["version"])
-    return StructType.fromJson(entry["schema"]), datetime.fromisoformat(entry["latest"])
+    return StructType.fromJson(entry["schema"]), entry["latest"]
 
 
-def _store(spark: SparkSession, state: str, table: str, schema: StructType, latest: datetime) -> None:
-    version = datetime.now().isoformat()
-    entry = json.dumps({"version": version, "schema": schema.jsonValue(), "latest": latest.isoformat()})
+def _store(spark: SparkSession, state: str, table: str, schema: StructType, latest: int) -> None:
+    entry = json.dumps({"version": time.time_ns(), "schema": schema.jsonValue(), "latest": latest})
     spark.createDataFrame([(entry,)], "value string").coalesce(1).write.mode("append").text(f"{state}/schemas/{table}")
 
 
@@ -59,7 +59,9 @@ def document_schema(spark: SparkSession, base: str, state: str, spec: Spec) -> S
         return stored[0]
     reader = spark.read.option("multiLine", True)
     if stored:
-        reader = reader.option("modifiedAfter", (stored[1] - timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S"))
+        # One second back: times are kept in whole seconds.
+        after = datetime.fromtimestamp(stored[1] - 1, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+        reader = reader.options(modifiedAfter=after, timeZone="UTC")
     seen = reader.json(exact_glob(base, spec.dataset)).schema
     seen = StructType([f for f in seen if f.name != "_corrupt_record"])
     schema = merge_types(stored[0], seen) if stored else seen

@@ -5,16 +5,19 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
+from trackline import schemas
+from trackline.operators.counts import row_counts
 from trackline.operators.flatten import trip_updates_of_feeds
+from trackline.plans.curate import write_curated
 from trackline.session import shared_dir
+from trackline.sources.bundle import load_files
 from trackline.sources.readers import read_array_document, read_csv_flexible, read_document
-from trackline.sources.tables import load_tables, table_inventory
+from trackline.sources.tables import load_queries, load_tables
 from trackline.streaming.ingest import audit, ingest
 from trackline.streaming.rescue import RESCUED, parse_documents
-from trackline import schemas
 from workload import views
-from workload.datasets import MASTER
 from workload.registry import ntz, query, sql_number
 
 # Entities per written document.
@@ -228,8 +231,8 @@ def rescue_documents(spark, sf_dir):
     alerts = views.frame(spark, sf_dir, "fx_alerts")
     count = F.when(F.col("id").cast("bigint") % 3 == 0, F.lit('"many"')).otherwise(F.col("route_count").cast("string"))
     text = F.concat(F.lit('{"id":"'), "id", F.lit('","route_count":'), count, F.lit(',"note":"n'), "id", F.lit('"}'))
-    declared = schemas.ALERTS
-    rows = parse_documents(alerts.select(text.alias("value")), type(declared)(declared.fields[:2]))
+    declared = StructType(schemas.ALERTS.fields[:2])
+    rows = parse_documents(alerts.select(text.alias("value")), declared)
     return rows.select("id", "route_count", RESCUED)
 
 
@@ -256,4 +259,76 @@ def bronze_to_bundle(spark, sf_dir):
     return stations.unionByName(trips)
 
 
-__all__ = ["MASTER", "table_inventory"]
+@query(
+    "curated_updates",
+    """SELECT CASE service WHEN 'A' THEN 'Cercanias' ELSE 'LD' END AS feed, CAST(feed_ts AS DATE) AS service_date,
+              count(*) AS updates, count(entity_id) AS with_entity
+       FROM fx_feed_flat GROUP BY 1, 2""",
+)
+def curated_updates(spark, sf_dir):
+    """Raw feeds to bronze to curated tables, then updates per feed and service date."""
+    run = Run(spark)
+    for service, name in (("A", "trip_updates.json"), ("B", "trip_updates_LD.json")):
+        feed = views.trip_feed(spark, sf_dir, service)
+        ids = F.coalesce(F.get("entity.id", F.lit(0)), F.lit("0")).cast("bigint")
+        write_documents(feed.withColumn("key", ids), "key", f"{run.raw}/{name}")
+    write_csv(_stations(spark, sf_dir), f"{run.raw}/estaciones.csv")
+    run.load()
+    curated = f"curated_{run.database}"
+    write_curated(spark, run.database, curated, f"{run.location}_curated")
+    return spark.table(f"{curated}.trip_updates_rt").groupBy("feed", "service_date").agg(
+        F.count(F.lit(1)).alias("updates"), F.count("entity_id").alias("with_entity")
+    )
+
+
+@query(
+    "files_to_bundle",
+    f"""SELECT 'stations' AS dataset, count(*) AS rows FROM (
+          SELECT DISTINCT trim(station_code) AS code, lat, lon FROM (
+            SELECT station_code, {sql_number("replace(lat_raw, ',', '.')")} AS lat,
+                   {sql_number("replace(lon_raw, ',', '.')")} AS lon FROM fx_stations_raw) r
+          WHERE lat <> 0 AND lon <> 0) s
+        UNION ALL SELECT 'trip_updates', count(*) FROM fx_feed_flat WHERE service = 'A' AND entity_id IS NOT NULL
+        UNION ALL SELECT 'alerts', count(*) FROM fx_alerts
+        UNION ALL SELECT 'gtfs_trips', count(*) FROM fx_trips
+        UNION ALL SELECT 'vehicles', 0""",
+)
+def files_to_bundle(spark, sf_dir):
+    """A raw folder read directly; rows per dataset, one of them without a file."""
+    run = Run(spark)
+    write_csv(_stations(spark, sf_dir).withColumnRenamed("CÓDIGO", "CODIGO"), f"{run.raw}/estaciones.csv")
+    feed = views.trip_feed(spark, sf_dir, "A")
+    ids = F.coalesce(F.get("entity.id", F.lit(0)), F.lit("0")).cast("bigint")
+    write_documents(feed.withColumn("key", ids), "key", f"{run.raw}/trip_updates.json")
+    alerts = views.alert_feed(spark, sf_dir).withColumn("key", F.get("entity.id", F.lit(0)).cast("bigint"))
+    write_documents(alerts, "key", f"{run.raw}/alerts.json")
+    write_csv(views.frame(spark, sf_dir, "fx_trips"), f"{run.raw}/google_transit/trips.txt", ",", "UTF-8")
+    data = load_files(spark, run.raw)
+    return row_counts({k: data[k] for k in ("stations", "trip_updates", "alerts", "gtfs_trips", "vehicles")}).withColumnsRenamed(
+        {"metric": "dataset", "value": "rows"}
+    )
+
+
+@query(
+    "sql_to_bundle",
+    """SELECT 'trip_updates' AS dataset, CAST(event_id AS VARCHAR) AS key, value * 60.0 AS amount FROM events
+       UNION ALL SELECT 'gtfs_routes', CAST(c_custkey AS VARCHAR), 0.0 FROM customer""",
+)
+def sql_to_bundle(spark, sf_dir):
+    """Datasets from user SQL, with the column names users happen to choose."""
+    views.frame(spark, sf_dir, "events")
+    views.frame(spark, sf_dir, "customer")
+    data = load_queries(
+        spark,
+        {
+            "trip_updates": "SELECT event_id AS tripid, value AS delay_minutes, ts, event_type AS line FROM events",
+            "gtfs_routes": "SELECT c_custkey AS id, c_mktsegment AS service FROM customer",
+        },
+    )
+    updates = data["trip_updates"].select(
+        F.lit("trip_updates").alias("dataset"), F.col("trip_id").alias("key"), F.col("delay_seconds").alias("amount")
+    )
+    routes = data["gtfs_routes"].select(
+        F.lit("gtfs_routes").alias("dataset"), F.col("route_id").alias("key"), F.lit(0.0).alias("amount")
+    )
+    return updates.unionByName(routes)

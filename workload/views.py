@@ -163,8 +163,7 @@ def with_views(sql: str) -> str:
     if not ordered:
         return sql
     ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in ordered)
-    joined = f"WITH {ctes}"
-    return f"{joined},\n{sql.strip()[5:]}" if sql.strip().upper().startswith("WITH ") else f"{joined}\n{sql}"
+    return f"WITH {ctes}\n{sql}"
 
 
 @lru_cache(maxsize=64)
@@ -189,9 +188,9 @@ def trip_feed(spark: SparkSession, sf_dir: str, service: str) -> DataFrame:
         F.struct(F.col("arr_delay").alias("delay")).alias("arrival"),
         F.struct(F.col("dep_delay").alias("delay")).alias("departure"),
     )
-    # Null, empty or one stop.
-    stops = F.when(F.col("n_stops") == 1, F.array(stop)).when(F.col("n_stops") == 0, F.filter(F.array(stop), lambda s: F.lit(False)))
     no_stops = F.filter(F.array(stop), lambda s: F.lit(False))
+    # Null, empty or one stop.
+    stops = F.when(F.col("n_stops") == 1, F.array(stop)).when(F.col("n_stops") == 0, no_stops)
 
     def entity(entity_id: str, trip_id: str, delay: str, stop_list) -> F.Column:
         update = F.struct(
