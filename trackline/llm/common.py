@@ -39,6 +39,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def reshuffled(df: DataFrame, key: str) -> DataFrame:
+    """``df`` for the unique side of a join on the long or string ``key``.
+
+    A key that is computed anew hides the partitioning an aggregate left behind. Both join sides are then
+    shuffled for the join itself, and only such joins let adaptive execution split the other side's hot keys.
+    """
+    text = dict(df.dtypes)[key] == "string"
+    return df.withColumn(key, F.concat(key, F.lit("")) if text else F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def gapless_rank(df: DataFrame, group: str, order: list[Column], spread: Column, buckets: int, out: str) -> DataFrame:
     """``out``: each row's place in its group, from 0 without gaps.
 
@@ -68,9 +78,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        large = both.join(reshuffled(low, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("low").alias("v"))
+        small = large.join(reshuffled(low, "u"), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("low").alias("v"))
         pairs = checkpointed(small.where("u != v").distinct())
         # Both sums are exact, so equal ones mean an unchanged set but for a hash collision of 64 bits.
         mark = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trackline.llm.common import table
+from trackline.llm.lines import SQL as LINES_SQL, drop_repeated_lines
 from trackline.llm.quality import quality
 from trackline.session import require_settings
 
@@ -25,6 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op2_line_chunks", LINES_SQL)
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_fertility_rules")
 def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
