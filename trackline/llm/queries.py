@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackline.llm.common import table
 from trackline.llm.lines import SQL as LINES_SQL, drop_repeated_lines
 from trackline.llm.quality import quality
+from trackline.llm.simhash import near_duplicates
 from trackline.session import require_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_simhash_components")
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 @query("op2_line_chunks", LINES_SQL)
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
