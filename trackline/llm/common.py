@@ -39,6 +39,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def fenced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns`` added, computed once.
+
+    A later filter on them would else be pushed below and repeat the expressions, in lambdas once per element.
+    Catalyst pushes no filter on its output through a generator, and infers none for an outer one.
+    """
+    name = free_name(df, "fenced")
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    df = df.withColumn(name, F.explode_outer(F.array(row)))
+    return df.withColumns({n: F.col(f"{name}.`{n}`") for n in columns}).drop(name)
+
+
 def reshuffled(df: DataFrame, key: str) -> DataFrame:
     """``df`` for the unique side of a join on the long or string ``key``.
 

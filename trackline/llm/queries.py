@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackline.llm.common import table
+from trackline.llm.decontaminate import SQL as DECONTAMINATE_SQL, contaminated
 from trackline.llm.lines import SQL as LINES_SQL, drop_repeated_lines
 from trackline.llm.quality import quality
 from trackline.llm.simhash import near_duplicates
@@ -49,3 +50,11 @@ def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "chars_per_token", "byte_share", "token_entropy",
     )
+
+
+@query("op9_benchmark_containment", DECONTAMINATE_SQL)
+def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shared", "n_shingles", "containment"
+    )
