@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trackline.llm.common import table
 from trackline.llm.decontaminate import SQL as DECONTAMINATE_SQL, contaminated
 from trackline.llm.lines import SQL as LINES_SQL, drop_repeated_lines
+from trackline.llm.packing import pack
 from trackline.llm.quality import quality
 from trackline.llm.simhash import near_duplicates
 from trackline.session import require_settings
@@ -58,3 +59,8 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shared", "n_shingles", "containment"
     )
+
+
+@query("op10_cutting_stock")
+def cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
