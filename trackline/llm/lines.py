@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trackline.llm.common import free_name, reshuffled, row_key
+from trackline.llm.common import fenced, free_name, reshuffled, row_key
 from trackline.session import checkpointed
 
 # Fixed values of the rolling hash: line hashes modulo a prime, weight of the line before, prime of the sum.
@@ -55,31 +55,57 @@ def chunk_text(lines: Column, ends: Column, number: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, F.get(ends, number) - start + 1), "\n")
 
 
-def line_chunks(df: DataFrame, identity: str, text: str) -> DataFrame:
-    """(key, id, number, digest, chunk): every chunk of two lines or more."""
+def cut_rows(df: DataFrame, identity: str, text: str) -> DataFrame:
     own = df.select(F.col(identity).alias("id"), F.col(text).alias("text"))
-    cut = with_cuts(own.withColumn("key", row_key(F.col("id"), F.col("text"))), "text", "lines", "ends")
-    numbers = cut.where(F.size("lines") > 1).select(
-        "key", "id", "lines", "ends", F.explode(F.sequence(F.lit(0), F.size("ends") - 1)).alias("number")
+    return with_cuts(own.withColumn("key", row_key(F.col("id"), F.col("text"))), "text", "lines", "ends")
+
+
+def line_chunks(df: DataFrame, identity: str, text: str) -> DataFrame:
+    """(key, id, number, digest): every chunk of two lines or more."""
+    cut = cut_rows(df, identity, text)
+    chunk = lambda i: F.md5(chunk_text(F.col("lines"), F.col("ends"), i))
+    digests = F.transform(F.sequence(F.lit(0), F.size("ends") - 1), chunk)
+    digests = F.when(F.size("lines") > 1, digests)
+    return cut.select("key", "id", F.posexplode_outer(digests).alias("number", "digest")).where("digest IS NOT NULL")
+
+
+def chunk_bytes(df: DataFrame, identity: str, text: str, marks: DataFrame) -> DataFrame:
+    """The chunks that ``marks`` (key, number, digest) names, with their texts."""
+    wanted = marks.groupBy("key").agg(F.collect_set(F.struct("number", "digest")).alias("wanted"))
+    rows = cut_rows(df, identity, text).join(reshuffled(wanted, "key"), "key")
+    texts = F.transform(
+        "wanted",
+        lambda x: F.struct(
+            x.number.alias("number"),
+            x.digest.alias("digest"),
+            chunk_text(F.col("lines"), F.col("ends"), x.number).alias("chunk"),
+        ),
     )
-    chunk = chunk_text(F.col("lines"), F.col("ends"), F.col("number"))
-    return numbers.select("key", "id", "number", chunk.alias("chunk")).withColumn("digest", F.md5("chunk"))
+    return rows.select("key", "id", F.explode_outer(texts).alias("c")).select("key", "id", "c.*")
 
 
 def repeated_chunks(df: DataFrame, identity: str, text: str) -> DataFrame:
     """(key, gone): the numbers of the chunks to remove from the rows of each key.
 
-    Digests are counted first, so only the bytes of chunks that may repeat are shuffled; these are grouped by
-    their bytes. The first occurrence is the one with the smallest (id, key, number), a null id first.
+    Digests find the chunks that may repeat, then their bytes are compared: only distinct (digest, bytes) are
+    shuffled. The first occurrence is the one with the smallest (id, key, number), a null id first. Should a digest
+    stand for several byte sequences, its chunks are told apart by their bytes.
     """
-    chunks = line_chunks(df, identity, text)
-    again = chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    found = chunks.join(reshuffled(again, "digest"), "digest", "left_semi").drop("digest")
+    chunks = checkpointed(line_chunks(df, identity, text))
     place = F.struct("id", "key", "number")
-    firsts = found.groupBy("chunk").agg(F.min(place).alias("first"))
-    later = found.join(reshuffled(checkpointed(firsts), "chunk"), "chunk").where(
-        ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("number") == F.col("first.number")))
-    )
+    again = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    marks = chunks.join(reshuffled(again, "digest"), "digest")
+    is_first = lambda: (F.col("key") == F.col("first.key")) & (F.col("number") == F.col("first.number"))
+    marks = checkpointed(marks.select("key", "id", "number", "digest", is_first().alias("is_first")))
+    later = marks.where(~F.col("is_first")).select("key", "number")
+    kinds = chunk_bytes(df, identity, text, marks).select("digest", "chunk").distinct()
+    mixed = checkpointed(kinds.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    if not mixed.isEmpty():
+        pure = marks.join(mixed, "digest", "left_anti")
+        found = chunk_bytes(df, identity, text, marks.join(mixed, "digest", "left_semi"))
+        firsts = checkpointed(found.groupBy("chunk").agg(F.min(place).alias("first")))
+        told = found.join(reshuffled(firsts, "chunk"), "chunk").where(~is_first())
+        later = pure.where(~F.col("is_first")).select("key", "number").union(told.select("key", "number"))
     return later.groupBy("key").agg(F.collect_set("number").alias("gone"))
 
 
@@ -93,7 +119,7 @@ def drop_repeated_lines(df: DataFrame, identity: str = "doc_id", text: str = "te
     """
     key, lines, ends, gone, kept = (free_name(df, n) for n in ("row_key", "lines", "ends", "gone", "kept"))
     marks = repeated_chunks(df, identity, text).select(F.col("key").alias(key), F.col("gone").alias(gone))
-    rows = df.withColumn(key, row_key(F.col(identity), F.col(text))).join(marks, key, "left")
+    rows = df.withColumn(key, row_key(F.col(identity), F.col(text))).join(reshuffled(marks, key), key, "left")
     some = F.size(F.coalesce(gone, F.array().cast("array<int>")))
     cut = with_cuts(rows.withColumn(gone, F.coalesce(gone, F.array().cast("array<int>"))), text, lines, ends)
     stays = F.filter(
@@ -105,13 +131,14 @@ def drop_repeated_lines(df: DataFrame, identity: str = "doc_id", text: str = "te
     cut = cut.withColumn(kept, F.flatten(F.transform(stays, part)))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
     left = F.when(F.size(gone) == 0, F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return cut.withColumns(
+    return fenced(
+        cut,
         {
             "n_lines": n_lines,
             "n_removed_lines": F.when(F.size(gone) == 0, 0).otherwise(F.size(lines) - F.size(kept)).cast("long"),
             "n_removed_chunks": F.size(gone).cast("long"),
             text: left,
-        }
+        },
     ).drop(key, lines, ends, gone, kept)
 
 
