@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackline.llm.common import table
 from trackline.llm.decontaminate import SQL as DECONTAMINATE_SQL, contaminated
+from trackline.llm.langid import fold, identify, train
 from trackline.llm.lines import SQL as LINES_SQL, drop_repeated_lines
+from trackline.llm.lm import score
 from trackline.llm.packing import pack
 from trackline.llm.quality import quality
+from trackline.llm.secrets import find_secrets, sql as secrets_sql
 from trackline.llm.simhash import near_duplicates
 from trackline.session import require_settings
 
@@ -44,6 +47,21 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op3_naive_bayes")
+def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = train(docs.where(~held_out), "text", "lang")
+    found = identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_trigram_secrets", secrets_sql())
+def trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 @query("op7_fertility_rules")
 def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,6 +71,16 @@ def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_log_bilinear")
+def log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 10) == 0
+    found = score(docs.select("doc_id", held_out.alias("held_out"), "text"), docs.where(~held_out))
+    return found.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query("op9_benchmark_containment", DECONTAMINATE_SQL)
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
