@@ -14,6 +14,7 @@ from trackline.llm.lm import score
 from trackline.llm.packing import pack
 from trackline.llm.quality import quality
 from trackline.llm.secrets import find_secrets, sql as secrets_sql
+from trackline.llm.sharding import shard
 from trackline.llm.simhash import near_duplicates
 from trackline.session import require_settings
 
@@ -62,6 +63,12 @@ def trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+@query("op5_jump_shards")
+def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.col("grown_shard").cast("int"))
+
+
 @query("op7_fertility_rules")
 def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
