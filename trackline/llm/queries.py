@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackline.llm.common import table
 from trackline.llm.decontaminate import SQL as DECONTAMINATE_SQL, contaminated
+from trackline.llm.extract import extract
 from trackline.llm.langid import fold, identify, train
 from trackline.llm.lines import SQL as LINES_SQL, drop_repeated_lines
 from trackline.llm.lm import score
@@ -69,6 +70,11 @@ def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.col("grown_shard").cast("int"))
 
 
+@query("op6_host_wrappers")
+def host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op7_fertility_rules")
 def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
