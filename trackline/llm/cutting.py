@@ -10,7 +10,7 @@ from bisect import bisect_left, insort
 import numpy as np
 
 MAX_ROUNDS = 20_000  # pivots after which the solution so far is taken; any basic solution is a valid one
-GAP = 0.001  # stop within this share of the lower bound
+GAP = 0.002  # stop within this share of the lower bound
 EPS = 1e-9
 
 
@@ -18,8 +18,9 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     """Knapsack by dynamic programming: the multiset of items of most value within the capacity."""
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
     for room in range(1, capacity + 1):
-        fit = np.searchsorted(sizes, room, "right")
+        fit = fits[room]
         if fit:
             gain = best[room - sizes[:fit]] + values[:fit]
             at = int(gain.argmax())

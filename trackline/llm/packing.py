@@ -1,7 +1,7 @@
 """Packing of tokenised documents into sequences of one length, as a cutting-stock problem.
 
-A document longer than a sequence gives full pieces and a rest. The lengths of all pieces are counted in classes
-of ``UNIT`` tokens; column generation over that histogram finds patterns of classes that fill a sequence, and the
+A document longer than a sequence gives full pieces and a rest. The lengths of all pieces are counted in some 250
+classes; column generation over that histogram finds patterns of classes that fill a sequence, and the
 ranked pieces of each class are dealt to the rounded patterns.
 """
 
@@ -12,16 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackline.llm.common import gapless_rank
 from trackline.llm.cutting import patterns
-from trackline.llm.tokens import WordTokenizer, default_vocabulary
+from trackline.llm.tokens import default_vocabulary, word_tokenizer
 from trackline.session import checkpointed
 
 SEQUENCE = 4096
 END_ID = 2
-UNIT = 8  # tokens per length class; a pattern wastes up to UNIT - 1 tokens per piece
+UNIT = 8  # tokens per unit of room; lengths are rounded up to whole units
+# Longer pieces, of which a sequence holds few, are rounded to 2 and 4 units: from a quarter and a half of a sequence.
+COARSE = ((4, 2), (2, 4))
 RANK_BUCKETS = 1024
 ROWS = 256  # texts encoded together
 
@@ -37,7 +39,7 @@ def pieces(df: DataFrame, identity: str, text: str, vocabulary: str | None = Non
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         names = [x.split()[0] for x in schema.split(", ")]
         for frame in frames:
             for at in range(0, len(frame), ROWS):
@@ -60,6 +62,14 @@ def pieces(df: DataFrame, identity: str, text: str, vocabulary: str | None = Non
     return own.mapInPandas(cut, schema)
 
 
+def length_class(length: Column, size: int) -> Column:
+    """Units of room for a piece: its length rounded up, more coarsely for longer ones."""
+    step = F.lit(1)
+    for share, units in COARSE:
+        step = F.when(length > size // share, units).otherwise(step)
+    return F.least(F.ceil(length / (UNIT * step)) * step, F.lit(size // UNIT)).cast("int")
+
+
 def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
     """Runs of ranks (class, first, after, each, sequence, slot).
 
@@ -89,8 +99,10 @@ def pack(df: DataFrame, identity: str = "doc_id", text: str = "text", vocabulary
     packed one by one, whether or not ids or texts repeat or are null; other columns are not read; an empty table
     gives no rows. What the driver gets is one count per length class.
     """
+    if size % UNIT or size < UNIT:
+        raise ValueError(f"a sequence holds a multiple of {UNIT} tokens")
     found = checkpointed(pieces(df, identity, text, vocabulary, size, end_id, keep_ids))
-    found = found.withColumn("class", F.ceil(F.col("length") / UNIT).cast("int"))
+    found = found.withColumn("class", length_class(F.col("length"), size))
     counted = {r["class"]: r["count"] for r in found.groupBy("class").count().collect()}
     runs = plan(counted, size // UNIT)
     # Rows alike in all of these are alike in their ids too but for a hash collision, and interchangeable.

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import numpy as np
 
 from trackline.llm.common import split_words
 
 # Words and word pieces whose ids a Python worker remembers; what comes beyond is encoded anew each time.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 # How the lower-case vocabulary parts a text, and the end mark of a word's last token.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -94,3 +95,9 @@ class WordTokenizer:
         known.update(list(fresh.items())[: max(0, room)])
         get = known.get
         return [b"".join([get(w) or fresh.get(w, b"") for w in ws]) for ws in split]
+
+
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer per Python worker, so that what a task has learned serves the next one."""
+    return WordTokenizer(path)
