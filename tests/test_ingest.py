@@ -98,6 +98,10 @@ ROUTES = {
     "a.b.json": ("bronze_json_a_b", "json"),
     "deep/er/x.json": ("bronze_json_x", "json"),
     "parts.csv/part-0.csv": ("bronze_csv_parts", "csv"),
+    "parts.csv/2024.CSV": ("bronze_csv_parts", "csv"),
+    "parts.json/part-00000-x.txt": ("bronze_json_parts", "json"),
+    "parts.csv/readme.md": (None, None),
+    "parts.csv/sub/p3.md": (None, None),
 }
 
 
@@ -187,7 +191,109 @@ def test_declared_feed_keeps_unknown_fields(spark, place):
     put(place.raw, "alerts.json", {**ALERTS, "version": "2"})
     place.load()
     row = place.table("bronze_json_alerts").first()
-    assert row.entity[0].id == "a" and json.loads(row.rescued_data) == {"version": "2"}
+    assert row.entity[0].id == "a" and row.version == "2" and row.rescued_data is None
+
+
+def test_feeds_lose_no_field(spark, place):
+    update = {"trip": {"tripId": "t", "routeId": "R9"}, "delay": "late", "vehicle": {"bearing": 1.5}, "stopTimeUpdate": []}
+    first = {"header": {"timestamp": "1"}, "entity": [{"id": "1", "tripUpdate": update}]}
+    second = {"header": {"timestamp": "2"}, "entity": [{"id": "2", "tripUpdate": {"trip": {"tripId": "u"}, "delay": 60}}]}
+    put(place.raw, "trip_updates.json/1.json", first)
+    put(place.raw, "trip_updates.json/2.json", second)
+    place.load()
+    one, two = place.table("bronze_json_trip_updates").orderBy("header.timestamp").collect()
+    got = one.entity[0].tripUpdate
+    assert (got.trip.tripId, got.trip.routeId, got.vehicle.bearing, got.delay) == ("t", "R9", 1.5, None)
+    assert json.loads(json.loads(one.rescued_data)["entity"]) == first["entity"]
+    assert two.rescued_data is None and two.entity[0].tripUpdate.delay == 60
+
+
+@pytest.mark.parametrize(
+    "text, lost",
+    [
+        ('{"s": {"a": 1, "b": null}}', False), ('{"s": {"a": 1, "c": 2}}', True), ('{"s": {"a": "x"}}', True),
+        ('{"s": {"a": 1.0}}', True), ('{"s": {"a": 1.5}}', True), ('{"s": {"t": [{"u": "y"}, {"u": "z"}]}}', False),
+        ('{"s": {"t": [{"u": "y", "v": "w"}]}}', True), ('{"s": {"t": [{"u": ",\\"q\\":null}"}]}}', False), ('{"s": null}', False),
+        ('{"s": "text"}', True), ('{"s": {"b": null, "z": null}}', False),
+    ],
+)
+def test_rescue_of_nested_fields(spark, text, lost):
+    schema = StructType.fromDDL("s struct<a: bigint, b: string, t: array<struct<u: string>>>")
+    row = parse_documents(spark.createDataFrame([(text,)], "value string"), schema).first()
+    assert (row["_rescued_data"] is not None) == lost
+    if lost:
+        kept = json.loads(row["_rescued_data"])["s"]
+        assert kept == "text" or json.loads(kept) == json.loads(text)["s"]
+
+
+def test_columns_follow_each_files_header(spark, place):
+    put(place.raw, "list.csv/p1.csv", "a;b\n1;2\n")
+    put(place.raw, "list.csv/p2.csv", "b;a\n20;10\n")
+    put(place.raw, "list.csv/p3.csv", "b;other\n30;x\n")
+    place.load()
+    rows = sorted((r.a or "", r.b, r.rescued_data) for r in place.table("bronze_csv_list").collect())
+    assert rows == [("", "30", '{"other":"x"}'), ("1", "2", None), ("10", "20", None)]
+    put(place.raw, "list.csv/p4.csv", "b;a\n40;4\n")
+    place.load()
+    assert place.table("bronze_csv_list").filter("a = '4' AND b = '40'").count() == 1
+    batch = readers.read_delimited(spark, f"{place.raw}/list.csv")
+    batch = batch.toDF(*[c.lower() for c in batch.columns])
+    assert sorted((r.a or "", r.b or "", r.other or "") for r in batch.collect()) == [
+        ("", "30", "x"), ("1", "2", ""), ("10", "20", ""), ("4", "40", ""),
+    ]
+
+
+def test_every_file_is_loaded_or_reported(spark, place):
+    for name in ("list.csv/p1.csv", "list.csv/sub/p3.txt", "list.csv/notes.txt", "_hidden.csv", "deep/.part.json", "_gone/x.csv"):
+        put(place.raw, name, "a;b\n1;2\n")
+    put(place.raw, "deep/x.json", {"a": 1})
+    specs = place.load()
+    loaded = {r[0] for s in specs for r in place.table(s.table).select("_source_file_path").collect()}
+    loaded = {path.split("/raw/")[1] for path in loaded}
+    left = [r.rel_path for r in coverage(spark, place.raw).collect()]
+    assert loaded == {"list.csv/p1.csv", "deep/x.json"}
+    assert left == ["_gone/x.csv", "_hidden.csv", "deep/.part.json", "list.csv/notes.txt", "list.csv/sub/p3.txt"]
+
+
+def test_names_with_a_catalog(spark, place):
+    put(place.raw, "x.csv", "a;b\n1;2\n")
+    place.database = f"spark_catalog.{place.database}"
+    place.load()
+    assert place.table("bronze_csv_x").count() == 1
+
+
+def test_quoted_line_breaks(spark, folder):
+    path = put(folder, "q.csv", 'a;b\n1;"x\ny"\n2;z\n')
+    assert [tuple(r) for r in readers.read_delimited(spark, path, multi_line=True).collect()] == [("1", "x\ny"), ("2", "z")]
+    assert [tuple(r) for r in readers.read_csv_flexible(spark, path, multi_line=True).collect()] == [("1", "x\ny"), ("2", "z")]
+
+
+def test_curated_bundle_equals_bronze(spark, full, folder):
+    full.load()
+    target = f"{full.database}_curated"
+    write_curated(spark, full.database, target, f"{folder}/curated")
+    bronze, curated = tables.load_tables(spark, full.database), tables.load_tables(spark, target)
+    for key, rows in bronze.items():
+        columns = [c for c in rows.columns if not c.startswith("_")]
+        assert rows.count() == curated[key].count(), key
+        assert rows.select(columns).exceptAll(curated[key].select(columns)).count() == 0, key
+    assert curated["train_info"].count() == 1 and curated["gtfs_stops"].count() == 2
+
+
+def test_only_changed_dates_are_rewritten(spark, place, folder):
+    put(place.raw, "trip_updates.json/1.json", FEED)
+    place.load()
+    target = f"{place.database}_curated"
+    write_curated(spark, place.database, target, f"{folder}/curated")
+    files = lambda: {(str(r[0]), r[1]) for r in spark.table(f"{target}.trip_updates_rt").select("service_date", "_metadata.file_path").collect()}
+    before = files()
+    put(place.raw, "trip_updates.json/2.json", {**FEED, "header": {"timestamp": "1804103200"}})
+    place.load()
+    write_curated(spark, place.database, target, f"{folder}/curated")
+    spark.catalog.refreshTable(f"{target}.trip_updates_rt")
+    after = files()
+    assert before < after and {d for d, _ in after - before} == {"2027-03-03"}
+    assert spark.table(f"{target}.trip_updates_rt").count() == 4
 
 
 def test_rescue_of_documents(spark):

@@ -27,7 +27,10 @@ def frames(spark):
 
 
 def test_feature_table(spark):
-    rows = [tuple(r) for r in features.delay_features(*frames(spark)).orderBy("delay_seconds", "direction_id").collect()]
+    table = features.delay_features(*frames(spark))
+    assert table.columns == ["row_id", *features.FEATURES, features.LABEL]
+    assert len({r.row_id for r in table.collect()}) == 4
+    rows = [tuple(r) for r in table.drop("row_id").orderBy("delay_seconds", "direction_id").collect()]
     assert rows == [
         ("b", 0, 5, 0, 1, "night", "Unknown", "Unknown", 0, 0, "UNKNOWN", 0, 0.0),
         # A blank trip id matches vehicles with a blank trip id.
@@ -41,7 +44,7 @@ def test_feature_table(spark):
 def test_feature_table_without_optional_columns(spark):
     updates = spark.createDataFrame([("60",)], "delay_seconds string")
     other = spark.createDataFrame([("x",)], "other string")
-    rows = [tuple(r) for r in features.delay_features(updates, other, other, other).collect()]
+    rows = [tuple(r) for r in features.delay_features(updates, other, other, other).drop("row_id").collect()]
     assert rows == [("Unknown", 0, 0, 0, 1, "night", "Unknown", "Unknown", 0, 0, "UNKNOWN", 0, 60.0)]
 
 
@@ -52,6 +55,25 @@ def test_guards(spark):
         forest.train(table, 2, 2)
 
 
+def test_guards_look_at_the_whole_table(spark):
+    columns = {c: F.lit("x") if c in features.CATEGORICAL else F.lit(1) for c in features.FEATURES}
+    rows = spark.range(30).withColumnsRenamed({"id": "row_id"}).withColumns({**columns, "delay_seconds": F.rand(1)})
+    train, _ = forest.split(forest.model_rows(rows))
+    assert train.count() < 30
+    with pytest.raises(ValueError, match="cannot train"):
+        forest.train(train, 2, 2)
+    assert forest.train(train, 2, 2, guarded=rows).forest.getNumTrees == 2
+
+
+def test_rows_without_any_id_split_and_spread(spark):
+    updates = spark.createDataFrame([(None, None, float(i % 7)) for i in range(600)], "entity_id string, trip_id string, delay_seconds double")
+    none = spark.createDataFrame([], "trip_id string, route_id string")
+    rows = forest.model_rows(features.delay_features(updates, none, none, none, keep=["entity_id"]))
+    train, test = forest.split(rows)
+    assert {r.row_id for r in rows.collect()} == {r.row_id for r in train.union(test).collect()} and rows.count() == 600
+    assert 80 < test.count() < 160
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     """Delay depends on the hour alone; the other features are noise."""
@@ -65,8 +87,8 @@ def planted(spark):
              hour * 100.0 + rng.random())
         )
     kinds = {c: "string" for c in features.CATEGORICAL}
-    ddl = ", ".join(["id long"] + [f"{c} {kinds.get(c, 'int')}" for c in features.FEATURES] + ["delay_seconds double"])
-    table = forest.with_row_id(spark.createDataFrame(rows, ddl), ["id"])
+    ddl = ", ".join(["row_id long"] + [f"{c} {kinds.get(c, 'int')}" for c in features.FEATURES] + ["delay_seconds double"])
+    table = forest.model_rows(spark.createDataFrame(rows, ddl))
     train, test = forest.split(table)
     return table, train, test, forest.train(train, trees=10, depth=6)
 
@@ -118,7 +140,7 @@ def test_donors_are_a_permutation(planted):
     from trackline.operators.permutation import _donor
 
     test = planted[2].withColumn("block", F.lit(0))
-    pairs = test.select("row_id", F.struct(*features.FEATURES).alias("own"), _donor(0, 42).alias("donor"))
+    pairs = test.select("row_id", F.struct("row_id", *features.FEATURES).alias("own"), _donor(0, 42).alias("donor"))
     own = sorted(str(r.own) for r in pairs.collect())
     donors = sorted(str(r.donor) for r in pairs.collect())
     assert own == donors

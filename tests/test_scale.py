@@ -10,46 +10,39 @@ from pyspark.sql import functions as F
 import __spark_entry__ as spark_entry
 from tests.conftest import SF_DIR
 from trackline.operators import distributions
-from trackline.operators.joins import hot_keys, salted_left_join
+from trackline.operators.joins import SALTS, blank_salt, salted_left_join
 from trackline.operators.quantiles import box_statistics
 from workload import views
+from workload.registry import QUERIES
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_hot_keys_are_few_and_right(spark):
-    fact = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
-    )
-    assert hot_keys(fact, "k", share=0.1, min_rows=1) == [("hot", 4)]
-    assert hot_keys(fact, "k") == []
-
-
-@pytest.mark.parametrize("identity", [[], ["id"]])
-def test_salted_join_equals_plain_join(spark, identity):
+@pytest.mark.parametrize("salts", [1, 7, 64])
+def test_salted_join_equals_plain_join(spark, salts):
     fact = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 50).cast("string")).alias("k"),
         "id",
     )
     # Key '' is held twice, some keys not at all.
     one = spark.createDataFrame([("", 1), ("", 2)] + [(str(i), i) for i in range(0, 40)], "k string, a int")
-    two = spark.createDataFrame([(str(i), i) for i in range(20, 50)] + [("", -1)], "k string, b int")
-    salted = salted_left_join(fact, [one, two], "k", identity, share=0.01, min_rows=10)
+    two = spark.createDataFrame([(str(i), i) for i in range(20, 50)] + [("", -1), (None, 5)], "k string, b int")
+    salted = salted_left_join(fact, [one, two], "k", F.col("id"), salts)
     plain = fact.join(one, "k", "left").join(two, "k", "left")
     assert sorted(map(str, salted.select("k", "id", "a", "b").collect())) == sorted(
         map(str, plain.select("k", "id", "a", "b").collect())
     )
 
 
-def test_salts_split_a_hot_key(spark):
-    from trackline.operators.joins import salt_fact
-
-    fact = spark.range(1000).select(F.lit("x").alias("k"), "id")
-    hot = spark.createDataFrame([("x", 8)], "k string, salts int")
-    per_salt = [r.n for r in salt_fact(fact, hot, "k", ["id"]).groupBy("salt").agg(F.count("*").alias("n")).collect()]
-    assert len(per_salt) == 8 and max(per_salt) < 200
+def test_salts_split_the_blank_key(spark):
+    fact = spark.range(64_000).select(F.when(F.col("id") % 2 == 0, "").alias("k"), "id")
+    salted = fact.withColumn("salt", blank_salt("k", F.col("id")))
+    per_salt = [r.n for r in salted.groupBy("salt").agg(F.count("*").alias("n")).collect()]
+    assert len(per_salt) == SALTS and max(per_salt) < 1_200
+    kept = salted.select("k", "salt").union(spark.createDataFrame([("x", 0)], "k string, salt int"))
+    assert kept.filter("k = 'x' AND salt = 0").count() == 1
 
 
 @pytest.mark.parametrize("case", ["random", "tied", "single", "negative", "huge"])
@@ -99,7 +92,7 @@ def test_same_result_for_any_partitioning(spark, name):
     assert results[0] == results[1]
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_workers(spark, name):
     if name.startswith(("ingest_", "ml_", "read_", "bronze_", "curated_", "files_")) and "feature" not in name:
         pytest.skip("runs jobs while it is built")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trackline.functions import (
     hour_of_day,
@@ -16,25 +16,28 @@ from trackline.functions import (
     time_bucket,
     weekday,
 )
-from trackline.operators.joins import HOT_ROWS, HOT_SHARE, salted_left_join
-
-CATEGORICAL = ["feed", "time_bucket", "route_type", "route_short_name", "vehicle_status_mode"]
-NUMERIC = ["hour", "day_of_week", "is_weekend", "month", "direction_id", "has_vehicle_position", "vehicle_records"]
+from trackline.operators.joins import SALTS, salted_left_join
+from trackline.session import checkpointed
+
+# The features of the model with their kinds, and its label.
+FEATURE_KINDS = {
+    "feed": "category",
+    "day_of_week": "number",
+    "hour": "number",
+    "is_weekend": "number",
+    "month": "number",
+    "time_bucket": "category",
+    "route_type": "category",
+    "route_short_name": "category",
+    "direction_id": "number",
+    "has_vehicle_position": "number",
+    "vehicle_status_mode": "category",
+    "vehicle_records": "number",
+}
 LABEL = "delay_seconds"
-FEATURES = [
-    "feed",
-    "day_of_week",
-    "hour",
-    "is_weekend",
-    "month",
-    "time_bucket",
-    "route_type",
-    "route_short_name",
-    "direction_id",
-    "has_vehicle_position",
-    "vehicle_status_mode",
-    "vehicle_records",
-]
+FEATURES = list(FEATURE_KINDS)
+CATEGORICAL = [c for c, kind in FEATURE_KINDS.items() if kind == "category"]
+NUMERIC = [c for c, kind in FEATURE_KINDS.items() if kind == "number"]
 # Fewest rows a model is trained on.
 MIN_ROWS = 30
 
@@ -84,13 +87,18 @@ def _text_or(df: DataFrame, name: str, default: str | None) -> Column:
     return F.col(name).cast("string") if name in df.columns else F.lit(default).cast("string")
 
 
+def with_row_number(updates: DataFrame, name: str = "row_number") -> DataFrame:
+    """Materialise the updates with a unique number per row, whatever ids they lack or repeat."""
+    return checkpointed(updates.withColumn(name, F.monotonically_increasing_id()))
+
+
 def _trip_lookup(trips: DataFrame, unique: bool) -> DataFrame:
     lookup = trips.select(
         _text_or(trips, "trip_id", None).alias("trip_id"),
         _text_or(trips, "route_id", "").alias("route_id"),
         integer(trips, "direction_id" if "direction_id" in trips.columns else None).alias("direction_id"),
     )
-    return _one_per_key(lookup, "trip_id") if unique else lookup
+    return _numbered(_one_per_key(lookup, "trip_id") if unique else lookup, "trip_id", "trip_copy")
 
 
 def _route_lookup(routes: DataFrame, unique: bool) -> DataFrame:
@@ -99,7 +107,7 @@ def _route_lookup(routes: DataFrame, unique: bool) -> DataFrame:
         _text_or(routes, "route_type", "Unknown").alias("route_type"),
         _text_or(routes, "route_short_name", "Unknown").alias("route_short_name"),
     )
-    return _one_per_key(lookup, "route_id") if unique else lookup
+    return _numbered(_one_per_key(lookup, "route_id") if unique else lookup, "route_id", "route_copy")
 
 
 def _one_per_key(lookup: DataFrame, key: str) -> DataFrame:
@@ -107,6 +115,12 @@ def _one_per_key(lookup: DataFrame, key: str) -> DataFrame:
     return lookup.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*")
 
 
+def _numbered(lookup: DataFrame, key: str, name: str) -> DataFrame:
+    """Number the rows of a key: an update that meets several of them becomes as many rows."""
+    rest = [c for c in lookup.columns if c != key]
+    return lookup.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*rest)) - 1)
+
+
 def delay_features(
     updates: DataFrame,
     trips: DataFrame,
@@ -114,50 +128,48 @@ def delay_features(
     vehicles: DataFrame,
     keep: Sequence[str] = (),
     unique_lookup: bool = False,
-    hot_share: float = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
+    row: str | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Twelve features and the label per update, plus the ``keep`` columns.
+    """Twelve features and the label per update, plus ``row_id`` and the ``keep`` columns.
 
     A missing trip id is the text '' on the update and vehicle side, so such updates
     match such vehicles. Duplicate trip or route keys multiply updates unless
-    ``unique_lookup`` is set. Trip joins are salted; the small route table is left to
-    the size-checked join choice, with skew splitting beyond it.
+    ``unique_lookup`` is set. ``row`` names a unique, never null column of the updates;
+    without one the updates are materialised and numbered. ``row_id`` joins it with the
+    numbers of the trip and route rows met, so it is unique as well. The blank trip and
+    route keys are salted; other hot keys are left to skew splitting.
     """
+    if row is None:
+        row = "row_number"
+        while row in updates.columns:
+            row = f"_{row}"
+        updates = with_row_number(updates, row)
     seconds = number(updates, LABEL)
     facts = calendar_features(
         updates.select(
             *keep,
+            F.col(row).alias("update_row"),
             F.coalesce(_text_or(updates, "feed", "Unknown"), F.lit("Unknown")).alias("feed"),
             F.coalesce(_text_or(updates, "trip_id", ""), F.lit("")).alias("trip_id"),
             parse_timestamp(updates, "timestamp" if "timestamp" in updates.columns else None).alias("timestamp"),
             seconds.alias(LABEL),
         ).filter(F.col(LABEL).isNotNull())
     ).drop("timestamp")
-    joined = salted_left_join(
-        facts,
-        [_trip_lookup(trips, unique_lookup), trip_vehicle_features(vehicles)],
-        "trip_id",
-        identity=keep,
-        share=hot_share,
-        min_rows=hot_rows,
-    ).withColumn("route_id", F.coalesce("route_id", F.lit("")))
-    return joined.join(_route_lookup(routes, unique_lookup), "route_id", "left").select(
-        *keep,
-        "feed",
-        "day_of_week",
-        "hour",
-        "is_weekend",
-        "month",
-        "time_bucket",
-        label(F.col("route_type")).alias("route_type"),
-        label(F.col("route_short_name")).alias("route_short_name"),
-        F.coalesce("direction_id", F.lit(0)).alias("direction_id"),
-        F.coalesce("has_vehicle_position", F.lit(0)).alias("has_vehicle_position"),
-        F.coalesce("vehicle_status_mode", F.lit("UNKNOWN")).alias("vehicle_status_mode"),
-        F.coalesce("vehicle_records", F.lit(0)).alias("vehicle_records"),
-        LABEL,
-    )
+    lookups = [_trip_lookup(trips, unique_lookup), trip_vehicle_features(vehicles)]
+    joined = salted_left_join(facts, lookups, "trip_id", F.col("update_row"), salts)
+    joined = joined.withColumn("route_id", F.coalesce("route_id", F.lit("")))
+    routed = salted_left_join(joined, [_route_lookup(routes, unique_lookup)], "route_id", F.col("update_row"), salts)
+    missing = {
+        "route_type": label(F.col("route_type")),
+        "route_short_name": label(F.col("route_short_name")),
+        "vehicle_status_mode": F.coalesce("vehicle_status_mode", F.lit("UNKNOWN")),
+    }
+    missing |= {c: F.coalesce(c, F.lit(0)) for c in ("direction_id", "has_vehicle_position", "vehicle_records")}
+    copies = [F.coalesce(c, F.lit(0)).cast("string") for c in ("trip_copy", "route_copy")]
+    row_id = F.concat_ws("-", F.col("update_row").cast("string"), *copies).alias("row_id")
+    own = [c for c in keep if c != "row_id"]
+    return routed.select(*own, row_id, *[missing.get(c, F.col(c)).alias(c) for c in FEATURES], LABEL)
 
 
 def training_guards(features: DataFrame) -> DataFrame:

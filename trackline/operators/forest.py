@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -32,36 +31,52 @@ class DelayModel:
         return self.pipeline.stages[-1]
 
 
-def with_row_id(features: DataFrame, identity: Sequence[str] = ()) -> DataFrame:
-    """Materialise the feature table with a ``row_id``.
-
-    The id hashes ``identity``, columns that tell rows apart, and then does not depend on
-    partitioning. Without them ids are assigned once and stay fixed in the shared folder.
-    """
-    row = F.xxhash64(*identity) if identity else F.monotonically_increasing_id()
-    return checkpointed(features.select(row.alias("row_id"), *FEATURES, LABEL))
+def model_rows(features: DataFrame) -> DataFrame:
+    """The feature table materialised: id, features and label."""
+    return checkpointed(features.select("row_id", *FEATURES, LABEL))
 
 
 def split(rows: DataFrame, percent: int = TRAIN_PERCENT, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows, chosen by a hash of ``row_id`` and the seed."""
-    slot = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(100))
+    """Train and test rows, chosen by the first 32 bits of the MD5 of ``row_id`` and the seed."""
+    digest = F.substring(F.md5(F.concat(F.col("row_id").cast("string"), F.lit(f"/{seed}"))), 1, 8)
+    slot = F.conv(digest, 16, 10).cast("long") % 100
     return rows.filter(slot < percent), rows.filter(slot >= percent)
 
 
+def encoder() -> Pipeline:
+    """Categories to one-hot vectors in alphabetical order, joined with the numbers."""
+    indexes = [f"{c}_index" for c in CATEGORICAL]
+    vectors = [f"{c}_vector" for c in CATEGORICAL]
+    return Pipeline(
+        stages=[
+            StringIndexer(inputCols=CATEGORICAL, outputCols=indexes, handleInvalid="keep", stringOrderType="alphabetAsc"),
+            # The extra index for unseen categories is the dropped last one: all zeros.
+            OneHotEncoder(inputCols=indexes, outputCols=vectors, dropLast=True),
+            VectorAssembler(inputCols=vectors + NUMERIC, outputCol="features"),
+        ]
+    )
+
+
 def train(
-    rows: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, max_memory_mb: int = 256
+    rows: DataFrame,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    seed: int = SEED,
+    max_memory_mb: int = 256,
+    max_bins: int = 256,
+    guarded: DataFrame | None = None,
 ) -> DelayModel:
-    """Fit encoder and forest; refuses tables too small or without label variation."""
-    guards = training_guards(rows).first()
+    """Fit encoder and forest; every split tries all features.
+
+    Refuses tables too small or without label variation: ``guarded``, the whole table that
+    ``rows`` is a part of, or else ``rows`` itself. ``max_bins`` bounds the split points
+    tried per numeric feature.
+    """
+    guards = training_guards(rows if guarded is None else guarded).first()
     if not guards.trainable:
         raise ValueError(f"cannot train on {guards.n_rows} rows with {guards.n_labels} distinct delays")
-    indexes = [f"{c}_index" for c in CATEGORICAL]
-    vectors = [f"{c}_vector" for c in CATEGORICAL]
     stages = [
-        StringIndexer(inputCols=CATEGORICAL, outputCols=indexes, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        # The extra index for unseen categories is the dropped last one: all zeros.
-        OneHotEncoder(inputCols=indexes, outputCols=vectors, dropLast=True),
-        VectorAssembler(inputCols=vectors + NUMERIC, outputCol="features"),
+        *encoder().getStages(),
         RandomForestRegressor(
             featuresCol="features",
             labelCol=LABEL,
@@ -70,6 +85,8 @@ def train(
             maxDepth=depth,
             seed=seed,
             maxMemoryInMB=max_memory_mb,
+            maxBins=max_bins,
+            featureSubsetStrategy="all",
         ),
     ]
     model = Pipeline(stages=stages).fit(rows)

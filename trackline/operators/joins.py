@@ -1,82 +1,37 @@
-"""Left joins that survive hot keys."""
+"""Left joins whose known hot key is salted."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql import Column, DataFrame, functions as F
 
-# A key is hot when it holds more than this part of all rows ...
-HOT_SHARE = 1e-4
-# ... and at least so many of them.
-HOT_ROWS = 1_000_000
-# Hash slots counted before any key is.
-SLOTS = 65_536
+# Salts of the blank key.
+SALTS = 64
 
 
-def hot_keys(
-    fact: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS
-) -> list[tuple[str, int]]:
-    """Hot keys with the number of salts each needs; runs at once.
-
-    The first job counts rows per hash slot and brings back at most ``SLOTS`` numbers. A
-    hot key makes its slot hot, so without a hot slot nothing else runs and no key was
-    shuffled. Otherwise only rows of hot slots are counted by key. At most ``1 / share``
-    keys can pass, whatever the size of ``fact``.
-    """
-    keys = fact.select(key).filter(F.col(key).isNotNull()).withColumn("slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)))
-    per_slot = keys.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()
-    limit = max(sum(r.n for r in per_slot) * share, min_rows)
-    slots = [(r.slot,) for r in per_slot if r.n > limit]
-    if not slots:
-        return []
-    hot_slots = F.broadcast(fact.sparkSession.createDataFrame(slots, "slot bigint"))
-    counts = keys.join(hot_slots, "slot", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return [(r[key], ceil(r.n / limit)) for r in counts.filter(F.col("n") > limit).collect()]
-
-
-def salt_fact(fact: DataFrame, hot: DataFrame, key: str, identity: Sequence[str] = ()) -> DataFrame:
-    """Spread the rows of hot keys over their salts; every other row gets salt 0.
-
-    The salt hashes ``identity``, columns that tell rows apart. Without them it uses the
-    row's position, which a recomputed task repeats only when ``fact`` comes from a scan
-    or a checkpoint through row-wise steps.
-    """
-    row = F.xxhash64(*identity) if identity else F.monotonically_increasing_id()
-    salt = F.coalesce(F.pmod(row, F.col("salts")).cast("int"), F.lit(0))
-    return fact.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("salts")
+def blank_salt(key: str, row: Column, salts: int = SALTS) -> Column:
+    """A salt by ``row``, a unique value, for rows whose key is blank or null; 0 for all others."""
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    return F.when(blank, F.pmod(F.xxhash64(row), F.lit(salts)).cast("int")).otherwise(F.lit(0))
 
 
-def salt_lookup(lookup: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Repeat lookup rows of hot keys once per salt."""
-    salts = F.when(F.col("salts").isNotNull(), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.lit(0)))
-    return lookup.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(salts)).drop("salts")
+def salt_lookup(lookup: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """``lookup`` with its rows of the blank key once per salt."""
+    every = F.when(F.col(key) == "", F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return lookup.withColumn("salt", F.explode(every))
 
 
 def salted_left_join(
-    fact: DataFrame,
-    lookups: Sequence[DataFrame],
-    key: str,
-    identity: Sequence[str] = (),
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_ROWS,
+    fact: DataFrame, lookups: Sequence[DataFrame], key: str, row: Column, salts: int = SALTS
 ) -> DataFrame:
     """Left join ``fact`` with each lookup on ``key``; all joins share one shuffle of ``fact``.
 
-    Only hot keys are salted, and a lookup row of a hot key is repeated once per salt, so
-    no more than ``2 / share`` salts exist in all. Lookups are not deduplicated: a key they
-    hold twice doubles the matching rows.
+    Missing ids all carry the blank key, which is therefore always salted. Other hot keys are
+    left to adaptive skew splitting. ``row`` is unique per row of ``fact``. Lookups are not
+    deduplicated: a key they hold twice doubles the matching rows.
     """
-    hot = hot_keys(fact, key, share, min_rows)
-    if not hot:
-        for lookup in lookups:
-            fact = fact.join(lookup, key, "left")
-        return fact
-    schema = StructType([StructField(key, fact.schema[key].dataType), StructField("salts", IntegerType())])
-    hot_frame = fact.sparkSession.createDataFrame(hot, schema)
-    out = salt_fact(fact, hot_frame, key, identity)
+    out = fact.withColumn("salt", blank_salt(key, row, salts))
     for lookup in lookups:
-        out = out.join(salt_lookup(lookup, hot_frame, key), [key, "salt"], "left")
+        out = out.join(salt_lookup(lookup, key, salts), [key, "salt"], "left")
     return out.drop("salt")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from trackline.operators.features import FEATURES, LABEL
 from trackline.operators.forest import SEED, DelayModel, predict
 
-BLOCK_ROWS = 10_000
+# Expected rows per block, at every size.
+BLOCK_ROWS = 500
 
 
 def permutation_importance(
@@ -22,13 +23,9 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean drop in R² per feature when its values are permuted, highest first.
 
-    ``test`` must carry the unique ``row_id`` of ``with_row_id``.
+    ``test`` must carry the unique ``row_id`` of the feature table.
     """
-    size = test.count()
-    blocks = max(1, -(-size // block_rows))
-    block = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(blocks))
-    rows = test.withColumn("block", block)
-    rows = rows.withColumns({f"donor_{r}": _donor(r, seed) for r in range(repeats)})
+    rows = with_donors(test, repeats, seed, block_rows)
     swaps = [F.struct(F.lit(None).cast("string").alias("feature"), F.lit(0).alias("repeat"))]
     swaps += [F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in FEATURES for r in range(repeats)]
     swapped = rows.withColumn("swap", F.explode(F.array(*swaps))).select(
@@ -52,8 +49,15 @@ def permutation_importance(
     )
 
 
+def with_donors(test: DataFrame, repeats: int = 5, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``test`` with its block and, per repeat, the id and features of the donor row."""
+    blocks = max(1, -(-test.count() // block_rows))
+    rows = test.withColumn("block", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(blocks)))
+    return rows.withColumns({f"donor_{r}": _donor(r, seed) for r in range(repeats)})
+
+
 def _donor(repeat: int, seed: int) -> Column:
-    values = F.struct(*FEATURES)
+    values = F.struct("row_id", *FEATURES)
     block = W.partitionBy("block").orderBy(F.xxhash64("row_id", F.lit(seed), F.lit(repeat)), "row_id")
     everything = block.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return F.coalesce(F.lead(values).over(block), F.first(values).over(everything))

@@ -20,8 +20,9 @@ LAYOUTS = {
     "binary": r"(?i)[^/]\.(pb|xlsx)$",
 }
 FORMATS = {"json": "json", "csv": "csv", "schedule": "csv", "binary": "binaryFile"}
-# A folder named like a file holds the parts of one logical file.
-_DATASET = r"^((?:[^/]+/)*?[^/]+\.(?i:json|csv|txt|pb|xlsx))(?:/.*)?$"
+# A folder named like a file holds the parts of one logical file, directly inside: files of its own extension, or
+# part files as a distributed writer names them.
+_PART = r"^((?:[^/]+/)*[^/]+\.(?i:(json|csv|txt|pb|xlsx)))/(?:part-[^/]*|[^/]+\.(?i:\2))$"
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,12 @@ class Spec:
     # Newest modification, in epoch seconds.
     latest: int
 
+    @property
+    def file_names(self) -> str:
+        """Pattern of the file names that belong to the source."""
+        ending = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in self.dataset.rsplit(".", 1)[1])
+        return f"{{part-*,*.{ending}}}"
+
 
 def list_files(spark: SparkSession, base: str) -> DataFrame:
     """Every visible file below ``base``: relative path, size, modification time.
@@ -54,6 +61,27 @@ def list_files(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def hidden_files(spark: SparkSession, base: str) -> list[str]:
+    """Relative paths below ``base`` whose names Spark's readers pass over: they start with ``_`` or ``.``.
+
+    Folders are searched one by one; only hidden names come to the driver.
+    """
+    jvm = spark._jvm
+    prefix = urlparse(base).path.rstrip("/") + "/"
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = list_files(spark, base).select(F.regexp_extract("rel_path", "^((?:[^/]+/)*)", 1).alias("folder"))
+    found = []
+    parents = {""} | {r.folder for r in folders.distinct().collect()}
+    parents |= {"/".join(p.split("/")[:i]) + "/" for p in parents for i in range(1, p.count("/"))}
+    for folder in sorted(parents):
+        escaped = "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in prefix + folder)
+        for entry in fs.globStatus(jvm.org.apache.hadoop.fs.Path(escaped + "[_.]*")) or []:
+            files = fs.listFiles(entry.getPath(), True)
+            while files.hasNext():
+                found.append(files.next().getPath().toUri().getPath()[len(prefix) :])
+    return sorted(found)
+
+
 def route_files(files: DataFrame) -> DataFrame:
     """Add the logical file, target table, layout and source format; null when no rule covers it."""
     dataset = F.col("dataset")
@@ -67,7 +95,7 @@ def route_files(files: DataFrame) -> DataFrame:
     family = F.when(F.col("layout") == "schedule", folder).otherwise(F.col("layout"))
     stem = sanitized(F.regexp_extract("dataset", r"([^/]+)\.[^./]*$", 1))
     return (
-        files.withColumn("dataset", F.regexp_replace("rel_path", _DATASET, "$1"))
+        files.withColumn("dataset", F.regexp_replace("rel_path", _PART, "$1"))
         .withColumn("layout", layout)
         .withColumn("source_format", source_format)
         .withColumn("table_name", F.concat(F.lit("bronze_"), family, F.lit("_"), stem))

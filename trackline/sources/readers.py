@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,8 @@ SCHEDULE_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"'}
 BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 _OVERFLOW, _RAW, _PATH = "_overflow", "_raw_line", "_path"
+# Different headers one source may have.
+MAX_HEADERS = 1_000
 
 
 def exact_glob(base: str, rel_path: str) -> str:
@@ -42,6 +45,39 @@ def sniff_separator(spark: SparkSession, path: str, sep: str) -> str:
     return ";" if sep not in header and ";" in header else sep
 
 
+def file_headers(spark: SparkSession, path: str, options: dict[str, str], names: str = "*") -> tuple[DataFrame, int]:
+    """(file, header) for the delimited files of ``path`` called like ``names``, and how many different headers they have.
+
+    Only the start of each file is read, and one file per different header is opened by name.
+    """
+    lines = spark.read.text(path, pathGlobFilter=names).where("_metadata.file_block_start = 0")
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    firsts = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    kinds = firsts.groupBy("line").agg(F.min("file").alias("sample")).limit(MAX_HEADERS + 1).collect()
+    if len(kinds) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
+    known = [(k.line, spark.read.options(**options).csv(exact_glob(*unquote(k.sample).rsplit("/", 1))).columns) for k in kinds]
+    table = spark.createDataFrame(known, "line string, header array<string>")
+    return firsts.join(F.broadcast(table), "line").select("file", "header"), len(kinds)
+
+
+def by_header(rows: DataFrame, columns: list[str], headers: DataFrame, rescued: str | None = None) -> DataFrame:
+    """Rows read by position under ``columns``, with each value under the name its own file's header gives it.
+
+    ``rows`` carries its file as ``_path``. Values under names that ``columns`` lacks go to ``rescued`` as JSON,
+    where that is empty.
+    """
+    rows = rows.join(headers.select(F.col("file").alias(_PATH), F.col("header").alias("_header")), _PATH, "left")
+    values, header = F.array(*[F.col(f"`{c}`") for c in columns]), F.coalesce("_header", F.array(*map(F.lit, columns)))
+    named = {c: F.get(values, F.array_position(header, F.lit(c)).cast("int") - 1) for c in columns}
+    if rescued:
+        pairs = F.filter(F.arrays_zip(header.alias("name"), values.alias("value")), lambda p: p["value"].isNotNull())
+        other = F.filter(pairs, lambda p: p["name"].isNotNull() & ~p["name"].isin(*columns))
+        other = F.map_from_entries(F.transform(other, lambda p: F.struct(p["name"], p["value"])))
+        named[rescued] = F.coalesce(F.col(rescued), F.nullif(F.to_json(other), F.lit("{}")))
+    return rows.withColumns(named).drop("_header")
+
+
 def files_by_encoding(spark: SparkSession, path: str) -> DataFrame:
     """(path, utf8) per file: whether every line is valid UTF-8. Reads line by line."""
     return (
@@ -51,31 +87,52 @@ def files_by_encoding(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _delimited(spark: SparkSession, path: str, sep: str, encoding: str, skip_long: bool) -> DataFrame:
-    """Delimited text as text columns, plus ``_path``."""
-    options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "encoding": encoding}
-    header = spark.read.options(**options).csv(path).columns
-    schema = StructType([StructField(c, StringType()) for c in [*header, _OVERFLOW, _RAW]])
+def _delimited(
+    spark: SparkSession, path: str, sep: str, encoding: str, skip_long: bool, multi_line: bool = False
+) -> DataFrame:
+    """Delimited text as text columns, plus ``_path``; files with headers of their own are lined up by name."""
+    options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "encoding": encoding, "multiLine": multi_line}
+    headers, different = file_headers(spark, path, options)
+    if different > 1:
+        own = [r.header for r in headers.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()]
+        columns = list(dict.fromkeys(name for header in own for name in header))
+    else:
+        columns = spark.read.options(**options).csv(path).columns
+    schema = StructType([StructField(c, StringType()) for c in [*columns, _OVERFLOW, _RAW]])
     # Without every column parsed, the number of fields in a line would go unnoticed.
     rows = spark.read.options(**options, columnNameOfCorruptRecord=_RAW, columnPruning=False).schema(schema).csv(path)
+    rows = rows.withColumn(_PATH, F.col("_metadata.file_path"))
     if skip_long:
         # The schema has one field too many, so a full line counts as too short.
         rows = rows.filter(F.col(_OVERFLOW).isNull() & F.col(_RAW).isNotNull())
-    return clean_columns(rows.withColumn(_PATH, F.col("_metadata.file_path")).drop(_OVERFLOW, _RAW))
+    if different > 1:
+        if skip_long:
+            fields = F.array(*[F.col(f"`{c}`") for c in columns])
+            widths = headers.select(F.col("file").alias(_PATH), F.size("header").alias("_width"))
+            surplus = F.exists(F.slice(fields, F.col("_width") + 1, F.lit(len(columns))), lambda x: x.isNotNull())
+            rows = rows.join(widths, _PATH).filter(~surplus).drop("_width")
+        rows = by_header(rows, columns, headers)
+    return clean_columns(rows.select(*[F.col(f"`{c}`") for c in columns], _PATH))
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8", skip_long: bool = True
+    spark: SparkSession,
+    path: str,
+    sep: str = ";",
+    encoding: str = "UTF-8",
+    skip_long: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text, all columns text. Short lines are padded.
 
     Lines with too many fields are skipped; ``skip_long=False`` keeps them without the
-    surplus.
+    surplus. With ``multi_line`` quoted values may hold line breaks; a file is then read by
+    one task.
     """
-    return _delimited(spark, path, sep, encoding, skip_long).drop(_PATH)
+    return _delimited(spark, path, sep, encoding, skip_long, multi_line).drop(_PATH)
 
 
-def read_csv_flexible(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+def read_csv_flexible(spark: SparkSession, path: str, sep: str = ";", multi_line: bool = False) -> DataFrame:
     """Delimited text in UTF-8 or, file by file, Latin-1; falls back to ``;``.
 
     Only one row of flags reaches the driver. A folder with both encodings is read once in
@@ -88,7 +145,7 @@ def read_csv_flexible(spark: SparkSession, path: str, sep: str = ";") -> DataFra
     for encoding, utf8, present in (("UTF-8", True, seen.utf8), ("ISO-8859-1", False, seen.latin)):
         if not present:
             continue
-        rows = _delimited(spark, path, chosen, encoding, skip_long=True)
+        rows = _delimited(spark, path, chosen, encoding, True, multi_line)
         if seen.utf8 and seen.latin:
             own = kinds.filter(F.col("utf8") == utf8).select(F.col("path").alias(_PATH))
             rows = rows.join(own, _PATH, "left_semi")

@@ -43,6 +43,10 @@ STATION_TABLES = {
 # Tables tried in order for the remaining datasets.
 CURATED = {
     "stations": "stations_dim",
+    "avld": "stations_avld",
+    "feve": "stations_feve",
+    "cercanias_madrid": "stations_cercanias_madrid",
+    "gtfs_stops": "stops_dim",
     "trip_updates": "trip_updates_rt",
     "vehicles": "vehicle_positions_rt",
     "gtfs_routes": "routes_dim",
@@ -50,6 +54,7 @@ CURATED = {
     "alerts": "alerts_rt",
     "incidents": "incidents",
     "atendo": "atendo_accessibility",
+    "train_info": "train_info",
 }
 BRONZE = {
     "gtfs_stops": ["bronze_google_transit_stops"],

@@ -46,43 +46,59 @@ def header_schema(spark: SparkSession, base: str, state: str, spec: Spec, option
     stored = _load(spark, state, spec.table)
     if stored:
         return stored[0]
-    names = spark.read.options(**options).csv(exact_glob(base, spec.dataset)).columns
+    names = spark.read.options(**options, pathGlobFilter=spec.file_names).csv(exact_glob(base, spec.dataset)).columns
     schema = StructType([StructField(n, StringType()) for n in [*names, RESCUED]])
     _store(spark, state, spec.table, schema, spec.latest)
     return schema
 
 
-def document_schema(spark: SparkSession, base: str, state: str, spec: Spec) -> StructType:
-    """Inferred document schema, widened by the fields of files newer than the last run."""
+def document_schema(
+    spark: SparkSession, base: str, state: str, spec: Spec, declared: StructType | None = None
+) -> StructType:
+    """Inferred document schema, widened by the fields of files newer than the last run.
+
+    Where ``declared`` has a field its type wins, which also covers arrays that came empty.
+    """
     stored = _load(spark, state, spec.table)
     if stored and stored[1] >= spec.latest:
         return stored[0]
-    reader = spark.read.option("multiLine", True)
+    reader = spark.read.option("multiLine", True).option("pathGlobFilter", spec.file_names)
     if stored:
         # One second back: times are kept in whole seconds.
         after = datetime.fromtimestamp(stored[1] - 1, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
         reader = reader.options(modifiedAfter=after, timeZone="UTC")
     seen = reader.json(exact_glob(base, spec.dataset)).schema
     seen = StructType([f for f in seen if f.name != "_corrupt_record"])
-    schema = merge_types(stored[0], seen) if stored else seen
+    known = stored[0] if stored else declared
+    schema = merge_types(known, seen) if known else seen
     _store(spark, state, spec.table, schema, spec.latest)
     return schema
 
 
 def sync_table(spark: SparkSession, table: str, schema: StructType) -> None:
-    """Create the table, or redefine it over its files when ``schema`` has more fields.
+    """Create the table, or give it the new fields of ``schema``.
 
-    Files written before a column existed read it as null.
+    New columns are added in place. Only new fields inside a column make the definition
+    anew, over the same files; should that fail, the old definition is put back. Files
+    written before a field existed read it as null.
     """
-    database, name = table.split(".")
+    database, name = table.rsplit(".", 1)
     if not spark.catalog.tableExists(table):
         root = spark.sql(f"DESCRIBE SCHEMA {database}").filter("info_name = 'Location'").first().info_value
         spark.catalog.createTable(table, path=f"{root.rstrip('/')}/{name}", source="parquet", schema=schema)
         return
     current = spark.table(table).schema
     merged = merge_types(current, schema)
-    if merged.simpleString() != current.simpleString():
+    kept = StructType(merged.fields[: len(current)])
+    if kept.simpleString() != current.simpleString():
         details = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first()
         # The table is external, so dropping the definition keeps its files.
         spark.sql(f"DROP TABLE {table}")
-        spark.catalog.createTable(table, path=details.data_type, source="parquet", schema=merged)
+        try:
+            spark.catalog.createTable(table, path=details.data_type, source="parquet", schema=merged)
+        except Exception:
+            spark.catalog.createTable(table, path=details.data_type, source="parquet", schema=current)
+            raise
+    elif len(merged) > len(current):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.fields[len(current) :])
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({columns})")

@@ -7,6 +7,7 @@ One file stream per table, with its own checkpoint, run to the end of what is th
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,13 +15,14 @@ from pyspark.sql.types import StructType
 
 from trackline import schemas
 from trackline.functions import sanitize_name, sanitize_names
-from trackline.sources.inventory import Spec, build_specs, list_files, spec_table, uncovered_files
-from trackline.sources.readers import BINARY_SCHEMA, CSV_OPTIONS, SCHEDULE_OPTIONS, exact_glob
+from trackline.session import checkpointed
+from trackline.sources.inventory import Spec, build_specs, hidden_files, list_files, spec_table, uncovered_files
+from trackline.sources.readers import BINARY_SCHEMA, CSV_OPTIONS, SCHEDULE_OPTIONS, by_header, exact_glob, file_headers
 from trackline.sources.tables import ensure_database
 from trackline.streaming.evolution import document_schema, header_schema, sync_table
 from trackline.streaming.rescue import RESCUED, parse_documents
 
-# Feeds whose document schema is declared rather than inferred.
+# Feeds some of whose fields are declared; all others are inferred.
 DECLARED = {
     "bronze_json_trip_updates": schemas.TRIP_FEED,
     "bronze_json_trip_updates_ld": schemas.TRIP_FEED,
@@ -50,9 +52,9 @@ def read_stream(
 ) -> DataFrame:
     """The new rows of one source, with sanitised names and lineage."""
     path = exact_glob(base, spec.dataset)
-    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files).option("pathGlobFilter", spec.file_names)
     if spec.layout == "json":
-        schema = declared.get(spec.table) or document_schema(spark, base, state, spec)
+        schema = document_schema(spark, base, state, spec, declared.get(spec.table))
         text = reader.format("text").option("wholetext", True).load(path)
         lines = text.select("value", F.col("_metadata"))
         rows = parse_documents(lines, schema)
@@ -65,6 +67,13 @@ def read_stream(
         options = CSV_OPTIONS if spec.layout == "csv" else SCHEDULE_OPTIONS
         schema = header_schema(spark, base, state, spec, options)
         rows = reader.format("csv").options(**options, columnNameOfCorruptRecord=RESCUED).schema(schema).load(path)
+        headers, different = file_headers(spark, path, options, spec.file_names)
+        names = [n for n in schema.fieldNames() if n != RESCUED]
+        if different > 1 or headers.filter(F.col("header") != F.array(*map(F.lit, names))).limit(1).count():
+            rows = rows.select("*", "_metadata").withColumn("_path", F.col("_metadata.file_path"))
+            rows = by_header(rows, names, checkpointed(headers), RESCUED).select(*schema.fieldNames(), "_metadata")
+            rows = rows.toDF(*sanitize_names(schema.fieldNames()), "_metadata")
+            return with_lineage(rows, spec.dataset, spec.source_format).drop("_metadata")
     return with_lineage(sanitize_columns(rows), spec.dataset, spec.source_format)
 
 
@@ -120,20 +129,16 @@ def ingest(
 
 
 def coverage(spark: SparkSession, base: str) -> DataFrame:
-    """Files below ``base`` that ``ingest`` leaves alone."""
+    """Files below ``base`` that ``ingest`` leaves alone, hidden ones included, sorted."""
     files = list_files(spark, base)
-    return uncovered_files(files, spec_table(files))
+    hidden = spark.createDataFrame([(p,) for p in hidden_files(spark, base)], "rel_path string")
+    return uncovered_files(files, spec_table(files)).unionAll(hidden).orderBy("rel_path")
 
 
 def audit(spark: SparkSession, database: str, specs: list[Spec]) -> DataFrame:
-    """Rows per source in the loaded tables."""
-    out = None
-    for spec in specs:
-        rows = (
-            spark.table(f"{database}.{spec.table}")
-            .groupBy("_source_pattern")
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .select(F.lit(spec.table).alias("table_name"), "_source_pattern", "rows")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Rows per source in the loaded tables, counted in one pass."""
+    rows = [
+        spark.table(f"{database}.{spec.table}").select(F.lit(spec.table).alias("table_name"), "_source_pattern")
+        for spec in specs
+    ]
+    return reduce(DataFrame.unionAll, rows).groupBy("table_name", "_source_pattern").agg(F.count(F.lit(1)).alias("rows"))

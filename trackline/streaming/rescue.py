@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 RESCUED = "_rescued_data"
 
@@ -12,8 +12,9 @@ def parse_documents(texts: DataFrame, schema: StructType) -> DataFrame:
     """Rows of whole JSON texts in column ``value``: an object is one row, an array many.
 
     ``_rescued_data`` holds, as JSON, undeclared fields and fields whose value does not
-    fit the declared type; for text that is no JSON it holds the text. Other columns of
-    ``texts`` are kept.
+    fit the declared type, at any depth: a nested field is kept whole when its typed value
+    written as JSON again says less than the input. For text that is no JSON it holds the
+    text. Other columns of ``texts`` are kept.
     """
     others = [c for c in texts.columns if c != "value"]
     value = F.col("value")
@@ -43,5 +44,21 @@ def parse_documents(texts: DataFrame, schema: StructType) -> DataFrame:
 def _not_taken(schema: StructType, key: Column, value: Column) -> Column:
     undeclared = ~key.isin(*schema.fieldNames())
     for f in schema:
-        undeclared |= (key == f.name) & value.isNotNull() & F.col(f"typed.`{f.name}`").isNull()
+        typed = F.col(f"typed.`{f.name}`")
+        lost = typed.isNull()
+        if _is_nested(f.dataType):
+            lost |= ~F.coalesce(_canonical(value) == _canonical(F.to_json(typed)), F.lit(False))
+        undeclared |= (key == f.name) & value.isNotNull() & lost
     return undeclared
+
+
+def _is_nested(kind: DataType) -> bool:
+    return isinstance(kind, (StructType, ArrayType, MapType))
+
+
+def _canonical(json: Column) -> Column:
+    """JSON with sorted keys, without null fields and without the zeros of whole decimals."""
+    text = F.to_json(F.try_parse_json(json))
+    text = F.regexp_replace(text, r',"(?:[^"\\]|\\.)*":null(?=[,}])', "")
+    text = F.regexp_replace(text, r'\{"(?:[^"\\]|\\.)*":null(?:,|(?=\}))', "{")
+    return F.regexp_replace(text, r"(?<=[0-9])\.0+(?=[,}\]])", "")

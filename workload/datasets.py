@@ -38,13 +38,16 @@ def flatten_both_feeds(spark, sf_dir):
 
 @query(
     "flatten_trip_updates_departure",
-    """SELECT 'Cercanias' AS feed, entity_id, trip_id, CAST(COALESCE(delay, arr_delay, dep_delay) AS DOUBLE) AS delay_seconds,
-              feed_ts AS timestamp
-       FROM fx_feed_flat WHERE service = 'A' AND entity_id IS NOT NULL""",
+    """SELECT CASE service WHEN 'A' THEN 'Cercanias' ELSE 'LD' END AS feed, entity_id, trip_id,
+              CAST(COALESCE(delay, arr_delay, dep_delay) AS DOUBLE) AS delay_seconds, feed_ts AS timestamp
+       FROM fx_feed_flat WHERE entity_id IS NOT NULL""",
 )
 def flatten_departure(spark, sf_dir):
-    feed = views.trip_feed(spark, sf_dir, "A")
-    return ntz(flatten_trip_updates(feed, "Cercanias", "departure", keep_empty=False), "timestamp")
+    near, far = (
+        flatten_trip_updates(views.trip_feed(spark, sf_dir, service), feed, "departure", keep_empty=False)
+        for service, feed in (("A", "Cercanias"), ("B", "LD"))
+    )
+    return ntz(near.unionByName(far), "timestamp")
 
 
 @query(

@@ -14,8 +14,9 @@ from trackline.plans.curate import write_curated
 from trackline.session import shared_dir
 from trackline.sources.bundle import load_files
 from trackline.sources.readers import read_array_document, read_csv_flexible, read_document
-from trackline.sources.tables import load_queries, load_tables
-from trackline.streaming.ingest import audit, ingest
+from trackline.sources.inventory import hidden_files, list_files, route_files
+from trackline.sources.tables import load_queries, load_tables, table_inventory
+from trackline.streaming.ingest import audit, coverage, ingest
 from trackline.streaming.rescue import RESCUED, parse_documents
 from workload import views
 from workload.registry import ntz, query, sql_number
@@ -55,6 +56,14 @@ def write_documents(rows: DataFrame, key: str, path: str, mode: str = "errorifex
     texts.select("value").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
+def write_feeds(run: Run, sf_dir: str) -> None:
+    """Both trip-update feeds as files."""
+    for service, name in (("A", "trip_updates.json"), ("B", "trip_updates_LD.json")):
+        feed = views.trip_feed(run.spark, sf_dir, service)
+        ids = F.coalesce(F.get("entity.id", F.lit(0)), F.lit("0")).cast("bigint")
+        write_documents(feed.withColumn("key", ids), "key", f"{run.raw}/{name}")
+
+
 def _stations(spark, sf_dir) -> DataFrame:
     raw = views.frame(spark, sf_dir, "fx_stations_raw")
     return raw.select(
@@ -102,10 +111,7 @@ def ingest_gtfs(spark, sf_dir):
 def ingest_json(spark, sf_dir):
     """Both live feeds through files and bronze tables, then flattened."""
     run = Run(spark)
-    for service, name in (("A", "trip_updates.json"), ("B", "trip_updates_LD.json")):
-        feed = views.trip_feed(spark, sf_dir, service)
-        ids = F.coalesce(F.get("entity.id", F.lit(0)), F.lit("0")).cast("bigint")
-        write_documents(feed.withColumn("key", ids), "key", f"{run.raw}/{name}")
+    write_feeds(run, sf_dir)
     run.load()
     updates = trip_updates_of_feeds(run.table("bronze_json_trip_updates"), run.table("bronze_json_trip_updates_ld"))
     return ntz(updates, "timestamp")
@@ -202,13 +208,13 @@ def ingest_encoding(spark, sf_dir):
 
 @query(
     "read_documents",
-    """SELECT 'object' AS kind, entity_id AS id, trip_id FROM fx_feed_flat WHERE service = 'A' AND entity_id IS NOT NULL
+    """SELECT 'object' AS kind, entity_id AS id, trip_id FROM fx_feed_flat WHERE entity_id IS NOT NULL
        UNION ALL SELECT 'array', link, paragraph FROM fx_incidents""",
 )
 def read_documents(spark, sf_dir):
     """Whole-file JSON: documents of objects, and notices that must be arrays."""
     run = Run(spark)
-    feed = views.trip_feed(spark, sf_dir, "A")
+    feed = views.trip_feed(spark, sf_dir, "A").unionByName(views.trip_feed(spark, sf_dir, "B"))
     ids = F.coalesce(F.get("entity.id", F.lit(0)), F.lit("0")).cast("bigint")
     write_documents(feed.withColumn("key", ids), "key", f"{run.raw}/feed.json")
     write_documents(views.frame(spark, sf_dir, "fx_incidents"), "page_id", f"{run.raw}/notices.json")
@@ -268,10 +274,7 @@ def bronze_to_bundle(spark, sf_dir):
 def curated_updates(spark, sf_dir):
     """Raw feeds to bronze to curated tables, then updates per feed and service date."""
     run = Run(spark)
-    for service, name in (("A", "trip_updates.json"), ("B", "trip_updates_LD.json")):
-        feed = views.trip_feed(spark, sf_dir, service)
-        ids = F.coalesce(F.get("entity.id", F.lit(0)), F.lit("0")).cast("bigint")
-        write_documents(feed.withColumn("key", ids), "key", f"{run.raw}/{name}")
+    write_feeds(run, sf_dir)
     write_csv(_stations(spark, sf_dir), f"{run.raw}/estaciones.csv")
     run.load()
     curated = f"curated_{run.database}"
@@ -281,6 +284,172 @@ def curated_updates(spark, sf_dir):
     )
 
 
+@query(
+    "ingest_feed_fidelity",
+    """SELECT entity_id, trip_id, route_id, bearing, first_delay, second_delay,
+              CASE WHEN event_id % 10 = 0 THEN 'late' END AS rescued_delay
+       FROM (SELECT event_id, CAST(event_id AS VARCHAR) AS entity_id, CAST(event_id * 2 AS VARCHAR) AS trip_id,
+                    concat('R', event_id % 50) AS route_id, CAST(event_id % 360 + 0.5 AS DOUBLE) AS bearing,
+                    event_id % 60 AS first_delay, event_id % 60 + 30 AS second_delay FROM events) e""",
+)
+def ingest_feed_fidelity(spark, sf_dir):
+    """Live feeds with fields nobody declared, a text where a number belongs and two stops: all of it is kept."""
+    run = Run(spark)
+    events = views.frame(spark, sf_dir, "events")
+    number = F.col("event_id")
+    stop = lambda delay: F.struct(F.struct(delay.alias("delay"), F.lit(5).alias("uncertainty")).alias("arrival"))
+    update = F.struct(
+        F.struct((number * 2).cast("string").alias("tripId"), F.concat(F.lit("R"), number % 50).alias("routeId")).alias("trip"),
+        F.struct((number % 360 + 0.5).cast("double").alias("bearing")).alias("vehicle"),
+        F.when(number % 10 == 0, "late").alias("delay"),
+        F.array(stop(number % 60), stop(number % 60 + 30)).alias("stopTimeUpdate"),
+    )
+    entity = F.struct(number.cast("string").alias("id"), update.alias("tripUpdate"))
+    documents = events.select(F.array(entity).alias("entity"), number.alias("key"))
+    write_documents(documents, "key", f"{run.raw}/trip_updates.json")
+    run.load()
+    rows = run.table("bronze_json_trip_updates").select("rescued_data", F.explode("entity").alias("e"))
+    lost = F.get_json_object(F.get_json_object("rescued_data", "$.entity"), "$[0].tripUpdate.delay")
+    stops = F.col("e.tripUpdate.stopTimeUpdate")
+    return rows.select(
+        F.col("e.id").alias("entity_id"),
+        F.col("e.tripUpdate.trip.tripId").alias("trip_id"),
+        F.col("e.tripUpdate.trip.routeId").alias("route_id"),
+        F.col("e.tripUpdate.vehicle.bearing").alias("bearing"),
+        stops[0]["arrival"]["delay"].alias("first_delay"),
+        stops[1]["arrival"]["delay"].alias("second_delay"),
+        lost.alias("rescued_delay"),
+    )
+
+
+@query(
+    "ingest_header_order",
+    """SELECT trip_id, route_id, direction_id, CAST(NULL AS VARCHAR) AS rescued_data FROM fx_trips
+       UNION ALL SELECT concat('b', trip_id), route_id, NULL, CASE WHEN direction_id IS NOT NULL
+         THEN concat('{"heading":"', direction_id, '"}') END FROM fx_trips""",
+)
+def ingest_header_order(spark, sf_dir):
+    """Two deliveries of one table with their columns in another order, one under another name."""
+    run = Run(spark)
+    trips = views.frame(spark, sf_dir, "fx_trips")
+    write_csv(trips, f"{run.raw}/trips.csv")
+    run.load()
+    other = trips.select(F.col("direction_id").alias("heading"), "route_id", F.concat(F.lit("b"), "trip_id").alias("trip_id"))
+    write_csv(other, f"{run.raw}/trips.csv", mode="append")
+    run.load()
+    return run.table("bronze_csv_trips").select("trip_id", "route_id", "direction_id", "rescued_data")
+
+
+@query(
+    "ingest_accounting",
+    """SELECT kind, count(*) AS files FROM (
+         SELECT doc_id, unnest(['listed', CASE doc_id % 4 WHEN 0 THEN 'loaded' ELSE 'uncovered' END]) AS kind FROM documents) f
+       GROUP BY kind""",
+)
+def ingest_accounting(spark, sf_dir):
+    """Listed files are those loaded and those reported: foreign files, sub-folders and hidden names in a dataset folder.
+
+    One file per document; its place in the folder follows from the id.
+    """
+    run = Run(spark)
+    docs = views.frame(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("value"), "doc_id")
+    for number, place in enumerate(("list.csv", "list.csv/sub", "list.csv/notes", "other")):
+        own = docs.filter(F.col("doc_id") % 4 == number).select("value")
+        own.write.option("maxRecordsPerFile", 1).mode("append").text(f"{run.raw}/{place}")
+    specs = run.load()
+    hidden = len([p for p in hidden_files(spark, run.raw) if not p.endswith(("_SUCCESS", ".crc"))])
+    listed = list_files(spark, run.raw).count() + hidden
+    loaded = route_files(list_files(spark, run.raw)).join(
+        spark.createDataFrame([(s.dataset,) for s in specs], "dataset string"), "dataset", "left_semi"
+    )
+    left = coverage(spark, run.raw).filter(~F.col("rel_path").rlike(r"(_SUCCESS|\.crc)$"))
+    counts = [("listed", listed), ("loaded", loaded.count()), ("uncovered", left.count())]
+    return spark.createDataFrame(counts, "kind string, files long")
+
+
+NUMBERED_LISTS = f"""(SELECT list_no, {sql_number("lat_raw")} AS lat, {sql_number("lon_raw")} AS lon FROM fx_stations_raw) l"""
+
+
+@query(
+    "curated_bundle",
+    f"""SELECT dataset, n AS bronze_rows, n AS curated_rows, CAST(0 AS BIGINT) AS differing FROM (
+               SELECT 'stations' AS dataset, count(*) AS n FROM {NUMBERED_LISTS} WHERE list_no = 0 AND lat IS NOT NULL AND lon IS NOT NULL
+               UNION ALL SELECT 'avld', count(*) FROM {NUMBERED_LISTS} WHERE list_no = 1 AND lat IS NOT NULL AND lon IS NOT NULL
+               UNION ALL SELECT 'feve', count(*) FROM {NUMBERED_LISTS} WHERE list_no = 2 AND lat IS NOT NULL AND lon IS NOT NULL
+               UNION ALL SELECT 'cercanias_madrid', count(*) FROM {NUMBERED_LISTS} WHERE list_no = 3 AND lat IS NOT NULL AND lon IS NOT NULL
+               UNION ALL SELECT 'gtfs_stops', count(*) FROM fx_stations_raw
+               UNION ALL SELECT 'gtfs_routes', count(*) FROM fx_routes
+               UNION ALL SELECT 'gtfs_trips', count(*) FROM fx_trips
+               UNION ALL SELECT 'trip_updates', count(*) FROM fx_feed_flat
+               UNION ALL SELECT 'vehicles', count(*) FROM fx_vehicles WHERE lat IS NOT NULL AND lon IS NOT NULL
+               UNION ALL SELECT 'alerts', count(*) FROM fx_alerts
+               UNION ALL SELECT 'incidents', count(*) FROM fx_incidents
+               UNION ALL SELECT 'atendo', count(*) FROM fx_access
+               UNION ALL SELECT 'train_info', count(*) FROM fx_train_info) sized""",
+)
+def curated_bundle(spark, sf_dir):
+    """All thirteen datasets of a full folder, from bronze and from the curated layer, row by row."""
+    run = Run(spark)
+    raw = views.frame(spark, sf_dir, "fx_stations_raw")
+    files = ("estaciones", "listado_completo_av_ld_md", "listado-de-estaciones-feve-2", "listado-estaciones-cercanias-madrid")
+    for number, name in enumerate(files):
+        own = raw.filter(F.col("list_no") == number)
+        named = own.select(
+            F.col("station_code").alias("CODIGO"), F.col("station_name").alias("DESCRIPCION"),
+            F.col("lat_raw").alias("LATITUD"), F.col("lon_raw").alias("LONGITUD"), F.col("province").alias("PROVINCIA"),
+        )
+        write_csv(named, f"{run.raw}/{name}.csv")
+    stops = raw.select(
+        F.col("station_code").alias("stop_id"), F.col("station_name").alias("stop_name"),
+        F.col("lat_raw").alias("stop_lat"), F.col("lon_raw").alias("stop_lon"),
+    )
+    for name, rows in (("stops", stops), ("routes", views.frame(spark, sf_dir, "fx_routes")), ("trips", views.frame(spark, sf_dir, "fx_trips"))):
+        write_csv(rows, f"{run.raw}/google_transit/{name}.txt", ",", "UTF-8")
+    write_csv(views.frame(spark, sf_dir, "fx_access"), f"{run.raw}/listado-de-estaciones-con-servicio-de-atendo.csv")
+    write_csv(views.frame(spark, sf_dir, "fx_train_info"), f"{run.raw}/informacion_trenes.csv")
+    write_feeds(run, sf_dir)
+    vehicles = views.vehicle_feed(spark, sf_dir)
+    numbers = F.split(F.get("entity.id", F.lit(0)), "-")
+    write_documents(vehicles.withColumn("key", numbers[0].cast("bigint") * 10 + numbers[1].cast("bigint")), "key", f"{run.raw}/vehicle_positions.json")
+    alerts = views.alert_feed(spark, sf_dir).withColumn("key", F.get("entity.id", F.lit(0)).cast("bigint"))
+    write_documents(alerts, "key", f"{run.raw}/alerts.json")
+    write_documents(views.frame(spark, sf_dir, "fx_incidents"), "page_id", f"{run.raw}/rfincidentreports_co.noticeresults.json")
+    run.load()
+    target = f"curated_{run.database}"
+    write_curated(spark, run.database, target, f"{run.location}_curated")
+    bronze, curated = load_tables(spark, run.database), load_tables(spark, target)
+    out = None
+    for key in bronze:
+        columns = [c for c in bronze[key].columns if not c.startswith("_")]
+        sides = [layer[key].select(F.xxhash64(*columns).alias("h"), F.lit(one).alias("one")) for layer, one in ((bronze, 1), (curated, -1))]
+        both = sides[0].unionByName(sides[1]).groupBy("h").agg(
+            F.count_if(F.col("one") == 1).alias("b"), F.count_if(F.col("one") == -1).alias("c")
+        )
+        row = both.agg(
+            F.lit(key).alias("dataset"),
+            F.coalesce(F.sum("b"), F.lit(0)).alias("bronze_rows"),
+            F.coalesce(F.sum("c"), F.lit(0)).alias("curated_rows"),
+            F.coalesce(F.sum(F.abs(F.col("b") - F.col("c"))), F.lit(0)).alias("differing"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "ingest_inventory",
+    """SELECT 'bronze_csv_estaciones' AS table_name, 'EXTERNAL' AS table_type, 'PARQUET' AS data_source_format,
+              'Bronze' AS layer, 'csv' AS domain
+       UNION ALL SELECT 'bronze_google_transit_trips', 'EXTERNAL', 'PARQUET', 'Bronze', 'google'""",
+)
+def ingest_inventory(spark, sf_dir):
+    """The catalog's own listing of the tables a load made."""
+    run = Run(spark)
+    write_csv(_stations(spark, sf_dir), f"{run.raw}/estaciones.csv")
+    write_csv(views.frame(spark, sf_dir, "fx_trips"), f"{run.raw}/google_transit/trips.txt", ",", "UTF-8")
+    run.load()
+    return table_inventory(spark, run.database)
+
+
 @query(
     "files_to_bundle",
     f"""SELECT 'stations' AS dataset, count(*) AS rows FROM (
@@ -288,7 +457,7 @@ def curated_updates(spark, sf_dir):
             SELECT station_code, {sql_number("replace(lat_raw, ',', '.')")} AS lat,
                    {sql_number("replace(lon_raw, ',', '.')")} AS lon FROM fx_stations_raw) r
           WHERE lat <> 0 AND lon <> 0) s
-        UNION ALL SELECT 'trip_updates', count(*) FROM fx_feed_flat WHERE service = 'A' AND entity_id IS NOT NULL
+        UNION ALL SELECT 'trip_updates', count(*) FROM fx_feed_flat WHERE entity_id IS NOT NULL
         UNION ALL SELECT 'alerts', count(*) FROM fx_alerts
         UNION ALL SELECT 'gtfs_trips', count(*) FROM fx_trips
         UNION ALL SELECT 'vehicles', 0""",
@@ -297,9 +466,7 @@ def files_to_bundle(spark, sf_dir):
     """A raw folder read directly; rows per dataset, one of them without a file."""
     run = Run(spark)
     write_csv(_stations(spark, sf_dir).withColumnRenamed("CÓDIGO", "CODIGO"), f"{run.raw}/estaciones.csv")
-    feed = views.trip_feed(spark, sf_dir, "A")
-    ids = F.coalesce(F.get("entity.id", F.lit(0)), F.lit("0")).cast("bigint")
-    write_documents(feed.withColumn("key", ids), "key", f"{run.raw}/trip_updates.json")
+    write_feeds(run, sf_dir)
     alerts = views.alert_feed(spark, sf_dir).withColumn("key", F.get("entity.id", F.lit(0)).cast("bigint"))
     write_documents(alerts, "key", f"{run.raw}/alerts.json")
     write_csv(views.frame(spark, sf_dir, "fx_trips"), f"{run.raw}/google_transit/trips.txt", ",", "UTF-8")

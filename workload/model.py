@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackline.operators import features, forest
-from trackline.operators.permutation import permutation_importance
+from trackline.operators.permutation import permutation_importance, with_donors
 from workload import views
 from workload.registry import query, rounded, sql_label
 
-# Forest size of the registered queries.
-TREES, DEPTH = 20, 8
+# The fitted model per folder, kept as long as its session runs.
+_FITTED: dict[tuple[str, str], tuple] = {}
 
 MODE = """
     SELECT t.trip_id, CAST(1 AS INTEGER) AS has_vehicle_position, COALESCE(m.status, 'UNKNOWN') AS vehicle_status_mode,
@@ -24,8 +22,10 @@ MODE = """
                  FROM fx_vehicles WHERE status IS NOT NULL GROUP BY COALESCE(trip_id, ''), status) s WHERE pick = 1) m
       ON m.trip_id = t.trip_id"""
 
+NUMBERED = "SELECT *, CAST(entity_id AS BIGINT) AS row_no FROM fx_updates"
+
 FEATURES = f"""
-    SELECT u.entity_id, u.feed,
+    SELECT u.entity_id, concat_ws('-', u.row_no, COALESCE(t.trip_copy, 0), COALESCE(r.route_copy, 0)) AS row_id, u.feed,
            CAST(COALESCE(isodow(u.timestamp) - 1, 0) AS INTEGER) AS day_of_week,
            CAST(COALESCE(hour(u.timestamp), 0) AS INTEGER) AS hour,
            CAST(CASE WHEN COALESCE(isodow(u.timestamp) - 1, 0) >= 5 THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,
@@ -37,20 +37,29 @@ FEATURES = f"""
            COALESCE(v.has_vehicle_position, 0) AS has_vehicle_position,
            COALESCE(v.vehicle_status_mode, 'UNKNOWN') AS vehicle_status_mode,
            COALESCE(v.vehicle_records, 0) AS vehicle_records, u.delay_seconds
-    FROM (SELECT entity_id, COALESCE(feed, 'Unknown') AS feed, COALESCE(trip_id, '') AS trip_id, timestamp, delay_seconds
-          FROM fx_updates WHERE delay_seconds IS NOT NULL) u
-    LEFT JOIN fx_trips t ON t.trip_id = u.trip_id
-    LEFT JOIN fx_routes r ON r.route_id = COALESCE(t.route_id, '')
+    FROM (SELECT entity_id, row_no, COALESCE(feed, 'Unknown') AS feed, COALESCE(trip_id, '') AS trip_id, timestamp,
+                 delay_seconds
+          FROM ({NUMBERED}) n WHERE delay_seconds IS NOT NULL) u
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY route_id NULLS FIRST,
+                 COALESCE(TRY_CAST(direction_id AS INTEGER), 0)) - 1 AS trip_copy FROM fx_trips) t ON t.trip_id = u.trip_id
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY route_type NULLS FIRST,
+                 route_short_name NULLS FIRST) - 1 AS route_copy FROM fx_routes) r ON r.route_id = COALESCE(t.route_id, '')
     LEFT JOIN ({MODE}) v ON v.trip_id = u.trip_id"""
 
 
+def numbered_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates with the number of their event, which tells them apart."""
+    return views.frame(spark, sf_dir, "fx_updates").withColumn("row_no", F.col("entity_id").cast("long"))
+
+
 def feature_table(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return features.delay_features(
-        views.frame(spark, sf_dir, "fx_updates"),
+        numbered_updates(spark, sf_dir),
         views.frame(spark, sf_dir, "fx_trips"),
         views.frame(spark, sf_dir, "fx_routes"),
         views.frame(spark, sf_dir, "fx_vehicles"),
         keep=["entity_id"],
+        row="row_no",
         **options,
     )
 
@@ -67,8 +76,8 @@ def ml_feature_table(spark, sf_dir):
 
 @query("ml_feature_table_salted", FEATURES)
 def ml_feature_table_salted(spark, sf_dir):
-    """The same table with thresholds low enough to salt the blank trip id."""
-    return feature_table(spark, sf_dir, hot_share=0.01, hot_rows=20)
+    """The same table, with the blank keys spread over many salts."""
+    return feature_table(spark, sf_dir, salts=1_000)
 
 
 @query(
@@ -121,20 +130,99 @@ def regression_metrics(spark, sf_dir):
     return rounded(forest.regression_metrics(predictions), "mae_min", "rmse_min", "r2")
 
 
-@lru_cache(maxsize=2)
+def _rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The materialised feature table, its training and its test rows."""
+    rows = forest.model_rows(feature_table(spark, sf_dir))
+    return rows, *forest.split(rows)
+
+
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[forest.DelayModel, DataFrame, DataFrame]:
     """Model, training rows and test rows, fitted once per session and folder."""
-    # The trip side can repeat an update, so the id takes the direction in as well.
-    table = feature_table(spark, sf_dir)
-    train, test = forest.split(forest.with_row_id(table, ["entity_id", "direction_id", "route_short_name"]))
-    return forest.train(train, trees=TREES, depth=DEPTH), train, test
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        for old in [k for k in _FITTED if k[0] != key[0]]:
+            del _FITTED[old]
+        rows, train, test = _rows(spark, sf_dir)
+        _FITTED[key] = forest.train(train, guarded=rows), train, test
+    return _FITTED[key]
+
+
+SPLIT = f"""
+    SELECT row_id, CASE WHEN CAST('0x' || substr(md5(concat(row_id, '/{forest.SEED}')), 1, 8) AS BIGINT) % 100
+                          < {forest.TRAIN_PERCENT} THEN 'train' ELSE 'test' END AS part FROM ({FEATURES}) f"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, train, test = _rows(spark, sf_dir)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query("ml_split_counts")
+@query("ml_split_counts", f"SELECT part, count(*) AS n FROM ({SPLIT}) s GROUP BY part")
 def ml_split_counts(spark, sf_dir):
-    _, train, test = _trained(spark, sf_dir)
-    return train.agg(F.lit("train").alias("part"), F.count(F.lit(1)).alias("n")).unionByName(
-        test.agg(F.lit("test").alias("part"), F.count(F.lit(1)).alias("n"))
+    return _parts(spark, sf_dir).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ml_split_rows", SPLIT)
+def ml_split_rows(spark, sf_dir):
+    """Which side each row of the model is on; trips listed twice make rows of their own."""
+    return _parts(spark, sf_dir).select("row_id", "part")
+
+
+# Updates without any entity id, as warehouse results have them: rows are told apart by position alone.
+BLANK_IDS = """
+    SELECT count(*) AS n_rows, count(DISTINCT row_id) AS n_ids, count(*) AS with_id, 2 AS parts
+    FROM (SELECT row_number() OVER () AS row_id FROM fx_updates u WHERE delay_seconds IS NOT NULL) s"""
+
+
+@query("ml_split_blank_ids", BLANK_IDS)
+def ml_split_blank_ids(spark, sf_dir):
+    """A bundle from user SQL has no entity ids; its rows still get unique ids and two sides."""
+    updates = views.frame(spark, sf_dir, "fx_updates").drop("entity_id", "trip_id")
+    none = [views.frame(spark, sf_dir, v).limit(0) for v in ("fx_trips", "fx_routes", "fx_vehicles")]
+    train, test = forest.split(forest.model_rows(features.delay_features(updates, *none)))
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("row_id").alias("n_ids"),
+        F.count("row_id").alias("with_id"),
+        F.count_distinct("part").cast("int").alias("parts"),
+    )
+
+
+CODES = "\n UNION ALL ".join(
+    f"""SELECT row_id, '{c}' AS feature, CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS code FROM ({FEATURES}) f"""
+    for c in features.CATEGORICAL
+)
+
+
+@query("ml_encoded_features", CODES)
+def ml_encoded_features(spark, sf_dir):
+    """The index each category gets before it becomes a one-hot vector: its place in the alphabet."""
+    rows, *_ = _rows(spark, sf_dir)
+    encoded = forest.encoder().fit(rows).transform(rows)
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}_index").alias("code")) for c in features.CATEGORICAL]
+    return encoded.select("row_id", F.explode(F.array(*pairs)).alias("p")).select("row_id", "p.*")
+
+
+DONORS = f"""
+    SELECT r.repeat, count(*) AS n_rows, count(DISTINCT row_id) AS n_rows_once, count(DISTINCT row_id) AS n_donors_once,
+           0 AS n_foreign
+    FROM (SELECT row_id FROM ({SPLIT}) s WHERE part = 'test') t, (SELECT unnest([0, 1, 2]) AS repeat) r GROUP BY r.repeat"""
+
+
+@query("ml_permutation_donors", DONORS)
+def ml_permutation_donors(spark, sf_dir):
+    """Per repeat every test row is a donor once, and to a row of its own block."""
+    _, _, test = _rows(spark, sf_dir)
+    donors = with_donors(test, repeats=3)
+    blocks = donors.select(F.col("row_id").alias("donor"), F.col("block").alias("donor_block"))
+    pairs = [F.struct(F.lit(r).alias("repeat"), F.col(f"donor_{r}.row_id").alias("donor")) for r in range(3)]
+    met = donors.select("row_id", "block", F.explode(F.array(*pairs)).alias("p")).select("row_id", "block", "p.*")
+    return met.join(blocks, "donor").groupBy("repeat").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("row_id").alias("n_rows_once"),
+        F.count_distinct("donor").alias("n_donors_once"),
+        F.count_if(F.col("block") != F.col("donor_block")).cast("int").alias("n_foreign"),
     )
 
 
@@ -144,6 +232,23 @@ def ml_metrics(spark, sf_dir):
     return forest.regression_metrics(forest.predict(model, test))
 
 
+@query("ml_importance_sums", "SELECT CAST(1.0 AS DOUBLE) AS total, CAST(12 AS BIGINT) AS n_groups, CAST(0.0 AS DOUBLE) AS gap")
+def ml_importance_sums(spark, sf_dir):
+    """Importances sum to one, and a group's importance is the sum of its parts."""
+    parts = forest.feature_importance(_trained(spark, sf_dir)[0], spark)
+    sums = parts.groupBy("group").agg(F.sum("importance").alias("of_parts"))
+    both = forest.grouped_importance(parts).join(sums, "group")
+    return rounded(
+        both.agg(
+            F.sum("of_parts").alias("total"),
+            F.count(F.lit(1)).alias("n_groups"),
+            F.max(F.abs(F.col("importance") - F.col("of_parts"))).alias("gap"),
+        ),
+        "total",
+        "gap",
+    )
+
+
 @query("ml_importance")
 def ml_importance(spark, sf_dir):
     return forest.top_importance(forest.feature_importance(_trained(spark, sf_dir)[0], spark), 20)
@@ -167,11 +272,45 @@ def ml_actual_vs_predicted(spark, sf_dir):
     return forest.actual_vs_predicted(forest.predict(model, test))
 
 
+@query(
+    "ml_actual_values",
+    f"""SELECT round(delay_seconds / 60, 6) AS actual_delay_min, CAST(1 AS INTEGER) AS predicted
+        FROM ({FEATURES}) f JOIN ({SPLIT}) s USING (row_id) WHERE part = 'test'""",
+)
+def ml_actual_values(spark, sf_dir):
+    """The actual side of the comparison: every test row once, each with a prediction."""
+    model, _, test = _trained(spark, sf_dir)
+    pairs = forest.actual_vs_predicted(forest.predict(model, test))
+    return rounded(pairs, "actual_delay_min").select(
+        "actual_delay_min", F.col("predicted_delay_min").isNotNull().cast("int").alias("predicted")
+    )
+
+
+@query(
+    "ml_score_keys",
+    """SELECT route_id, CAST(h.hour AS INTEGER) AS hour,
+              CASE WHEN h.hour <= 5 THEN 'night' WHEN h.hour <= 11 THEN 'morning' WHEN h.hour <= 17 THEN 'afternoon'
+                   ELSE 'evening' END AS time_bucket,
+              CAST(0 AS INTEGER) AS is_weekend, CAST(0.0 AS DOUBLE) AS minutes_off
+       FROM fx_routes, (SELECT unnest(range(0, 24)) AS hour) h""",
+)
+def ml_score_keys(spark, sf_dir):
+    """Keys and derived columns of the scored records, and the minutes against the seconds."""
+    scored = forest.score(_trained(spark, sf_dir)[0], _new_records(spark, sf_dir))
+    off = F.round(F.col("predicted_minutes") * 60 - F.col("predicted_seconds"), 6) + 0.0
+    return scored.select("route_id", "hour", "time_bucket", "is_weekend", off.alias("minutes_off"))
+
+
 @query("ml_score_new")
 def ml_score_new(spark, sf_dir):
     """Scores for every known route at every hour of a Monday."""
+    scored = forest.score(_trained(spark, sf_dir)[0], _new_records(spark, sf_dir))
+    return scored.select("route_id", "hour", "predicted_seconds", "predicted_minutes")
+
+
+def _new_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = views.frame(spark, sf_dir, "fx_routes")
-    records = routes.select(
+    return routes.select(
         "route_id",
         F.lit("click").alias("feed"),
         F.coalesce("route_type", F.lit("Unknown")).alias("route_type"),
@@ -184,5 +323,3 @@ def ml_score_new(spark, sf_dir):
         F.lit("STOPPED_AT").alias("vehicle_status_mode"),
         F.lit(1).alias("vehicle_records"),
     )
-    scored = forest.score(_trained(spark, sf_dir)[0], records)
-    return scored.select("route_id", "hour", "predicted_seconds", "predicted_minutes")

@@ -7,7 +7,6 @@ values, so the views put them in. Every view covers its whole tables.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,12 +54,14 @@ VIEWS: dict[str, str] = {
                     ELSE CAST(event_id % 200 - 20 AS STRING) END AS delay_min,
                CASE WHEN event_id % 29 = 0 THEN 'soon' ELSE CAST(date_trunc('second', ts) AS STRING) END AS event_time
         FROM events""",
-    # Four station lists: text numbers, blanks, bad coordinates, and a padded copy of every station.
+    # Four station lists: text numbers with decimal commas or points, blanks, bad coordinates, and a padded copy of every station.
     "fx_stations_raw": """
         SELECT c_custkey % 4 AS list_no, CAST(c_custkey AS STRING) AS station_code, c_name AS station_name,
                CASE WHEN c_custkey % 97 = 5 THEN NULL WHEN c_custkey % 89 = 7 THEN '0,0' WHEN c_custkey % 83 = 3 THEN 'n/d'
-                    ELSE concat(CAST(20 + c_custkey % 30 AS STRING), ',', CAST(c_custkey % 10 AS STRING)) END AS lat_raw,
-               concat(CAST((c_custkey * 7) % 40 - 25 AS STRING), ',', CAST(c_custkey % 10 AS STRING)) AS lon_raw,
+                    ELSE concat(CAST(20 + c_custkey % 30 AS STRING), CASE WHEN c_custkey % 3 = 0 THEN '.' ELSE ',' END,
+                                CAST(c_custkey % 10 AS STRING)) END AS lat_raw,
+               concat(CAST((c_custkey * 7) % 40 - 25 AS STRING), CASE WHEN c_custkey % 3 = 0 THEN '.' ELSE ',' END,
+                      CAST(c_custkey % 10 AS STRING)) AS lon_raw,
                CASE WHEN c_custkey % 50 = 0 THEN '' WHEN c_custkey % 70 = 1 THEN NULL ELSE n_name END AS province,
                concat('list_', CAST(c_custkey % 4 AS STRING)) AS source
         FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -166,18 +167,12 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{sql}"
 
 
-@lru_cache(maxsize=64)
-def _table(spark: SparkSession, path: str) -> DataFrame:
-    """A driver table; its footer is read once per session."""
-    return spark.read.parquet(path)
-
-
 def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """A view as a DataFrame over the parquet tables of ``sf_dir``."""
     sql = with_views(f"SELECT * FROM {view}")
     for table in TABLES:
         if re.search(rf"\b{table}\b", sql):
-            _table(spark, f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     return spark.sql(sql)
 
 
@@ -189,8 +184,10 @@ def trip_feed(spark: SparkSession, sf_dir: str, service: str) -> DataFrame:
         F.struct(F.col("dep_delay").alias("delay")).alias("departure"),
     )
     no_stops = F.filter(F.array(stop), lambda s: F.lit(False))
-    # Null, empty or one stop.
-    stops = F.when(F.col("n_stops") == 1, F.array(stop)).when(F.col("n_stops") == 0, no_stops)
+    # Null, empty, one stop or two, of which the first counts.
+    later = F.struct(F.struct((F.col("event_id") + 7).alias("delay")).alias("arrival"), stop["departure"].alias("departure"))
+    some = F.when(F.col("event_id") % 3 == 0, F.array(stop, later)).otherwise(F.array(stop))
+    stops = F.when(F.col("n_stops") == 1, some).when(F.col("n_stops") == 0, no_stops)
 
     def entity(entity_id: str, trip_id: str, delay: str, stop_list) -> F.Column:
         update = F.struct(
@@ -225,11 +222,15 @@ def vehicle_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested alert documents, one alert each; informed entities are the turns."""
-    alerts = frame(spark, sf_dir, "fx_alerts")
+    """Nested alert documents, one alert each; informed entities are the turns, and so are the translations."""
+    turns = frame(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns")
+    )
+    alerts = frame(spark, sf_dir, "fx_alerts").join(turns, "id")
     route = F.struct(F.lit("R").alias("routeId"))
     informed = F.when(F.col("route_count") > 0, F.array_repeat(route, F.col("route_count")))
-    texts = F.when(F.col("description").isNotNull(), F.array(F.struct(F.col("description").alias("text"))))
+    every = F.transform("turns", lambda t: F.struct(t.text.alias("text")))
+    texts = F.when(F.col("description").isNotNull(), every)
     entity = F.struct(
         F.col("id"),
         F.struct(
