@@ -38,8 +38,8 @@ IMPLIED = {
 SIDE_TAGS = frozenset("nav footer aside form script style noscript iframe template svg button select textarea title head object canvas dialog menu".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 SIDE_NAMES = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright discussion disqus footer form login masthead menu modal nav navbar navigation newsletter notice "
+    "ad ads adsbygoogle adsense advert advertisement adverts advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie "
+    "cookies copyright discussion disqus feedback footer form gdpr login masthead menu modal nav navbar navigation newsletter notice "
     "notices notification overlay pager pagination popup promo promotion recommended related replies reply respond search "
     "share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )

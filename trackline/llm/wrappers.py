@@ -14,6 +14,7 @@ from collections.abc import Iterable
 from trackline.llm.pages import Page
 
 TEXT = "#text"
+CONTAINERS = frozenset("html body main div section article center table tbody tr td".split())
 DEPTH = 40  # levels of a template; deeper elements count as their ancestor there
 DISTINCT = 5  # different pages that must share a constant text before it counts as part of the template
 
@@ -128,23 +129,46 @@ def main_path(root: Member) -> list[str]:
             continue  # an article inside it belongs to it
         if not beside or any_main(member):
             stack += [(m, [*path, m.key]) for m in reversed(list(member.members.values()))]
-    if found:
-        return found
-    # No element says so: follow the member with most of the text while there is one.
     member, path = root, [root.key]
+    if found:
+        # An element around the article and more is narrowed down to the article.
+        member = at_path(root, found)
+        inner = inner_article(member, chars_below(member, True))
+        return [*found, *inner] if inner else found
+    # No element says so: follow the container with most of the text, down to the one with the title.
     while True:
         total = chars_below(member, True)
-        heavy = [m for m in member.members.values() if m.key != TEXT and chars_below(m, True) * 10 > total * 6]
-        if not heavy or heavy[0].repeated or total == 0:
+        heavy = [m for m in member.members.values() if is_container(m) and chars_below(m, True) * 10 > total * 6]
+        if not heavy or heavy[0].repeated or "h1" in member.members or total == 0:
             return path
         member, path = heavy[0], [*path, heavy[0].key]
 
 
+def at_path(root: Member, path: list[str]) -> Member:
+    for key in path[1:]:
+        root = root.members[key]
+    return root
+
+
+def is_container(member: Member) -> bool:
+    return member.key.split(".")[0] in CONTAINERS
+
+
+def inner_article(member: Member, total: int) -> list[str] | None:
+    """Keys below ``member`` to a single article inside it that holds most of its text."""
+    for m in member.members.values():
+        if m.flags & 1 or m.repeated or chars_below(m, True) * 10 <= total * 6:
+            continue
+        if m.flags & 2:
+            return [m.key, *(inner_article(m, total) or [])]
+        if deeper := is_container(m) and inner_article(m, total):
+            return [m.key, *deeper]
+    return None
+
+
 def any_main(member: Member) -> bool:
     """Whether an article lies inside a wrapper whose name alone speaks of something else."""
-    if member.key.split(".")[0] not in ("div", "section", "main", "body", "html", "table", "tbody", "tr", "td"):
-        return False
-    if "comment" in member.key:
+    if not is_container(member) or "comment" in member.key:
         return False
     return any(m.flags & 2 and not m.flags & 1 or any_main(m) for m in member.members.values())
 
@@ -154,9 +178,7 @@ def fixed_texts(root: Member, path: list[str]) -> dict[str, int]:
 
     Headings of the first order stay, and so does a text that fewer than ``DISTINCT`` different pages share.
     """
-    member = root
-    for key in path[1:]:
-        member = member.members[key]
+    member = at_path(root, path)
     out: dict[str, int] = {}
     stack = [(m, [m.key], m.repeated) for m in member.members.values()]
     while stack:
