@@ -55,7 +55,10 @@ def test_a_host_without_article_elements(spark):
         ("<article><p>a</b></i></div> c <b>d<p>e</b>f</article>", "a c d\nef"),
         ("<article><table><tr><td>1<td>2<tr><td>3</table><p hidden>h</p></article>", "1\n2\n3"),
         ("<article><a title='x>y' href=\"q\">l</a> <img alt='>'>m</article>", "l m"),
-        ("<article>a<textarea>t</article>", "a"), ("<div class='with-sidebar'><article>in</article></div>", "in"),
+        ("<article>a<textarea>t</article>", "a"),
+        ("<main><div class=crumbs>x</div><article><h1>t</h1><p>long enough</p></article></main>", "t\nlong enough"),
+        ("<div id=page><div class=post><h1>t</h1><p>one single paragraph</p></div><div class=x>y</div></div>", "t\none single paragraph"),
+        ("<body><div><div id=wrap><h1>t</h1><div class=body>much more text here</div></div></div>", "t\nmuch more text here"), ("<div class='with-sidebar'><article>in</article></div>", "in"),
     ],
 )
 def test_single_pages(html, text):
