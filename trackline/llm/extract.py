@@ -30,7 +30,8 @@ def infer(rows: DataFrame) -> DataFrame:
         held: dict[str, Member] = {}
 
         def rows_of() -> pd.DataFrame:
-            return pd.DataFrame({"host": list(held), "template": [json.dumps(m.data()) for m in held.values()]})
+            texts = [json.dumps(m.data()) for m in held.values()]
+            return pd.DataFrame({"host": list(held), "template": texts}, dtype=object)
 
         for frame in frames:
             for name, html in zip(frame["host"], frame["html"]):
@@ -59,7 +60,7 @@ def infer(rows: DataFrame) -> DataFrame:
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             made = [wrapper(Member.of(json.loads(t))) for t in frame["template"]]
-            yield pd.DataFrame({"host": frame["host"], "wrapper": made})
+            yield pd.DataFrame({"host": frame["host"].tolist(), "wrapper": made})
 
     schema = "host string, template string"
     parts = rows.mapInPandas(partial, schema).withColumn("slot", F.pmod(F.xxhash64("template"), F.lit(SLOTS)))
