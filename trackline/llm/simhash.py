@@ -61,7 +61,7 @@ def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     """The shingle hashes themselves for word 0, independent remixes of them for the others."""
     if not word:
         return hashes
-    z = hashes + np.uint64(word) * np.uint64(0x9E3779B97F4A7C15)
+    z = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
