@@ -62,8 +62,8 @@ def train(
     trees: int = TREES,
     depth: int = DEPTH,
     seed: int = SEED,
-    max_memory_mb: int = 256,
-    max_bins: int = 256,
+    max_memory_mb: int = 1024,
+    max_bins: int = 64,
     guarded: DataFrame | None = None,
 ) -> DelayModel:
     """Fit encoder and forest; every split tries all features.

@@ -45,14 +45,20 @@ def sniff_separator(spark: SparkSession, path: str, sep: str) -> str:
     return ";" if sep not in header and ";" in header else sep
 
 
-def file_headers(spark: SparkSession, path: str, options: dict[str, str], names: str = "*") -> tuple[DataFrame, int]:
+def file_headers(
+    spark: SparkSession, path: str, options: dict[str, str], names: str = "*", files: DataFrame | None = None
+) -> tuple[DataFrame, int]:
     """(file, header) for the delimited files of ``path`` called like ``names``, and how many different headers they have.
 
-    Only the start of each file is read, and one file per different header is opened by name.
+    Only the start of each file is read, and one file per different header is opened by name. Headers are told apart
+    by their bytes, in whatever encoding. ``files``, with the
+    column ``_path``, limits the answer to some of them.
     """
     lines = spark.read.text(path, pathGlobFilter=names).where("_metadata.file_block_start = 0")
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    firsts = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    firsts = lines.groupBy("file").agg(F.md5(F.min_by("value", "at").cast("binary")).alias("line"))
+    if files is not None:
+        firsts = firsts.join(files.select(F.col(_PATH).alias("file")), "file", "left_semi")
     kinds = firsts.groupBy("line").agg(F.min("file").alias("sample")).limit(MAX_HEADERS + 1).collect()
     if len(kinds) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
@@ -88,12 +94,18 @@ def files_by_encoding(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _delimited(
-    spark: SparkSession, path: str, sep: str, encoding: str, skip_long: bool, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    sep: str,
+    encoding: str,
+    skip_long: bool,
+    multi_line: bool = False,
+    files: DataFrame | None = None,
 ) -> DataFrame:
-    """Delimited text as text columns, plus ``_path``; files with headers of their own are lined up by name."""
+    """Delimited text as text columns; files with headers of their own are lined up by name."""
     options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "encoding": encoding, "multiLine": multi_line}
-    headers, different = file_headers(spark, path, options)
-    if different > 1:
+    headers, different = file_headers(spark, path, options, files=files)
+    if different > 1 or files is not None:
         own = [r.header for r in headers.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()]
         columns = list(dict.fromkeys(name for header in own for name in header))
     else:
@@ -102,6 +114,8 @@ def _delimited(
     # Without every column parsed, the number of fields in a line would go unnoticed.
     rows = spark.read.options(**options, columnNameOfCorruptRecord=_RAW, columnPruning=False).schema(schema).csv(path)
     rows = rows.withColumn(_PATH, F.col("_metadata.file_path"))
+    if files is not None:
+        rows = rows.join(files, _PATH, "left_semi")
     if skip_long:
         # The schema has one field too many, so a full line counts as too short.
         rows = rows.filter(F.col(_OVERFLOW).isNull() & F.col(_RAW).isNotNull())
@@ -112,7 +126,7 @@ def _delimited(
             surplus = F.exists(F.slice(fields, F.col("_width") + 1, F.lit(len(columns))), lambda x: x.isNotNull())
             rows = rows.join(widths, _PATH).filter(~surplus).drop("_width")
         rows = by_header(rows, columns, headers)
-    return clean_columns(rows.select(*[F.col(f"`{c}`") for c in columns], _PATH))
+    return clean_columns(rows.select(*[F.col(f"`{c}`") for c in columns]))
 
 
 def read_delimited(
@@ -129,7 +143,7 @@ def read_delimited(
     surplus. With ``multi_line`` quoted values may hold line breaks; a file is then read by
     one task.
     """
-    return _delimited(spark, path, sep, encoding, skip_long, multi_line).drop(_PATH)
+    return _delimited(spark, path, sep, encoding, skip_long, multi_line)
 
 
 def read_csv_flexible(spark: SparkSession, path: str, sep: str = ";", multi_line: bool = False) -> DataFrame:
@@ -145,16 +159,12 @@ def read_csv_flexible(spark: SparkSession, path: str, sep: str = ";", multi_line
     for encoding, utf8, present in (("UTF-8", True, seen.utf8), ("ISO-8859-1", False, seen.latin)):
         if not present:
             continue
-        rows = _delimited(spark, path, chosen, encoding, True, multi_line)
-        if seen.utf8 and seen.latin:
-            own = kinds.filter(F.col("utf8") == utf8).select(F.col("path").alias(_PATH))
-            rows = rows.join(own, _PATH, "left_semi")
-        frames.append(rows.drop(_PATH))
+        own = kinds.filter(F.col("utf8") == utf8).select(F.col("path").alias(_PATH)) if seen.utf8 and seen.latin else None
+        frames.append(_delimited(spark, path, chosen, encoding, True, multi_line, own))
     if not frames:
         return spark.createDataFrame([], StructType())
-    # The header is read once per encoding; positions, not spellings, line the columns up.
-    names = frames[0].columns
-    return reduce(DataFrame.union, [f.toDF(*names) for f in frames])
+    # Each encoding's files are lined up by name on their own, and so are the encodings.
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read_if_exists(spark: SparkSession, path: str, reader, schema: StructType) -> DataFrame:
