@@ -7,7 +7,7 @@ from pyspark.sql.types import NumericType
 
 # Plain decimal notation only: rejects '1.5d', 'inf' and 'nan', which a bare cast accepts.
 DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-# First number inside free text such as 'max 250,5 km/h'.
+# Fixed value: first number inside free text such as 'max 250,5 km/h'.
 FIRST_NUMBER = r"(\d+[\.,]?\d*)"
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trackline.functions import UNANCHORED_YES, is_yes, label
 from trackline.operators.columns import pick_column
 
+# Columns that hold yes-words.
 ACCESS_FEATURES = ["aparcamiento", "and_n", "aseos", "vest_bulo"]
 
 

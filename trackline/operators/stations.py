@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from trackline import schemas
 from trackline.functions import strip
 
-STATION_COLUMNS = schemas.STATIONS.fieldNames()
+# What makes two stations copies of each other, and the lists the master is made of.
 MASTER_KEY = ["station_code", "station_name", "lat", "lon", "source"]
 LIST_KEY = ["station_code", "lat", "lon", "source"]
 MASTER_LISTS = ("stations", "avld", "feve", "cercanias_madrid")
@@ -36,21 +36,11 @@ def first_copies(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
 
 def station_master(bundle: dict[str, DataFrame], lists: Sequence[str] = MASTER_LISTS) -> DataFrame:
     """All station lists as one dimension: codes and names trimmed, points only, no copies."""
-    frames = []
-    for name in lists:
-        if name not in bundle:
-            continue
-        df = bundle[name].select(*[c for c in STATION_COLUMNS if c in bundle[name].columns])
-        for missing in [c for c in STATION_COLUMNS if c not in df.columns]:
-            df = df.withColumn(missing, F.lit(None).cast(schemas.STATIONS[missing].dataType))
-        frames.append(
-            df.select(*STATION_COLUMNS)
-            .dropna(subset=["lat", "lon"])
-            .withColumns({c: strip(F.col(c)) for c in ("station_code", "station_name")})
-        )
-    if not frames:
+    present = [bundle[name].to(schemas.STATIONS) for name in lists if name in bundle]
+    if not present:
         raise ValueError("no station list in the bundle")
-    return first_copies(frames, MASTER_KEY)
+    trimmed = {c: strip(F.col(c)) for c in ("station_code", "station_name")}
+    return first_copies([points.dropna(subset=["lat", "lon"]).withColumns(trimmed) for points in present], MASTER_KEY)
 
 
 def concat_station_lists(frames: Sequence[DataFrame]) -> DataFrame:

@@ -14,6 +14,7 @@ from trackline.operators import counts, distributions, filters, rankings
 from trackline.operators.columns import preview
 from trackline.operators.stations import station_master
 
+# Columns the previews show.
 FLEET = ["modelo", "constructor", "velocidad_maxima", "plazas_sentadas", "proposito"]
 INCIDENT = ["chipText", "aspect", "paragraph", "link"]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -23,18 +24,34 @@ from workload.registry import ntz, query, sql_number
 
 # Entities per written document.
 DOCUMENT_ROWS = 500
+# Runs whose folders and databases stay: the frame a query returns reads them after the query has returned.
+KEPT_RUNS = 12
+_RUNS: deque[Run] = deque()
 
 
 class Run:
-    """A fresh raw folder, state folder and database."""
+    """A fresh raw folder, state folder and database; the oldest of many is cleared away."""
 
     def __init__(self, spark: SparkSession):
         token = uuid.uuid4().hex
         self.spark = spark
+        self.folder = shared_dir(spark, "trackline", token)
         self.raw = shared_dir(spark, "trackline", token, "raw")
         self.state = shared_dir(spark, "trackline", token, "state")
         self.location = shared_dir(spark, "trackline", token, "tables")
         self.database = f"bronze_{token}"
+        _RUNS.append(self)
+        while len(_RUNS) > KEPT_RUNS:
+            _RUNS.popleft().clear()
+
+    def clear(self) -> None:
+        """Drop the run's databases and delete its folder, unless its session has ended."""
+        if self.spark.sparkContext._jsc is None:
+            return
+        for database in (self.database, f"curated_{self.database}"):
+            self.spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def load(self, **options):
         return ingest(self.spark, self.raw, self.state, self.database, self.location, **options)
