@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from urllib.parse import unquote
 
@@ -67,11 +68,13 @@ def file_headers(
     return firsts.join(F.broadcast(table), "line").select("file", "header"), len(kinds)
 
 
-def by_header(rows: DataFrame, columns: list[str], headers: DataFrame, rescued: str | None = None) -> DataFrame:
+def by_header(
+    rows: DataFrame, columns: list[str], headers: DataFrame, rescued: str | None = None, sep: str = ";"
+) -> DataFrame:
     """Rows read by position under ``columns``, with each value under the name its own file's header gives it.
 
     ``rows`` carries its file as ``_path``. Values under names that ``columns`` lacks go to ``rescued`` as JSON,
-    where that is empty.
+    where that is empty; a line there stays only if it is too short or too long for its own header.
     """
     rows = rows.join(headers.select(F.col("file").alias(_PATH), F.col("header").alias("_header")), _PATH, "left")
     values, header = F.array(*[F.col(f"`{c}`") for c in columns]), F.coalesce("_header", F.array(*map(F.lit, columns)))
@@ -80,7 +83,11 @@ def by_header(rows: DataFrame, columns: list[str], headers: DataFrame, rescued:
         pairs = F.filter(F.arrays_zip(header.alias("name"), values.alias("value")), lambda p: p["value"].isNotNull())
         other = F.filter(pairs, lambda p: p["name"].isNotNull() & ~p["name"].isin(*columns))
         other = F.map_from_entries(F.transform(other, lambda p: F.struct(p["name"], p["value"])))
-        named[rescued] = F.coalesce(F.col(rescued), F.nullif(F.to_json(other), F.lit("{}")))
+        width = F.size(header)
+        surplus = F.exists(F.slice(values, width + 1, F.lit(len(columns))), lambda x: x.isNotNull())
+        fits = (width < len(columns)) & (F.size(F.split(rescued, re.escape(sep))) >= width) & ~surplus
+        line = F.when(~F.coalesce(fits, F.lit(False)), F.col(rescued))
+        named[rescued] = F.coalesce(line, F.nullif(F.to_json(other), F.lit("{}")))
     return rows.withColumns(named).drop("_header")
 
 

@@ -6,11 +6,11 @@ import json
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from trackline.sources.inventory import Spec
-from trackline.sources.readers import exact_glob, path_exists
+from trackline.sources.readers import exact_glob, file_headers, path_exists
 from trackline.streaming.rescue import RESCUED
 
 
@@ -42,11 +42,17 @@ def _store(spark: SparkSession, state: str, table: str, schema: StructType, late
 
 
 def header_schema(spark: SparkSession, base: str, state: str, spec: Spec, options: dict[str, str]) -> StructType:
-    """Text columns as in the header first seen; later surplus fields are rescued."""
+    """Text columns of the headers seen by the first load, in file order; names that come later are rescued."""
     stored = _load(spark, state, spec.table)
     if stored:
         return stored[0]
-    names = spark.read.options(**options, pathGlobFilter=spec.file_names).csv(exact_glob(base, spec.dataset)).columns
+    path = exact_glob(base, spec.dataset)
+    headers, different = file_headers(spark, path, options, spec.file_names)
+    if different > 1:
+        kinds = headers.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()
+        names = list(dict.fromkeys(name for kind in kinds for name in kind.header))
+    else:
+        names = spark.read.options(**options, pathGlobFilter=spec.file_names).csv(path).columns
     schema = StructType([StructField(n, StringType()) for n in [*names, RESCUED]])
     _store(spark, state, spec.table, schema, spec.latest)
     return schema

@@ -71,7 +71,7 @@ def read_stream(
         names = [n for n in schema.fieldNames() if n != RESCUED]
         if different > 1 or headers.filter(F.col("header") != F.array(*map(F.lit, names))).limit(1).count():
             rows = rows.select("*", "_metadata").withColumn("_path", F.col("_metadata.file_path"))
-            rows = by_header(rows, names, checkpointed(headers), RESCUED).select(*schema.fieldNames(), "_metadata")
+            rows = by_header(rows, names, checkpointed(headers), RESCUED, options["sep"]).select(*schema.fieldNames(), "_metadata")
             rows = rows.toDF(*sanitize_names(schema.fieldNames()), "_metadata")
             return with_lineage(rows, spec.dataset, spec.source_format).drop("_metadata")
     return with_lineage(sanitize_columns(rows), spec.dataset, spec.source_format)
