@@ -109,6 +109,16 @@ def test_similar_texts_go_and_others_stay(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [*range(30), *range(200, 230), *range(300, 320), 400]
 
 
+def test_repeated_shingles_count_once(spark):
+    """A line repeated 25 times is little of what two documents hold; repeats of equal shingles tell nothing apart."""
+    line = " ".join(prose(60, 12).split())
+    rows = [(i, "\n".join(f"{line}\n{' '.join(prose(1000 * i + j, 16).split())}" for j in range(25)), "en", "a", 1) for i in range(1, 21)]
+    looped = [(100 + i, " ".join(prose(900 + i, 60).split() * 2), "en", "a", 1) for i in range(20)]
+    again = [(200 + i, " ".join(prose(900 + i, 60).split() * 7), "en", "a", 1) for i in range(20)]
+    left = drop_near_duplicates(documents(spark, rows + looped + again))
+    assert sorted(r["doc_id"] for r in left.collect()) == [*range(1, 21), *range(100, 120)]
+
+
 def test_repeated_rows_leave_one(spark):
     rows = [(5, "a b c d e f g", "en", "a", 1)] * 3
     assert drop_near_duplicates(odd_columns(spark.createDataFrame(rows, DOCS))).count() == 1
