@@ -119,6 +119,39 @@ def test_repeated_shingles_count_once(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [*range(1, 21), *range(100, 120)]
 
 
+def jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        found = [lowered(w) for w in words(text)]
+        sets.append({tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_stage_against_brute_force(spark):
+    """Pairs at similarities from 0.6 to 0.9, chains of them, and templated texts that all come within the radius."""
+    rows = []
+    for i in range(240):
+        base = prose(2000 + i, 300).split(" ")
+        copy = list(base)
+        for at in range(i % 14 + 2):
+            copy[at * 300 // (i % 14 + 2) + 3] = f"changed{at}"
+        rows += [(i, " ".join(base), "en", "a", 1), (1000 + i, " ".join(copy), "en", "a", 1)]
+    page = prose(70, 200)
+    rows += [(3000 + i, f"{page} {prose(4000 + i, 40)}", "en", "a", 1) for i in range(40)]
+    chain = prose(71, 300).split(" ")
+    for i in range(12):
+        chain[24 * i + 5 : 24 * i + 10] = [f"link{i}"] * 5
+        rows.append((5000 + i, " ".join(chain), "en", "a", 1))
+    spans = [jaccard(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(240)]
+    assert min(spans) < 0.62 and max(spans) > 0.9 and sum(0.75 < x < 0.85 for x in spans) > 30
+    assert 0.6 < jaccard(rows[480][1], rows[481][1]) < 0.8
+    texts = {r[0]: r[1] for r in rows}
+    family = lambda i: i % 1000 if i < 3000 else i // 1000 * 1000
+    comp = components(list(texts), lambda a, b: family(a) == family(b) and jaccard(texts[a], texts[b]) >= 0.8)
+    left = drop_near_duplicates(documents(spark, rows))
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(comp.values()))
+
+
 def test_repeated_rows_leave_one(spark):
     rows = [(5, "a b c d e f g", "en", "a", 1)] * 3
     assert drop_near_duplicates(odd_columns(spark.createDataFrame(rows, DOCS))).count() == 1
