@@ -56,6 +56,9 @@ def test_a_host_without_article_elements(spark):
         ("<article><table><tr><td>1<td>2<tr><td>3</table><p hidden>h</p></article>", "1\n2\n3"),
         ("<article><a title='x>y' href=\"q\">l</a> <img alt='>'>m</article>", "l m"),
         ("<article>a<textarea>t</article>", "a"),
+        ("<article>a <a href='/hidden-gems/1'>b</a> <a href=\"/x?id=login\">c</a> <b title='the hidden valley'>d</b></article>", "a b c d"),
+        ("<article>a<p aria-hidden=false>b</p><p data-role='search'>c</p><p data-id = login>d</p><p x=hidden>e</p></article>", "a\nb\nc\nd\ne"),
+        ("<article>a <a href=/tag/hidden/id=login>b</a><p data-x=1 HIDDEN>c</p><p hidden=''>d</p><p x='y'hidden>e</p><p ID = login>f</p></article>", "a b"),
         ("<main><div class=crumbs>x</div><article><h1>t</h1><p>long enough</p></article></main>", "t\nlong enough"),
         ("<div id=page><div class=post><h1>t</h1><p>one single paragraph</p></div><div class=x>y</div></div>", "t\none single paragraph"),
         ("<body><div><div id=wrap><h1>t</h1><div class=body>much more text here</div></div></div>", "t\nmuch more text here"), ("<div class='with-sidebar'><article>in</article></div>", "in"),

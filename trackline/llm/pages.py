@@ -11,7 +11,9 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""", re.I)
+# One attribute: its whole name, and its value if it has one.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+READ = frozenset("class id role itemprop style hidden".split())
 NAME_PART = re.compile(r"[a-z]+")
 # Fixed values of the HTML standard: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,9 +70,11 @@ def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
     if not attributes or attributes == "/":
         return tag, side or tag == "header", main
     names, key = set(), [tag]
-    for kind, a, b, c, hidden in ATTRIBUTE.findall(attributes):
+    for kind, a, b, c in ATTRIBUTE.findall(attributes):
         kind, value = kind.lower(), (a or b or c).lower()
-        if hidden:
+        if kind not in READ:
+            continue
+        if kind == "hidden":
             side = True
         elif kind == "style":
             side |= "display:none" in value.replace(" ", "")
