@@ -13,7 +13,7 @@ from trackline.llm.common import table
 from trackline.llm.decontaminate import drop_contaminated
 from trackline.llm.lines import drop_repeated_lines
 from trackline.llm.packing import pack
-from trackline.llm.quality import quality
+from trackline.llm.quality import judged, quality
 from trackline.llm.simhash import drop_near_duplicates
 from trackline.session import require_settings, shared_dir
 
@@ -22,8 +22,10 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality rules keep."""
-    return quality(docs).where("kept").select(docs.columns)
+    """Documents the quality rules keep, by bands from the statistics of all documents of a language."""
+    measured = shared_dir(spark, f"quality-{uuid.uuid4().hex}")
+    quality(docs).write.parquet(measured)
+    return judged(spark.read.parquet(measured), "lang").where("kept").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@ from collections import Counter
 import pytest
 
 from tests.llm.cases import awkward, documents, odd_columns, prose, words
-from trackline.llm.quality import Band, Fertility, default_vocabulary, main_script, quality
+from trackline.llm.queries import QUERIES
+from trackline.llm.quality import Band, Fertility, default_vocabulary, judged, main_script, quality
 
 
 def brute(text):
@@ -48,6 +49,29 @@ def test_clean_documents_stay(spark, sf_dir):
     assert got and all(r["kept"] for r in got)
 
 
+def test_derived_bands_reject_planted_junk(spark):
+    """Symbol-spattered text of a language goes, its prose stays; copies and a small language change nothing."""
+    spattered = lambda i: " ".join(w + "***$$$&&&"[i % 3 * 3 :][:3] for w in prose(i, 200).split())
+    rows = [(i, prose(i, 200), "en", "a", 1) for i in range(300)]
+    rows += [(1000 + i, spattered(1000 + i), "en", "a", 1) for i in range(15)]
+    rows += [(2000 + i, prose(7, 200), "en", "a", 1) for i in range(900)]
+    rows += [(3000 + i, spattered(3000 + i), "xx", "a", 1) for i in range(5)] + [(4000, None, None, "a", 1), (4001, "too short", "en", "a", 1)]
+    fixed = quality(documents(spark, rows)).cache()
+    assert fixed.where("doc_id BETWEEN 1000 AND 1999 AND kept").count() == 15
+    kept = {r["doc_id"] for r in judged(fixed, "lang").where("kept").collect()}
+    assert len(kept & set(range(300))) >= 297 and kept >= set(range(2000, 2900)) | set(range(3000, 3005))
+    assert not kept & {*range(1000, 1015), 4000, 4001}
+    assert judged(fixed, "lang").schema == fixed.schema
+
+
+def test_the_query_tells_labelled_junk(spark):
+    folder = "/root/testdata/sf0.01"
+    got = QUERIES["op7_fertility_rules"](spark, folder).where("NOT base_failed")
+    found = got.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in found}
+    assert n.get((0, False), 0) > n.get((0, True), 0) and 50 * n.get((1, False), 0) < n[1, True]
+
+
 @pytest.mark.parametrize("text, script", [("", ""), ("123 !?", ""), ("abc где", "CYRILLIC"), ("abcd где", "LATIN"), ("где", "CYRILLIC"), ("日本語 a", "CJK"), ("ñ²", "LATIN")])
 def test_scripts(text, script):
     assert main_script(text) == script

@@ -2,7 +2,8 @@
 
 A public vocabulary with byte fallback measures each text: characters per token, the share of tokens that are
 raw bytes, and the entropy of its tokens. Each language, or else each script, has a band for every measure, and a
-text outside a band is rejected. Two plain rules come first: too few words, too many repeated words.
+text outside a band is rejected. ``judged`` derives the bands from all documents of a language; the fixed ones serve
+languages with few documents. Two plain rules come first: too few words, too many repeated words.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trackline.llm.common import free_name, split_words
 
@@ -35,6 +36,11 @@ class Band:
     min_entropy: float
 
 
+# Bands derived from documents: spreads below the median that a kept text may lie, spreads to the other side, where
+# rare good texts are and no junk, and the fewest different texts that make statistics.
+BELOW, ABOVE, ENOUGH = 3.5, 6.0, 100
+# Smallest spreads, so that a measure that is the same in nearly all texts rejects no good one.
+LEAST_SPREAD = {"chars_per_token": 0.02, "byte_share": 0.02, "token_entropy": 0.1}
 # By script of most letters. Scripts a vocabulary has few pieces for give short tokens and more byte tokens.
 SCRIPT_BANDS = {
     "LATIN": Band(1.2, 7.0, 0.20, 3.5),
@@ -183,3 +189,51 @@ def quality(
     tongue = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     rows = df.withColumn(got, measured(F.col(text), tongue))
     return rows.withColumns({f.name: F.col(f"{got}.{f.name}") for f in rows.schema[got].dataType}).drop(got)
+
+
+def derived_bands(measured: DataFrame, group: Column) -> DataFrame:
+    """(band_group, min_chars, max_chars, max_bytes, min_entropy) of each group with ``ENOUGH`` different texts.
+
+    Limits lie around the median by multiples of the median deviation, over texts that pass the base rules; texts
+    alike in all measures count once, so copies do not narrow a band. Measures are taken to thousandths up to 100,
+    which bounds what the exact medians hold.
+    """
+    names = list(LEAST_SPREAD)
+    texts = measured.where("NOT base_failed").select(group.alias("band_group"), "n_words", "word_chars", *names).distinct()
+    fine = texts.select("band_group", *[F.round(F.least(F.col(c), F.lit(100.0)), 3).alias(c) for c in names])
+    middle = lambda c: F.percentile(c, F.lit(0.5))
+    medians = fine.groupBy("band_group").agg(F.count("*").alias("n"), *[middle(F.col(c)).alias(f"{c}_mid") for c in names])
+    medians = medians.where(F.col("n") >= ENOUGH)
+    off = fine.join(F.broadcast(medians), "band_group")
+    far = lambda c: middle(F.round(F.abs(F.col(c) - F.col(f"{c}_mid")), 3))
+    spreads = off.groupBy("band_group", *[f"{c}_mid" for c in names]).agg(
+        *[F.greatest(1.4826 * far(c), F.lit(least)).alias(f"{c}_spread") for c, least in LEAST_SPREAD.items()]
+    )
+    limit = lambda c, times: F.col(f"{c}_mid") + times * F.col(f"{c}_spread")
+    return spreads.select(
+        "band_group",
+        limit("chars_per_token", -BELOW).alias("min_chars"),
+        limit("chars_per_token", ABOVE).alias("max_chars"),
+        limit("byte_share", BELOW).alias("max_bytes"),
+        limit("token_entropy", -BELOW).alias("min_entropy"),
+    )
+
+
+def judged(measured: DataFrame, lang: str) -> DataFrame:
+    """The rows of ``quality`` with ``kept`` decided by bands derived from all of them.
+
+    Texts are grouped by ``lang``, those without one by script. A group too small for statistics keeps the verdict
+    it has. ``measured`` is read three times, so it should be materialised.
+    """
+    tongue, at = F.col(lang).cast("string"), free_name(measured, "band_of")
+    group = F.when(tongue.isNull(), F.concat(F.lit("script "), F.col("script"))).otherwise(F.concat(F.lit("lang "), tongue))
+    bands = derived_bands(measured, group).select(F.col("band_group").alias(at), F.struct("*").alias(f"{at}_band"))
+    rows = measured.withColumn(at, group).join(F.broadcast(bands), at, "left")
+    limit = lambda name: F.col(f"{at}_band.{name}")
+    inside = (
+        F.col("chars_per_token").between(limit("min_chars"), limit("max_chars"))
+        & (F.col("byte_share") <= limit("max_bytes"))
+        & (F.col("token_entropy") >= limit("min_entropy"))
+    )
+    known = F.col(f"{at}_band").isNotNull()
+    return rows.withColumn("kept", F.when(known, ~F.col("base_failed") & inside).otherwise(F.col("kept"))).drop(at, f"{at}_band")

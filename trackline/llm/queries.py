@@ -13,11 +13,11 @@ from trackline.llm.langid import fold, identify, train
 from trackline.llm.lines import SQL as LINES_SQL, drop_repeated_lines
 from trackline.llm.lm import score
 from trackline.llm.packing import pack
-from trackline.llm.quality import quality
+from trackline.llm.quality import judged, quality
 from trackline.llm.secrets import find_secrets, sql as secrets_sql
 from trackline.llm.sharding import shard
 from trackline.llm.simhash import near_duplicates
-from trackline.session import require_settings
+from trackline.session import checkpointed, require_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,8 +77,8 @@ def host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_fertility_rules")
 def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(
+    measured = checkpointed(quality(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"))
+    return judged(measured, "lang").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "chars_per_token", "byte_share", "token_entropy",
     )
