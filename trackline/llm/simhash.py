@@ -450,7 +450,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFra
 
     Out of ``nodes`` (node, key, size, w0, w1, ...) with distinct shingle sets, and ``texts`` (key, text). A spanning
     forest of the pairs within the radius is verified first, so a large group of copies costs no square of pairs.
-    Where a pair of the forest fails, all pairs between what the others link there are verified too.
+    If a pair of the forest fails, all pairs between what the others link are verified too.
     """
     names = [f"w{i}" for i in range(scheme.words)]
     pairs = checkpointed(links(nodes.select("node", *names, "size"), scheme).distinct())
@@ -462,12 +462,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFra
     held, failed = tried.where("holds").select("a", "b"), tried.where("NOT holds").select("a", "b")
     if failed.isEmpty():
         return held
-    maybe, sure = connected_components(pairs), connected_components(held)
-    open_ones = maybe.join(failed.select(F.col("a").alias("node")), "node").select("component").distinct()
-    members = maybe.join(reshuffled(open_ones, "component"), "component").select("node")
-    members = members.join(sure.withColumnRenamed("component", "sure"), "node", "left")
-    members = members.select("node", F.coalesce("sure", "node").alias("label"))
-    again = nodes.select("node", *names, "size").join(reshuffled(members, "node"), "node")
+    # What the first forest did not settle lies among its nodes; those it linked share a label and are not paired again.
+    sure = connected_components(held).withColumnRenamed("component", "label")
+    again = nodes.join(reshuffled(involved, "node"), "node").join(sure, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = links(again.select("node", *names, "label", "size"), scheme, every=True).distinct()
     rest = checkpointed(rest.join(failed, ["a", "b"], "left_anti"))
     return held.union(verified(rest, sets, scheme.percent).where("holds").select("a", "b"))
