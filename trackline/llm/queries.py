@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trackline.llm.bestfit import pack_whole
+from trackline.llm.collocations import SQL as COLLOCATIONS_SQL, phrases
 from trackline.llm.common import table
 from trackline.llm.decontaminate import SQL as DECONTAMINATE_SQL, contaminated
 from trackline.llm.extract import extract
 from trackline.llm.langid import fold, identify, train
 from trackline.llm.lines import SQL as LINES_SQL, drop_repeated_lines
 from trackline.llm.lm import score
+from trackline.llm.merkle import audited
+from trackline.llm.merkle_sql import SQL as MERKLE_SQL
 from trackline.llm.packing import pack
 from trackline.llm.quality import judged, quality
 from trackline.llm.secrets import find_secrets, sql as secrets_sql
 from trackline.llm.sharding import shard
 from trackline.llm.simhash import near_duplicates
-from trackline.session import checkpointed, require_settings
+from trackline.session import checkpointed, require_settings, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,3 +110,23 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_cutting_stock")
 def cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op11_bin_completion")
+def bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_whole(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    folder = shared_dir(spark, f"manifest-{uuid.uuid4().hex}")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    return audited(spark, docs, folder, columns, claimed={"text": tampered}).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_phrase_collocations", COLLOCATIONS_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(table(spark, sf_dir, "documents"))
