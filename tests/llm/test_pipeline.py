@@ -15,7 +15,7 @@ def test_stages_take_effect_one_by_one(spark, folder, sf_dir):
     passage = prose(77, 300)
     rows = [(i, prose(i, 200), "en", "a", 1) for i in range(20)]
     rows += [(100 + i, prose(i, 200), "en", "a", 1) for i in range(5)]  # exact copies
-    rows += [(200 + i, prose(i, 200).replace("\n", " ").replace(" a", " bb", 1), "en", "a", 1) for i in range(5, 10)]
+    rows += [(200 + i, prose(i, 200).replace("\n", " ").replace("a", "A"), "en", "a", 1) for i in range(5, 10)]
     rows += [(300 + i, f"{prose(600 + i, 100)} {items[i]} {prose(700 + i, 100)}", "en", "a", 1) for i in range(5)]
     rows += [(400 + i, prose(800 + i, 150) + "\n" + passage, "en", "a", 1) for i in range(4)]
     rows += [(500, "too short", "en", "a", 1), (501, None, "en", "a", 1), (502, "again and again " * 60, "en", "a", 1)]

@@ -29,18 +29,12 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 @dataclass(frozen=True)
 class Scheme:
-    """Shingle length, words of 64 bits per fingerprint, radius, and keys as lists of (word, shift, width).
-
-    ``distinct``: a shingle counts once, however often a text repeats it. ``percent``: the Jaccard similarity of the
-    shingle sets that makes a link of a pair within the radius; without it the radius decides.
-    """
+    """Shingle length, words of 64 bits per fingerprint, radius, and keys as lists of (word, shift, width)."""
 
     shingle: int
     words: int
     radius: int
     keys: tuple[tuple[tuple[int, int, int], ...], ...]
-    distinct: bool = False
-    percent: int | None = None
 
 
 def exact_scheme(shingle: int = 4, radius: int = 4) -> Scheme:
@@ -51,22 +45,6 @@ def exact_scheme(shingle: int = 4, radius: int = 4) -> Scheme:
     return Scheme(shingle, 1, radius, tuple(combinations(parts, 2)))
 
 
-def similar_scheme(shingle: int = 5, steps: tuple[int, ...] = (5, 18)) -> Scheme:
-    """256 bits for a Jaccard similarity of 0.8 or more of the sets of shingles.
-
-    Such texts have a cosine of 8/9 or more, so each bit differs with probability 0.151 or less: 38.7 bits of 256
-    with a deviation of 5.7. Radius 62 holds all but 1 in 10,000 at exactly 0.8, and pairs down to 0.5 come within it
-    too, so each is verified. A key is two 7-bit segments, ``steps`` apart in the ring of 36.
-    """
-    parts = [(w, 7 * i, 7) for w in range(4) for i in range(9)]
-    near = [(parts[i], parts[(i + s) % 36]) for s in steps for i in range(18 if s == 18 else 36)]
-    return Scheme(shingle, 4, 62, tuple(near), distinct=True, percent=80)
-
-
-# 126 keys, which a pair at exactly 0.8 misses in 3 of 1,000 cases by simulation.
-STEPS = (1, 5, 7, 18)
-
-
 def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     """The shingle hashes themselves for word 0, independent remixes of them for the others."""
     if not word:
@@ -103,21 +81,20 @@ def print_of(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str | None, n: int, words: int, distinct: bool = False) -> np.ndarray:
-    """The fingerprint of a text's shingle hashes, or of the distinct ones; zero without words."""
-    hashes = shingle_hashes(text, n)
-    return print_of(np.unique(hashes) if distinct else hashes, words)
+def fingerprint(text: str | None, n: int, words: int) -> np.ndarray:
+    """The fingerprint of a text's shingle hashes, repeats included; zero without words."""
+    return print_of(shingle_hashes(text, n), words)
 
 
 def fingerprints(text: Column, scheme: Scheme) -> Column:
     """A struct of longs w0, w1, ... with the fingerprint of a text."""
     names = [f"w{i}" for i in range(scheme.words)]
-    n, words, distinct = scheme.shingle, scheme.words, scheme.distinct
+    n, words = scheme.shingle, scheme.words
 
     @F.pandas_udf(", ".join(f"{c} long" for c in names))
     def computed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            rows = [fingerprint(t, n, words, distinct) for t in texts]
+            rows = [fingerprint(t, n, words) for t in texts]
             found = np.stack(rows) if rows else np.empty((0, words), np.uint64)
             yield pd.DataFrame(found.view(np.int64), columns=names)
 
@@ -266,61 +243,9 @@ def spanning_links(node: np.ndarray, group: np.ndarray, prints: np.ndarray, radi
     return values[linked], values[labels[linked]]
 
 
-def closest_forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
-    """Places of the pairs (a, b) that make up a spanning forest of n labels, by the closest pairs."""
-    order = np.argsort(far, kind="stable")
-    a, b = a[order], b[order]
-    labels, at, kept = np.arange(n), np.arange(len(a)), [np.empty(0, np.int64)]
-    while True:
-        x, y = labels[a[at]], labels[b[at]]
-        differ = x != y
-        at, x, y = at[differ], x[differ], y[differ]
-        if not len(at):
-            return order[np.concatenate(kept)]
-        best = np.full(n, len(a))
-        np.minimum.at(best, x, at)
-        np.minimum.at(best, y, at)
-        chosen = np.unique(best[best < len(a)])
-        kept.append(chosen)
-        merge(labels, a[chosen], b[chosen])
-
-
-def likely_pairs(rows: pd.DataFrame, group: np.ndarray, prints: np.ndarray, scheme: Scheme, every: bool) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of nodes with different labels within the radius, whose set sizes allow ``scheme.percent``.
-
-    With ``every`` all of them, else a spanning forest of the labels by the closest pairs.
-    """
-    together = in_company(group)
-    group, prints = group[together], np.ascontiguousarray(prints[together])
-    node, label, size = (rows[c].to_numpy(np.int64)[together] for c in ("node", "label" if every else "node", "size"))
-    if not len(node):
-        return
-    labels, label = np.unique(label, return_inverse=True)
-    held_i = held_j = held_far = np.empty(0, np.int64)
-    frame = lambda i, j: pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
-    for i, j in pair_slices(group, prints, scheme.radius):
-        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        fits = (label[i] != label[j]) & (100 * small >= scheme.percent * large)
-        i, j = i[fits], j[fits]
-        if every:
-            yield frame(i, j).drop_duplicates()
-            continue
-        far = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
-        i, j, far = np.concatenate((held_i, i)), np.concatenate((held_j, j)), np.concatenate((held_far, far))
-        stays = closest_forest(label[i], label[j], far, len(labels))
-        held_i, held_j, held_far = i[stays], j[stays], far[stays]
-    if not every:
-        yield frame(held_i, held_j)
-
-
-def links(prints: DataFrame, scheme: Scheme, every: bool = False) -> DataFrame:
-    """Edges (a, b) of nodes with close fingerprints, out of (node, w0, w1, ...) with distinct fingerprints.
-
-    With ``scheme.percent``, out of (node, w0, w1, ..., size), they are the pairs to verify of ``likely_pairs``;
-    ``every`` needs a label too.
-    """
+def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """Edges (a, b) of nodes with close fingerprints, out of (node, w0, w1, ...) with distinct fingerprints."""
     names = [f"w{i}" for i in range(scheme.words)]
-    carried = names + (["size"] if scheme.percent else []) + (["label"] if every else [])
 
     def key(number: int, parts: tuple[tuple[int, int, int], ...]) -> Column:
         value, at = F.lit(number).cast("long"), 0
@@ -330,10 +255,9 @@ def links(prints: DataFrame, scheme: Scheme, every: bool = False) -> DataFrame:
         return value
 
     keys = F.array(*[key(i, parts) for i, parts in enumerate(scheme.keys)])
-    keyed = prints.select("node", *carried, F.explode(keys).alias("group"))
+    keyed = prints.select("node", *names, F.explode(keys).alias("group"))
     large = keyed.groupBy("group").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
-    # Keys of 14 bits have a bounded number of groups, so what tells the large ones is small and saves a shuffle.
-    dealt = keyed.join(F.broadcast(large) if scheme.percent else reshuffled(large, "group"), "group", "left")
+    dealt = keyed.join(reshuffled(large, "group"), "group", "left")
     own = F.pmod(F.xxhash64("node", "group"), F.col("chunks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != own)
     parts = F.transform(others, lambda x: F.least(x, own) * F.col("chunks") + F.greatest(x, own))
@@ -347,9 +271,6 @@ def links(prints: DataFrame, scheme: Scheme, every: bool = False) -> DataFrame:
         def run(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             group = frame.groupby(["group", "part"], sort=False).ngroup().to_numpy()
             found = frame[names].to_numpy(np.int64).view(np.uint64)
-            if scheme.percent:
-                yield from likely_pairs(frame, group, found, scheme, every)
-                return
             a, b = spanning_links(frame["node"].to_numpy(np.int64), group, np.ascontiguousarray(found), radius)
             yield pd.DataFrame({"a": a, "b": b})
 
@@ -368,19 +289,12 @@ def links(prints: DataFrame, scheme: Scheme, every: bool = False) -> DataFrame:
         if size:
             yield from run(pd.concat(held, ignore_index=True))
 
-    rows = dealt.select("group", "part", "node", *carried).repartition("group", "part")
+    rows = dealt.select("group", "part", "node", *names).repartition("group", "part")
     return rows.sortWithinPartitions("group", "part").mapInPandas(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, identity: str = "doc_id", text: str = "text", scheme: Scheme | None = None) -> DataFrame:
-    """(id, key, w0, ..., component, keeper): one row per row of ``df``.
-
-    ``key`` is the row's key (see ``row_key``), ``component`` the smallest id among all rows that a chain of links
-    reaches, ``keeper`` true for the rows whose (id, key) is the smallest there; an id that is null comes last.
-    Equal fingerprints are linked, whatever the texts; a null or wordless text has fingerprint zero and is linked
-    like any other. Copies collapse to one node before anything is compared. An empty table gives no rows.
-    """
-    scheme = scheme or exact_scheme()
+def grouped(df: DataFrame, identity: str, text: str, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """(id, key, w0, ...) per row, and (w0, ..., best) per fingerprint: the struct (none, id, key) its component keeps."""
     names = [f"w{i}" for i in range(scheme.words)]
     rows = df.select(F.col(identity).alias("id"), F.col(text).alias("text"))
     rows = rows.select("id", row_key(F.col("id"), F.col("text")).alias("key"), fingerprints(F.col("text"), scheme).alias("f"))
@@ -391,7 +305,20 @@ def near_duplicates(df: DataFrame, identity: str = "doc_id", text: str = "text",
     groups = connected_components(links(nodes.select("node", *names), scheme))
     joined = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = joined.groupBy("component").agg(F.min("first").alias("best"))
-    known = checkpointed(joined.join(reshuffled(best, "component"), "component").select(*names, "best"))
+    return rows, checkpointed(joined.join(reshuffled(best, "component"), "component").select(*names, "best"))
+
+
+def near_duplicates(df: DataFrame, identity: str = "doc_id", text: str = "text", scheme: Scheme | None = None) -> DataFrame:
+    """(id, key, w0, ..., component, keeper): one row per row of ``df``.
+
+    ``key`` is the row's key (see ``row_key``), ``component`` the smallest id among all rows that a chain of links
+    reaches, ``keeper`` true for the rows whose (id, key) is the smallest there; an id that is null comes last.
+    Equal fingerprints are linked, whatever the texts; a null or wordless text has fingerprint zero and is linked
+    like any other. Copies collapse to one node before anything is compared. An empty table gives no rows.
+    """
+    scheme = scheme or exact_scheme()
+    names = [f"w{i}" for i in range(scheme.words)]
+    rows, known = grouped(df, identity, text, scheme)
     known = known.withColumnRenamed("w0", "v0")
     same = [F.col("w0") == F.col("v0"), *[F.col(f"known.{c}") == F.col(f"rows.{c}") for c in names[1:]]]
     found = rows.alias("rows").join(known.alias("known"), same)
@@ -402,94 +329,15 @@ def near_duplicates(df: DataFrame, identity: str = "doc_id", text: str = "text",
     )
 
 
-def shingle_sets(text: Column, n: int) -> Column:
-    """The distinct shingle hashes of a text as an array of longs."""
-
-    @F.pandas_udf("array<long>")
-    def computed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([np.unique(shingle_hashes(t, n)).view(np.int64) for t in texts], dtype=object)
-
-    return computed(text)
-
-
-def set_prints(text: Column, scheme: Scheme) -> Column:
-    """A struct of the set of shingles: its digest ``kind``, its ``size``, its fingerprint w0, w1, ..."""
-    names = [f"w{i}" for i in range(scheme.words)]
-    n, words = scheme.shingle, scheme.words
-
-    @F.pandas_udf(f"kind string, size long, {', '.join(f'{c} long' for c in names)}")
-    def computed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            kinds, sizes, prints = [], [], []
-            for text in texts:
-                hashes = np.unique(shingle_hashes(text, n))
-                kinds.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
-                sizes.append(len(hashes))
-                prints.append(print_of(hashes, words))
-            found = np.stack(prints) if prints else np.empty((0, words), np.uint64)
-            frame = pd.DataFrame(found.view(np.int64), columns=names)
-            frame.insert(0, "kind", kinds)
-            frame.insert(1, "size", np.array(sizes, np.int64))
-            yield frame
-
-    return computed(text)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, holds): whether the Jaccard similarity of the nodes' ``sets`` (node, hashes) is ``percent`` or more."""
-    side = lambda c: reshuffled(sets, "node").select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    total = F.size("a_hashes") + F.size("b_hashes")
-    return checkpointed(both.select("a", "b", (shared * (100 + percent) >= total * percent).alias("holds")))
-
-
-def similar_links(nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links (a, b) that connect what the pairs within the radius at ``scheme.percent`` or more connect.
-
-    Out of ``nodes`` (node, key, size, w0, w1, ...) with distinct shingle sets, and ``texts`` (key, text). A spanning
-    forest of the pairs within the radius is verified first, so a large group of copies costs no square of pairs.
-    If a pair of the forest fails, all pairs between what the others link are verified too.
-    """
-    names = [f"w{i}" for i in range(scheme.words)]
-    pairs = checkpointed(links(nodes.select("node", *names, "size"), scheme).distinct())
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.select("node", "key").join(reshuffled(involved, "node"), "node")
-    found = texts.join(reshuffled(wanted, "key"), "key").select("node", "text")
-    sets = checkpointed(found.dropDuplicates(["node"]).select("node", shingle_sets(F.col("text"), scheme.shingle).alias("hashes")))
-    tried = verified(pairs, sets, scheme.percent)
-    held, failed = tried.where("holds").select("a", "b"), tried.where("NOT holds").select("a", "b")
-    if failed.isEmpty():
-        return held
-    # What the first forest did not settle lies among its nodes; those it linked share a label and are not paired again.
-    sure = connected_components(held).withColumnRenamed("component", "label")
-    again = nodes.join(reshuffled(involved, "node"), "node").join(sure, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = links(again.select("node", *names, "label", "size"), scheme, every=True).distinct()
-    rest = checkpointed(rest.join(failed, ["a", "b"], "left_anti"))
-    return held.union(verified(rest, sets, scheme.percent).where("holds").select("a", "b"))
-
-
 def drop_near_duplicates(df: DataFrame, identity: str = "doc_id", text: str = "text", scheme: Scheme | None = None) -> DataFrame:
-    """``df`` with one row of each group of near duplicates, by default at a similarity of 0.8 of five-word shingles.
+    """``df`` with one row of each component of close fingerprints: the row with the smallest id, see ``near_duplicates``.
 
-    Groups are what a chain of pairs at ``scheme.percent`` or more links, each verified on the whole shingle sets;
-    equal sets are linked, and so are texts without words. The row with the smallest id stays. Of rows equal in id
-    and text one stays.
+    Rows with the same fingerprint are near duplicates whatever their texts, so of the texts without words, nulls
+    included, one row stays. Of rows equal in id and text one stays, and a null id comes after all others.
     """
-    scheme = scheme or similar_scheme(steps=STEPS)
-    if not scheme.percent:
-        raise ValueError("drop_near_duplicates verifies its links: the scheme needs a percentage")
     key, n = free_name(df, "row_key"), free_name(df, "row_copies")
-    names = [f"w{i}" for i in range(scheme.words)]
-    texts = df.select(F.col(identity).alias("id"), F.col(text).alias("text"))
-    texts = texts.withColumn("key", row_key(F.col("id"), F.col("text")))
-    rows = checkpointed(texts.select("id", "key", set_prints(F.col("text"), scheme).alias("f")).select("id", "key", "f.*"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    nodes = checkpointed(rows.groupBy("kind", "size", *names).agg(first).withColumn("node", F.monotonically_increasing_id()))
-    found = similar_links(nodes.select("node", F.col("first.key").alias("key"), "size", *names), texts.select("key", "text"), scheme)
-    joined = nodes.join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = joined.groupBy("component").agg(F.min("first").alias("best")).select(F.col("best.key").alias("key"))
+    rows, known = grouped(df, identity, text, scheme or exact_scheme())
+    best = known.select(F.col("best.key").alias("key")).distinct()
     copies = rows.groupBy("key").agg(F.count("*").alias(n))
     stays = checkpointed(copies.join(reshuffled(best, "key"), "key").withColumnRenamed("key", key))
     rows = df.withColumn(key, row_key(F.col(identity), F.col(text))).join(stays, key)
