@@ -21,9 +21,10 @@ THRESHOLD = 30
 LIMIT = 2000
 SHARE = 80  # percent of a phrase's occurrences inside a longer one that make it a part of that
 SCALE = 2_000_000
-BATCH = 6 << 20  # bytes of text counted at once
-PART = 8 << 20  # bytes of text per hash partition, some five million sequences
+BATCH = 2 << 20  # bytes of text counted at once
+PART = 4 << 20  # bytes of text per hash partition, some three million sequences
 FILTER_BITS = 1 << 29  # bound of the broadcast filter: 64 MB
+WORDS = 250_000  # words whose numbers a task remembers between batches
 CROWD = 50_000  # rows of one language that a task ranks
 
 # What parts pieces, and how pieces and words are told apart once those are full stops.
@@ -101,7 +102,7 @@ def batches(frames: Iterator[pd.DataFrame]) -> Iterator[Sequences]:
                 if size >= BATCH:
                     yield Sequences(held, vocabulary)
                     held, size = [], 0
-                    if len(vocabulary) > 1_000_000:
+                    if len(vocabulary) > WORDS:
                         vocabulary = Vocabulary()
     if held:
         yield Sequences(held, vocabulary)
@@ -142,7 +143,7 @@ class Summary:
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray], threshold: int) -> Summary:
     """One summary out of many. Its error is at most mass / (capacity + 1), hence below the threshold."""
-    mass = sum(int(c.sum()) for c in counts)
+    mass = sum(int(c.sum(dtype=np.int64)) for c in counts)
     out, some, size = Summary(mass // threshold + 1), 0, 0
     for i, part in enumerate(keys):
         size += len(part)
@@ -182,7 +183,7 @@ def survivors(parts: DataFrame, threshold: int) -> DataFrame:
         for once, some, times in zip(frame["once"], frame["keys"], frame["counts"]):
             single = np.frombuffer(once, "<u4")
             keys.append(np.concatenate((single, np.frombuffer(some, "<u4"))))
-            counts.append(np.concatenate((np.ones(len(single), np.int64), np.frombuffer(times, "<u4").astype(np.int64))))
+            counts.append(np.concatenate((np.ones(len(single), np.uint32), np.frombuffer(times, "<u4"))))
         found = merged(keys, counts, threshold).candidates(threshold)
         return pd.DataFrame({"part": [frame["part"].iloc[0]], "keys": [found.tobytes()]})
 
