@@ -3,6 +3,7 @@
 import json
 import os
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,11 +13,11 @@ from trackline import schemas
 from trackline.plans.curate import write_curated
 from trackline.plans.marts import filter_choices, operations_pages, station_pages
 from trackline.sources import readers, tables
-from trackline.sources.bundle import load_files
+from trackline.sources.bundle import load_files, rejected_files
 from trackline.sources.inventory import build_specs, list_files, route_files, spec_table, uncovered_files
 from trackline.streaming.evolution import merge_types
-from trackline.streaming.ingest import audit, coverage, ingest
-from trackline.streaming.rescue import parse_documents
+from trackline.streaming.ingest import audit, batch_rows, coverage, ingest, write_batch
+from trackline.streaming.rescue import covers, inferred, parse_documents, parse_objects, read_objects, seen_schema
 
 STATIONS = "CÓDIGO;DESCRIPCION;LATITUD;LONGITUD;PROVINCIA\n1;Ávila;40,5;-4,7;Ávila\n1 ;Ávila ;40,5;-4,7;\n2;Zero;0;0;X\n"
 FEED = {
@@ -256,6 +257,88 @@ def test_every_file_is_loaded_or_reported(spark, place):
     assert left == ["_gone/x.csv", "_hidden.csv", "deep/.part.json", "list.csv/notes.txt", "list.csv/sub/p3.txt"]
 
 
+def test_a_rerun_reads_new_files_only(spark, place, monkeypatch):
+    """The first file is gone at the second run: nothing of the history is needed, and the new header goes by name."""
+    from trackline.streaming import ingest as module
+
+    asked = []
+    real = module.file_headers
+    monkeypatch.setattr(module, "file_headers", lambda s, paths, *a, **k: asked.append(sorted(paths)) or real(s, paths, *a, **k))
+    put(place.raw, "list.csv/p1.csv", "a;b\n1;2\n")
+    put(place.raw, "list.csv/p2.csv", "a;b\n3;4\n")
+    place.load()
+    os.remove(f"{place.raw}/list.csv/p1.csv")
+    put(place.raw, "list.csv/p3.csv", "b;a\n6;5\n")
+    place.load()
+    assert [[p.rsplit("/", 1)[1] for p in paths] for paths in asked] == [["p1.csv", "p2.csv"], ["p3.csv"]]
+    assert sorted((r.a, r.b) for r in place.table("bronze_csv_list").collect()) == [("1", "2"), ("3", "4"), ("5", "6")]
+    place.load()
+    assert len(asked) == 2
+
+
+def test_headers_of_later_batches(spark, place):
+    """One file per batch: a header that first appears in mid-run is mapped by name; one longer than the table keeps its lines too."""
+    for i, text in enumerate(["a;b\n1;2\n", "b;a\n4;3\n", "b;c;a\n6;x;5\n"]):
+        path = put(place.raw, f"list.csv/p{i}.csv", text)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    place.load(max_files=1)
+    rows = sorted((r.a, r.b, r.rescued_data) for r in place.table("bronze_csv_list").collect())
+    assert rows == [("1", "2", None), ("3", "4", None), ("5", "6", "6;x;5")]
+
+
+def test_a_repeated_batch_replaces_itself(spark, place):
+    put(place.raw, "n.json/1.json", [{"id": 1}, {"id": 2}])
+    spec = place.load()[0]
+    path = f"file:{place.raw}/n.json/1.json"
+    for _ in range(2):
+        write_batch(spark, f"{place.database}.{spec.table}", batch_rows(spark, place.state, spec, [path]), 0)
+        assert sorted(r.id for r in place.table("bronze_json_n").collect()) == [1, 2]
+    write_batch(spark, f"{place.database}.{spec.table}", batch_rows(spark, place.state, spec, [path]), 1)
+    assert place.table("bronze_json_n").count() == 4
+
+
+CLEAN = [
+    '{"id": 1, "x": 1.5, "tags": ["a"], "in": {"a b": true, "n": null}, "none": null}',
+    '[{"id": 2, "x": 3, "tags": []}, {"id": null, "in": {}}, {}]', '{"x": 123456789012345678.25, "in": {"n": {"deep": [1]}}}',
+]
+
+
+def test_documents_that_fit_are_read_alike_with_and_without_search(spark):
+    objects = parse_objects(spark.createDataFrame([(t,) for t in CLEAN], "value string"))
+    seen = seen_schema(objects)
+    schema = inferred(seen)
+    assert schema.simpleString() == "struct<id:bigint,in:struct<a b:boolean,n:struct<deep:array<bigint>>>,none:string,tags:array<string>,x:double>"
+    assert covers(schema, seen)
+    quick, careful = (sorted(map(str, read_objects(objects, schema, clean).collect())) for clean in (True, False))
+    assert quick == careful and len(quick) == 5 and all("rescued_data=None" in r for r in quick)
+
+
+@pytest.mark.parametrize(
+    "kind, text, fits",
+    [
+        ("bigint", "1", True), ("bigint", "1.0", False), ("bigint", '"1"', False), ("double", "1", True), ("double", "1.25", True),
+        ("double", '"1.25"', False), ("boolean", "true", True), ("boolean", '"true"', False), ("string", "1", True),
+        ("string", '{"a":1}', True), ("array<bigint>", "[1,2]", True), ("array<bigint>", "[1,null]", True), ("array<bigint>", '[1,"2"]', False),
+        ("array<bigint>", "1", False), ("struct<a:bigint>", '{"a":1}', True), ("struct<a:bigint>", '{"a":1,"b":null}', True),
+        ("struct<a:bigint>", '{"a":1,"b":2}', False), ("struct<a:bigint>", "[1]", False), ("bigint", "null", True),
+    ],
+)
+def test_what_fits_a_type(spark, kind, text, fits):
+    """A value is rescued where it does not fit, and is then no value of the field; what the merged type covers always fits."""
+    schema = StructType.fromDDL(f"f {kind}")
+    objects = parse_objects(spark.createDataFrame([(f'{{"f": {text}}}',)], "value string"))
+    row = read_objects(objects, schema).first()
+    assert (row["_rescued_data"] is None) == fits
+    assert not covers(schema, seen_schema(objects)) or fits
+    if not fits and "<" not in kind:
+        assert row.f is None
+
+
+def test_twice_the_same_key_is_kept_as_text(spark):
+    row = parse_documents(spark.createDataFrame([('{"a": 1, "a": 2}',)], "value string"), StructType.fromDDL("a bigint")).first()
+    assert (row.a, row["_rescued_data"]) == (None, '{"a": 1, "a": 2}')
+
+
 def test_names_with_a_catalog(spark, place):
     put(place.raw, "x.csv", "a;b\n1;2\n")
     place.database = f"spark_catalog.{place.database}"
@@ -297,6 +380,41 @@ def test_only_changed_dates_are_rewritten(spark, place, folder):
     assert spark.table(f"{target}.trip_updates_rt").count() == 4
 
 
+def test_only_new_files_reach_the_curated_layer(spark, full, folder):
+    """A second run without news touches nothing; a delivery adds its files and leaves all others as they are."""
+    full.load()
+    target = f"{full.database}_curated"
+    write_curated(spark, full.database, target, f"{folder}/curated")
+
+    def files():
+        return {str(p) for p in Path(f"{folder}/curated").rglob("*.parquet")}
+
+    before = files()
+    write_curated(spark, full.database, target, f"{folder}/curated")
+    assert files() == before
+    put(full.raw, "vehicle_positions_2.json", VEHICLES)
+    put(full.raw, "alerts.json", {"entity": []})  # the same name at another time: a new version of the file
+    full.load()
+    write_curated(spark, full.database, target, f"{folder}/curated")
+    added = {p.split("/curated/")[1].split("/")[0] for p in files() - before}
+    assert before <= files() and added <= {"alerts_rt"}
+    tables_ = tables.load_tables(spark, target)
+    assert tables_["vehicles"].count() == 1 and tables_["trip_updates"].count() == 4
+
+
+def test_a_better_source_starts_the_table_anew(spark, place, folder):
+    target = f"{place.database}_curated"
+    put(place.raw, "fomento_transit/routes.txt", "route_id,route_short_name,route_type\nF1,f,2\n")
+    place.load()
+    write_curated(spark, place.database, target, f"{folder}/curated")
+    assert [r.route_id for r in tables.load_tables(spark, target)["gtfs_routes"].collect()] == ["F1"]
+    put(place.raw, "google_transit/routes.txt", "route_id,route_short_name,route_type\nG1,g,2\nG2,g,2\n")
+    place.load()
+    for _ in range(2):
+        write_curated(spark, place.database, target, f"{folder}/curated")
+        assert sorted(r.route_id for r in tables.load_tables(spark, target)["gtfs_routes"].collect()) == ["G1", "G2"]
+
+
 def test_rescue_of_documents(spark):
     schema = StructType([StructField("id", LongType()), StructField("tags", ArrayType(StringType()))])
     texts = ['{"id": 1, "tags": ["a"]}', '[{"id": "x", "more": {"k": 1}}, {"id": 3}]', "not json", "[1", "[]"]
@@ -402,3 +520,39 @@ def test_first_available(spark):
     spark.range(1).createOrReplaceTempView("second_choice")
     assert tables.first_available(spark, ["no_such_table", "second_choice"], schemas.ROUTES).columns == ["id"]
     assert tables.first_available(spark, ["no_such_table"], schemas.ROUTES).schema == schemas.ROUTES
+
+
+def test_broken_files_are_left_out_and_told(spark, full):
+    """Of a source in parts only the broken files go; a source with nothing else is a typed empty dataset."""
+    put(full.raw, "listado_completo_av_ld_md.csv", b"PK\x03\x04\x00\x00;;\n\x00\x01;2\n")
+    put(full.raw, "google_transit/routes.txt", b"\x00\x01\x02\n\x00\n")
+    put(full.raw, "vehicle_positions.json", '{"entity": [')
+    os.remove(f"{full.raw}/alerts.json")
+    put(full.raw, "alerts.json/1.json", ALERTS)
+    put(full.raw, "alerts.json/2.json", json.dumps(ALERTS)[:-3])
+    os.remove(f"{full.raw}/informacion_trenes.csv")
+    os.remove(f"{full.raw}/listado-de-estaciones-con-servicio-de-atendo.csv")
+    data = load_files(spark, full.raw)
+    assert data["alerts"].count() == 1 and data["vehicles"].count() == 0 and data["gtfs_routes"].count() == 0
+    assert {r.source for r in data["stations"].collect()} == {"General", "FEVE"}
+    assert data["atendo"].schema == schemas.ACCESSIBILITY and data["gtfs_routes"].schema == schemas.ROUTES
+    told = {(r.dataset, r.source, (r.file or "").rsplit("/", 1)[-1], r.reason) for r in rejected_files(spark, full.raw).collect()}
+    assert told == {
+        ("stations", "listado_completo_av_ld_md.csv", "listado_completo_av_ld_md.csv", "no text"),
+        ("stations", "listado-estaciones-cercanias-madrid.csv", "", "missing"),
+        ("gtfs_routes", "google_transit/routes.txt", "routes.txt", "no text"), ("alerts", "alerts.json", "2.json", "no JSON"),
+        ("vehicles", "vehicle_positions.json", "vehicle_positions.json", "no JSON"),
+        ("atendo", "listado-de-estaciones-con-servicio-de-atendo.csv", "", "missing"),
+    }
+
+
+def test_encodings_side_by_side_are_read_once(spark, folder):
+    """UTF-8 and Latin-1 files with headers of their own, and one that is no text."""
+    put(folder, "l.csv/1.csv", "CÓDIGO;NOMBRE\n1;Ávila ñ €\n", "utf-8")
+    put(folder, "l.csv/2.csv", "NOMBRE;CÓDIGO\nÁvila ñ;2\n", "latin-1")
+    put(folder, "l.csv/3.csv", "NOMBRE;CÓDIGO\nÚbeda;3\n", "utf-8-sig")
+    put(folder, "l.csv/4.csv", b"\x00\x00\n\x00")
+    rows = readers.read_csv_flexible(spark, f"{folder}/l.csv")
+    assert sorted((r["CÓDIGO"], r["NOMBRE"]) for r in rows.collect()) == [("1", "Ávila ñ €"), ("2", "Ávila ñ"), ("3", "Úbeda")]
+    # Flags and headers, a row per file, are kept; the rows are read once.
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1

@@ -3,30 +3,35 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from trackline.operators.columns import clean_columns
+from trackline.session import checkpointed
 
 # The delimited layouts.
 CSV_OPTIONS = {"header": "true", "sep": ";", "quote": '"', "escape": '"', "encoding": "ISO-8859-1"}
 SCHEDULE_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"'}
 BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
-_OVERFLOW, _RAW, _PATH = "_overflow", "_raw_line", "_path"
+_OVERFLOW, _RAW, _PATH, _UTF8 = "_overflow", "_raw_line", "_path", "_utf8"
 # Different headers one source may have.
 MAX_HEADERS = 1_000
 
 
+def escaped(path: str) -> str:
+    """Path pattern matching just ``path``, whatever characters it holds."""
+    return "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in path)
+
+
 def exact_glob(base: str, rel_path: str) -> str:
     """Path pattern matching just ``rel_path``: file streams accept patterns, not files."""
-    escaped = "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in rel_path[:-1])
     last = rel_path[-1]
-    return f"{base.rstrip('/')}/{escaped}[{last}]" if last.isalnum() else f"{base.rstrip('/')}/{escaped}{last}"
+    start = f"{base.rstrip('/')}/{escaped(rel_path[:-1])}"
+    return f"{start}[{last}]" if last.isalnum() else f"{start}{last}"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -47,56 +52,66 @@ def sniff_separator(spark: SparkSession, path: str, sep: str) -> str:
 
 
 def file_headers(
-    spark: SparkSession, path: str, options: dict[str, str], names: str = "*", files: DataFrame | None = None
-) -> tuple[DataFrame, int]:
-    """(file, header) for the delimited files of ``path`` called like ``names``, and how many different headers they have.
+    spark: SparkSession, path: str | list[str], options: dict[str, str], files: DataFrame | None = None, mixed: bool = False
+) -> tuple[DataFrame, list[list[str]]]:
+    """(file, header) for the delimited files of ``path``, and their different headers by the first file that has each.
 
     Only the start of each file is read, and one file per different header is opened by name. Headers are told apart
-    by their bytes, in whatever encoding. ``files``, with the
-    column ``_path``, limits the answer to some of them.
+    by their bytes, in whatever encoding. ``files`` (``_path``, ``utf8``) limits the answer to some of them; with
+    ``mixed`` a header is read as UTF-8 where its file is marked so.
     """
-    lines = spark.read.text(path, pathGlobFilter=names).where("_metadata.file_block_start = 0")
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0")
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     firsts = lines.groupBy("file").agg(F.md5(F.min_by("value", "at").cast("binary")).alias("line"))
     if files is not None:
-        firsts = firsts.join(files.select(F.col(_PATH).alias("file")), "file", "left_semi")
+        firsts = firsts.join(files.select(F.col(_PATH).alias("file"), "utf8"), "file")
+        # The same bytes are other names in another encoding.
+        firsts = firsts.withColumn("line", F.concat("line", F.col("utf8").cast("string"))).drop("utf8")
     kinds = firsts.groupBy("line").agg(F.min("file").alias("sample")).limit(MAX_HEADERS + 1).collect()
     if len(kinds) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
-    known = [(k.line, spark.read.options(**options).csv(exact_glob(*unquote(k.sample).rsplit("/", 1))).columns) for k in kinds]
+    kinds.sort(key=lambda k: k.sample)
+    known = []
+    for kind in kinds:
+        encoding = {"encoding": "UTF-8"} if mixed and kind.line.endswith("true") else {}
+        sample = exact_glob(*unquote(kind.sample).rsplit("/", 1))
+        known.append((kind.line, spark.read.options(**options | encoding).csv(sample).columns))
     table = spark.createDataFrame(known, "line string, header array<string>")
-    return firsts.join(F.broadcast(table), "line").select("file", "header"), len(kinds)
+    headers = firsts.join(F.broadcast(table), "line").select("file", "header")
+    return headers, [list(h) for h in dict.fromkeys(tuple(header) for _, header in known)]
 
 
 def by_header(
-    rows: DataFrame, columns: list[str], headers: DataFrame, rescued: str | None = None, sep: str = ";"
+    rows: DataFrame, columns: list[str], headers: DataFrame, rescued: str | None = None, sep: str = ";", names: list[str] | None = None
 ) -> DataFrame:
     """Rows read by position under ``columns``, with each value under the name its own file's header gives it.
 
-    ``rows`` carries its file as ``_path``. Values under names that ``columns`` lacks go to ``rescued`` as JSON,
-    where that is empty; a line there stays only if it is too short or too long for its own header.
+    ``rows`` carries its file as ``_path``. Values under names that ``names``, or else ``columns``, lacks go to ``rescued``
+    as JSON, where that is empty; a line there stays only if it is too short or too long for its own header, or that
+    header is longer than ``names``.
     """
+    names = columns if names is None else names
     rows = rows.join(headers.select(F.col("file").alias(_PATH), F.col("header").alias("_header")), _PATH, "left")
-    values, header = F.array(*[F.col(f"`{c}`") for c in columns]), F.coalesce("_header", F.array(*map(F.lit, columns)))
-    named = {c: F.get(values, F.array_position(header, F.lit(c)).cast("int") - 1) for c in columns}
+    values, header = F.array(*[F.col(f"`{c}`") for c in columns]), F.coalesce("_header", F.array(*map(F.lit, names)))
+    named = {c: F.get(values, F.array_position(header, F.lit(c)).cast("int") - 1) for c in names}
     if rescued:
         pairs = F.filter(F.arrays_zip(header.alias("name"), values.alias("value")), lambda p: p["value"].isNotNull())
-        other = F.filter(pairs, lambda p: p["name"].isNotNull() & ~p["name"].isin(*columns))
+        other = F.filter(pairs, lambda p: p["name"].isNotNull() & ~p["name"].isin(*names))
         other = F.map_from_entries(F.transform(other, lambda p: F.struct(p["name"], p["value"])))
         width = F.size(header)
         surplus = F.exists(F.slice(values, width + 1, F.lit(len(columns))), lambda x: x.isNotNull())
-        fits = (width < len(columns)) & (F.size(F.split(rescued, re.escape(sep))) >= width) & ~surplus
+        fits = (width < len(columns)) & (width <= len(names)) & (F.size(F.split(rescued, re.escape(sep))) >= width) & ~surplus
         line = F.when(~F.coalesce(fits, F.lit(False)), F.col(rescued))
         named[rescued] = F.coalesce(line, F.nullif(F.to_json(other), F.lit("{}")))
     return rows.withColumns(named).drop("_header")
 
 
 def files_by_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """(path, utf8) per file: whether every line is valid UTF-8. Reads line by line."""
+    """(path, utf8, binary) per file: whether every line is valid UTF-8, and whether any holds a zero byte, as no text does."""
     return (
         spark.read.text(path)
         .groupBy(F.col("_metadata.file_path").alias("path"))
-        .agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+        .agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(F.contains("value", F.lit("\0"))).alias("binary"))
     )
 
 
@@ -108,32 +123,43 @@ def _delimited(
     skip_long: bool,
     multi_line: bool = False,
     files: DataFrame | None = None,
+    mixed: bool = False,
 ) -> DataFrame:
-    """Delimited text as text columns; files with headers of their own are lined up by name."""
+    """Delimited text as text columns; files with headers of their own are lined up by name.
+
+    ``files`` (``_path``, ``utf8``) limits it to some; with ``mixed`` those marked so are UTF-8 within a Latin-1 read.
+    """
     options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "encoding": encoding, "multiLine": multi_line}
-    headers, different = file_headers(spark, path, options, files=files)
-    if different > 1 or files is not None:
-        own = [r.header for r in headers.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()]
-        columns = list(dict.fromkeys(name for header in own for name in header))
-    else:
+    headers, kinds = file_headers(spark, path, options, files, mixed)
+    columns = list(dict.fromkeys(name for header in kinds for name in header))
+    if not columns:
         columns = spark.read.options(**options).csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in [*columns, _OVERFLOW, _RAW]])
     # Without every column parsed, the number of fields in a line would go unnoticed.
     rows = spark.read.options(**options, columnNameOfCorruptRecord=_RAW, columnPruning=False).schema(schema).csv(path)
     rows = rows.withColumn(_PATH, F.col("_metadata.file_path"))
     if files is not None:
-        rows = rows.join(files, _PATH, "left_semi")
+        rows = rows.join(files.withColumnRenamed("utf8", _UTF8), _PATH)
     if skip_long:
         # The schema has one field too many, so a full line counts as too short.
         rows = rows.filter(F.col(_OVERFLOW).isNull() & F.col(_RAW).isNotNull())
-    if different > 1:
+    if len(kinds) > 1:
+        headers = checkpointed(headers)
         if skip_long:
             fields = F.array(*[F.col(f"`{c}`") for c in columns])
             widths = headers.select(F.col("file").alias(_PATH), F.size("header").alias("_width"))
             surplus = F.exists(F.slice(fields, F.col("_width") + 1, F.lit(len(columns))), lambda x: x.isNotNull())
             rows = rows.join(widths, _PATH).filter(~surplus).drop("_width")
         rows = by_header(rows, columns, headers)
-    return clean_columns(rows.select(*[F.col(f"`{c}`") for c in columns]))
+    values = [F.col(f"`{c}`") for c in columns]
+    if mixed:
+        values = [F.when(F.col(_UTF8), _as_utf8(v)).otherwise(v).alias(c) for c, v in zip(columns, values)]
+    return clean_columns(rows.select(*values))
+
+
+def _as_utf8(text: Column) -> Column:
+    """Text that was read as Latin-1, decoded as the UTF-8 it is."""
+    return F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
 
 
 def read_delimited(
@@ -154,24 +180,23 @@ def read_delimited(
 
 
 def read_csv_flexible(spark: SparkSession, path: str, sep: str = ";", multi_line: bool = False) -> DataFrame:
-    """Delimited text in UTF-8 or, file by file, Latin-1; falls back to ``;``.
+    """Delimited text in UTF-8 or, file by file, Latin-1; falls back to ``;``. Files that are no text are left out.
 
-    Only one row of flags reaches the driver. A folder with both encodings is read once in
-    each, every read keeping its own files.
+    One pass for the flags, of which one row reaches the driver, and one for the rows: where encodings differ, all files
+    are read as Latin-1, which keeps every byte, and the values of UTF-8 files are decoded after that.
     """
-    kinds = files_by_encoding(spark, path)
-    seen = kinds.agg(F.bool_or("utf8").alias("utf8"), F.bool_or(~F.col("utf8")).alias("latin")).first()
-    chosen = sniff_separator(spark, path, sep)
-    frames = []
-    for encoding, utf8, present in (("UTF-8", True, seen.utf8), ("ISO-8859-1", False, seen.latin)):
-        if not present:
-            continue
-        own = kinds.filter(F.col("utf8") == utf8).select(F.col("path").alias(_PATH)) if seen.utf8 and seen.latin else None
-        frames.append(_delimited(spark, path, chosen, encoding, True, multi_line, own))
-    if not frames:
+    kinds = checkpointed(files_by_encoding(spark, path))
+    seen = kinds.agg(
+        F.bool_or(F.col("utf8") & ~F.col("binary")).alias("utf8"),
+        F.bool_or(~F.col("utf8") & ~F.col("binary")).alias("latin"),
+        F.bool_or("binary").alias("binary"),
+    ).first()
+    if not seen.utf8 and not seen.latin:
         return spark.createDataFrame([], StructType())
-    # Each encoding's files are lined up by name on their own, and so are the encodings.
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    chosen = sniff_separator(spark, path, sep)
+    mixed = seen.utf8 and seen.latin
+    files = kinds.filter(~F.col("binary")).select(F.col("path").alias(_PATH), "utf8") if mixed or seen.binary else None
+    return _delimited(spark, path, chosen, "UTF-8" if not seen.latin else "ISO-8859-1", True, multi_line, files, mixed)
 
 
 def read_if_exists(spark: SparkSession, path: str, reader, schema: StructType) -> DataFrame:
@@ -184,8 +209,20 @@ def read_schedule(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Whole-file JSON: an object is one row, an array one row per element."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Whole-file JSON: an object is one row, an array one row per element; a file that is no JSON gives none."""
+    broken = "_broken_document"
+    read = spark.read.schema(StructType([*schema, StructField(broken, StringType())]))
+    rows = read.option("multiLine", True).option("columnNameOfCorruptRecord", broken).json(path)
+    return rows.filter(F.col(broken).isNull()).drop(broken)
+
+
+def broken_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(file, reason) per file of a source that no reader can use: ``no text`` or ``no JSON``."""
+    file = F.col("_metadata.file_path").alias("file")
+    if kind == "json":
+        texts = spark.read.text(path, wholetext=True).select(file, "value")
+        return texts.filter(F.try_parse_json("value").isNull()).select("file", F.lit("no JSON").alias("reason"))
+    return files_by_encoding(spark, path).filter("binary").select(F.col("path").alias("file"), F.lit("no text").alias("reason"))
 
 
 def read_array_document(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

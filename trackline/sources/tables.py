@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -83,50 +84,44 @@ def first_available(spark: SparkSession, candidates: Sequence[str], schema: Stru
     return spark.table(found) if found else schemas.empty(spark, schema)
 
 
-def load_tables(spark: SparkSession, database: str, curated: bool = True) -> dict[str, DataFrame]:
-    """The bundle from a database: curated tables where present, else bronze ones.
+def normalizer(key: str) -> Callable[[DataFrame], DataFrame]:
+    """The normaliser of a dataset, row by row. Trip updates keep entity ids: the delay model tells rows apart by them."""
+    if key == "trip_updates":
+        return lambda df: normalize_trip_updates(df, keep_entity_id=True)
+    return NORMALIZERS.get(key, lambda df: df)
+
 
-    Entity ids of trip updates are kept; the delay model tells rows apart by them.
-    """
-    normalizers = {**NORMALIZERS, "trip_updates": lambda df: normalize_trip_updates(df, keep_entity_id=True)}
+def load_tables(spark: SparkSession, database: str, curated: bool = True) -> dict[str, DataFrame]:
+    """The bundle from a database: curated tables where present, else bronze ones."""
     out = schemas.empty_bundle(spark)
 
-    def existing(table: str) -> DataFrame | None:
-        name = f"{database}.{table}"
-        return spark.table(name) if spark.catalog.tableExists(name) else None
+    def exists(table: str) -> bool:
+        return spark.catalog.tableExists(f"{database}.{table}")
 
     for key in out:
-        table = existing(CURATED[key]) if curated and key in CURATED else None
-        if table is None:
-            table = _from_bronze(key, existing)
-        if table is None:
-            names = [f"{database}.{t}" for t in BRONZE.get(key, [])]
-            table = first_available(spark, names, schemas.BUNDLE[key])
-        out[key] = normalizers.get(key, lambda df: df)(table)
+        if curated and key in CURATED and exists(CURATED[key]):
+            frames = [spark.table(f"{database}.{CURATED[key]}")]
+        else:
+            frames = [read(spark.table(f"{database}.{name}")) for name, read in bronze_sources(key, exists)]
+        out[key] = normalizer(key)(reduce(DataFrame.unionByName, frames) if frames else out[key])
     return out
 
 
-def _from_bronze(key: str, existing: Callable[[str], DataFrame | None]) -> DataFrame | None:
-    """Datasets whose bronze table needs more than renaming."""
+def bronze_sources(key: str, exists: Callable[[str], bool]) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """The bronze tables that feed a dataset, each with how its rows become the dataset's, row by row."""
     if key in STATION_TABLES:
         name, source = STATION_TABLES[key]
-        table = existing(name)
-        return None if table is None else project_station_list(table, source)
-    if key == "trip_updates":
-        out = None
-        for name, feed, mode in TRIP_FEEDS:
-            table = existing(name)
-            if table is not None:
-                rows = flatten_trip_updates(table, feed, mode)
-                out = rows if out is None else out.unionByName(rows)
-        return out
-    if key == "vehicles":
-        table = existing(VEHICLE_TABLE)
-        return None if table is None else flatten_vehicles(table)
-    if key == "alerts":
-        table = existing(ALERT_TABLE)
-        return None if table is None else flatten_alerts(table)
-    return None
+        found = [(name, lambda df: project_station_list(df, source))]
+    elif key == "trip_updates":
+        found = [(name, lambda df, f=feed, m=mode: flatten_trip_updates(df, f, m)) for name, feed, mode in TRIP_FEEDS]
+    elif key == "vehicles":
+        found = [(VEHICLE_TABLE, flatten_vehicles)]
+    elif key == "alerts":
+        found = [(ALERT_TABLE, flatten_alerts)]
+    else:
+        # The first that exists; the others only stand in for it.
+        return [(name, lambda df: df) for name in BRONZE.get(key, []) if exists(name)][:1]
+    return [(name, read) for name, read in found if exists(name)]
 
 
 def load_queries(spark: SparkSession, queries: dict[str, str]) -> dict[str, DataFrame]:

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import json
 import time
-from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
-from trackline.sources.inventory import Spec
-from trackline.sources.readers import exact_glob, file_headers, path_exists
-from trackline.streaming.rescue import RESCUED
+from trackline.sources.readers import path_exists
+from trackline.streaming.rescue import RESCUED, inferred
 
 
 def merge_types(stored: DataType, seen: DataType) -> DataType:
@@ -28,83 +26,79 @@ def merge_types(stored: DataType, seen: DataType) -> DataType:
     return stored
 
 
-def _load(spark: SparkSession, state: str, table: str) -> tuple[StructType, int] | None:
+def stored_schema(spark: SparkSession, state: str, table: str) -> StructType | None:
+    """The newest schema kept for a table."""
     path = f"{state}/schemas/{table}"
     if not path_exists(spark, path):
         return None
     entry = max((json.loads(r.value) for r in spark.read.text(path).collect()), key=lambda e: e["version"])
-    return StructType.fromJson(entry["schema"]), entry["latest"]
+    return StructType.fromJson(entry["schema"])
 
 
-def _store(spark: SparkSession, state: str, table: str, schema: StructType, latest: int) -> None:
-    entry = json.dumps({"version": time.time_ns(), "schema": schema.jsonValue(), "latest": latest})
+def store_schema(spark: SparkSession, state: str, table: str, schema: StructType) -> None:
+    entry = json.dumps({"version": time.time_ns(), "schema": schema.jsonValue()})
     spark.createDataFrame([(entry,)], "value string").coalesce(1).write.mode("append").text(f"{state}/schemas/{table}")
 
 
-def header_schema(spark: SparkSession, base: str, state: str, spec: Spec, options: dict[str, str]) -> StructType:
-    """Text columns of the headers seen by the first load, in file order; names that come later are rescued."""
-    stored = _load(spark, state, spec.table)
+def header_schema(spark: SparkSession, state: str, table: str, headers: list[list[str]]) -> StructType:
+    """Text columns of the headers of the first batch, in file order; names that come later are rescued."""
+    stored = stored_schema(spark, state, table)
     if stored:
-        return stored[0]
-    path = exact_glob(base, spec.dataset)
-    headers, different = file_headers(spark, path, options, spec.file_names)
-    if different > 1:
-        kinds = headers.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()
-        names = list(dict.fromkeys(name for kind in kinds for name in kind.header))
-    else:
-        names = spark.read.options(**options, pathGlobFilter=spec.file_names).csv(path).columns
+        return stored
+    names = dict.fromkeys(name for header in headers for name in header)
     schema = StructType([StructField(n, StringType()) for n in [*names, RESCUED]])
-    _store(spark, state, spec.table, schema, spec.latest)
+    store_schema(spark, state, table, schema)
     return schema
 
 
 def document_schema(
-    spark: SparkSession, base: str, state: str, spec: Spec, declared: StructType | None = None
+    spark: SparkSession, state: str, table: str, seen: DataType, declared: StructType | None = None
 ) -> StructType:
-    """Inferred document schema, widened by the fields of files newer than the last run.
+    """The stored or declared schema, widened by the new fields of the type ``seen`` in a batch.
 
     Where ``declared`` has a field its type wins, which also covers arrays that came empty.
     """
-    stored = _load(spark, state, spec.table)
-    if stored and stored[1] >= spec.latest:
-        return stored[0]
-    reader = spark.read.option("multiLine", True).option("pathGlobFilter", spec.file_names)
-    if stored:
-        # One second back: times are kept in whole seconds.
-        after = datetime.fromtimestamp(stored[1] - 1, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
-        reader = reader.options(modifiedAfter=after, timeZone="UTC")
-    seen = reader.json(exact_glob(base, spec.dataset)).schema
-    seen = StructType([f for f in seen if f.name != "_corrupt_record"])
-    known = stored[0] if stored else declared
-    schema = merge_types(known, seen) if known else seen
-    _store(spark, state, spec.table, schema, spec.latest)
+    stored = stored_schema(spark, state, table)
+    known = stored or declared or StructType()
+    fields = inferred(seen) if isinstance(seen, StructType) else None
+    schema = merge_types(known, fields) if fields else known
+    if schema != stored:
+        store_schema(spark, state, table, schema)
     return schema
 
 
-def sync_table(spark: SparkSession, table: str, schema: StructType) -> None:
-    """Create the table, or give it the new fields of ``schema``.
+def database_path(spark: SparkSession, database: str) -> str:
+    return spark.sql(f"DESCRIBE SCHEMA {database}").filter("info_name = 'Location'").first().info_value.rstrip("/")
+
+
+def sync_table(spark: SparkSession, table: str, schema: StructType, path: str | None = None) -> str:
+    """Create the table, in ``path`` or its database's folder, or give it the new fields of ``schema``; where it lies.
 
-    New columns are added in place. Only new fields inside a column make the definition
-    anew, over the same files; should that fail, the old definition is put back. Files
-    written before a field existed read it as null.
+    The files of a table lie in one folder per batch, read as one. New columns are added in place. Only new fields
+    inside a column make the definition anew, over the same files; should that fail, the old definition is put back.
+    Files written before a field existed read it as null.
     """
     database, name = table.rsplit(".", 1)
+
+    def create(path: str, kind: StructType) -> str:
+        spark.catalog.createTable(table, path=path, source="parquet", schema=kind, recursiveFileLookup="true")
+        return path
+
     if not spark.catalog.tableExists(table):
-        root = spark.sql(f"DESCRIBE SCHEMA {database}").filter("info_name = 'Location'").first().info_value
-        spark.catalog.createTable(table, path=f"{root.rstrip('/')}/{name}", source="parquet", schema=schema)
-        return
+        return create(path or f"{database_path(spark, database)}/{name}", schema)
     current = spark.table(table).schema
+    path = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first().data_type
     merged = merge_types(current, schema)
     kept = StructType(merged.fields[: len(current)])
     if kept.simpleString() != current.simpleString():
-        details = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first()
         # The table is external, so dropping the definition keeps its files.
         spark.sql(f"DROP TABLE {table}")
         try:
-            spark.catalog.createTable(table, path=details.data_type, source="parquet", schema=merged)
+            create(path, merged)
         except Exception:
-            spark.catalog.createTable(table, path=details.data_type, source="parquet", schema=current)
+            create(path, current)
             raise
     elif len(merged) > len(current):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.fields[len(current) :])
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({columns})")
+    return path

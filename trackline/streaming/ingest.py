@@ -1,26 +1,34 @@
 """Incremental ingest of raw files into bronze tables.
 
-One file stream per table, with its own checkpoint, run to the end of what is there
-(``availableNow``). A rerun adds only new files. The streams of a run overlap.
+One stream per table, with its own checkpoint, run to the end of what is there (``availableNow``). The stream carries
+the paths of new files only; each micro-batch reads, infers and writes its own files, so the cost of a run follows what
+is new. A batch writes a folder named after its number and overwrites what an interrupted attempt left there, so every
+file is loaded once. The streams of a run overlap.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from trackline import schemas
 from trackline.functions import sanitize_name, sanitize_names
 from trackline.session import checkpointed
 from trackline.sources.inventory import Spec, build_specs, hidden_files, list_files, spec_table, uncovered_files
-from trackline.sources.readers import BINARY_SCHEMA, CSV_OPTIONS, SCHEDULE_OPTIONS, by_header, exact_glob, file_headers
+from trackline.sources.readers import (
+    BINARY_SCHEMA, CSV_OPTIONS, SCHEDULE_OPTIONS, by_header, escaped, exact_glob, file_headers,
+)
 from trackline.sources.tables import ensure_database
 from trackline.streaming.evolution import document_schema, header_schema, sync_table
-from trackline.streaming.rescue import RESCUED, parse_documents
+from trackline.streaming.rescue import RESCUED, covers, parse_objects, read_objects, seen_schema
+
+# The column that carries a row's file until its lineage is added.
+FILE = "_file"
 
 # Feeds some of whose fields are declared; all others are inferred.
 DECLARED = {
@@ -36,45 +44,86 @@ def with_lineage(df: DataFrame, pattern: str, source_format: str) -> DataFrame:
     return df.withColumns(
         {
             "_ingest_ts": F.current_timestamp(),
-            "_source_file_path": F.col("_metadata.file_path"),
+            "_source_file_path": F.col(FILE),
             "_source_pattern": F.lit(pattern),
             "_source_format": F.lit(source_format),
         }
     )
 
 
-def sanitize_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*sanitize_names(df.columns))
+def file_stream(
+    spark: SparkSession, path: str, names: str, checkpoint: str, load: Callable[[list[str], int], None],
+    max_files: int = 10_000, recursive: bool = False,
+) -> StreamingQuery:
+    """Start a stream over the files of ``path`` called like ``names`` that ends with what is there now.
 
+    ``load`` gets the paths of each micro-batch, at most ``max_files``, and its number; a batch that was interrupted comes
+    again with the same number and paths. Nothing of the files is read by the stream itself.
+    """
+    options = {"maxFilesPerTrigger": max_files, "pathGlobFilter": names, "recursiveFileLookup": recursive}
+    files = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).options(**options).load(path).select("path")
+
+    def run(batch: DataFrame, number: int) -> None:
+        paths = sorted(r.path for r in batch.collect())
+        if paths:
+            load(paths, number)
+
+    writer = files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return writer.foreachBatch(run).start()
+
+
+def delimited_rows(spark: SparkSession, state: str, spec: Spec, paths: list[str]) -> DataFrame:
+    """The lines of some files as text columns, each value under the name that its own file's header gives it."""
+    options = CSV_OPTIONS if spec.layout == "csv" else SCHEDULE_OPTIONS
+    headers, kinds = file_headers(spark, paths, options)
+    schema = header_schema(spark, state, spec.table, kinds)
+    names = [n for n in schema.fieldNames() if n != RESCUED]
+    read = spark.read.options(**options, columnNameOfCorruptRecord=RESCUED)
+    if all(header == names for header in kinds):
+        rows = read.schema(schema).csv(paths)
+        return rows.select(*schema.fieldNames(), F.col("_metadata.file_path").alias(FILE))
+    # By position, with a field more than any header has: every line then counts as too short and keeps its text.
+    fields = [f"_field_{i}" for i in range(max(map(len, [names, *kinds])) + 1)]
+    rows = read.schema(StructType([StructField(f, StringType()) for f in [*fields, RESCUED]])).csv(paths)
+    rows = rows.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_path").alias("_path"))
+    # One row per file of the batch.
+    own = F.broadcast(checkpointed(headers))
+    return by_header(rows, fields, own, RESCUED, options["sep"], names).select(*schema.fieldNames(), FILE)
+
+
+def document_rows(
+    spark: SparkSession, state: str, spec: Spec, paths: list[str], declared: StructType | None
+) -> DataFrame:
+    """The objects of some JSON files. They are parsed once; new fields widen the schema before they are read."""
+    texts = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias(FILE))
+    objects = checkpointed(parse_objects(texts))
+    seen = seen_schema(objects)
+    schema = document_schema(spark, state, spec.table, seen, declared)
+    rows = read_objects(objects, schema, clean=covers(schema, seen))
+    return rows.select(*schema.fieldNames(), RESCUED, FILE)
 
-def read_stream(
-    spark: SparkSession, base: str, state: str, spec: Spec, declared: dict[str, StructType], max_files: int
+
+def batch_rows(
+    spark: SparkSession, state: str, spec: Spec, paths: list[str], declared: dict[str, StructType] = DECLARED
 ) -> DataFrame:
-    """The new rows of one source, with sanitised names and lineage."""
-    path = exact_glob(base, spec.dataset)
-    reader = spark.readStream.option("maxFilesPerTrigger", max_files).option("pathGlobFilter", spec.file_names)
-    if spec.layout == "json":
-        schema = document_schema(spark, base, state, spec, declared.get(spec.table))
-        text = reader.format("text").option("wholetext", True).load(path)
-        lines = text.select("value", F.col("_metadata"))
-        rows = parse_documents(lines, schema)
-        names = [n for n in rows.columns if n != "_metadata"]
-        rows = rows.select(*[F.col(f"`{o}`").alias(n) for o, n in zip(names, sanitize_names(names))], "_metadata")
-        return with_lineage(rows, spec.dataset, spec.source_format).drop("_metadata")
+    """The rows of some files of one source, with sanitised names and lineage."""
+    exact = [escaped(p) for p in paths]
     if spec.layout == "binary":
-        rows = reader.format("binaryFile").schema(BINARY_SCHEMA).load(path)
+        rows = spark.read.format("binaryFile").load(exact).select("*", F.col("_metadata.file_path").alias(FILE))
+    elif spec.layout == "json":
+        rows = document_rows(spark, state, spec, exact, declared.get(spec.table))
     else:
-        options = CSV_OPTIONS if spec.layout == "csv" else SCHEDULE_OPTIONS
-        schema = header_schema(spark, base, state, spec, options)
-        rows = reader.format("csv").options(**options, columnNameOfCorruptRecord=RESCUED).schema(schema).load(path)
-        headers, different = file_headers(spark, path, options, spec.file_names)
-        names = [n for n in schema.fieldNames() if n != RESCUED]
-        if different > 1 or headers.filter(F.col("header") != F.array(*map(F.lit, names))).limit(1).count():
-            rows = rows.select("*", "_metadata").withColumn("_path", F.col("_metadata.file_path"))
-            rows = by_header(rows, names, checkpointed(headers), RESCUED, options["sep"]).select(*schema.fieldNames(), "_metadata")
-            rows = rows.toDF(*sanitize_names(schema.fieldNames()), "_metadata")
-            return with_lineage(rows, spec.dataset, spec.source_format).drop("_metadata")
-    return with_lineage(sanitize_columns(rows), spec.dataset, spec.source_format)
+        rows = delimited_rows(spark, state, spec, exact)
+    names = [n for n in rows.columns if n != FILE]
+    rows = rows.toDF(*sanitize_names(names), FILE)
+    return with_lineage(rows, spec.dataset, spec.source_format).drop(FILE)
+
+
+def write_batch(spark: SparkSession, table: str, rows: DataFrame, number: int, path: str | None = None) -> None:
+    """Bring the table's columns up to date and write the batch's folder; a repeated number replaces it."""
+    path = sync_table(spark, table, rows.schema, path)
+    rows.write.mode("overwrite").parquet(f"{path}/batch-{number:09d}")
+    spark.catalog.refreshTable(table)
 
 
 def start_stream(
@@ -86,16 +135,14 @@ def start_stream(
     declared: dict[str, StructType] = DECLARED,
     max_files: int = 10_000,
 ) -> StreamingQuery:
-    """Bring the table's columns up to date and start its stream."""
-    rows = read_stream(spark, base, state, spec, declared, max_files)
+    """Start the stream of one source into its table."""
     table = f"{database}.{sanitize_name(spec.table)}"
-    sync_table(spark, table, rows.schema)
-    return (
-        rows.writeStream.queryName(f"ingest_{spec.table}")
-        .option("checkpointLocation", f"{state}/checkpoints/{spec.table}")
-        .trigger(availableNow=True)
-        .toTable(table)
-    )
+
+    def load(paths: list[str], number: int) -> None:
+        write_batch(spark, table, batch_rows(spark, state, spec, paths, declared), number)
+
+    checkpoint = f"{state}/checkpoints/{spec.table}"
+    return file_stream(spark, exact_glob(base, spec.dataset), spec.file_names, checkpoint, load, max_files)
 
 
 def ingest(

@@ -12,8 +12,8 @@ from trackline import schemas
 from trackline.operators.counts import row_counts
 from trackline.operators.flatten import trip_updates_of_feeds
 from trackline.plans.curate import write_curated
-from trackline.session import shared_dir
-from trackline.sources.bundle import load_files
+from trackline.session import checkpointed, shared_dir
+from trackline.sources.bundle import load_files, rejected_files
 from trackline.sources.readers import read_array_document, read_csv_flexible, read_document
 from trackline.sources.inventory import hidden_files, list_files, route_files
 from trackline.sources.tables import load_queries, load_tables, table_inventory
@@ -301,6 +301,37 @@ def curated_updates(spark, sf_dir):
     )
 
 
+@query(
+    "curated_increments",
+    """SELECT service_date, CAST(CASE WHEN again THEN 2 * n ELSE n END AS BIGINT) AS updates,
+              CASE WHEN again THEN 'added' ELSE 'kept' END AS files
+       FROM (SELECT CAST(feed_ts AS DATE) AS service_date, date_diff('day', DATE '1970-01-01', CAST(feed_ts AS DATE)) % 5 = 0 AS again,
+                    count(*) AS n FROM fx_feed_flat WHERE service = 'A' GROUP BY 1, 2) d""",
+)
+def curated_increments(spark, sf_dir):
+    """Two deliveries: the second brings the updates of every fifth day again. Files of other days stay, and so do all old ones."""
+    run = Run(spark)
+    feed = views.trip_feed(spark, sf_dir, "A")
+    key = F.coalesce(F.get("entity.id", F.lit(0)), F.lit("0")).cast("bigint")
+    day = F.datediff(F.to_date(F.timestamp_seconds(F.col("header.timestamp").cast("bigint"))), F.lit("1970-01-01"))
+    target = f"curated_{run.database}"
+
+    def delivered(rows: DataFrame) -> DataFrame:
+        write_documents(rows.withColumn("key", key), "key", f"{run.raw}/trip_updates.json", mode="append")
+        run.load()
+        write_curated(spark, run.database, target, f"{run.location}_curated")
+        spark.catalog.refreshTable(f"{target}.trip_updates_rt")
+        rows = spark.table(f"{target}.trip_updates_rt")
+        return checkpointed(rows.groupBy("service_date", F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n")))
+
+    first, second = delivered(feed), delivered(feed.where(day % 5 == 0))
+    lost = first.join(second, "file", "left_anti").count()
+    new = second.join(first, "file", "left_anti").select("file", F.lit(1).alias("new"))
+    dates = second.join(new, "file", "left").groupBy("service_date").agg(F.sum("n").alias("updates"), F.max("new").alias("new"))
+    state = F.when(F.lit(lost > 0), "lost").when(F.col("new") == 1, "added").otherwise("kept")
+    return dates.select("service_date", "updates", state.alias("files"))
+
+
 @query(
     "ingest_feed_fidelity",
     """SELECT entity_id, trip_id, route_id, bearing, first_delay, second_delay,
@@ -493,6 +524,38 @@ def files_to_bundle(spark, sf_dir):
     )
 
 
+@query(
+    "broken_sources",
+    """SELECT 'rows' AS kind, 'trip_updates' AS dataset, CAST(count(*) AS VARCHAR) AS value FROM fx_feed_flat
+         WHERE service = 'A' AND entity_id IS NOT NULL
+       UNION ALL SELECT 'rows', 'alerts', '0' UNION ALL SELECT 'rows', 'stations', '0' UNION ALL SELECT 'rows', 'atendo', '0'
+       UNION ALL SELECT 'rows', 'gtfs_trips', CAST(count(*) AS VARCHAR) FROM fx_trips
+       UNION ALL SELECT 'reject', 'alerts', 'no JSON' UNION ALL SELECT 'reject', 'trip_updates', 'no JSON'
+       UNION ALL SELECT 'reject', 'stations', 'no text' UNION ALL SELECT 'reject', 'atendo', 'missing'""",
+)
+def broken_sources(spark, sf_dir):
+    """A folder with sound files, truncated JSON, binary data called .csv and a missing list: what is read and what is told."""
+    run = Run(spark)
+    feed = views.trip_feed(spark, sf_dir, "A")
+    ids = F.coalesce(F.get("entity.id", F.lit(0)), F.lit("0")).cast("bigint")
+    write_documents(feed.withColumn("key", ids), "key", f"{run.raw}/trip_updates.json")
+    alerts = views.alert_feed(spark, sf_dir)
+    cut = F.to_json(F.struct(F.collect_list(F.struct(*alerts.columns)).alias("entity")))
+    text = alerts.agg(cut.alias("value")).select(F.substring("value", 1, 200).alias("value"))
+    text.write.text(f"{run.raw}/alerts.json")
+    text.write.mode("append").text(f"{run.raw}/trip_updates.json")
+    pages = views.frame(spark, sf_dir, "fx_incidents").select(F.concat("paragraph", F.lit("\0")).alias("value"))
+    pages.coalesce(1).write.text(f"{run.raw}/estaciones.csv")
+    write_csv(views.frame(spark, sf_dir, "fx_trips"), f"{run.raw}/google_transit/trips.txt", ",", "UTF-8")
+    data = load_files(spark, run.raw)
+    names = ("trip_updates", "alerts", "stations", "atendo", "gtfs_trips")
+    rows = row_counts({k: data[k] for k in names}).select(
+        F.lit("rows").alias("kind"), F.col("metric").alias("dataset"), F.col("value").cast("string").alias("value")
+    )
+    rejects = rejected_files(spark, run.raw).filter(F.col("source").isin("alerts.json", "trip_updates.json", "estaciones.csv") | (F.col("dataset") == "atendo"))
+    return rows.unionByName(rejects.select(F.lit("reject").alias("kind"), "dataset", F.col("reason").alias("value")))
+
+
 @query(
     "sql_to_bundle",
     """SELECT 'trip_updates' AS dataset, CAST(event_id AS VARCHAR) AS key, value * 60.0 AS amount FROM events
