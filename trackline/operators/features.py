@@ -138,7 +138,7 @@ def delay_features(
     ``unique_lookup`` is set. ``row`` names a unique, never null column of the updates;
     without one the updates are materialised and numbered. ``row_id`` joins it with the
     numbers of the trip and route rows met, so it is unique as well. The blank trip and
-    route keys are salted; other hot keys are left to skew splitting.
+    route keys are salted; other hot keys are split by adaptive execution, see ``salted_left_join``.
     """
     if row is None:
         row = "row_number"

@@ -1,4 +1,4 @@
-"""Left joins whose known hot key is salted."""
+"""Left joins whose hot keys are spread over many tasks."""
 
 from __future__ import annotations
 
@@ -25,13 +25,18 @@ def salt_lookup(lookup: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
 def salted_left_join(
     fact: DataFrame, lookups: Sequence[DataFrame], key: str, row: Column, salts: int = SALTS
 ) -> DataFrame:
-    """Left join ``fact`` with each lookup on ``key``; all joins share one shuffle of ``fact``.
+    """Left join ``fact`` with each lookup on ``key``.
 
-    Missing ids all carry the blank key, which is therefore always salted. Other hot keys are
-    left to adaptive skew splitting. ``row`` is unique per row of ``fact``. Lookups are not
-    deduplicated: a key they hold twice doubles the matching rows.
+    Missing ids all carry the blank key, which is therefore always salted. Other hot keys are split by adaptive
+    execution, which it does only for joins whose two sides are shuffled for that join and nothing else: each join
+    gets a key of its own, computed anew, so that none rests on the shuffle of the one before. ``row`` is unique per row
+    of ``fact``. Lookups are not deduplicated: a key they hold twice doubles the matching rows.
     """
     out = fact.withColumn("salt", blank_salt(key, row, salts))
+    own = "join_key"
+    while own in fact.columns:
+        own = f"_{own}"
     for lookup in lookups:
-        out = out.join(salt_lookup(lookup, key, salts), [key, "salt"], "left")
+        salted = salt_lookup(lookup, key, salts).withColumnRenamed(key, own)
+        out = out.withColumn(own, F.concat(F.col(key), F.lit(""))).join(salted, [own, "salt"], "left").drop(own)
     return out.drop("salt")
