@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 from tests.conftest import SF_DIR
-from trackline.operators import distributions
+from trackline.operators import counts, distributions
 from trackline.operators.joins import SALTS, blank_salt, salted_left_join
 from trackline.operators.quantiles import box_statistics
+from trackline.operators.stations import station_master
+from trackline.plans.marts import filter_values
 from workload import views
 from workload.registry import QUERIES
 
@@ -45,6 +47,30 @@ def test_salts_split_the_blank_key(spark):
     assert kept.filter("k = 'x' AND salt = 0").count() == 1
 
 
+def test_both_lookups_split_a_hot_trip(spark):
+    """One named trip holds half the rows: adaptive execution splits it in either join."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        fact = spark.range(400_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("trip_id"), "id", F.md5(F.col("id").cast("string")).alias("text"))
+        keys = spark.range(5_000).select(F.when(F.col("id") == 0, "hot").otherwise((F.col("id") * 2 + 1).cast("string")).alias("trip_id"))
+        joined = salted_left_join(fact, [keys.withColumn("a", F.lit(1)), keys.withColumn("b", F.lit(2))], "trip_id", F.col("id"))
+        # The text makes the rows as large as real ones: equal rows would shrink to nothing in the shuffle.
+        sums = joined.agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("text"))
+        found = sums.collect()[0]
+        final = plan(sums).split("== Initial Plan")[0]
+        assert final.count("skew=true") == 2
+        assert (found.n, found.a, found.b) == (400_000, 204_999, 409_998)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("case", ["random", "tied", "single", "negative", "huge"])
 def test_quantiles_against_numpy(spark, case):
     rng = random.Random(7)
@@ -108,6 +134,26 @@ def test_box_statistics_scan_once(spark):
     assert final.count("FileScan") == 1
 
 
+def test_reports_scan_each_dataset_once(spark):
+    """Filter lists and counts are one aggregate per dataset; a view over several tables counts each of its scans once."""
+    data = views.bundle(spark, SF_DIR)
+    scans = lambda df: plan(df).split("== Initial Plan")[0].count("FileScan")
+    names = ("train_info", "trip_updates", "gtfs_routes", "vehicles")
+    assert scans(filter_values(data)) == scans(station_master(data)) + sum(scans(data[n].select(F.count("*"))) for n in names)
+    assert scans(counts.operations_kpis({**data, "gtfs_trips": spark.read.parquet(f"{SF_DIR}/orders.parquet").select(F.col("o_orderkey").alias("trip_id"))})) == sum(
+        scans(data[n].select(F.count("*"))) for n in ("stations", "gtfs_routes", "trip_updates", "vehicles", "alerts", "incidents")
+    ) + 1
+
+
+def test_sketches_can_be_kept_and_merged(spark):
+    df = spark.range(60_000).select((F.col("id") % 7).alias("day"), (F.col("id") % 20_000).cast("string").alias("k"))
+    kept = counts.distinct_sketches(df, F.col("day"), {"keys": F.col("k")})
+    assert kept.count() == 7
+    late = counts.distinct_sketches(spark.range(1).select(F.lit(9).alias("day"), F.lit("new").alias("k")), F.col("day"), {"keys": F.col("k")})
+    value = counts.merged_distinct_counts(kept.unionByName(late), ["keys"]).first().value
+    assert abs(value - 20_001) < 600
+
+
 def test_top_k_needs_no_sort(spark):
     assert "TakeOrderedAndProject" in plan(spark_entry.queries()["top_delayed_trips"](spark, SF_DIR))
 

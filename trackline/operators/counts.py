@@ -126,15 +126,31 @@ def operations_kpis(bundle: dict[str, DataFrame]) -> DataFrame:
     names = {
         "stations": "stations",
         "routes": "gtfs_routes",
-        "scheduled_trips": "gtfs_trips",
         "trip_updates": "trip_updates",
         "vehicles": "vehicles",
         "alerts": "alerts",
         "incidents": "incidents",
     }
-    return row_counts({k: bundle[n] for k, n in names.items()}).unionByName(
-        distinct_counts(bundle["gtfs_trips"], {"distinct_trips": F.col("trip_id")})
+    # One scan of the trips for both of their numbers.
+    trips = bundle["gtfs_trips"].agg(
+        F.count(F.lit(1)).alias("scheduled_trips"), F.count_distinct("trip_id").alias("distinct_trips")
     )
+    both = trips.unpivot([], ["scheduled_trips", "distinct_trips"], "metric", "value")
+    return row_counts({k: bundle[n] for k, n in names.items()}).unionByName(both)
+
+
+def distinct_sketches(df: DataFrame, by: Column, metrics: dict[str, Column], bits: int = 14) -> DataFrame:
+    """A HyperLogLog sketch per expression and value of ``by``, such as a service date; nulls do not count.
+
+    The rows can be kept, and those of new dates added; a sketch has at most 2 ** ``bits`` bytes.
+    """
+    return df.groupBy(by.alias("part")).agg(*[F.hll_sketch_agg(c.cast("string"), bits).alias(k) for k, c in metrics.items()])
+
+
+def merged_distinct_counts(sketches: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """One (metric, value) row per sketch column of ``distinct_sketches``, over all parts: estimates within some 2 %."""
+    one_row = sketches.agg(*[F.hll_sketch_estimate(F.hll_union_agg(k)).alias(k) for k in metrics])
+    return one_row.unpivot([], list(metrics), "metric", "value")
 
 
 def delay_kpis(updates: DataFrame) -> DataFrame:
@@ -164,6 +180,13 @@ def centroid(*points: DataFrame) -> DataFrame:
     return rows.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
-def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    """Sorted choices for a filter; null is no choice."""
-    return df.select(F.col(column).cast("string").alias(column)).dropna().distinct().orderBy(column)
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(filter, value) per distinct value of each column, all in one aggregate; null is no choice."""
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    if len(columns) == 1:
+        rows = texts.distinct()
+    else:
+        rows = texts.groupingSets([[F.col(c)] for c in columns], *columns).agg(F.count(F.lit(1)).alias("_rows"))
+    # A row has a value in the column of its own set only.
+    pairs = F.array(*[F.struct(F.lit(c).alias("filter"), F.col(c).alias("value")) for c in columns])
+    return rows.select(F.inline(pairs)).where(F.col("value").isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackline.functions import delay_minutes, hour_of_day, label, speed_value
-from trackline.operators.quantiles import box_statistics
+from trackline.operators.quantiles import approximate_box, box_statistics
 
 # Right-closed delay ranges in minutes and their labels.
 SEVERITY_EDGES = [-1, 0, 5, 15, 30, 10_000]
@@ -88,10 +88,23 @@ def speed_histogram(trains: DataFrame, bins: int = 20) -> DataFrame:
     return histogram(trains.select(speed_value(F.col("velocidad_maxima")).alias("speed")), "speed", bins)
 
 
+# The quartiles of the box plots.
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def minutes_by_feed(updates: DataFrame) -> DataFrame:
+    """Delay in minutes per feed."""
+    return updates.select(label(F.col("feed")).alias("feed"), _filled_minutes().alias("delay_min"))
+
+
 def delay_box(updates: DataFrame) -> DataFrame:
     """Box statistics of delay minutes per feed."""
-    minutes = updates.select(label(F.col("feed")).alias("feed"), _filled_minutes().alias("delay_min"))
-    return box_statistics(minutes, "feed", "delay_min")
+    return box_statistics(minutes_by_feed(updates), "feed", "delay_min")
+
+
+def delay_box_approx(updates: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Approximate box statistics of delay minutes per feed, for tables too large for exact ones: one small shuffle."""
+    return approximate_box(minutes_by_feed(updates), "feed", "delay_min", accuracy)
 
 
 def delay_box_overall(updates: DataFrame) -> DataFrame:

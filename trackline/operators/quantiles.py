@@ -1,9 +1,10 @@
 """Exact quantiles and box statistics per group without gathering a group.
 
 Works on value frequencies, so repeated values cost one row. Values fall into
-logarithmic buckets whose order follows the value order. Bucket totals, never more than
-a few million small rows per group, locate the buckets that matter: those holding a
-wanted rank and those a whisker limit cuts. Only their values are looked at one by one.
+logarithmic buckets whose order follows the value order. Totals of ranges of buckets, then
+of the buckets of a range, locate the buckets that matter: those holding a wanted rank and
+those a whisker limit cuts. Only their values are looked at one by one, and no task sorts
+more than the ranges of a group or the buckets of a range.
 A bucket spans a 65,536th of a doubling, so even 10^12 distinct values between 0 and 1
 leave it some 10^7 to sort.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Buckets per doubling of the magnitude.
 RESOLUTION = 65_536
+# Neighbouring buckets counted as one at first.
+RANGE = 4_096
 
 
 def _bucket(value: Column) -> Column:
@@ -24,17 +27,18 @@ def _bucket(value: Column) -> Column:
 
 
 def value_frequencies(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Rows (``freq``) per group and known value, with the value's bucket."""
+    """Rows (``freq``) per group and known value, with the value's bucket and range of buckets."""
     # The filter names what the joins below require, so all of them share one shuffle.
     rows = df.select(group, value).withColumn("bucket", _bucket(F.col(value)))
+    rows = rows.withColumn("range", F.floor(F.col("bucket") / RANGE))
     known = F.col(value).isNotNull() & ~F.isnan(value)
-    rows = rows.filter(F.col(group).isNotNull() & known & F.col("bucket").isNotNull())
-    return rows.groupBy(group, "bucket", value).agg(F.count(F.lit(1)).alias("freq"))
+    rows = rows.filter(F.col(group).isNotNull() & known & F.col("bucket").isNotNull() & F.col("range").isNotNull())
+    return rows.groupBy(group, "range", "bucket", value).agg(F.count(F.lit(1)).alias("freq"))
 
 
 def bucket_totals(freq: DataFrame, group: str, value: str) -> DataFrame:
     """Rows (``n``) and extremes (``lo``, ``hi``) per group and bucket."""
-    return freq.groupBy(group, "bucket").agg(
+    return freq.groupBy(group, "range", "bucket").agg(
         F.sum("freq").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
     )
 
@@ -46,14 +50,23 @@ def exact_quantiles(
 
     ``freq`` comes from ``value_frequencies`` and ``buckets`` from ``bucket_totals``.
     """
-    upto = F.sum("n").over(W.partitionBy(group).orderBy("bucket"))
+    # First among ranges of buckets, some thousand a group, then inside the ranges that hold a wanted rank.
+    totals = buckets.groupBy(group, "range").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(W.partitionBy(group).orderBy("range"))
     total = F.sum("n").over(W.partitionBy(group))
-    ranked = buckets.select(group, "bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"), total.alias("total"))
-    wanted = _wanted_ranks(probs)
-    targets = (
-        ranked.select(group, "bucket", "before", "upto", F.explode(wanted).alias("w"))
+    ranked = totals.select(group, "range", (upto - F.col("n")).alias("before"), upto.alias("upto"), total.alias("total"))
+    wanted = (
+        ranked.select(group, "range", "before", "upto", F.explode(_wanted_ranks(probs)).alias("w"))
         .filter((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("upto")))
-        .select(group, "bucket", "before", "w.*")
+        .select(group, "range", "before", "w.*")
+    )
+    inside = F.sum("n").over(W.partitionBy(group, "range", "name", "side").orderBy("bucket"))
+    targets = (
+        buckets.join(wanted, [group, "range"])
+        .withColumn("upto", F.col("before") + inside)
+        .withColumn("before", F.col("upto") - F.col("n"))
+        .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
+        .select(group, "bucket", "before", "name", "side", "rank", "weight")
     )
     running = F.col("before") + F.sum("freq").over(W.partitionBy(group, "bucket", "name", "side").orderBy(value))
     hits = (
@@ -134,3 +147,14 @@ def box_statistics(df: DataFrame, group: str, value: str, probs: Sequence[float]
             (F.col("outside") + F.col("cut_outside")).alias("outliers"),
         )
     )
+
+
+def approximate_box(df: DataFrame, group: str, value: str, accuracy: int = 10_000) -> DataFrame:
+    """Quartiles, extremes and count per group from mergeable sketches; a quartile's rank is off by 1 / ``accuracy`` at most."""
+    known = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
+    found = known.groupBy(group).agg(
+        F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy).alias("q"),
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
+    )
+    quartiles = [F.col("q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))]
+    return found.select(group, *quartiles, "n", "min", "max")

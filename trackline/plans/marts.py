@@ -6,8 +6,9 @@ A report whose columns a dataset does not have is left out.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from trackline.functions import STRICT_YES
 from trackline.operators import counts, distributions, filters, rankings
@@ -96,18 +97,32 @@ def operations_pages(bundle: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def _filter_columns(bundle: dict[str, DataFrame]) -> list[tuple[DataFrame, list[str]]]:
+    """The datasets that user filters take their values from, with the columns of each."""
+    found = [
+        (station_master(bundle), ["province", "source"]),
+        (bundle["train_info"], ["constructor"]),
+        (bundle["trip_updates"], ["feed"]),
+        (bundle["gtfs_routes"], ["route_type"]),
+        (bundle["vehicles"], ["status"]),
+    ]
+    present = [(df, [c for c in columns if c in df.columns]) for df, columns in found]
+    return [(df, columns) for df, columns in present if columns]
+
+
+def filter_values(bundle: dict[str, DataFrame]) -> DataFrame:
+    """(filter, value): the values of every user filter, sorted; one aggregate per dataset and one sort in all."""
+    rows = [counts.distinct_values(df, columns) for df, columns in _filter_columns(bundle)]
+    return reduce(DataFrame.unionByName, rows).orderBy("filter", "value")
+
+
 def filter_choices(bundle: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Sorted values for every user filter."""
-    stations = station_master(bundle)
-    columns = {
-        "province": stations,
-        "source": stations,
-        "constructor": bundle["train_info"],
-        "feed": bundle["trip_updates"],
-        "route_type": bundle["gtfs_routes"],
-        "status": bundle["vehicles"],
+    """Sorted values per user filter, each to be read on its own."""
+    return {
+        name: counts.distinct_values(df, [name]).select(F.col("value").alias(name)).orderBy(name)
+        for df, columns in _filter_columns(bundle)
+        for name in columns
     }
-    return {name: counts.distinct_values(df, name) for name, df in columns.items() if name in df.columns}
 
 
 def inventory_pages(inventory: DataFrame) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from trackline.functions import STRICT_YES
 from trackline.operators import counts, distributions, rankings
 from trackline.operators.filters import in_map_window
 from trackline.operators.stations import station_master
-from trackline.plans.marts import filter_choices
+from trackline.plans.marts import filter_values
 from trackline.sources.tables import with_layer_and_domain
 from workload import views
 from workload.datasets import MASTER, TABLES
@@ -54,6 +54,22 @@ def kpi_ops(spark, sf_dir):
     return counts.operations_kpis(views.bundle(spark, sf_dir))
 
 
+@query(
+    "kpi_distinct_approx",
+    """SELECT 'distinct_trips' AS metric, count(DISTINCT trip_id) AS exact, true AS close FROM fx_updates
+       UNION ALL SELECT 'distinct_feeds', count(DISTINCT feed), true FROM fx_updates""",
+)
+def kpi_distinct_approx(spark, sf_dir):
+    """Distinct counts from sketches kept per service date and merged: the exact number, and whether 5 % holds."""
+    updates = views.frame(spark, sf_dir, "fx_updates")
+    metrics = {"distinct_trips": F.col("trip_id"), "distinct_feeds": F.col("feed")}
+    sketches = counts.distinct_sketches(updates, F.to_date("timestamp"), metrics)
+    both = counts.merged_distinct_counts(sketches, list(metrics)).withColumnRenamed("value", "estimate").join(
+        counts.distinct_counts(updates, metrics).withColumnRenamed("value", "exact"), "metric"
+    )
+    return both.select("metric", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 @query(
     "kpi_delay",
     """SELECT count(*) FILTER (WHERE delay_seconds > 0) AS delayed_trips,
@@ -243,6 +259,30 @@ def delay_box(spark, sf_dir):
     return rounded(distributions.delay_box(views.frame(spark, sf_dir, "fx_updates")), *BOX)
 
 
+@query(
+    "delay_box_approx",
+    f"""SELECT {sql_label("feed")} AS feed, count(*) AS n, unnest(['q1', 'median', 'q3']) AS quantile, true AS within
+        FROM fx_updates GROUP BY 1""",
+)
+def delay_box_approx(spark, sf_dir):
+    """Quartiles from mergeable sketches: whether each lies within 1 in 1,000 of its rank, counted exactly."""
+    updates = views.frame(spark, sf_dir, "fx_updates")
+    found = distributions.delay_box_approx(updates)
+    minutes = distributions.minutes_by_feed(updates)
+    wide = found.select("feed", "n", *[F.col(c).alias(f"v_{c}") for c in distributions.QUARTILES])
+    # One row per feed: the counts below come from one scan and a join with as many rows as there are feeds.
+    counted = minutes.join(wide, "feed").groupBy("feed", "n").agg(
+        *[F.count_if(F.col("delay_min") < F.col(f"v_{c}")).alias(f"below_{c}") for c in distributions.QUARTILES],
+        *[F.count_if(F.col("delay_min") <= F.col(f"v_{c}")).alias(f"upto_{c}") for c in distributions.QUARTILES],
+    )
+    share = lambda c: F.col(c) / F.col("n")
+    rows = [
+        F.struct(F.lit(c).alias("quantile"), ((share(f"below_{c}") <= p + 0.001) & (share(f"upto_{c}") >= p - 0.001)).alias("within"))
+        for c, p in distributions.QUARTILES.items()
+    ]
+    return counted.select("feed", "n", F.inline(F.array(*rows)))
+
+
 @query("delay_box_overall", _box_sql("'all'"))
 def delay_box_overall(spark, sf_dir):
     return rounded(distributions.delay_box_overall(views.frame(spark, sf_dir, "fx_updates")), *BOX)
@@ -304,12 +344,8 @@ def network_centroid(spark, sf_dir):
         UNION ALL SELECT DISTINCT 'route_type', route_type FROM fx_routes WHERE route_type IS NOT NULL
         UNION ALL SELECT DISTINCT 'status', status FROM fx_vehicles WHERE status IS NOT NULL""",
 )
-def filter_values(spark, sf_dir):
-    out = None
-    for name, values in filter_choices(views.bundle(spark, sf_dir)).items():
-        rows = values.select(F.lit(name).alias("filter"), F.col(name).alias("value"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def filter_list(spark, sf_dir):
+    return filter_values(views.bundle(spark, sf_dir))
 
 
 @query("tables_by_domain", f"SELECT domain, layer, count(*) AS tables FROM ({TABLES}) t GROUP BY 1, 2")
