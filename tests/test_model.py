@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trackline.operators import features, forest
+from trackline.operators import features, forest, forest_parts
 from trackline.operators.permutation import permutation_importance
 
 
@@ -156,3 +156,50 @@ def test_score_handles_unseen_categories(spark, planted):
     assert scored.time_bucket == "morning" and scored.is_weekend == 1
     assert scored.predicted_minutes == pytest.approx(scored.predicted_seconds / 60)
     assert 300 < scored.predicted_seconds < 1300
+
+
+def learnable(spark, n=300):
+    columns = {c: F.lit("x") for c in features.CATEGORICAL} | {c: F.lit(1) for c in features.NUMERIC}
+    columns |= {"hour": (F.col("id") % 24).cast("int"), "feed": F.when(F.col("id") % 2 == 0, "even").otherwise("odd")}
+    rows = spark.range(n).withColumn("row_id", F.col("id").cast("string")).withColumns(columns)
+    return rows.withColumn("delay_seconds", F.col("hour") * 60.0 + F.when(F.col("feed") == "even", 600.0).otherwise(0.0))
+
+
+def test_a_forest_in_parts_goes_on_where_it_stopped(spark, folder, monkeypatch):
+    rows, fitted = learnable(spark), []
+    real = forest_parts.RandomForestRegressor
+
+    class Counting(real):
+        def fit(self, *args):
+            if len(fitted) == 2 and not stopped:
+                stopped.append(True)
+                raise RuntimeError("stopped")
+            fitted.append((self.getNumTrees(), self.getSeed()))
+            return super().fit(*args)
+
+    stopped = []
+    monkeypatch.setattr(forest_parts, "RandomForestRegressor", Counting)
+    sizes = {"trees": 7, "depth": 4, "parts": 3}
+    with pytest.raises(RuntimeError):
+        forest_parts.train_parts(rows, f"{folder}/forest", **sizes)
+    with pytest.raises(ValueError, match="not fitted yet"):
+        forest_parts.load_parts(spark, f"{folder}/forest")
+    model = forest_parts.train_parts(rows, f"{folder}/forest", **sizes)
+    assert fitted == [(3, 42), (2, 43), (2, 44)]
+    forest_parts.train_parts(rows, f"{folder}/forest", **sizes)
+    assert len(fitted) == 3
+    with pytest.raises(ValueError, match="other settings"):
+        forest_parts.train_parts(rows, f"{folder}/forest", trees=8, depth=4, parts=3)
+
+    # The mean over all trees, from the saved parts alone.
+    again = forest_parts.load_parts(spark, f"{folder}/forest")
+    whole = {r.row_id: r.predicted_seconds for r in forest.predict(again, rows).collect()}
+    encoded = again.encoding.transform(rows)
+    singles = [{r.row_id: r.predicted_seconds for r in p.transform(encoded).collect()} for p in again.parts]
+    for key, value in whole.items():
+        assert value == pytest.approx((3 * singles[0][key] + 2 * singles[1][key] + 2 * singles[2][key]) / 7)
+    assert forest.regression_metrics(forest.predict(model, rows)).first().r2 > 0.9
+    weights = forest.feature_importance(again, spark).collect()
+    assert weights[0].feature == "num__hour" and sum(w.importance for w in weights) == pytest.approx(1)
+    assert forest.score(again, rows.drop("time_bucket", "is_weekend")).count() == 300
+    assert permutation_importance(again, rows).count() == len(features.FEATURES)
