@@ -223,6 +223,19 @@ def ingest_encoding(spark, sf_dir):
     return read_csv_flexible(spark, f"{run.raw}/list.csv", sep=",")
 
 
+@query(
+    "clean_headers",
+    """SELECT trip_id, route_id, direction_id, 'trip_id,route_id,direction_id' AS columns FROM fx_trips""",
+)
+def clean_headers(spark, sf_dir):
+    """Headers with a byte-order mark and blanks around the names."""
+    run = Run(spark)
+    trips = views.frame(spark, sf_dir, "fx_trips").select("trip_id", "route_id", "direction_id")
+    write_csv(trips.toDF("\ufefftrip_id ", "  route_id", "direction_id\t"), f"{run.raw}/trips.csv", encoding="UTF-8")
+    rows = read_csv_flexible(spark, f"{run.raw}/trips.csv")
+    return rows.withColumn("columns", F.lit(",".join(rows.columns)))
+
+
 @query(
     "read_documents",
     """SELECT 'object' AS kind, entity_id AS id, trip_id FROM fx_feed_flat WHERE entity_id IS NOT NULL

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackline.operators import features, forest
+from trackline.operators import features, forest, forest_parts
 from trackline.operators.permutation import permutation_importance, with_donors
+from trackline.session import shared_dir
 from workload import views
 from workload.registry import query, rounded, sql_label
 
@@ -207,6 +211,80 @@ def ml_encoded_features(spark, sf_dir):
     return encoded.select("row_id", F.explode(F.array(*pairs)).alias("p")).select("row_id", "p.*")
 
 
+OFFSETS = "\n UNION ALL ".join(
+    f"""SELECT {i} AS place, '{c}' AS feature, count(DISTINCT {c}) AS width FROM ({FEATURES}) f"""
+    for i, c in enumerate(features.CATEGORICAL)
+)
+ONE_HOT = f"""
+    SELECT row_id, c.feature, CAST(c.code AS BIGINT) + CAST(COALESCE(o.before, 0) AS BIGINT) AS hot, CAST(1 AS BIGINT) AS ones
+    FROM ({CODES}) c JOIN (SELECT feature, sum(width) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+                           FROM ({OFFSETS}) w) o USING (feature)"""
+
+
+@query("ml_one_hot", ONE_HOT)
+def ml_one_hot(spark, sf_dir):
+    """Where in the feature vector each category of a row is set, and how many places of its block are."""
+    rows, *_ = _rows(spark, sf_dir)
+    encoding = forest.encoder().fit(rows)
+    values, blocks, at = vector_to_array("features"), [], 0
+    for column, labels in zip(features.CATEGORICAL, encoding.stages[0].labelsArray):
+        block = F.slice(values, at + 1, len(labels))
+        hot = F.array_position(block, F.lit(1.0)) - 1 + at
+        ones = F.size(F.filter(block, lambda v: v != 0.0)).cast("long")
+        blocks.append(F.struct(F.lit(column).alias("feature"), hot.alias("hot"), ones.alias("ones")))
+        at += len(labels)
+    return encoding.transform(rows).select("row_id", F.inline(F.array(*blocks)))
+
+
+NAMES = "\n UNION ALL ".join(
+    [f"""SELECT DISTINCT concat('cat__{c}_', {c}) AS feature, '{c}' AS "group" FROM ({FEATURES}) f JOIN ({SPLIT}) s USING (row_id)
+         WHERE part = 'train'""" for c in features.CATEGORICAL]
+    + [f"SELECT 'num__{c}', '{c}'" for c in features.NUMERIC]
+)
+
+
+@query("ml_importance_names", NAMES)
+def ml_importance_names(spark, sf_dir):
+    """The features that importances are given for, with their root variables."""
+    return forest.feature_importance(_trained(spark, sf_dir)[0], spark).select("feature", "group")
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as features of their segment, weighted by balance."""
+    return views.frame(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("feature"), F.col("c_mktsegment").alias("group"), F.col("c_acctbal").alias("importance")
+    )
+
+
+@query(
+    "importance_top",
+    """SELECT feature, importance FROM (SELECT c_name AS feature, c_acctbal AS importance FROM customer
+         ORDER BY c_acctbal DESC, c_name LIMIT 20) t""",
+)
+def importance_top(spark, sf_dir):
+    return forest.top_importance(_weighted(spark, sf_dir), 20).select("feature", "importance")
+
+
+@query("importance_by_root", """SELECT c_mktsegment AS "group", round(sum(c_acctbal), 4) AS importance FROM customer GROUP BY 1""")
+def importance_by_root(spark, sf_dir):
+    return rounded(forest.grouped_importance(_weighted(spark, sf_dir)), "importance", digits=4)
+
+
+@query("ml_parts_rows", f"""SELECT row_id, CAST(1 AS INTEGER) AS predicted, true AS mean FROM ({SPLIT}) s WHERE part = 'test'""")
+def ml_parts_rows(spark, sf_dir):
+    """A forest fitted in saved parts and loaded again: each test row gets the mean over the trees of all parts."""
+    rows, train, test = _rows(spark, sf_dir)
+    folder = shared_dir(spark, f"forest-{uuid.uuid4().hex}")
+    forest_parts.train_parts(train, folder, trees=6, depth=DEPTH, parts=3, guarded=rows)
+    model = forest_parts.load_parts(spark, folder)
+    out = model.encoding.transform(forest.predict(model, test))
+    for i, part in enumerate(model.parts):
+        out = part.copy().setPredictionCol(f"single_{i}").transform(out)
+    single = sum(F.col(f"single_{i}") for i in range(len(model.parts))) / len(model.parts)
+    close = F.abs(F.col("predicted_seconds") - single) < 1e-6
+    return out.select("row_id", F.col("predicted_seconds").isNotNull().cast("int").alias("predicted"), close.alias("mean"))
+
+
 DONORS = f"""
     SELECT r.repeat, count(*) AS n_rows, count(DISTINCT row_id) AS n_rows_once, count(DISTINCT row_id) AS n_donors_once,
            0 AS n_foreign
