@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 from tests.llm.cases import awkward, documents, odd_columns, prose
 from trackline.llm import bestfit
 from trackline.llm.bestfit import pack_items, pack_whole
+from trackline.llm.packing import pack
 from trackline.llm.completion import best_fit, fillings, least_waste, pack_block, undominated
 from trackline.llm.tokens import default_vocabulary
 
@@ -116,6 +117,15 @@ def test_rounds_and_a_hot_copy(spark, model, monkeypatch):
     assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in found)
 
 
+def test_ids_of_other_types_stay(spark):
+    for kind, value in (("decimal(20,2)", "1.50"), ("date", "2024-01-02"), ("string", "x"), ("int", "7")):
+        df = spark.createDataFrame([(value, "some words"), (None, "more")], "doc_id string, text string")
+        df = df.withColumn("doc_id", df["doc_id"].cast(kind))
+        for found in (pack_whole(df), pack(df)):
+            assert dict(found.dtypes)["doc_id"] == kind
+            assert sorted(str(r["doc_id"]) for r in found.collect()) == sorted(["None", value])
+
+
 def test_rounds_end_where_nothing_fits(spark, monkeypatch):
     monkeypatch.setattr(bestfit, "ITEMS", 10)
     found = pack_items(spark.createDataFrame([(i, 60) for i in range(100)], "doc_id long, length long"), 100)

@@ -35,7 +35,9 @@ def pieces(df: DataFrame, identity: str, text: str, vocabulary: str | None = Non
     """
     path = vocabulary or default_vocabulary()
     kind = dict(df.dtypes)[identity]
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
+    # Ids that are neither whole numbers nor text travel as text.
+    sent = kind if kind in ("bigint", "int") else "string"
+    schema = f"doc_id {sent}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,14 +54,13 @@ def pieces(df: DataFrame, identity: str, text: str, vocabulary: str | None = Non
                         row = (identity_, start // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4)
                         rows.append((*row, piece) if keep_ids else row)
                 out = pd.DataFrame.from_records(rows, columns=names)
-                if kind in ("bigint", "int"):
+                if sent != "string":
                     out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    own = df.select(F.col(identity).cast("string").alias("id"), F.col(text).alias("text"))
-    if kind in ("bigint", "int"):
-        own = df.select(F.col(identity).alias("id"), F.col(text).alias("text"))
-    return own.mapInPandas(cut, schema)
+    own = df.select(F.col(identity).cast(sent).alias("id"), F.col(text).alias("text"))
+    found = own.mapInPandas(cut, schema)
+    return found if sent == kind else found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def length_class(length: Column, size: int) -> Column:

@@ -7,15 +7,15 @@ from functools import cache
 
 import numpy as np
 
-from trackline.llm.common import split_words
-
-# Words and word pieces whose ids a Python worker remembers; what comes beyond is encoded anew each time.
-REMEMBERED = 300_000
+# Pieces whose ids a Python worker remembers; what comes beyond is encoded anew each time.
+REMEMBERED = 500_000
 # How the lower-case vocabulary parts a text, and the end mark of a word's last token.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-# Words of these letters are lowered and parted alike by every Unicode library; other words go to the tokenizer whole.
-PLAIN = r"[!-~¡-¬®-įı-ňŊ-žƀ-ɏ]+"
+# Characters that every Unicode library lowers and parts alike; words with others go to the tokenizer whole.
+PLAIN = r"!-~¡-¬®-įı-ňŊ-žƀ-ɏ"
+BLANK = r"\x20\x09-\x0D"
+WHOLE = "\0"  # in front of a word that goes whole; no piece has it
 
 
 def default_vocabulary() -> str:
@@ -24,26 +24,53 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def plain_pieces():
+    """``PIECES`` for lowered text of plain characters, with its letters and numbers spelt out: all that ``re`` needs."""
+    import re
+
+    low = {c for i in range(0x250) if re.fullmatch(f"[{PLAIN}]", chr(i)) for c in chr(i).lower()}
+    kind = lambda first: "".join(re.escape(c) for c in sorted(low) if unicodedata.category(c)[0] == first)
+    return re.compile(PIECES.replace(r"\p{L}", f"[{kind('L')}]").replace(r"\p{N}", f"[{kind('N')}]").replace(
+        rf"[^\s[{kind('L')}][{kind('N')}]]", f"[^{BLANK}{kind('L')}{kind('N')}]"
+    )).findall
+
+
 class WordTokenizer:
     """Little-endian 32-bit ids of a text, the same as the tokenizer gives without special tokens.
 
-    The vocabulary drops white space and ends a token at each word's end, so a text's ids are those of its words in
-    a row. A word is looked up first, then its pieces, and only unseen pieces are encoded, many in one call.
+    The vocabulary drops white space and ends a token at each piece's end, so a text's ids are those of its pieces in
+    a row. A text is parted in one go, pieces are looked up, and only unseen ones are encoded, many in one call.
     """
 
     def __init__(self, path: str):
-        import regex
+        import re
+
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         vocabulary = self.model.get_vocab(True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.parts = regex.compile(PIECES).findall
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.words: dict[bytes, bytes] = {}
+        self.parts = plain_pieces()
+        self.plain = re.compile(f"[{PLAIN}{BLANK}]*").fullmatch
+        # A word with another character, or with what may begin a special token; looked for at the start of words only.
+        self.odd = re.compile(rf"(?<![^{BLANK}])([^{BLANK}]*(?:[^{PLAIN}{BLANK}]|<\|)[^{BLANK}]*)").split
         self.pieces: dict[str, bytes] = {}
 
+    def parted(self, text: str | None) -> list[str]:
+        """The pieces of a text, and with ``WHOLE`` in front the words that are not parted here."""
+        if not text:
+            return []
+        if self.plain(text) and "<|" not in text:
+            return self.parts(text.lower())
+        out: list[str] = []
+        for i, part in enumerate(self.odd(text)):
+            if i % 2:
+                out.append(WHOLE + part.encode("utf-8", "surrogatepass").decode("utf-8", "replace"))
+            else:
+                out += self.parts(part.lower())
+        return out
+
     def encode_pieces(self, pieces: list[str], size: int = 200) -> dict[str, bytes]:
         groups = [pieces[i : i + size] for i in range(0, len(pieces), size)]
         found: dict[str, bytes] = {}
@@ -64,37 +91,25 @@ class WordTokenizer:
     def encode_whole(self, word: str) -> bytes:
         return np.asarray(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        parted: dict[bytes, list[str]] = {}
-        found: dict[bytes, bytes] = {}
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if "<|" in text or not self.plain(text):
-                found[word] = self.encode_whole(text)
-            else:
-                parted[word] = self.parts(unicodedata.normalize("NFC", text).lower())
-        known = self.pieces
-        new = [p for p in {p for ps in parted.values() for p in ps} if p not in known]
-        fresh = self.encode_pieces(new) if new else {}
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-        for word, ps in parted.items():
-            found[word] = b"".join([known[p] if p in known else fresh[p] for p in ps])
-        return found
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; empty for null."""
-        split = [split_words(t) for t in texts]
-        known = self.words
-        new = [w for w in {w for ws in split for w in ws} if w not in known]
-        fresh = self.encode_words(new) if new else {}
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-            return [b"".join([known[w] for w in ws]) for ws in split]
-        room = REMEMBERED - len(known)
-        known.update(list(fresh.items())[: max(0, room)])
-        get = known.get
-        return [b"".join([get(w) or fresh.get(w, b"") for w in ws]) for ws in split]
+        known, looked = self.pieces, []
+        unseen: set[str] = set()
+        for text in texts:
+            pieces = self.parted(text)
+            data = list(map(known.get, pieces))
+            if None in data:
+                unseen.update([p for p, d in zip(pieces, data) if d is None])
+                looked.append((pieces, data))
+            else:
+                looked.append((None, data))
+        fresh = self.encode_pieces([p for p in unseen if p[0] != WHOLE]) if unseen else {}
+        fresh |= {p: self.encode_whole(p[1:]) for p in unseen if p[0] == WHOLE}
+        known.update(list(fresh.items())[: max(0, REMEMBERED - len(known))])
+        return [
+            b"".join(data if pieces is None else [fresh[p] if d is None else d for p, d in zip(pieces, data)])
+            for pieces, data in looked
+        ]
 
 
 @cache
