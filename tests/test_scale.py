@@ -15,7 +15,6 @@ from trackline.operators.quantiles import box_statistics
 from trackline.operators.stations import station_master
 from trackline.plans.marts import filter_values
 from workload import views
-from workload.registry import QUERIES
 
 
 def plan(df):
@@ -118,15 +117,6 @@ def test_same_result_for_any_partitioning(spark, name):
     assert results[0] == results[1]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_python_workers(spark, name):
-    if name.startswith(("ingest_", "ml_", "read_", "bronze_", "curated_", "files_")) and "feature" not in name:
-        pytest.skip("runs jobs while it is built")
-    text = plan(spark_entry.queries()[name](spark, SF_DIR))
-    for word in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert word not in text, word
-
-
 def test_box_statistics_scan_once(spark):
     df = spark_entry.queries()["delay_box"](spark, SF_DIR)
     df.collect()

@@ -117,7 +117,7 @@ def spec_table(files: DataFrame) -> DataFrame:
 
 def build_specs(spark: SparkSession, base: str) -> list[Spec]:
     """The specs of a folder. Two logical files with one target table are an error."""
-    rows = spec_table(list_files(spark, base)).orderBy("dataset").collect()
+    rows = sorted(spec_table(list_files(spark, base)).collect(), key=lambda r: r.dataset)
     shared = [table for table, n in Counter(r.table_name for r in rows).items() if n > 1]
     if shared:
         raise ValueError(f"several files would share a table: {', '.join(sorted(shared))}")

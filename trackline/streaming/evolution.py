@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
-from trackline.sources.readers import path_exists
 from trackline.streaming.rescue import RESCUED, inferred
 
 
@@ -28,10 +28,13 @@ def merge_types(stored: DataType, seen: DataType) -> DataType:
 
 def stored_schema(spark: SparkSession, state: str, table: str) -> StructType | None:
     """The newest schema kept for a table."""
-    path = f"{state}/schemas/{table}"
-    if not path_exists(spark, path):
-        return None
-    entry = max((json.loads(r.value) for r in spark.read.text(path).collect()), key=lambda e: e["version"])
+    try:
+        entries = spark.read.text(f"{state}/schemas/{table}").collect()
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    entry = max((json.loads(r.value) for r in entries), key=lambda e: e["version"])
     return StructType.fromJson(entry["schema"])
 
 
