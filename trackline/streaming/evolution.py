@@ -6,7 +6,7 @@ import json
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from trackline.streaming.rescue import RESCUED, inferred
@@ -40,7 +40,7 @@ def stored_schema(spark: SparkSession, state: str, table: str) -> StructType | N
 
 def store_schema(spark: SparkSession, state: str, table: str, schema: StructType) -> None:
     entry = json.dumps({"version": time.time_ns(), "schema": schema.jsonValue()})
-    spark.createDataFrame([(entry,)], "value string").coalesce(1).write.mode("append").text(f"{state}/schemas/{table}")
+    spark.range(1, numPartitions=1).select(F.lit(entry).alias("value")).write.mode("append").text(f"{state}/schemas/{table}")
 
 
 def header_schema(spark: SparkSession, state: str, table: str, headers: list[list[str]]) -> StructType:
