@@ -22,14 +22,22 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality rules keep, by bands from the statistics of all documents of a language."""
+    """Documents the quality rules keep, by bands from the statistics of all documents of a language.
+
+    A null or empty text has no words and goes; a null language is one of its own; repeated rows are judged alike and
+    each stays or goes; an empty table stays empty.
+    """
     measured = shared_dir(spark, f"quality-{uuid.uuid4().hex}")
     quality(docs).write.parquet(measured)
     return judged(spark.read.parquet(measured), "lang").where("kept").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; a document with nothing else in it goes."""
+    """Documents without repeated chunks of lines; a document with nothing else in it goes.
+
+    The first occurrence stays, by id, so of whole copies the first is left. A text that nothing was cut from, null and
+    empty ones included, stays as it is; ``n_chars`` follows where something was. An empty table stays empty.
+    """
     cut = drop_repeated_lines(docs)
     left = cut.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
@@ -40,17 +48,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: 4-word shingles, fingerprints within 4 bits, chains included.
+
+    The smallest id stays, a null id after all others; of rows equal in id and text one stays. Texts without words, nulls
+    included, share a fingerprint, so one of them stays. An empty table stays empty.
+    """
     return drop_near_duplicates(docs).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, by containment of its five-word shingles of 0.8 or more.
+
+    A null or empty text holds none and stays; repeated rows go or stay together. An empty table stays empty.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids in sequences of 4096."""
+    """Pieces of the documents' token ids in sequences of 4096.
+
+    A null or empty text has its end id only; repeated rows are packed one by one; an empty table gives no pieces.
+    """
     return pack(docs)
 
 
