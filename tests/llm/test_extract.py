@@ -6,7 +6,7 @@ import pytest
 from tests.llm.cases import prose
 from trackline.llm.extract import extract
 from trackline.llm.pages import parse
-from trackline.llm.wrappers import align, article, main_path, merged, template
+from trackline.llm.wrappers import Member, article, main_path, merged, template
 
 PAGES = "page_id long, url string, html string"
 
@@ -90,6 +90,89 @@ def test_alignment_marks_optional_and_repeated_members_and_slots():
     assert list(div.members) == ["h1", "p", "table", "i"] and div.pages == 2
     assert div.members["p"].repeated and not div.members["h1"].repeated
     assert div.members["table"].pages == 1 and div.members["h1"].pages == 2
-    assert div.members["h1"].members["#text"].constant is None
-    assert div.members["i"].members["#text"].constant is not None
-    assert main_path(both) == ["#page", "div"] and callable(align)
+    assert div.members["h1"].slot and div.members["p"].slot
+    assert div.texts and not div.slot
+    assert main_path(both) == (["#page", "div"], False)
+    assert both.expression() == "<#page><div>*<h1>*</><p>*</>+<table><tr><td>*</></></>?<i></></></>"
+
+
+@pytest.mark.parametrize(
+    "pages, expression",
+    [
+        (["<h2>a</h2><p>b</p><h2>c</h2><p>d</p>"], "(<h2>*</><p>*</>)+"),
+        (["<h2>a</h2><p>b</p>", "<h2>a</h2><p>b</p><h2>c</h2><p>d</p>"], "(<h2>*</><p>*</>)+"),
+        (["<h2>a</h2><p>b</p><ul></ul>", "<p>b</p><h2>a</h2>"], "(<h2>*</><p>*</>)+<ul></>?"),
+        (["<h2>a</h2><ul></ul><h2>c</h2>", "<h2>a</h2><p>b</p><hr><h2>c</h2>"], "(<h2>*</><p>*</>?<hr></>?<ul></>?)+"),
+        (["<p>a</p>", "<hr><p>a</p><ul></ul>", "<ul></ul>"], "<hr></>?<p>*</>?<ul></>?"),
+    ],
+)
+def test_mismatches_become_optional_members_or_repeated_groups(pages, expression):
+    made = merged(template(parse(p)) for p in pages)
+    assert made.expression() == f"<#page>{expression}</>"
+    assert Member.of(made.data()).expression() == made.expression()
+
+
+def texts(spark, pages, host="https://h.example"):
+    rows = [(i, f"{host}/{i}", p) for i, p in enumerate(pages)]
+    return [r["text"] for r in extract(spark.createDataFrame(rows, PAGES)).orderBy("page_id").collect()]
+
+
+def test_names_that_only_sound_like_other_parts(spark):
+    """Only a name all of whose words speak of something else marks an element as beside the article."""
+    menu = "<ul class=menu><li><a href=/>Home</a><li><a href=/n>News</a></ul>"
+    inside = (
+        "<p class='story-share-price'>Shares rose by {i}</p><div class='login-guide'>Type {i} first</div>"
+        "<section id='search-algorithms'><p>Search takes {i} steps</p></section>"
+    )
+    story = [f"<h1>Title {i}</h1><p>{prose(i, 40).strip()}</p>" + inside.format(i=i) for i in range(8)]
+    want = [
+        f"Title {i}\n{' '.join(prose(i, 40).split())}\nShares rose by {i}\nType {i} first\nSearch takes {i} steps" for i in range(8)
+    ]
+    assert texts(spark, [f"<body>{menu}<div class='content no-sidebar'>{s}</div></body>" for s in story]) == want
+    assert texts(spark, [f"<body>{menu}<article>{s}</article></body>" for s in story]) == want
+
+
+@pytest.mark.parametrize("tags", [("article", "article"), ("div class=q7", "div")])
+def test_labels_alike_on_all_pages_stay_and_notices_go(spark, tags):
+    pages = [
+        f"<body><{tags[0]}><h1>Dish {i}</h1><p>{prose(i, 60)}</p><h2>Facts</h2><dl><dt>Servings</dt><dd>{i + 2} people</dd></dl>"
+        f"<p>Ingredients:</p><table><tr><th>Flour<td>{i} g</table><p><b>Time</b> {i} min</p>"
+        f"<div class=z><h3>Our book</h3><p>Buy the book of dishes.</p></div></{tags[1]}></body>"
+        for i in range(8)
+    ]
+    for i, text in enumerate(texts(spark, pages)):
+        words = " ".join(prose(i, 60).split())
+        assert text == f"Dish {i}\n{words}\nFacts\nServings\n{i + 2} people\nIngredients:\nFlour\n{i} g\nTime {i} min"
+
+
+@pytest.mark.parametrize("names", [("", "", ""), (" class=a1", " class=b2", " class=c3"), (" class=x", " class=x", " class=x")])
+def test_short_pages_without_telling_names(spark, names):
+    """Menus and link lists go although nothing but their place and their texts speaks for it."""
+    a, b, c = names
+    pages = [
+        f"<body><div{a}><a href=/>Home</a> <a href=/n>News</a><ul><li><a href=/1>Sports today</a><li><a href=/2>Weather map</a></ul></div>"
+        f"<div{b}><h1>Title {i}</h1><p>{prose(i, 12)}</p><p>End of {i}.</p></div>"
+        f"<div{c}><ul><li><a href=/{i}>{prose(i + 20, 6)}</a><li><a href=/x{i}>{prose(i + 40, 6)}</a></ul></div><p>Imprint and terms</p></body>"
+        for i in range(9)
+    ]
+    assert texts(spark, pages) == [f"Title {i}\n{' '.join(prose(i, 12).split())}\nEnd of {i}." for i in range(9)]
+
+
+def test_near_copies_of_one_article_stay_whole(spark):
+    body = "".join(f"<p>{prose(k, 30)}</p>" for k in range(4))
+    for text in texts(spark, [f"<article><h1>Title</h1>{body}<p>Edition {i}</p></article>" for i in range(8)]):
+        assert len(text.split("\n")) == 6
+
+
+def test_templates_grow_with_kinds_of_elements_only():
+    """Ids and deep nesting of thousands of pages: one member per kind, in time linear in the pages."""
+
+    def page(i):
+        heads = "".join(f"<h2 id='slug-{chr(97 + i % 26)}x{k}q{'z' * (i % 50)}'>H {i}</h2><p>t {i} {k}</p>" for k in range(6))
+        return template(parse(f"<article>{heads}</article>"))
+
+    made = merged(page(i) for i in range(3_000))
+    assert made.expression() == "<#page><article>(<h2>*</><p>*</>)+</></>"
+    deep = template(parse("<div>" * 2_000 + "a" + "</div>" * 2_000))
+    again = Member.of(deep.data())
+    assert len(merged([deep, again]).data()) == 2_001

@@ -47,6 +47,14 @@ SIDE_NAMES = frozenset(
 )
 HEAD_NAMES = frozenset(("header", "top", "topbar"))
 MAIN_NAMES = frozenset("article content entry main post story articlebody".split())
+# Words that only say where or how a part stands. A name speaks of something beside the article only if all its words
+# are of these kinds: ``cookie-notice`` and ``nav-left`` do, ``no-sidebar`` and ``story-share-price`` do not.
+PLACE_NAMES = frozenset(
+    "area bar block bottom box container fixed global inner item items left link links list main module outer page panel primary right "
+    "row secondary section site slot sticky top unit wrap wrapper article articles entry post posts reader story user".split()
+)
+BESIDE = SIDE_NAMES | HEAD_NAMES | PLACE_NAMES
+KNOWN_NAMES = BESIDE | MAIN_NAMES
 
 
 @dataclass
@@ -69,7 +77,7 @@ def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
     side, main = tag in SIDE_TAGS, tag in ("article", "main")
     if not attributes or attributes == "/":
         return tag, side or tag == "header", main
-    names, key = set(), [tag]
+    names, key = [], [tag]
     for kind, a, b, c in ATTRIBUTE.findall(attributes):
         kind, value = kind.lower(), (a or b or c).lower()
         if kind not in READ:
@@ -82,13 +90,16 @@ def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
             side |= value in SIDE_ROLES
             main |= value in ("main", "article")
         else:
-            parts = NAME_PART.findall(value)
-            names.update(parts)
-            key += parts[:4]
-    if tag not in ("html", "body", "main"):
-        side |= bool(names & SIDE_NAMES)
-    header = tag == "header" or bool(names & HEAD_NAMES) and not names & MAIN_NAMES
-    return ".".join(key), side or header, main or "articlebody" in names
+            for name in value.split():
+                parts = NAME_PART.findall(name)
+                names.append(frozenset(parts))
+                # Class names are a site's own and few; ids are often a page's own, so only known words distinguish.
+                key += [p for p in parts if kind == "class" and tag != "article" or p in KNOWN_NAMES]
+    if tag in ("html", "body", "main"):
+        return tag, side, main
+    side |= any(n & SIDE_NAMES and n <= BESIDE for n in names)
+    header = tag == "header" or any(n & HEAD_NAMES and n <= BESIDE for n in names) and not any(n & MAIN_NAMES for n in names)
+    return ".".join(key), side or header, main or any("articlebody" in n for n in names)
 
 
 def parse(html: str | None) -> Page:
