@@ -2,6 +2,7 @@ import html as entities
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import prose
 from trackline.llm.extract import extract
@@ -23,18 +24,27 @@ def site(i, body, extra=""):
 <footer>&copy; me</footer></body></html>"""
 
 
-def test_given_pages_against_their_markup(spark, sf_dir):
-    def plain(html):
-        inner = re.search(r"<article>(.*?)(</article>|\Z)", html, re.S)[1]
-        blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
-        return "\n".join(b for b in blocks if b)
+def plain(html):
+    inner = re.search(r"<article>(.*?)(</article>|\Z)", html, re.S)[1]
+    blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n".join(b for b in blocks if b)
+
 
+def test_given_pages_against_their_markup(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     want = {r["page_id"]: plain(r["html"]) for r in pages.collect()}
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract(pages).collect()}
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
+def test_given_pages_with_the_article_unnamed(spark, sf_dir):
+    """The same texts come out when neither the article nor the advert is marked, and only the pages' shape tells."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    unnamed = F.regexp_replace(F.regexp_replace("html", "<(/?)article>", "<$1div>"), 'class="ad"', 'class="q"')
+    want = {r["page_id"]: plain(r["html"]) for r in pages.collect()}
+    assert {r["page_id"]: r["text"] for r in extract(pages.withColumn("html", unnamed)).collect()} == want
+
+
 def test_a_host_without_article_elements(spark):
     """The wrapper finds the story by its text and drops what all pages of the host say at one place."""
     rows = [(i, f"https://h.example/{i}", site(i, f"<h1>Title {i}</h1><p>{prose(50 + i, 150)}</p><p>More&nbsp;of   <b>it</b> {i}</p>")) for i in range(8)]

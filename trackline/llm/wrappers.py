@@ -20,6 +20,7 @@ CONTAINERS = frozenset("html body main div section article center table tbody tr
 LABELS = frozenset("h1 h2 h3 h4 h5 h6 dt dd th td caption legend figcaption summary".split())
 DISTINCT = 5  # different pages that must share a text at one place before it counts as part of the template
 MOST = 0.6  # share of the running text that the element around the article holds
+ENOUGH = 1 / 3  # the same for an element that holds all titles and paragraphs there are
 
 
 class Member:
@@ -377,7 +378,10 @@ def narrowed(page: Page, blocks: list[tuple[int, str, int]], tops: list[int]) ->
             if page.tags[i] == "h1":
                 titled.add(page.parents[i])
         while at not in titled:
-            heavy = [k for k in kids.get(at, ()) if page.tags[k] in CONTAINERS and running[k] > MOST * running[at] and rich[k] > 1]
+            heavy = [
+                k for k in kids.get(at, ()) if page.tags[k] in CONTAINERS and rich[k] > 1
+                and running[k] > (ENOUGH if rich[k] > 2 and rich[k] == rich[at] else MOST) * running[at]
+            ]
             if not heavy:
                 break
             at = heavy[0]
