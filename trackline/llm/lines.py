@@ -1,8 +1,10 @@
 """Line dedup by content-defined chunks of lines.
 
 A rolling hash over the hashes of neighbouring lines picks the cuts, so a run of lines is cut alike wherever it
-stands, whatever comes before it. Chunks hold two lines or more. Of the chunks that occur again anywhere, with the
-same bytes, all but the first occurrence go.
+stands, whatever comes before it. A line of ``LONG_LINE`` characters or more is a passage by itself and a chunk of its
+own; chunks of shorter lines hold two or more. A short line alone between long ones is compared together with the line
+before it, or after it at the start of a text. Of the chunks that occur again anywhere, with the same bytes, all but
+the first occurrence go.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from trackline.session import checkpointed
 
 # Fixed values of the rolling hash: line hashes modulo a prime, weight of the line before, prime of the sum.
 LINE_PRIME, WEIGHT, ROLL_PRIME = 268435399, 31, 1000003
+LONG_LINE = 60  # characters of a line that is a chunk of its own
 
 
 def line_hash(line: Column) -> Column:
@@ -23,8 +26,9 @@ def line_hash(line: Column) -> Column:
 def with_cuts(df: DataFrame, text: str, lines: str, ends: str) -> DataFrame:
     """``lines``: the text parted at line feeds. ``ends``: positions of the last lines of its chunks.
 
-    A chunk ends after line i where the rolling hash over lines i-1 and i is a local minimum, and after the last
-    line. No chunk ends after the first or the last line but one, so only a text of one line gives a single line.
+    A chunk ends after the last line, before and after a long line, and among shorter lines after line i where the
+    rolling hash over lines i-1 and i is a local minimum. The two lines on either side of such a cut are short, so it
+    leaves no single line.
     """
     hashes, roll = free_name(df, "line_hashes"), free_name(df, "roll")
     df = df.withColumn(lines, F.split(F.coalesce(text, F.lit("")), "\n", -1))
@@ -37,15 +41,22 @@ def with_cuts(df: DataFrame, text: str, lines: str, ends: str) -> DataFrame:
         ),
     )
     last = F.size(lines) - 1
-    is_end = lambda i: (i == last) | (
+    long = lambda i: F.coalesce(is_long(F.get(lines, i)), F.lit(False))
+    is_end = lambda i: (i == last) | long(i) | long(i + 1) | (
         (i > 0)
         & (i < last - 1)
+        & ~long(i - 1)
+        & ~long(i + 2)
         & (F.get(roll, i) < F.get(roll, i - 1))
         & (F.get(roll, i) <= F.get(roll, i + 1))
     )
     return df.withColumn(ends, F.filter(F.sequence(F.lit(0), last), is_end)).drop(hashes, roll)
 
 
+def is_long(line: Column) -> Column:
+    return F.length(line) >= LONG_LINE
+
+
 def first_line(ends: Column, number: Column) -> Column:
     return F.when(number == 0, 0).otherwise(F.get(ends, number - 1) + 1)
 
@@ -55,17 +66,25 @@ def chunk_text(lines: Column, ends: Column, number: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, F.get(ends, number) - start + 1), "\n")
 
 
+def compared(lines: Column, ends: Column, number: Column) -> Column:
+    """The bytes that tell whether a chunk occurs again; null for a text of a single short line."""
+    start, end = first_line(ends, number), F.get(ends, number)
+    alone = (start == end) & ~is_long(F.get(lines, end))
+    pair = F.when(start > 0, F.array_join(F.slice(lines, start, 2), "\n"))
+    pair = pair.when(end < F.size(lines) - 1, F.array_join(F.slice(lines, start + 1, 2), "\n"))
+    return F.when(alone, pair).otherwise(chunk_text(lines, ends, number))
+
+
 def cut_rows(df: DataFrame, identity: str, text: str) -> DataFrame:
     own = df.select(F.col(identity).alias("id"), F.col(text).alias("text"))
     return with_cuts(own.withColumn("key", row_key(F.col("id"), F.col("text"))), "text", "lines", "ends")
 
 
 def line_chunks(df: DataFrame, identity: str, text: str) -> DataFrame:
-    """(key, id, number, digest): every chunk of two lines or more."""
+    """(key, id, number, digest): every chunk but the texts of one short line."""
     cut = cut_rows(df, identity, text)
-    chunk = lambda i: F.md5(chunk_text(F.col("lines"), F.col("ends"), i))
+    chunk = lambda i: F.md5(compared(F.col("lines"), F.col("ends"), i))
     digests = F.transform(F.sequence(F.lit(0), F.size("ends") - 1), chunk)
-    digests = F.when(F.size("lines") > 1, digests)
     return cut.select("key", "id", F.posexplode_outer(digests).alias("number", "digest")).where("digest IS NOT NULL")
 
 
@@ -78,7 +97,7 @@ def chunk_bytes(df: DataFrame, identity: str, text: str, marks: DataFrame) -> Da
         lambda x: F.struct(
             x.number.alias("number"),
             x.digest.alias("digest"),
-            chunk_text(F.col("lines"), F.col("ends"), x.number).alias("chunk"),
+            compared(F.col("lines"), F.col("ends"), x.number).alias("chunk"),
         ),
     )
     return rows.select("key", "id", F.explode_outer(texts).alias("c")).select("key", "id", "c.*")
@@ -110,7 +129,7 @@ def repeated_chunks(df: DataFrame, identity: str, text: str) -> DataFrame:
 
 
 def drop_repeated_lines(df: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with repeated multi-line chunks cut out of ``text``, and n_lines, n_removed_lines, n_removed_chunks.
+    """``df`` with repeated chunks of lines cut out of ``text``, and n_lines, n_removed_lines, n_removed_chunks.
 
     The lines left are joined by line feeds again. A null text stays null, with no lines; an empty text has one
     empty line. Rows equal in id and text are one occurrence and get the same result. A text all of whose
@@ -156,16 +175,21 @@ WITH lines AS (
   SELECT *, (coalesce(lag(h) OVER w, 0) * {WEIGHT} + h) % {ROLL_PRIME} AS r FROM hashed
   WINDOW w AS (PARTITION BY key ORDER BY i)
 ), flagged AS (
-  SELECT *, i > 0 AND i < last - 1 AND r < lag(r) OVER w AND r <= lead(r) OVER w AS is_end FROM rolled
+  SELECT *, length(line) >= {LONG_LINE} OR coalesce(length(lead(line) OVER w) >= {LONG_LINE}, false)
+    OR i > 0 AND i < last - 1 AND length(lag(line) OVER w) < {LONG_LINE} AND length(lead(line, 2) OVER w) < {LONG_LINE}
+    AND r < lag(r) OVER w AND r <= lead(r) OVER w AS is_end, lag(line) OVER w AS before, lead(line) OVER w AS after
+  FROM rolled
   WINDOW w AS (PARTITION BY key ORDER BY i)
 ), numbered AS (
   SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING
     AND 1 PRECEDING), 0) AS number FROM flagged
 ), chunks AS (
-  SELECT key, doc_id, number, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk, min(last) AS last
+  SELECT key, doc_id, number, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk,
+    CASE WHEN count(*) > 1 OR length(min(line)) >= {LONG_LINE} THEN string_agg(line, chr(10) ORDER BY i)
+      ELSE coalesce(min(before) || chr(10) || min(line), min(line) || chr(10) || min(after)) END AS bytes
   FROM numbered GROUP BY ALL
 ), marked AS (
-  SELECT *, n > 1 AND last > 0 AND row_number() OVER (PARTITION BY chunk, n > 1
+  SELECT *, bytes IS NOT NULL AND row_number() OVER (PARTITION BY bytes
     ORDER BY doc_id NULLS FIRST, key, number) > 1 AS gone
   FROM chunks
 ), texts AS (
