@@ -556,3 +556,23 @@ def test_encodings_side_by_side_are_read_once(spark, folder):
     assert sorted((r["CÓDIGO"], r["NOMBRE"]) for r in rows.collect()) == [("1", "Ávila ñ €"), ("2", "Ávila ñ"), ("3", "Úbeda")]
     # Flags and headers, a row per file, are kept; the rows are read once.
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_more_different_headers_than_columns(place, monkeypatch):
+    monkeypatch.setattr("trackline.streaming.evolution.MAX_COLUMNS", 3)
+    for i in range(1_001):
+        put(place.raw, f"trips.csv/{i:04d}.csv", f"id;n{i}\n{i};v{i}\n")
+    place.load()
+    rows = place.table("bronze_csv_trips").select("id", "n0", "n1", "rescued_data").collect()
+    assert sorted((int(r.id), r.n0, r.n1, r.rescued_data) for r in rows) == [
+        (i, "v0" if i == 0 else None, "v1" if i == 1 else None, f'{{"n{i}":"v{i}"}}' if i > 1 else None) for i in range(1_001)
+    ]
+
+
+def test_headers_have_the_names_of_the_csv_reader(spark, folder):
+    headers = ["a;A;b", "a;;c;", '"x;y";z', '"q""r";s', "\n\na;b", " a ; b", '"a"b;c', 'a"b;c"d;e', '"open;b', ";", '"";b', "ñ;é", "\ufeffm;n"]
+    for i, header in enumerate(headers):
+        put(folder, f"{i:02d}.csv", f"{header}\n1;2;3\n")
+    options = readers.CSV_OPTIONS
+    found = {r.file[-6:]: list(r.header) for r in readers.file_headers(spark, folder, options).collect()}
+    assert found == {f"{i:02d}.csv": spark.read.options(**options).csv(f"{folder}/{i:02d}.csv").columns for i in range(len(headers))}

@@ -18,8 +18,8 @@ SCHEDULE_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"'}
 BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 _OVERFLOW, _RAW, _PATH, _UTF8 = "_overflow", "_raw_line", "_path", "_utf8"
-# Different headers one source may have.
-MAX_HEADERS = 1_000
+# Put behind a header line while it is parsed, to see where it ends.
+_END = "\x01end\x01"
 
 
 def escaped(path: str) -> str:
@@ -53,32 +53,69 @@ def sniff_separator(spark: SparkSession, path: str, sep: str) -> str:
 
 def file_headers(
     spark: SparkSession, path: str | list[str], options: dict[str, str], files: DataFrame | None = None, mixed: bool = False
-) -> tuple[DataFrame, list[list[str]]]:
-    """(file, header) for the delimited files of ``path``, and their different headers by the first file that has each.
+) -> DataFrame:
+    """(file, header) for the delimited files of ``path``, with the names that Spark's own reader gives the columns.
 
-    Only the start of each file is read, and one file per different header is opened by name. Headers are told apart
-    by their bytes, in whatever encoding. ``files`` (``_path``, ``utf8``) limits the answer to some of them; with
-    ``mixed`` a header is read as UTF-8 where its file is marked so.
+    Only the start of each file counts, and all headers are parsed in one pass, however many differ. ``files`` (``_path``,
+    ``utf8``) limits the answer to some of them; with ``mixed`` a header is read as UTF-8 where its file is marked so.
     """
-    lines = spark.read.text(path).where("_metadata.file_block_start = 0")
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").where(F.col("value").rlike(r"[^\x00-\x20]"))
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    firsts = lines.groupBy("file").agg(F.md5(F.min_by("value", "at").cast("binary")).alias("line"))
+    firsts = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    encoding = options.get("encoding", "UTF-8")
+    line = F.col("line") if encoding == "UTF-8" else F.decode(F.col("line").cast("binary"), encoding)
     if files is not None:
         firsts = firsts.join(files.select(F.col(_PATH).alias("file"), "utf8"), "file")
-        # The same bytes are other names in another encoding.
-        firsts = firsts.withColumn("line", F.concat("line", F.col("utf8").cast("string"))).drop("utf8")
-    kinds = firsts.groupBy("line").agg(F.min("file").alias("sample")).limit(MAX_HEADERS + 1).collect()
-    if len(kinds) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
-    kinds.sort(key=lambda k: k.sample)
+        line = F.when(F.col("utf8"), F.col("line")).otherwise(line) if mixed else line
+    firsts = checkpointed(firsts.select("file", line.alias("line")))
+    if options.get("multiLine"):
+        return _headers_over_lines(spark, firsts, options, files, mixed)
+    sep = options["sep"]
+    width = firsts.agg(F.max(F.size(F.split("line", re.escape(sep))))).first()[0] or 1
+    kinds = ",".join(f"f{i} string" for i in range(width + 1))
+    parsed = F.from_csv(F.concat("line", F.lit(f"{sep}{_END}")), kinds, {k: options[k] for k in ("sep", "quote", "escape")})
+    values = firsts.select("file", parsed.alias("f")).select("file", F.array(*[f"f.f{i}" for i in range(width + 1)]).alias("v"))
+    count = F.array_position("v", F.lit(_END)).cast("int")
+    # A quote that is never closed takes the mark into its name.
+    unclosed = F.transform(F.filter("v", lambda v: v.isNotNull()), lambda v: F.replace(v, F.lit(f"{sep}{_END}"), F.lit("")))
+    given = F.when(count > 0, F.slice("v", 1, count - 1)).otherwise(unclosed)
+    values = values.select("file", given.alias("v"), F.transform(given, F.lower).alias("low"))
+
+    def safe(name: Column, at: Column) -> Column:
+        again = F.size(F.filter("low", lambda other: other == F.lower(name))) > 1
+        place = at.cast("string")
+        return F.when(F.coalesce(name, F.lit("")) == "", F.concat(F.lit("_c"), place)).when(again, F.concat(name, place)).otherwise(name)
+
+    return values.select("file", F.transform("v", safe).alias("header"))
+
+
+def _headers_over_lines(
+    spark: SparkSession, firsts: DataFrame, options: dict[str, str], files: DataFrame | None, mixed: bool
+) -> DataFrame:
+    """``file_headers`` where a quoted name may go on in the next line: a file per different first line is opened by name."""
+    utf8 = files.select(F.col(_PATH).alias("file"), "utf8") if mixed else firsts.select("file", F.lit(False).alias("utf8"))
+    marked = firsts.join(utf8, "file")
     known = []
-    for kind in kinds:
-        encoding = {"encoding": "UTF-8"} if mixed and kind.line.endswith("true") else {}
+    for kind in marked.groupBy("line", "utf8").agg(F.min("file").alias("sample")).collect():
+        encoding = {"encoding": "UTF-8"} if kind.utf8 and mixed else {}
         sample = exact_glob(*unquote(kind.sample).rsplit("/", 1))
-        known.append((kind.line, spark.read.options(**options | encoding).csv(sample).columns))
-    table = spark.createDataFrame(known, "line string, header array<string>")
-    headers = firsts.join(F.broadcast(table), "line").select("file", "header")
-    return headers, [list(h) for h in dict.fromkeys(tuple(header) for _, header in known)]
+        known.append((kind.line, kind.utf8, spark.read.options(**options | encoding).csv(sample).columns))
+    table = spark.createDataFrame(known, "line string, utf8 boolean, header array<string>")
+    return marked.join(F.broadcast(table), ["line", "utf8"]).select("file", "header")
+
+
+def header_names(headers: DataFrame, most: int | None = None) -> list[str]:
+    """The names of ``file_headers`` by the first file that has each; of more than ``most`` those that most files have."""
+    places = headers.select("file", F.posexplode("header").alias("at", "name"))
+    names = places.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.min(F.struct("file", "at")).alias("first"))
+    if most is not None:
+        names = names.orderBy(F.desc("files"), "first").limit(most)
+    return [r.name for r in sorted(names.collect(), key=lambda r: r.first)]
+
+
+def alike(headers: DataFrame, names: list[str]) -> bool:
+    """Whether every file has just these names in this order."""
+    return headers.filter(F.col("header") != F.array(*map(F.lit, names)).cast("array<string>")).isEmpty()
 
 
 def by_header(
@@ -92,7 +129,11 @@ def by_header(
     """
     names = columns if names is None else names
     rows = rows.join(headers.select(F.col("file").alias(_PATH), F.col("header").alias("_header")), _PATH, "left")
-    values, header = F.array(*[F.col(f"`{c}`") for c in columns]), F.coalesce("_header", F.array(*map(F.lit, names)))
+    # Columns of their own: every name below looks into both.
+    rows = rows.withColumns(
+        {"_header": F.coalesce("_header", F.array(*map(F.lit, names))), "_values": F.array(*[F.col(f"`{c}`") for c in columns])}
+    )
+    values, header = F.col("_values"), F.col("_header")
     named = {c: F.get(values, F.array_position(header, F.lit(c)).cast("int") - 1) for c in names}
     if rescued:
         pairs = F.filter(F.arrays_zip(header.alias("name"), values.alias("value")), lambda p: p["value"].isNotNull())
@@ -103,7 +144,7 @@ def by_header(
         fits = (width < len(columns)) & (width <= len(names)) & (F.size(F.split(rescued, re.escape(sep))) >= width) & ~surplus
         line = F.when(~F.coalesce(fits, F.lit(False)), F.col(rescued))
         named[rescued] = F.coalesce(line, F.nullif(F.to_json(other), F.lit("{}")))
-    return rows.withColumns(named).drop("_header")
+    return rows.withColumns(named).drop("_header", "_values")
 
 
 def files_by_encoding(spark: SparkSession, path: str) -> DataFrame:
@@ -130,8 +171,8 @@ def _delimited(
     ``files`` (``_path``, ``utf8``) limits it to some; with ``mixed`` those marked so are UTF-8 within a Latin-1 read.
     """
     options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "encoding": encoding, "multiLine": multi_line}
-    headers, kinds = file_headers(spark, path, options, files, mixed)
-    columns = list(dict.fromkeys(name for header in kinds for name in header))
+    headers = file_headers(spark, path, options, files, mixed)
+    columns = header_names(headers)
     if not columns:
         columns = spark.read.options(**options).csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in [*columns, _OVERFLOW, _RAW]])
@@ -143,7 +184,7 @@ def _delimited(
     if skip_long:
         # The schema has one field too many, so a full line counts as too short.
         rows = rows.filter(F.col(_OVERFLOW).isNull() & F.col(_RAW).isNotNull())
-    if len(kinds) > 1:
+    if not alike(headers, columns):
         headers = checkpointed(headers)
         if skip_long:
             fields = F.array(*[F.col(f"`{c}`") for c in columns])

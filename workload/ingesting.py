@@ -415,7 +415,7 @@ def ingest_accounting(spark, sf_dir):
     run = Run(spark)
     docs = views.frame(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("value"), "doc_id")
     for number, place in enumerate(("list.csv", "list.csv/sub", "list.csv/notes", "other")):
-        own = docs.filter(F.col("doc_id") % 4 == number).select("value")
+        own = docs.filter(F.col("doc_id") % 4 == number).select("value").repartition(spark.sparkContext.defaultParallelism, "value")
         own.write.option("maxRecordsPerFile", 1).mode("append").text(f"{run.raw}/{place}")
     specs = run.load()
     hidden = len([p for p in hidden_files(spark, run.raw) if not p.endswith(("_SUCCESS", ".crc"))])
