@@ -576,3 +576,42 @@ def test_headers_have_the_names_of_the_csv_reader(spark, folder):
     options = readers.CSV_OPTIONS
     found = {r.file[-6:]: list(r.header) for r in readers.file_headers(spark, folder, options).collect()}
     assert found == {f"{i:02d}.csv": spark.read.options(**options).csv(f"{folder}/{i:02d}.csv").columns for i in range(len(headers))}
+
+
+def test_many_paths_are_listed_by_few_tasks(spark, folder):
+    paths = [put(folder, f"{i:03d}.json", "{}") for i in range(200)]
+    spark.sparkContext.setJobGroup(folder, "listing")
+    assert spark.read.text(paths, wholetext=True).count() == 200
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(folder) for s in tracker.getJobInfo(job).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tracker.getStageInfo(s).numTasks for s in stages) <= 64
+
+
+def test_documents_of_the_workload_are_full_and_bounded(spark, sf_dir, folder, monkeypatch):
+    from workload import ingesting, views
+
+    monkeypatch.setattr(ingesting, "DOCUMENT_ROWS", 5)
+    feed = views.trip_feed(spark, sf_dir, "A").union(views.trip_feed(spark, sf_dir, "A")).where("size(entity) = 0")
+    ingesting.write_documents(ingesting.numbered(feed.coalesce(1)), "key", f"{folder}/feed.json")
+    sizes = [len(json.loads(p.read_text())) for p in Path(folder).glob("feed.json/part-*")]
+    assert max(sizes) <= 5 and len(sizes) == -(-sum(sizes) // 5)
+
+
+def test_no_task_gathers_the_broken_sources(spark, sf_dir, folder):
+    """Pages go to the file that is no text in as many parts as they are read in, and are told of once."""
+    from workload import ingesting
+
+    for table in Path(sf_dir).glob("*.parquet"):
+        if table.name != "pages.parquet":
+            os.symlink(table, f"{folder}/{table.name}")
+    spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(4).write.parquet(f"{folder}/pages.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        told = [tuple(r) for r in ingesting.broken_sources(spark, folder).collect() if r.kind == "reject"]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list(Path(ingesting._RUNS[-1].raw.removeprefix("file:")).glob("estaciones.csv/part-*"))) == 4
+    assert sorted(told) == [
+        ("reject", "alerts", "no JSON"), ("reject", "atendo", "missing"), ("reject", "stations", "no text"), ("reject", "trip_updates", "no JSON"),
+    ]
