@@ -550,15 +550,14 @@ def broken_sources(spark, sf_dir):
     """A folder with sound files, truncated JSON, binary data called .csv and a missing list: what is read and what is told."""
     run = Run(spark)
     feed = views.trip_feed(spark, sf_dir, "A")
-    ids = F.coalesce(F.get("entity.id", F.lit(0)), F.lit("0")).cast("bigint")
-    write_documents(feed.withColumn("key", ids), "key", f"{run.raw}/trip_updates.json")
+    write_documents(numbered(feed), "key", f"{run.raw}/trip_updates.json")
     alerts = views.alert_feed(spark, sf_dir)
-    cut = F.to_json(F.struct(F.collect_list(F.struct(*alerts.columns)).alias("entity")))
-    text = alerts.agg(cut.alias("value")).select(F.substring("value", 1, 200).alias("value"))
+    # One document that ends in its first alert; every alert is looked at where it lies.
+    text = alerts.agg(F.concat(F.lit('{"entity":['), F.substring(F.min(F.to_json(F.struct(*alerts.columns))), 1, 100)).alias("value"))
     text.write.text(f"{run.raw}/alerts.json")
     text.write.mode("append").text(f"{run.raw}/trip_updates.json")
     pages = views.frame(spark, sf_dir, "fx_incidents").select(F.concat("paragraph", F.lit("\0")).alias("value"))
-    pages.coalesce(1).write.text(f"{run.raw}/estaciones.csv")
+    pages.write.text(f"{run.raw}/estaciones.csv")
     write_csv(views.frame(spark, sf_dir, "fx_trips"), f"{run.raw}/google_transit/trips.txt", ",", "UTF-8")
     data = load_files(spark, run.raw)
     names = ("trip_updates", "alerts", "stations", "atendo", "gtfs_trips")
@@ -566,7 +565,9 @@ def broken_sources(spark, sf_dir):
         F.lit("rows").alias("kind"), F.col("metric").alias("dataset"), F.col("value").cast("string").alias("value")
     )
     rejects = rejected_files(spark, run.raw).filter(F.col("source").isin("alerts.json", "trip_updates.json", "estaciones.csv") | (F.col("dataset") == "atendo"))
-    return rows.unionByName(rejects.select(F.lit("reject").alias("kind"), "dataset", F.col("reason").alias("value")))
+    # A source may consist of many broken parts.
+    told = rejects.select(F.lit("reject").alias("kind"), "dataset", F.col("reason").alias("value")).distinct()
+    return rows.unionByName(told)
 
 
 @query(
