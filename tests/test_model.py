@@ -203,3 +203,11 @@ def test_a_forest_in_parts_goes_on_where_it_stopped(spark, folder, monkeypatch):
     assert weights[0].feature == "num__hour" and sum(w.importance for w in weights) == pytest.approx(1)
     assert forest.score(again, rows.drop("time_bucket", "is_weekend")).count() == 300
     assert permutation_importance(again, rows).count() == len(features.FEATURES)
+
+
+def test_new_records_are_spread_before_they_are_scored(spark, sf_dir):
+    from workload import model
+
+    sizes = model._new_records(spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in sizes) < sum(r["count"] for r in sizes) / 4

@@ -391,7 +391,9 @@ def ml_score_new(spark, sf_dir):
 
 def _new_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = views.frame(spark, sf_dir, "fx_routes")
-    return routes.select(
+    # The routes are few bytes and lie in one part or two; scoring their records is work for all cores.
+    spread = routes.repartition(4 * spark.sparkContext.defaultParallelism, "route_id")
+    return spread.select(
         "route_id",
         F.lit("click").alias("feed"),
         F.coalesce("route_type", F.lit("Unknown")).alias("route_type"),
