@@ -84,3 +84,50 @@ def test_nothing_to_learn_and_no_rows(spark):
     assert len(found) == len(awkward())
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in found)
     assert score(none, documents(spark)).count() == 0
+
+
+def two_tongues(texts):
+    """Texts of words of one length, each text in one of two languages that share no word."""
+    draw = np.random.default_rng(3)
+    made = [bytes(97 + i // 26**k % 26 for k in (2, 1, 0)).decode() + "xyz" for i in range(900)]
+    return [(i, " ".join(made[j] for j in draw.integers(0, 450, 150) + 450 * (i % 2)), "en", "a", 1) for i in range(texts)]
+
+
+def test_words_of_one_unit_are_told_apart_by_their_contexts(spark):
+    """Before, words that shared a unit had its probability by their counts alone, whatever stood before them."""
+    rows = two_tongues(1200)
+    training = documents(spark, rows[:1160]).coalesce(1)
+    vocab = vocabulary(word_counts(training))
+    units = fit(training, vocab).log10_probabilities()
+    by_counts = 0.0
+    for row in rows[1160:]:
+        unit, number, rare = lm.encoded(row[1], vocab)
+        assert not rare
+        one, two = lm.contexts(unit)
+        by_counts += units[one * (UNITS + 1) + two, unit].sum(dtype=float)
+        shared = unit >= WORD_UNITS
+        inside = (vocab.counts[number] + SMOOTH) / (vocab.unit_tokens + SMOOTH * (vocab.unit_words + 1))[unit]
+        by_counts += np.log10(inside[shared]).sum()
+    found = score(documents(spark, rows[1160:]), training).collect()
+    # Two languages of equal size: one bit a word is all there is to gain.
+    gain = (sum(r["score"] for r in found) - by_counts) / (40 * 150) / math.log10(2)
+    assert 0.1 < gain <= 1.1
+
+
+@pytest.mark.parametrize("head", [1 << 18, 30, 300])
+def test_probabilities_inside_a_unit_sum_to_one(spark, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD", head)
+    training = documents(spark, rows() + two_tongues(20)).select("text")
+    vocab = vocabulary(word_counts(training))
+    model = fit(training, vocab)
+    # One context for all leaves of a unit.
+    for unit in range(WORD_UNITS, UNITS):
+        leaves = [i for i in range(vocab.leaves - 1) if np.searchsorted(vocab.rest_leaf[WORD_UNITS:], i) + WORD_UNITS == unit]
+        n = len(leaves)
+        before = tuple(np.full(n, x) for x in (3, UNITS, leaves[0], vocab.leaves - 1))
+        logs = [
+            model.log_probabilities(lm.Batch(np.full(n, unit), np.array(x), None, before, None, []), slice(0, n), vocab, lm.Room())
+            for x in (leaves, [vocab.leaves - 1] * n)
+        ]
+        assert math.isclose(np.exp(logs[0] - logs[1]).sum(), 1, rel_tol=1e-4)
+    assert not model.words[vocab.leaves - 1].any() and model.words[: vocab.leaves].any()

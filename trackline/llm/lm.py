@@ -1,23 +1,29 @@
 """Scoring of texts by a log-bilinear neural language model.
 
-The model predicts one of ``UNITS`` units from the two before: the most frequent words are units of their own, all
-others share one unit per word length and are told apart by smoothed counts inside it. It is trained in numpy
-with noise-contrastive estimation, one replica per partition of the training texts; the replicas are averaged.
-A softmax over all units, by matrix products over all contexts, makes the token probabilities sum to one.
+The model predicts every token from the two before. Each head word has a context vector of its own. First comes one
+of ``UNITS`` units: the most frequent words are units of their own, all others share one unit per word length. Inside a
+shared unit the word is found by decisions between two sides, down a tree whose leaves are the unit's head words
+and one for its other words; each node has a vector of its own. Only the words of that last leaf are told apart by
+smoothed counts.
+
+It is trained in numpy, units with noise-contrastive estimation, decisions by their likelihood, one replica per
+partition of the training texts; the replicas are averaged, vectors of words over the replicas that met them. A
+softmax over all units and two sides at each node make the token probabilities sum to one.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from trackline.llm.common import split_words
 from trackline.session import checkpointed
 
 END = b""  # the token that closes a text; no word is empty
@@ -31,11 +37,19 @@ NOISE = 64  # noise units a batch shares
 BATCH, RATE = 4096, 0.05
 SLOTS = 64  # sums of replicas the driver averages
 DISTINCT = 400_000  # words a counting task holds before it hands on its counts
+CALM = 0.01  # squared steps that vectors of words and nodes start with
+SPREAD = 0.1  # of what words' own context vectors start with
+BLOCK = 8192  # rows of word and node vectors that are averaged together
+ROWS = 512  # tokens whose units are scored at once
 
 
 @dataclass
 class Vocabulary:
-    """Head words with their counts, and the totals of the training tokens."""
+    """Head words with their counts, the totals of the training tokens, and the tree inside each shared unit.
+
+    ``steps`` holds twice the node, plus one for its right side, of every decision on the way to a leaf; those of
+    leaf i stand from ``first[i]`` to ``first[i + 1]``. The last leaf is that of all words with units of their own.
+    """
 
     numbers: dict[bytes, int]
     counts: np.ndarray
@@ -44,36 +58,92 @@ class Vocabulary:
     unit: np.ndarray  # of each head word
     unit_tokens: np.ndarray
     unit_words: np.ndarray
+    leaf: np.ndarray  # of each head word
+    rest_leaf: np.ndarray  # of each unit, for its words outside the head
+    rest_mass: np.ndarray  # of each unit: their smoothed counts and that of one unseen word
+    first: np.ndarray
+    steps: np.ndarray
+    odds: np.ndarray  # of each node: logarithm of its right side's counts by the left side's
+
+    @property
+    def leaves(self) -> int:
+        return len(self.first) - 1
 
     @property
     def denominator(self) -> float:
         return self.tokens + SMOOTH * (self.distinct + 1)
 
 
+class Room:
+    """Arrays that are filled again and again: fresh memory costs more than the sums done in it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int, columns: int = SIZE + 1) -> np.ndarray:
+        if name not in self.held or len(self.held[name]) < rows:
+            self.held[name] = np.empty((rows + rows // 4, columns), np.float32)
+        return self.held[name][:rows]
+
+    def rows(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rows of the table at these places."""
+        return table.take(at, axis=0, out=self(name, len(at)), mode="clip")
+
+
 @dataclass
 class Parameters:
-    """Context vectors, their weights at the two places before, target vectors and biases."""
+    """Context vectors of units, their weights at the two places before, target vectors and biases of units.
+
+    ``words`` has a row per leaf, what its words' context vector has beyond their unit's, then a row per node, its vector and bias.
+    """
 
     context: np.ndarray
     place: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    words: np.ndarray
     table: np.ndarray | None = field(default=None, repr=False)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in (self.context, self.place, self.target, self.bias)])
 
     @staticmethod
-    def of(flat: np.ndarray) -> "Parameters":
+    def of(flat: np.ndarray, words: np.ndarray) -> "Parameters":
         shapes, parts, at = [(UNITS + 1, SIZE), (2, SIZE), (UNITS, SIZE), (UNITS,)], [], 0
         for shape in shapes:
             size = math.prod(shape)
             parts.append(flat[at : at + size].reshape(shape).astype(np.float32).copy())
             at += size
-        return Parameters(*parts)
+        return Parameters(*parts, words)
+
+    def guess(self, before: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors of the tokens one and two places before, and what they say of a token."""
+        one, two, own_one, own_two = before
+        first = self.context.take(one, axis=0) + self.words.take(own_one, axis=0)[:, :SIZE]
+        second = self.context.take(two, axis=0) + self.words.take(own_two, axis=0)[:, :SIZE]
+        return first, second, first * self.place[0] + second * self.place[1]
+
+    def log_probabilities(self, batch: "Batch", cut: slice, vocab: Vocabulary, room: Room) -> np.ndarray:
+        """Of each token's unit and of its leaf inside it; natural logarithms."""
+        unit, guess = batch.unit[cut], self.guess(tuple(x[cut] for x in batch.before))[2]
+        full = np.append(guess, np.ones((len(guess), 1), np.float32), axis=1)
+        target = np.append(self.target, self.bias[:, None], axis=1).T
+        found, every = np.empty(len(unit)), np.ones(UNITS, np.float32)
+        for at in range(0, len(unit), ROWS):
+            part = full[at : at + ROWS]
+            scores = np.matmul(part, target, out=room("scores", len(part), UNITS))
+            if np.abs(scores).max() > 80:  # beyond the range of exponentials
+                scores -= scores.max(axis=1, keepdims=True)
+            own = scores.ravel().take(np.arange(len(scores)) * UNITS + unit[at : at + ROWS])
+            found[at : at + ROWS] = own - np.log(np.exp(scores, out=scores) @ every)
+        token, node, right = decisions(batch.leaf[cut], vocab)
+        shown, rows = room.rows("shown", full, token), room.rows("rows", self.words, vocab.leaves + node)
+        lean = np.einsum("ij,ij->i", shown, rows)
+        wrong = np.clip(np.where(right, -lean, lean), -80, 80)
+        return found - np.bincount(token, np.log1p(np.exp(wrong)), len(unit))
 
     def log10_probabilities(self) -> np.ndarray:
-        """(context pair, unit): the normalised distribution behind every pair of units."""
+        """(context pair, unit): the normalised distribution behind every pair of units without vectors of words."""
         if self.table is None:
             first, second = self.context * self.place[0], self.context * self.place[1]
             rows = []
@@ -93,7 +163,8 @@ def length_unit(word: bytes) -> int:
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return [w.lower() for w in split_words(text)] if text and not text.islower() else split_words(text)
+    """Words with A-Z lower-cased; ``bytes.lower`` touches no other letter."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -147,34 +218,141 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         unit_tokens[WORD_UNITS + row["points"] - 1] = row["c"]
         unit_words[WORD_UNITS + row["points"] - 1] = row["v"]
     numbers = {w: i for i, w in enumerate(words)}
-    return Vocabulary(numbers, np.array([r["c"] for r in head], np.int64), n, v, unit, unit_tokens, unit_words)
+    of_head = np.array([r["c"] for r in head], np.int64)
+    # Words that begin alike are near each other in the tree; a unit's last leaf is for its words outside the head.
+    shared = np.flatnonzero(unit >= WORD_UNITS)
+    ordered = np.array(sorted(shared.tolist(), key=lambda i: (unit[i], words[i])), np.int64)
+    units_of = unit[ordered]
+    within = np.bincount(units_of, minlength=UNITS)
+    rest_mass = unit_tokens - np.bincount(units_of, of_head[ordered], UNITS) + SMOOTH * (unit_words - within + 1)
+    rest_leaf = np.maximum(np.cumsum(within + (np.arange(UNITS) >= WORD_UNITS)) - 1, 0)
+    leaf = np.full(len(words), len(ordered) + LENGTHS, np.int64)
+    leaf[ordered] = np.arange(len(ordered)) + units_of - WORD_UNITS
+    rest_leaf[:WORD_UNITS] = len(ordered) + LENGTHS
+    mass = np.zeros(len(ordered) + LENGTHS)
+    mass[leaf[ordered]] = of_head[ordered] + SMOOTH
+    mass[rest_leaf[WORD_UNITS:]] = rest_mass[WORD_UNITS:]
+    first, steps, odds = halved(mass, rest_leaf[WORD_UNITS:] + 1)
+    return Vocabulary(
+        numbers, of_head, n, v, unit, unit_tokens, unit_words, leaf, rest_leaf, rest_mass, first, steps, odds
+    )
+
+
+def halved(mass: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Binary trees over runs of leaves, cut where both sides weigh most alike: the ``first``, ``steps`` and ``odds`` of a vocabulary.
+
+    A node has the number of the first leaf on its right side, so that those near a leaf lie together in memory.
+    """
+    upto = np.concatenate(([0.0], np.cumsum(mass)))
+    low, high = np.concatenate(([0], ends[:-1])), ends
+    found, taken, odds = [], [], np.zeros(len(mass))
+    while len(low):
+        low, high = low[high - low > 1], high[high - low > 1]
+        middle = (upto[low] + upto[high]) / 2
+        cut = np.searchsorted(upto, middle)
+        cut -= (middle - upto[cut - 1]) < (upto[cut] - middle)
+        cut = np.clip(cut, low + 1, high - 1)
+        odds[cut] = np.log((upto[high] - upto[cut]) / (upto[cut] - upto[low]))
+        size = high - low
+        node = np.repeat(cut, size)
+        leaf = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - low, size)
+        found.append(leaf)
+        taken.append(2 * node + (leaf >= node))
+        low, high = np.concatenate((low, cut)), np.concatenate((cut, high))
+    every = np.concatenate(found) if found else np.zeros(0, np.int64)
+    steps = np.concatenate(taken)[np.argsort(every, kind="stable")] if found else every
+    depth = np.bincount(every, minlength=len(mass) + 1)
+    first = np.concatenate(([0], np.cumsum(depth)))
+    return first, steps.astype(np.int32), odds
+
+
+def decisions(leaf: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, node, whether it goes right) of every decision on the way to the tokens' leaves."""
+    depth = vocab.first[leaf + 1] - vocab.first[leaf]
+    token = np.repeat(np.arange(len(leaf)), depth)
+    at = np.arange(len(token)) + np.repeat(vocab.first[leaf] - np.cumsum(depth) + depth, depth)
+    steps = vocab.steps[at]
+    return token, steps >> 1, (steps & 1).astype(bool)
 
 
-def encoded(text: str | None, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Unit of each token, the head numbers of the tokens (-1: not in the head), and the words not in the head."""
-    words = tokens(text)
-    words.append(END)
-    get = vocab.numbers.get
-    number = np.array([get(w, -1) for w in words], np.int64)
+@dataclass
+class Batch:
+    """Tokens of whole texts: unit, leaf and head number (-1: not in the head) of each, and where each text begins.
+
+    ``before`` holds units one and two places before each token, then the leaves there; ``rare`` the words not in the head.
+    """
+
+    unit: np.ndarray
+    leaf: np.ndarray
+    number: np.ndarray
+    before: tuple[np.ndarray, ...]
+    starts: np.ndarray
+    rare: list[bytes]
+
+
+def read(texts: Sequence[list[bytes]], vocab: Vocabulary) -> Batch:
+    """The batch of the texts' words."""
+    words: list[bytes] = []
+    starts = []
+    for found in texts:
+        starts.append(len(words))
+        words += found
+        words.append(END)
+    number = np.fromiter(map(vocab.numbers.get, words, repeat(-1)), np.int64, len(words))
     unit = vocab.unit[number] if len(vocab.unit) else np.zeros(len(words), np.int64)
     tail = np.flatnonzero(number < 0)
     rare = [words[i] for i in tail.tolist()]
-    unit[tail] = [length_unit(w) if w else 0 for w in rare]
-    return unit, number, rare
+    sizes = np.fromiter(map(len, rare), np.int64, len(rare))
+    unit[tail] = np.where(sizes > 0, WORD_UNITS + np.minimum(sizes, LENGTHS) - 1, 0)
+    for i, word in enumerate(rare):
+        if not word.isascii():
+            unit[tail[i]] = length_unit(word)
+    leaf = vocab.leaf[number] if len(vocab.unit) else np.zeros(len(words), np.int64)
+    leaf[tail] = vocab.rest_leaf[unit[tail]]
+    at = np.array(starts, np.int64)
+    return Batch(unit, leaf, number, (*contexts(unit, START, at), *contexts(leaf, vocab.leaves - 1, at)), at, rare)
 
 
-def contexts(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The units one and two places before each token."""
-    padded = np.concatenate(([START, START], unit))
-    return padded[1:-1], padded[:-2]
+def encoded(text: str | None, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Unit of each token, the head numbers of the tokens (-1: not in the head), and the words not in the head."""
+    batch = read([tokens(text)], vocab)
+    return batch.unit, batch.number, batch.rare
+
+
+def batches(texts: Iterable[str | None], vocab: Vocabulary) -> Iterator[Batch]:
+    """Batches of at least ``BATCH`` tokens, but for the last."""
+    held, size = [], 0
+    for text in texts:
+        held.append(tokens(text))
+        size += len(held[-1]) + 1
+        if size >= BATCH:
+            yield read(held, vocab)
+            held, size = [], 0
+    if held:
+        yield read(held, vocab)
+
+
+def contexts(unit: np.ndarray, none: int = START, starts: Sequence[int] | np.ndarray = (0,)) -> tuple[np.ndarray, np.ndarray]:
+    """The units, or leaves, one and two places before each token; ``none`` before the begin of a text."""
+    at = np.asarray(starts, np.int64)
+    one, two = np.empty_like(unit), np.empty_like(unit)
+    one[1:], two[2:] = unit[:-1], unit[:-2]
+    one[at] = two[at] = none
+    second = at + 1
+    two[second[second < len(unit)]] = none
+    return one, two
 
 
 def start(vocab: Vocabulary) -> Parameters:
-    """Small fixed random vectors, and biases that give the unit frequencies."""
+    """Small fixed random vectors, none of nodes yet, and biases that give the frequencies."""
     draw = np.random.default_rng(8)
-    vectors = lambda n: draw.normal(0, 0.1, (n, SIZE)).astype(np.float32)
+    context, target = (draw.normal(0, 0.1, (n, SIZE)).astype(np.float32) for n in (UNITS + 1, UNITS))
     share = (vocab.unit_tokens + 1) / (vocab.unit_tokens + 1).sum()
-    return Parameters(vectors(UNITS + 1), np.ones((2, SIZE), np.float32), vectors(UNITS), np.log(share).astype(np.float32))
+    words = np.zeros((vocab.leaves + len(vocab.odds), SIZE + 1), np.float32)
+    words[: vocab.leaves - 1, :SIZE] = SPREAD * draw.standard_normal((vocab.leaves - 1, SIZE), np.float32)
+    words[vocab.leaves :, SIZE] = vocab.odds
+    own = np.log(share).astype(np.float32)
+    return Parameters(context, np.ones((2, SIZE), np.float32), target, own, words)
 
 
 def row_sums(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
@@ -182,25 +360,32 @@ def row_sums(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad; the noise is drawn from the unit frequencies."""
+    """Noise-contrastive estimation of units, likelihood of decisions, with AdaGrad; the noise is drawn from the unit frequencies."""
 
     def __init__(self, parameters: Parameters, vocab: Vocabulary, seed: int):
-        self.p, self.draw, self.seen = parameters, np.random.default_rng(seed), 0
+        self.p, self.vocab, self.draw, self.seen = parameters, vocab, np.random.default_rng(seed), 0
+        self.calm = np.full(len(parameters.words), CALM, np.float32)
+        self.met = np.zeros(len(parameters.words), np.float32)
+        self.slot, self.room = np.zeros(len(parameters.words), np.int32), Room()
         share = (vocab.unit_tokens + 1) / (vocab.unit_tokens + 1).sum()
         self.edges, self.log_noise = np.cumsum(share), np.log(share * NOISE).astype(np.float32)
         self.squares = [np.full_like(a, 1e-6) for a in (parameters.context, parameters.place, parameters.target, parameters.bias)]
 
-    def learn(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> None:
-        """One step on the tokens ``unit`` with the units one and two places before."""
-        p = self.p
+    def learn(self, unit: np.ndarray, leaf: np.ndarray, *before: np.ndarray) -> None:
+        """One step on the tokens ``unit`` and ``leaf`` with units and leaves of the tokens one and two places before."""
+        p, (one, two, own_one, own_two) = self.p, before
         noise = np.minimum(np.searchsorted(self.edges, self.draw.random(NOISE)), UNITS - 1)
-        c1, c2, target, noisy = p.context[one], p.context[two], p.target[unit], p.target[noise]
-        guess = c1 * p.place[0] + c2 * p.place[1]
-        true = (guess * target).sum(axis=1) + p.bias[unit] - self.log_noise[unit]
-        false = guess @ noisy.T + p.bias[noise] - self.log_noise[noise]
+        target, noisy = p.target.take(unit, axis=0), p.target[noise]
+        c1, c2, guess = p.guess(before)
+        true = np.einsum("ij,ij->i", guess, target) + p.bias[unit] - self.log_noise[unit]
+        false = guess @ noisy.T
+        false += p.bias[noise] - self.log_noise[noise]
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
+        np.clip(false, -30, 30, out=false)
+        down = np.exp(false, out=false)
+        down /= -1 - down
         pull = up[:, None] * target + down @ noisy
+        pull += self.decide(leaf, guess, pull, own_one, own_two)
         target_step = row_sums(unit, up[:, None] * guess, UNITS)
         np.add.at(target_step, noise, down.T @ guess)
         bias_step = np.bincount(unit, up, UNITS).astype(np.float32)
@@ -213,52 +398,115 @@ class Trainer:
             value += RATE * step / np.sqrt(square)
         self.seen += len(unit)
 
-
-def fit(rows: DataFrame, vocab: Vocabulary) -> Parameters:
-    """The average of one replica per partition, weighted by its tokens; every training token is learned from once."""
-    shared = rows.sparkSession.sparkContext.broadcast((vocab, start(vocab)))
-    schema = "slot int, seen long, replica binary"
+    def decide(self, leaf: np.ndarray, guess: np.ndarray, pull: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """A step of the rows of ``words`` that the tokens meet, each with one rate; how the decisions pull each guess."""
+        p, vocab = self.p, self.vocab
+        token, node, right = decisions(leaf, vocab)
+        node += vocab.leaves
+        full = np.append(guess, np.ones((len(guess), 1), np.float32), axis=1)
+        rows, shown = self.room.rows("rows", p.words, node), self.room.rows("shown", full, token)
+        lean = np.einsum("ij,ij->i", shown, rows)
+        miss = right - 1 / (1 + np.exp(np.clip(-lean, -30, 30)))
+        rows *= miss[:, None]
+        more, starts = np.zeros_like(guess), np.flatnonzero(np.diff(token, prepend=-1))
+        if len(starts):
+            more[token[starts]] = np.add.reduceat(rows, starts)[:, :SIZE]
+        pull = pull + more
+        # Rows met by several tokens are numbered without a sort, then summed column by column.
+        n, met = len(one), np.concatenate((one, two, node))
+        places = np.arange(len(met), dtype=np.int32)
+        self.slot[met] = places
+        found = met[self.slot[met] == places]
+        self.slot[found] = places[: len(found)]
+        at = self.slot[met].astype(np.int64)
+        shown *= miss[:, None]
+        column, step = np.zeros(len(met)), self.room("step", len(found))
+        for k in range(SIZE + 1):
+            column[2 * n :] = shown[:, k]
+            column[:n], column[n : 2 * n] = (pull[:, k] * p.place[0, k], pull[:, k] * p.place[1, k]) if k < SIZE else (0, 0)
+            step[:, k] = np.bincount(at, column, len(found))
+        step[found == vocab.leaves - 1] = 0  # words with units of their own, and what is before a text
+        self.calm[found] += np.einsum("ij,ij->i", step, step) / (SIZE + 1)
+        step *= (RATE / np.sqrt(self.calm[found]))[:, None]
+        step += self.room.rows("old", p.words, found)
+        p.words[found] = step
+        self.met[found] += np.bincount(at, minlength=len(found))
+        return more
+
+
+def fit(rows: DataFrame, vocab: Vocabulary, shared: Broadcast | None = None) -> Parameters:
+    """The average of one replica per partition; every training token is learned from once.
+
+    Replicas weigh by their tokens, in a row of ``words`` by how often they met it; rows that none met stay as at the start.
+    What they learned in those is sent in half precision. ``shared`` is the vocabulary where it is broadcast already.
+    """
+    shared = shared or rows.sparkSession.sparkContext.broadcast(vocab)
+    schema = "part int, seen long, met binary, replica binary"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def replica(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        vocab, first = shared.value
+        vocab = shared.value
         number = TaskContext.get().partitionId()
-        trainer = Trainer(Parameters.of(first.flat()), vocab, number)
+        trainer = Trainer(start(vocab), vocab, number)
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for frame in frames:
-            for text in frame["text"]:
-                unit = encoded(text, vocab)[0]
-                held.append((*contexts(unit), unit))
-                size += len(unit)
-                if size >= BATCH:
-                    joined = [np.concatenate(x) for x in zip(*held)]
-                    for at in range(0, size - BATCH + 1, BATCH):
-                        trainer.learn(*[x[at : at + BATCH] for x in joined])
-                    rest = size % BATCH
-                    held, size = [tuple(x[size - rest :] for x in joined)], rest
+        for batch in batches((text for frame in frames for text in frame["text"]), vocab):
+            held.append((batch.unit, batch.leaf, *batch.before))
+            size += len(batch.unit)
+            if size >= BATCH:
+                joined = [np.concatenate(x) for x in zip(*held)]
+                for at in range(0, size - BATCH + 1, BATCH):
+                    trainer.learn(*[x[at : at + BATCH] for x in joined])
+                rest = size % BATCH
+                held, size = [tuple(x[size - rest :] for x in joined)], rest
         if size:
             trainer.learn(*[np.concatenate(x) for x in zip(*held)])
         if trainer.seen:
             flat = trainer.p.flat().astype(np.float64) * trainer.seen
-            yield pd.DataFrame({"slot": [number % SLOTS], "seen": [trainer.seen], "replica": [flat.tobytes()]})
+            yield pd.DataFrame([(number % SLOTS, trainer.seen, b"", flat.tobytes())], columns=columns)
+            learned = trainer.p.words - start(vocab).words
+            for at in range(0, len(trainer.met), BLOCK):
+                often = trainer.met[at : at + BLOCK]
+                met = np.flatnonzero(often)
+                if len(met):
+                    values = learned[at + met].astype(np.float16)
+                    row = SLOTS + at // BLOCK, 0, often.tobytes(), values.tobytes()
+                    yield pd.DataFrame([row], columns=columns)
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, seen = 0.0, 0
+        blocks: dict[int, np.ndarray] = {}
         for frame in frames:
-            for n, data in zip(frame["seen"], frame["replica"]):
-                total, seen = total + np.frombuffer(data), seen + int(n)
+            for part, n, met, data in frame.itertuples(index=False):
+                if part < SLOTS:
+                    total, seen = total + np.frombuffer(data), seen + n
+                    continue
+                often = np.frombuffer(met, np.float32).astype(np.float64)
+                sums = blocks.setdefault(part, np.zeros((len(often), SIZE + 2)))
+                sums[:, 0] += often
+                rows = np.flatnonzero(often)
+                sums[rows, 1:] += np.frombuffer(data, np.float16).reshape(-1, SIZE + 1) * often[rows, None]
         if seen:
-            yield pd.DataFrame({"slot": [0], "seen": [seen], "replica": [total.tobytes()]})
-
-    sums = rows.select("text").mapInPandas(replica, schema).repartition(SLOTS, "slot").mapInPandas(add, schema).collect()
+            yield pd.DataFrame([(0, seen, b"", total.tobytes())], columns=columns)
+        for part, sums in blocks.items():
+            met = np.flatnonzero(sums[:, 0])
+            means = (sums[met, 1:] / sums[met, :1]).astype(np.float32)
+            yield pd.DataFrame([(part, 0, met.astype(np.int32).tobytes(), means.tobytes())], columns=columns)
+
+    sums = rows.select("text").mapInPandas(replica, schema).repartition(SLOTS, "part").mapInPandas(add, schema).collect()
+    first = start(vocab)
     seen = sum(r["seen"] for r in sums)
     if not seen:
-        return start(vocab)
+        return first
+    for r in sums:
+        if r["part"] >= SLOTS:
+            at = (r["part"] - SLOTS) * BLOCK + np.frombuffer(r["met"], np.int32)
+            first.words[at] += np.frombuffer(r["replica"], np.float32).reshape(-1, SIZE + 1)
     # Sums in a fixed order, so that the same data give the same model.
-    parts = sorted((np.frombuffer(r["replica"]) for r in sums), key=lambda x: x.tobytes())
-    return Parameters.of(sum(parts) / seen)
+    parts = sorted((np.frombuffer(r["replica"]) for r in sums if r["part"] < SLOTS), key=lambda x: x.tobytes())
+    return Parameters.of(sum(parts) / seen, first.words)
 
 
 def score(df: DataFrame, training: DataFrame, text: str = "text") -> DataFrame:
@@ -272,28 +520,34 @@ def score(df: DataFrame, training: DataFrame, text: str = "text") -> DataFrame:
     rows = training.select(F.col(text).alias("text"))
     counts = checkpointed(word_counts(rows))
     vocab = vocabulary(counts)
-    shared = df.sparkSession.sparkContext.broadcast((vocab, fit(rows, vocab)))
+    context = df.sparkSession.sparkContext
+    shared = context.broadcast(vocab)
+    model = context.broadcast(fit(rows, vocab, shared))
     names = ["n_tokens", "n_known", "head_log", "model_log", "rare", "times"]
     schema = "n_tokens long, n_known long, head_log double, model_log double, rare array<binary>, times array<int>"
 
     @F.pandas_udf(schema)
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        vocab, parameters = shared.value
-        table = parameters.log10_probabilities()
+        vocab, parameters = shared.value, model.value
         log_count = np.append(np.log10(vocab.counts + SMOOTH), 0.0)  # -1, a word outside the head, reads the last
-        log_unit = np.log10(vocab.unit_tokens + SMOOTH * (vocab.unit_words + 1))
+        log_rest = np.log10(vocab.rest_mass)
+
+        room = Room()
         for texts in parts:
             out = []
-            for text in texts:
-                unit, number, rare = encoded(text, vocab)
-                one, two = contexts(unit)
-                of_count = log_count[number]
-                shared_unit = unit >= WORD_UNITS
-                model = table[one * (UNITS + 1) + two, unit].sum(dtype=np.float64)
-                model += (of_count - log_unit[unit])[shared_unit].sum()
-                found = Counter(rare)
-                known = len(unit) - len(rare)
-                out.append((len(unit), known, of_count.sum(), model, list(found), list(found.values())))
+            for batch in batches(texts, vocab):
+                cuts = [slice(at, at + BATCH) for at in range(0, len(batch.unit), BATCH)]
+                logs = np.concatenate([parameters.log_probabilities(batch, cut, vocab, room) for cut in cuts]) / math.log(10)
+                tail = np.flatnonzero(batch.number < 0)
+                # The joined counts of words outside the head are shares of their units' last leaves.
+                logs[tail] -= log_rest[batch.unit[tail]]
+                ends = np.searchsorted(tail, batch.starts).tolist() + [len(tail)]
+                found = [Counter(batch.rare[a:b]) for a, b in zip(ends, ends[1:])]
+                sizes = np.diff(batch.starts, append=len(batch.unit))
+                known = sizes - np.diff(ends)
+                sums = [np.add.reduceat(x, batch.starts).tolist() for x in (log_count[batch.number], logs)]
+                rare = [list(c) for c in found], [list(c.values()) for c in found]
+                out += zip(sizes.tolist(), known.tolist(), *sums, *rare)
             yield pd.DataFrame.from_records(out, columns=names)
 
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
