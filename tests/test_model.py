@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trackline.operators import features, forest, forest_parts
 from trackline.operators.permutation import permutation_importance
+from workload import model as model_queries
 
 
 def frames(spark):
@@ -211,3 +212,28 @@ def test_new_records_are_spread_before_they_are_scored(spark, sf_dir):
     sizes = model._new_records(spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > spark.sparkContext.defaultParallelism
     assert max(r["count"] for r in sizes) < sum(r["count"] for r in sizes) / 4
+
+
+def test_training_encodes_the_rows_once(spark, sf_dir):
+    """The forest reads its rows three times before its first level; each of them encoded and split all rows anew."""
+    rows, train, _ = model_queries._rows(spark, sf_dir)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    n = train.count()
+    fitted = forest.train(train.withColumn("month", counted("month")), trees=2, depth=3, guarded=rows)
+    assert seen.value == n
+    # The same forest as of a pipeline that ends with it.
+    whole = forest.Pipeline(stages=[*forest.encoder().getStages(), fitted_like(2, 3)]).fit(train)
+    assert fitted.forest.toDebugString.split("\n", 1)[1] == whole.stages[-1].toDebugString.split("\n", 1)[1]
+
+
+def fitted_like(trees, depth):
+    return forest.RandomForestRegressor(
+        featuresCol="features", labelCol="delay_seconds", predictionCol="predicted_seconds", numTrees=trees, maxDepth=depth,
+        seed=forest.SEED, maxMemoryInMB=1024, maxBins=64, featureSubsetStrategy="all",
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -75,21 +76,22 @@ def train(
     guards = training_guards(rows if guarded is None else guarded).first()
     if not guards.trainable:
         raise ValueError(f"cannot train on {guards.n_rows} rows with {guards.n_labels} distinct delays")
-    stages = [
-        *encoder().getStages(),
-        RandomForestRegressor(
-            featuresCol="features",
-            labelCol=LABEL,
-            predictionCol="predicted_seconds",
-            numTrees=trees,
-            maxDepth=depth,
-            seed=seed,
-            maxMemoryInMB=max_memory_mb,
-            maxBins=max_bins,
-            featureSubsetStrategy="all",
-        ),
-    ]
-    model = Pipeline(stages=stages).fit(rows)
+    regressor = RandomForestRegressor(
+        featuresCol="features",
+        labelCol=LABEL,
+        predictionCol="predicted_seconds",
+        numTrees=trees,
+        maxDepth=depth,
+        seed=seed,
+        maxMemoryInMB=max_memory_mb,
+        maxBins=max_bins,
+        featureSubsetStrategy="all",
+    )
+    encoding = encoder().fit(rows)
+    # The forest reads its rows three times before it keeps them in its own form.
+    encoded = encoding.transform(rows).select("features", LABEL).persist(StorageLevel.DISK_ONLY)
+    model = PipelineModel([*encoding.stages, regressor.fit(encoded)])
+    encoded.unpersist()
     names, groups = [], []
     for column, labels in zip(CATEGORICAL, model.stages[0].labelsArray):
         names += [f"cat__{column}_{value}" for value in labels]
