@@ -131,3 +131,55 @@ def test_probabilities_inside_a_unit_sum_to_one(spark, monkeypatch, head):
         ]
         assert math.isclose(np.exp(logs[0] - logs[1]).sum(), 1, rel_tol=1e-4)
     assert not model.words[vocab.leaves - 1].any() and model.words[: vocab.leaves].any()
+
+
+@pytest.mark.parametrize("head", [1 << 18, 30, 300])
+def test_a_step_is_that_of_every_token_and_decision(spark, monkeypatch, head):
+    """Upper decisions are found by products of matrices, lower ones by columns; a row is read and written once a step."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    texts = [r[1] for r in rows() + two_tongues(20)]
+    vocab = vocabulary(word_counts(documents(spark, rows() + two_tongues(20))))
+    p, size = start(vocab), lm.SIZE
+    p.words[vocab.leaves :, :size] = np.random.default_rng(5).normal(0, 0.1, (len(vocab.odds), size))
+    batch = lm.read([lm.tokens(t) for t in texts], vocab)
+    place, context, target, bias, words = (a.astype(float) for a in (p.place, p.context, p.target, p.bias, p.words))
+    trainer = lm.Trainer(p, vocab, 3)
+    noise = np.minimum(np.searchsorted(trainer.edges, np.random.default_rng(3).random(lm.NOISE)), UNITS - 1)
+    change, met, contexts, targets = np.zeros(words.shape), np.zeros(len(words)), np.zeros(context.shape), np.zeros(target.shape)
+    for unit, leaf, one, two, own_one, own_two in zip(batch.unit, batch.leaf, *batch.before):
+        guess = (context[one] + words[own_one, :size]) * place[0] + (context[two] + words[own_two, :size]) * place[1]
+        up = 1 / (1 + np.exp(guess @ target[unit] + bias[unit] - trainer.log_noise[unit]))
+        down = -1 / (1 + np.exp(-(target[noise] @ guess + bias[noise] - trainer.log_noise[noise])))
+        pull = up * target[unit] + down @ target[noise]
+        targets[unit] += up * guess
+        np.add.at(targets, noise, down[:, None] * guess)
+        for step in vocab.steps[vocab.first[leaf] : vocab.first[leaf + 1]].tolist():
+            row = vocab.leaves + step // 2
+            miss = step % 2 - 1 / (1 + np.exp(-(words[row, :size] @ guess + words[row, size])))
+            pull = pull + miss * words[row, :size]
+            change[row] += miss * np.append(guess, 1)
+            met[row] += 1
+        for unit, own, share in ((one, own_one, place[0]), (two, own_two, place[1])):
+            contexts[unit] += pull * share
+            change[own, :size] += pull * share
+            met[own] += 1
+    change[vocab.leaves - 1] = 0
+    squares = lm.CALM + (change**2).sum(axis=1) / (size + 1)
+    trainer.learn(batch.unit, batch.leaf, *batch.before)
+    assert np.allclose(trainer.rows[:, : size + 1], words + lm.RATE * change / np.sqrt(squares)[:, None], atol=1e-4)
+    assert np.allclose(trainer.rows[:, lm.SQUARES], squares, rtol=1e-3)
+    assert (trainer.rows[:, lm.MET] == met).all()
+    for value, first, step in ((p.context, context, contexts), (p.target, target, targets)):
+        assert np.allclose(value, first + lm.RATE * step / np.sqrt(1e-6 + step**2), atol=1e-3)
+
+
+def test_tops_hold_the_first_decisions(spark):
+    vocab = vocabulary(word_counts(documents(spark, rows() + two_tongues(20))))
+    nodes, places, right = vocab.tops
+    units = np.searchsorted(vocab.rest_leaf[WORD_UNITS:], np.arange(vocab.leaves))
+    for leaf in range(vocab.leaves - 1):
+        steps = vocab.steps[vocab.first[leaf] : vocab.first[leaf + 1]][: lm.TOP]
+        found = nodes[units[leaf], places[leaf, : len(steps)]] - vocab.leaves
+        assert (2 * found + right[leaf, : len(steps)] == steps).all()
+        assert (nodes[units[leaf], places[leaf, len(steps) :]] == vocab.leaves - 1).all()
+    assert max(np.diff(vocab.first)) > lm.TOP

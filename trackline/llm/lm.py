@@ -17,6 +17,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -41,6 +42,9 @@ CALM = 0.01  # squared steps that vectors of words and nodes start with
 SPREAD = 0.1  # of what words' own context vectors start with
 BLOCK = 8192  # rows of word and node vectors that are averaged together
 ROWS = 512  # tokens whose units are scored at once
+SCORED = 16384  # tokens whose texts are scored together
+TOP = 4  # upper levels of a tree whose decisions are found together
+SQUARES, MET, WIDTH = SIZE + 1, SIZE + 2, SIZE + 4  # columns of a replica's rows: sum of squared steps, times met; with the unused last 80 bytes
 
 
 @dataclass
@@ -69,6 +73,31 @@ class Vocabulary:
     def leaves(self) -> int:
         return len(self.first) - 1
 
+    @cached_property
+    def depth(self) -> np.ndarray:
+        """How many decisions below the tops lead to each leaf."""
+        return np.maximum(np.diff(self.first) - TOP, 0).astype(np.int16)
+
+    @cached_property
+    def tops(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The upper ``TOP`` levels of every shared unit's tree, whose decisions are found by products of matrices.
+
+        First (unit, place) the row of the node in ``words``, children of place i at 2i + 1 and 2i + 2, and the last leaf's row where
+        there is none. Then (leaf, level) the place of each decision, the last one where there is none, and its side.
+        """
+        nodes = np.full((LENGTHS, 1 << TOP), self.leaves - 1)
+        places = np.full((self.leaves, TOP), (1 << TOP) - 1, np.int16)
+        right = np.zeros((self.leaves, TOP), bool)
+        units = np.searchsorted(self.rest_leaf[WORD_UNITS:], np.arange(self.leaves))
+        place = np.zeros(self.leaves, np.int64)
+        for level in range(TOP):
+            has = np.flatnonzero(np.diff(self.first) > level)
+            step = self.steps[self.first[has] + level]
+            places[has, level], right[has, level] = place[has], step & 1
+            nodes[units[has], place[has]] = self.leaves + (step >> 1)
+            place[has] = 2 * place[has] + 1 + (step & 1)
+        return nodes, places, right
+
     @property
     def denominator(self) -> float:
         return self.tokens + SMOOTH * (self.distinct + 1)
@@ -85,9 +114,13 @@ class Room:
             self.held[name] = np.empty((rows + rows // 4, columns), np.float32)
         return self.held[name][:rows]
 
+    def columns(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """Rows that many numbers long, one after the other."""
+        return self(name, rows * columns, 1).reshape(rows, columns)
+
     def rows(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The rows of the table at these places."""
-        return table.take(at, axis=0, out=self(name, len(at)), mode="clip")
+        return table.take(at, axis=0, out=self(name, len(at), table.shape[1]), mode="clip")
 
 
 @dataclass
@@ -129,18 +162,23 @@ class Parameters:
         full = np.append(guess, np.ones((len(guess), 1), np.float32), axis=1)
         target = np.append(self.target, self.bias[:, None], axis=1).T
         found, every = np.empty(len(unit)), np.ones(UNITS, np.float32)
+        square = np.einsum("ij,ij->i", full, full).max(initial=0) * (target * target).sum(axis=0).max()
         for at in range(0, len(unit), ROWS):
             part = full[at : at + ROWS]
             scores = np.matmul(part, target, out=room("scores", len(part), UNITS))
-            if np.abs(scores).max() > 80:  # beyond the range of exponentials
+            if not square < 80 * 80:  # maybe beyond the range of exponentials
                 scores -= scores.max(axis=1, keepdims=True)
             own = scores.ravel().take(np.arange(len(scores)) * UNITS + unit[at : at + ROWS])
             found[at : at + ROWS] = own - np.log(np.exp(scores, out=scores) @ every)
-        token, node, right = decisions(batch.leaf[cut], vocab)
-        shown, rows = room.rows("shown", full, token), room.rows("rows", self.words, vocab.leaves + node)
-        lean = np.einsum("ij,ij->i", shown, rows)
-        wrong = np.clip(np.where(right, -lean, lean), -80, 80)
-        return found - np.bincount(token, np.log1p(np.exp(wrong)), len(unit))
+        order = by_leaf(batch.leaf[cut], vocab)
+        tops, met = Tops(batch.leaf[cut], order, full, self.words, vocab, room), decisions(batch.leaf[cut], order, vocab)
+        loss = -missed(tops.lean, tops.right)
+        loss[tops.none] = 0
+        found[tops.order] += loss.sum(axis=1, dtype=float)
+        rows = turned(room.rows("rows", self.words, vocab.leaves + met.node), room)
+        lean = met.lean(np.ascontiguousarray(full.take(met.order, axis=0).T), rows, room)
+        found[met.order] -= np.bincount(met.who, missed(lean, met.right), len(met.order))
+        return found
 
     def log10_probabilities(self) -> np.ndarray:
         """(context pair, unit): the normalised distribution behind every pair of units without vectors of words."""
@@ -156,6 +194,19 @@ class Parameters:
         return self.table
 
 
+def missed(lean: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Less the logarithm of the probability that decisions go to this side."""
+    wrong = np.clip(np.where(right, -lean, lean), -80, 80)
+    return np.log(1 + np.exp(wrong))
+
+
+def turned(rows: np.ndarray, room: Room) -> np.ndarray:
+    """What ``words`` has in these rows, a column per row."""
+    columns = room.columns("turned", SIZE + 1, len(rows))
+    columns[:] = rows[:, : SIZE + 1].T
+    return columns
+
+
 def length_unit(word: bytes) -> int:
     """The shared unit of the words with as many code points, 32 or more together."""
     points = sum(b & 0xC0 != 0x80 for b in word) if not word.isascii() else len(word)
@@ -266,13 +317,86 @@ def halved(mass: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, steps.astype(np.int32), odds
 
 
-def decisions(leaf: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, node, whether it goes right) of every decision on the way to the tokens' leaves."""
-    depth = vocab.first[leaf + 1] - vocab.first[leaf]
-    token = np.repeat(np.arange(len(leaf)), depth)
-    at = np.arange(len(token)) + np.repeat(vocab.first[leaf] - np.cumsum(depth) + depth, depth)
-    steps = vocab.steps[at]
-    return token, steps >> 1, (steps & 1).astype(bool)
+@dataclass
+class Decisions:
+    """The decisions below the tops on the way to the tokens' leaves, one level of the trees after the other.
+
+    ``order`` holds the tokens that meet decisions, the deepest leaves first, so that those of a level are the first ``sizes[level]``
+    of them. ``who`` is the token's place in that order.
+    """
+
+    order: np.ndarray
+    sizes: list[int]
+    who: np.ndarray
+    node: np.ndarray
+    right: np.ndarray
+
+    def levels(self) -> Iterator[tuple[int, slice]]:
+        """How many tokens meet each level, and where its decisions stand."""
+        at = 0
+        for size in self.sizes:
+            yield size, slice(at, at + size)
+            at += size
+
+    def lean(self, shown: np.ndarray, rows: np.ndarray, room: Room) -> np.ndarray:
+        """Each decision's product of what its token and its node have, both with a column each; ``shown`` is in the order of the tokens."""
+        parts = room.columns("parts", len(rows), len(self.node))
+        for size, at in self.levels():
+            np.multiply(shown[:, :size], rows[:, at], out=parts[:, at])
+        return parts.sum(axis=0)
+
+
+class Tops:
+    """The decisions in the upper levels of the trees: one product of matrices per unit tells them all."""
+
+    def __init__(self, leaf: np.ndarray, order: np.ndarray, full: np.ndarray, words: np.ndarray, vocab: Vocabulary, room: Room):
+        self.order, self.room = order, room
+        ends = np.searchsorted(leaf.take(order), vocab.rest_leaf[WORD_UNITS:], side="right").tolist()
+        self.parts = [(u, slice(a, b)) for u, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+        nodes, places, right = vocab.tops
+        self.shown = room.rows("top shown", full, self.order)
+        self.vectors = words.take(nodes, axis=0)[:, :, : SIZE + 1]
+        leaves, width, n = leaf.take(self.order), 1 << TOP, len(self.order)
+        self.place, self.right = places.take(leaves, axis=0), right.take(leaves, axis=0)
+        scores = room("top", n, width)
+        for u, part in self.parts:
+            np.matmul(self.shown[part], self.vectors[u].T, out=scores[part])
+        self.at = self.place + (np.arange(n) * width)[:, None]
+        self.lean, self.none = scores.ravel().take(self.at), self.place == width - 1
+
+    def back(self, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How the decisions pull each guess, the step of each node, and how often each was met."""
+        miss[self.none] = 0
+        width = 1 << TOP
+        spread = self.room("top", len(self.order), width)
+        spread[:] = 0
+        spread.ravel()[self.at] = miss
+        more, step = np.empty((len(self.order), SIZE), np.float32), np.zeros((LENGTHS, width, SIZE + 1), np.float32)
+        times = np.zeros((LENGTHS, width), np.int64)
+        for u, part in self.parts:
+            np.matmul(spread[part], self.vectors[u][:, :SIZE], out=more[part])
+            np.matmul(spread[part].T, self.shown[part], out=step[u])
+            times[u] = np.bincount(self.place[part].ravel(), minlength=width)
+        return more, step, times
+
+
+def by_leaf(leaf: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """The tokens of shared units in the order of their leaves, so that units come in order and near leaves read near rows."""
+    shared = np.flatnonzero(leaf < vocab.leaves - 1)
+    return shared[np.argsort(leaf.take(shared).astype(np.int32))]
+
+
+def decisions(leaf: np.ndarray, order: np.ndarray, vocab: Vocabulary) -> Decisions:
+    """Of the tokens in ``order``."""
+    depth = vocab.depth.take(leaf.take(order))
+    sizes = (len(order) - np.cumsum(np.bincount(depth)))[:-1].tolist()
+    order = order[np.argsort(-depth, kind="stable")[: np.count_nonzero(depth)]]
+    first, places = vocab.first.take(leaf.take(order)) + TOP, np.arange(len(order))
+    if not sizes:
+        return Decisions(order, sizes, places, places, places.astype(bool))
+    steps = vocab.steps.take(np.concatenate([first[:n] + level for level, n in enumerate(sizes)]))
+    who = np.concatenate([places[:n] for n in sizes])
+    return Decisions(order, sizes, who, (steps >> 1).astype(np.int64), (steps & 1).astype(bool))
 
 
 @dataclass
@@ -319,13 +443,13 @@ def encoded(text: str | None, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
     return batch.unit, batch.number, batch.rare
 
 
-def batches(texts: Iterable[str | None], vocab: Vocabulary) -> Iterator[Batch]:
-    """Batches of at least ``BATCH`` tokens, but for the last."""
+def batches(texts: Iterable[str | None], vocab: Vocabulary, least: int = BATCH) -> Iterator[Batch]:
+    """Batches of at least ``least`` tokens, but for the last."""
     held, size = [], 0
     for text in texts:
         held.append(tokens(text))
         size += len(held[-1]) + 1
-        if size >= BATCH:
+        if size >= least:
             yield read(held, vocab)
             held, size = [], 0
     if held:
@@ -355,17 +479,23 @@ def start(vocab: Vocabulary) -> Parameters:
     return Parameters(context, np.ones((2, SIZE), np.float32), target, own, words)
 
 
-def row_sums(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    return np.stack([np.bincount(at, values[:, k], rows) for k in range(values.shape[1])], axis=1).astype(np.float32)
+def column_sums(at: np.ndarray, columns: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of what goes to each of few places."""
+    return np.stack([np.bincount(at, column, rows) for column in columns], axis=1).astype(np.float32)
 
 
 class Trainer:
-    """Noise-contrastive estimation of units, likelihood of decisions, with AdaGrad; the noise is drawn from the unit frequencies."""
+    """Noise-contrastive estimation of units, likelihood of decisions, with AdaGrad; the noise is drawn from the unit frequencies.
+
+    ``rows`` are those of ``words``, each followed by the sum of its squared steps and by how often it was met, so that a
+    step reads and writes a row once.
+    """
 
     def __init__(self, parameters: Parameters, vocab: Vocabulary, seed: int):
         self.p, self.vocab, self.draw, self.seen = parameters, vocab, np.random.default_rng(seed), 0
-        self.calm = np.full(len(parameters.words), CALM, np.float32)
-        self.met = np.zeros(len(parameters.words), np.float32)
+        self.rows = np.zeros((len(parameters.words), WIDTH), np.float32)
+        self.rows[:, : SIZE + 1] = parameters.words
+        self.rows[:, SQUARES] = CALM
         self.slot, self.room = np.zeros(len(parameters.words), np.int32), Room()
         share = (vocab.unit_tokens + 1) / (vocab.unit_tokens + 1).sum()
         self.edges, self.log_noise = np.cumsum(share), np.log(share * NOISE).astype(np.float32)
@@ -373,65 +503,94 @@ class Trainer:
 
     def learn(self, unit: np.ndarray, leaf: np.ndarray, *before: np.ndarray) -> None:
         """One step on the tokens ``unit`` and ``leaf`` with units and leaves of the tokens one and two places before."""
-        p, (one, two, own_one, own_two) = self.p, before
+        p, room, (one, two, own_one, own_two) = self.p, self.room, before
+        n, order = len(unit), by_leaf(leaf, self.vocab)
+        met = decisions(leaf, order, self.vocab)
+        # Mostly, what is two places before a token is one place before the last; both pull it at once.
+        same = np.flatnonzero((two[1:] == one[:-1]) & (own_two[1:] == own_one[:-1]))
+        alone = np.ones(n, bool)
+        alone[same + 1] = False
+        alone = np.flatnonzero(alone)
+        found, at = self.numbered(np.concatenate((own_one, own_two[alone], met.node + self.vocab.leaves)))
+        units = n + len(alone)
+        rows = room.rows("old", self.rows, found)
+        own = room.rows("own", rows, at[:units])[:, :SIZE] + p.context.take(np.concatenate((one, two[alone])), axis=0)
+        c1, c2 = own[:n], np.empty((n, SIZE), np.float32)
+        c2[1:], c2[alone] = c1[:-1], own[n:]
+        full = np.ones((n, SIZE + 1), np.float32)
+        guess = c1 * p.place[0]
+        guess += c2 * p.place[1]
+        full[:, :SIZE] = guess
         noise = np.minimum(np.searchsorted(self.edges, self.draw.random(NOISE)), UNITS - 1)
         target, noisy = p.target.take(unit, axis=0), p.target[noise]
-        c1, c2, guess = p.guess(before)
-        true = np.einsum("ij,ij->i", guess, target) + p.bias[unit] - self.log_noise[unit]
-        false = guess @ noisy.T
-        false += p.bias[noise] - self.log_noise[noise]
+        true = np.einsum("ij,ij->i", guess, target) + (p.bias - self.log_noise).take(unit)
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        np.clip(false, -30, 30, out=false)
-        down = np.exp(false, out=false)
-        down /= -1 - down
-        pull = up[:, None] * target + down @ noisy
-        pull += self.decide(leaf, guess, pull, own_one, own_two)
-        target_step = row_sums(unit, up[:, None] * guess, UNITS)
-        np.add.at(target_step, noise, down.T @ guess)
-        bias_step = np.bincount(unit, up, UNITS).astype(np.float32)
-        np.add.at(bias_step, noise, down.sum(axis=0))
-        context_step = row_sums(one, pull * p.place[0], UNITS + 1) + row_sums(two, pull * p.place[1], UNITS + 1)
-        place_step = np.stack(((pull * c1).sum(axis=0), (pull * c2).sum(axis=0)))
+        against = -np.append(noisy, (p.bias - self.log_noise)[noise, None], axis=1).T
+        down, pull = room("down", n, NOISE), np.empty((n, SIZE), np.float32)
+        for a in range(0, n, ROWS):
+            part = np.matmul(full[a : a + ROWS], against, out=down[a : a + ROWS])
+            np.exp(np.minimum(part, 30, out=part), out=part)
+            part += 1
+            np.divide(-1, part, out=part)
+            np.matmul(part, noisy, out=pull[a : a + ROWS])
+        pull += up[:, None] * target
+        # Decisions pull the guesses to the side that their token took.
+        tops = Tops(leaf, order, full, self.rows, self.vocab, room)
+        more, top_step, top_times = tops.back(tops.right - 1 / (1 + np.exp(np.clip(-tops.lean, -30, 30))))
+        pull[tops.order] += more
+        nodes = room.columns("nodes", SIZE + 1, len(met.node))
+        turned(rows, room).take(at[units:], axis=1, out=nodes, mode="clip")
+        shown = np.ascontiguousarray(full.take(met.order, axis=0).T)
+        miss = met.right - 1 / (1 + np.exp(np.minimum(-met.lean(shown, nodes, room), 30)))
+        nodes *= miss
+        more = np.zeros((SIZE, len(met.order)), np.float32)
+        for size, level in met.levels():
+            more[:, :size] += nodes[:SIZE, level]
+        pull[met.order] += more.T
+        # What each row gets, a column per row met: of contexts, then of nodes.
+        changes = room.columns("changes", SIZE + 1, units + len(met.node))
+        first, second = (np.multiply(pull.T, x[:, None], order="C") for x in p.place)
+        changes[SIZE, :units], changes[:SIZE, :n], changes[:SIZE, n:units] = 0, first, second[:, alone]
+        second[:, alone] = 0
+        changes[:SIZE, : n - 1] += second[:, 1:]
+        for size, level in met.levels():
+            np.multiply(shown[:, :size], miss[level], out=changes[:, units + level.start : units + level.stop])
+        step = np.stack([np.bincount(at, change, len(found)) for change in changes])
+        times = np.bincount(at, minlength=len(found)) + np.bincount(at[same], minlength=len(found))
+        self.move(found, rows, step, times)
+        top = np.flatnonzero(top_times.ravel() * (self.vocab.tops[0].ravel() >= self.vocab.leaves))
+        found = self.vocab.tops[0].ravel()[top]
+        self.move(found, room.rows("old", self.rows, found), top_step.reshape(-1, SIZE + 1)[top].T, top_times.ravel()[top])
+        context_step = column_sums(np.concatenate((one, two[alone])), changes[:SIZE, :units], UNITS + 1)
+        drawn = np.zeros((UNITS, NOISE), np.float32)
+        drawn[noise, np.arange(NOISE)] = 1
+        target_step = column_sums(unit, np.multiply(guess.T, up, order="C"), UNITS) + drawn @ (down.T @ guess)
+        bias_step = (np.bincount(unit, up, UNITS) + drawn @ down.sum(axis=0)).astype(np.float32)
+        place_step = np.stack((np.einsum("ij,ij->j", pull, c1), np.einsum("ij,ij->j", pull, c2)))
         steps = (context_step, place_step, target_step, bias_step)
-        for value, square, step in zip((p.context, p.place, p.target, p.bias), self.squares, steps):
-            square += step * step
-            value += RATE * step / np.sqrt(square)
-        self.seen += len(unit)
-
-    def decide(self, leaf: np.ndarray, guess: np.ndarray, pull: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """A step of the rows of ``words`` that the tokens meet, each with one rate; how the decisions pull each guess."""
-        p, vocab = self.p, self.vocab
-        token, node, right = decisions(leaf, vocab)
-        node += vocab.leaves
-        full = np.append(guess, np.ones((len(guess), 1), np.float32), axis=1)
-        rows, shown = self.room.rows("rows", p.words, node), self.room.rows("shown", full, token)
-        lean = np.einsum("ij,ij->i", shown, rows)
-        miss = right - 1 / (1 + np.exp(np.clip(-lean, -30, 30)))
-        rows *= miss[:, None]
-        more, starts = np.zeros_like(guess), np.flatnonzero(np.diff(token, prepend=-1))
-        if len(starts):
-            more[token[starts]] = np.add.reduceat(rows, starts)[:, :SIZE]
-        pull = pull + more
-        # Rows met by several tokens are numbered without a sort, then summed column by column.
-        n, met = len(one), np.concatenate((one, two, node))
+        for value, square, change in zip((p.context, p.place, p.target, p.bias), self.squares, steps):
+            square += change * change
+            value += RATE * change / np.sqrt(square)
+        self.seen += n
+
+    def numbered(self, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different rows among ``met``, and where each of ``met`` stands there; found without a sort."""
         places = np.arange(len(met), dtype=np.int32)
         self.slot[met] = places
-        found = met[self.slot[met] == places]
+        found = met[self.slot.take(met) == places]
         self.slot[found] = places[: len(found)]
-        at = self.slot[met].astype(np.int64)
-        shown *= miss[:, None]
-        column, step = np.zeros(len(met)), self.room("step", len(found))
-        for k in range(SIZE + 1):
-            column[2 * n :] = shown[:, k]
-            column[:n], column[n : 2 * n] = (pull[:, k] * p.place[0, k], pull[:, k] * p.place[1, k]) if k < SIZE else (0, 0)
-            step[:, k] = np.bincount(at, column, len(found))
-        step[found == vocab.leaves - 1] = 0  # words with units of their own, and what is before a text
-        self.calm[found] += np.einsum("ij,ij->i", step, step) / (SIZE + 1)
-        step *= (RATE / np.sqrt(self.calm[found]))[:, None]
-        step += self.room.rows("old", p.words, found)
-        p.words[found] = step
-        self.met[found] += np.bincount(at, minlength=len(found))
-        return more
+        return found, self.slot.take(met).astype(np.int64)
+
+    def move(self, found: np.ndarray, rows: np.ndarray, step: np.ndarray, times: np.ndarray) -> None:
+        """A step of these rows, each with one rate; ``step`` has a column per row."""
+        step[:, found == self.vocab.leaves - 1] = 0  # words with units of their own, and what is before a text
+        squares = rows[:, SQUARES] + np.einsum("ij,ij->j", step, step) / (SIZE + 1)
+        rows[:, SQUARES] = squares
+        rows[:, MET] += times
+        step *= RATE / np.sqrt(squares)
+        rows[:, : SIZE + 1] += step.T
+        whole = f"V{rows.itemsize * WIDTH}"
+        np.put(self.rows.view(whole), found, rows.view(whole), mode="clip")
 
 
 def fit(rows: DataFrame, vocab: Vocabulary, shared: Broadcast | None = None) -> Parameters:
@@ -466,12 +625,11 @@ def fit(rows: DataFrame, vocab: Vocabulary, shared: Broadcast | None = None) ->
         if trainer.seen:
             flat = trainer.p.flat().astype(np.float64) * trainer.seen
             yield pd.DataFrame([(number % SLOTS, trainer.seen, b"", flat.tobytes())], columns=columns)
-            learned = trainer.p.words - start(vocab).words
-            for at in range(0, len(trainer.met), BLOCK):
-                often = trainer.met[at : at + BLOCK]
+            for at in range(0, len(trainer.rows), BLOCK):
+                often = trainer.rows[at : at + BLOCK, MET].copy()
                 met = np.flatnonzero(often)
                 if len(met):
-                    values = learned[at + met].astype(np.float16)
+                    values = (trainer.rows[at + met, : SIZE + 1] - trainer.p.words[at + met]).astype(np.float16)
                     row = SLOTS + at // BLOCK, 0, often.tobytes(), values.tobytes()
                     yield pd.DataFrame([row], columns=columns)
 
@@ -535,8 +693,8 @@ def score(df: DataFrame, training: DataFrame, text: str = "text") -> DataFrame:
         room = Room()
         for texts in parts:
             out = []
-            for batch in batches(texts, vocab):
-                cuts = [slice(at, at + BATCH) for at in range(0, len(batch.unit), BATCH)]
+            for batch in batches(texts, vocab, SCORED):
+                cuts = [slice(at, at + SCORED) for at in range(0, len(batch.unit), SCORED)]
                 logs = np.concatenate([parameters.log_probabilities(batch, cut, vocab, room) for cut in cuts]) / math.log(10)
                 tail = np.flatnonzero(batch.number < 0)
                 # The joined counts of words outside the head are shares of their units' last leaves.
