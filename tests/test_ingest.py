@@ -615,3 +615,60 @@ def test_no_task_gathers_the_broken_sources(spark, sf_dir, folder):
     assert sorted(told) == [
         ("reject", "alerts", "no JSON"), ("reject", "atendo", "missing"), ("reject", "stations", "no text"), ("reject", "trip_updates", "no JSON"),
     ]
+
+
+def test_a_listing_has_few_tasks_and_is_made_once(spark, folder, monkeypatch):
+    from trackline.sources import inventory
+    from trackline.streaming import ingest as module
+
+    for i in range(400):
+        put(folder, f"raw/sub/{i:03d}.md", "x")
+    put(folder, "raw/sub/_hidden.md", "x")
+    files = list_files(spark, f"{folder}/raw")
+    assert files.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    files.createOrReplaceTempView("listed_files")
+    assert spark.table("listed_files").count() == 400
+    asked, real = [], inventory.list_files
+    for place in (inventory, module):
+        monkeypatch.setattr(place, "list_files", lambda s, base: asked.append(base) or real(s, base))
+    left = coverage(spark, f"{folder}/raw").collect()
+    assert len(left) == 401 and len(asked) == 1
+
+
+def test_files_with_headers_of_their_own_are_read_as_lines(spark, place):
+    """Spark's reader compares all fields with each other for every file; the scan has three, however many the table has."""
+    for i in range(300):
+        put(place.raw, f"list.csv/{i:03d}.csv", f"id;n{i}\n{i};v\n")
+    spec = build_specs(spark, place.raw)[0]
+    paths = [f"file:{place.raw}/list.csv/{i:03d}.csv" for i in range(300)]
+    rows = batch_rows(spark, place.state, spec, paths)
+    assert len(rows.columns) == 306 and rows.filter("n7 = 'v'").count() == 1
+    scans = [s for s in str(rows._jdf.queryExecution().executedPlan()).split("ReadSchema: ")[1:] if "_one" in s]
+    assert len(scans) == 1 and scans[0].split(">")[0].count(":") == 3
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+def test_lines_are_parsed_as_the_csv_reader_does(spark, folder):
+    lines = ["1;2;3", '"x;y";z;w', 'a "q" b;2', '"q""r";2;3;4', '"open;1;2', ";;", "\x01;b;c", "a\x01b;c;d", "\x01\x01;b;c", " a ; b;", "ñ;é;ü", '"";"";x', "  "]
+    put(folder, "l.csv", "a;b;c\n" + "\n".join(lines) + "\n", "latin-1")
+    put(folder, "m.csv", "\n\nh\r\n1;2;3\r\n\n4\r5;6;7", "latin-1")
+    kinds = StructType([StructField(n, StringType()) for n in ("f0", "f1", "f2", "_bad")])
+    options = readers.CSV_OPTIONS
+    given = spark.read.options(**options, columnNameOfCorruptRecord="_bad").schema(kinds).csv([f"{folder}/l.csv", f"{folder}/m.csv"])
+    read = readers.data_lines(spark, [f"{folder}/l.csv", f"{folder}/m.csv"], options)
+    parts = {k: options[k] for k in ("sep", "quote", "escape")} | {"columnNameOfCorruptRecord": "_bad"}
+    parsed = read.select(F.from_csv("value", "f0 string, f1 string, f2 string, _bad string", parts).alias("f")).select("f.*")
+    key = lambda r: [str(v) for v in r]
+    assert sorted(parsed.collect(), key=key) == sorted(given.collect(), key=key) and given.count() == 15
+    assert {r["_path"][-5:] for r in read.collect()} == {"l.csv", "m.csv"}
+
+
+def test_a_file_per_text(spark, folder):
+    from workload import ingesting
+
+    texts = spark.createDataFrame([("a",), ("ñ",), ("a",), (None,)], "value string")
+    ingesting.write_single(texts, f"file:{folder}/list.csv")
+    found = sorted(Path(folder).glob("list.csv/part-*"))
+    assert sorted(p.read_text("utf-8") for p in found) == ["\n", "a\n", "a\n", "ñ\n"]
+    assert [r.value for r in spark.read.text(f"{folder}/list.csv").where("value = 'a'").collect()] == ["a", "a"]
+    assert sorted(p.name for p in Path(folder).glob("list.csv/*") if p not in found and p.suffix != ".crc") == ["_SUCCESS"]

@@ -9,6 +9,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackline.functions import sanitized
+from trackline.session import in_session, many_files
 
 # Folders whose .txt files are schedule tables.
 SCHEDULE_FOLDERS = ["google_transit", "fomento_transit", "horarios-feve"]
@@ -49,36 +50,34 @@ def list_files(spark: SparkSession, base: str) -> DataFrame:
     Only names and attributes are read.
     """
     prefix = urlparse(base).path.rstrip("/") + "/"
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(base)
-        .select(
-            F.substring("path", F.locate(prefix, F.col("path")) + len(prefix), F.length("path")).alias("rel_path"),
-            "length",
-            F.col("modificationTime").alias("modified"),
-        )
+    files = many_files(spark).read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    return in_session(files, spark).select(
+        F.substring("path", F.locate(prefix, F.col("path")) + len(prefix), F.length("path")).alias("rel_path"),
+        "length",
+        F.col("modificationTime").alias("modified"),
     )
 
 
-def hidden_files(spark: SparkSession, base: str) -> list[str]:
+def hidden_files(spark: SparkSession, base: str, files: DataFrame | None = None) -> list[str]:
     """Relative paths below ``base`` whose names Spark's readers pass over: they start with ``_`` or ``.``.
 
-    Folders are searched one by one; only hidden names come to the driver.
+    Folders are searched one by one; only hidden names come to the driver. ``files`` is the ``list_files`` of ``base``,
+    where that is known.
     """
     jvm = spark._jvm
     prefix = urlparse(base).path.rstrip("/") + "/"
     fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    folders = list_files(spark, base).select(F.regexp_extract("rel_path", "^((?:[^/]+/)*)", 1).alias("folder"))
+    files = list_files(spark, base) if files is None else files
+    folders = files.select(F.regexp_extract("rel_path", "^((?:[^/]+/)*)", 1).alias("folder"))
     found = []
     parents = {""} | {r.folder for r in folders.distinct().collect()}
     parents |= {"/".join(p.split("/")[:i]) + "/" for p in parents for i in range(1, p.count("/"))}
     for folder in sorted(parents):
         escaped = "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in prefix + folder)
         for entry in fs.globStatus(jvm.org.apache.hadoop.fs.Path(escaped + "[_.]*")) or []:
-            files = fs.listFiles(entry.getPath(), True)
-            while files.hasNext():
-                found.append(files.next().getPath().toUri().getPath()[len(prefix) :])
+            inside = fs.listFiles(entry.getPath(), True)
+            while inside.hasNext():
+                found.append(inside.next().getPath().toUri().getPath()[len(prefix) :])
     return sorted(found)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from urllib.parse import unquote
 
@@ -20,6 +21,8 @@ BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content
 _OVERFLOW, _RAW, _PATH, _UTF8 = "_overflow", "_raw_line", "_path", "_utf8"
 # Put behind a header line while it is parsed, to see where it ends.
 _END = "\x01end\x01"
+# No separator of text: lines read under it stay whole.
+_NEVER = "\x01"
 
 
 def escaped(path: str) -> str:
@@ -118,33 +121,81 @@ def alike(headers: DataFrame, names: list[str]) -> bool:
     return headers.filter(F.col("header") != F.array(*map(F.lit, names)).cast("array<string>")).isEmpty()
 
 
-def by_header(
-    rows: DataFrame, columns: list[str], headers: DataFrame, rescued: str | None = None, sep: str = ";", names: list[str] | None = None
-) -> DataFrame:
+def data_lines(spark: SparkSession, paths: list[str], options: dict[str, str]) -> DataFrame:
+    """The lines of delimited files below their headers, unparsed, as ``value``, and ``_path``.
+
+    Spark's reader of wide files compares every field with every other anew for each file it opens. Here it sees no fields.
+    """
+    kinds = StructType([StructField(n, StringType()) for n in ("_one", "_two", _RAW)])
+    plain = options | {"sep": _NEVER, "quote": "", "escape": ""}
+    lines = spark.read.options(**plain, columnNameOfCorruptRecord=_RAW).schema(kinds).csv(paths)
+    # A line without two fields is a corrupt record, kept as it is.
+    two = F.concat(F.coalesce("_one", F.lit("")), F.lit(_NEVER), F.coalesce("_two", F.lit("")))
+    return lines.select(F.coalesce(_RAW, two).alias("value"), F.col("_metadata.file_path").alias(_PATH))
+
+
+def by_header(rows: DataFrame, columns: list[str], headers: DataFrame) -> DataFrame:
     """Rows read by position under ``columns``, with each value under the name its own file's header gives it.
 
-    ``rows`` carries its file as ``_path``. Values under names that ``names``, or else ``columns``, lacks go to ``rescued``
-    as JSON, where that is empty; a line there stays only if it is too short or too long for its own header, or that
-    header is longer than ``names``.
+    ``rows`` carries its file as ``_path``. Values under names that ``columns`` lacks are left out.
     """
-    names = columns if names is None else names
-    rows = rows.join(headers.select(F.col("file").alias(_PATH), F.col("header").alias("_header")), _PATH, "left")
-    # Columns of their own: every name below looks into both.
-    rows = rows.withColumns(
-        {"_header": F.coalesce("_header", F.array(*map(F.lit, names))), "_values": F.array(*[F.col(f"`{c}`") for c in columns])}
-    )
+    # Columns of their own: every name below looks into them.
+    rows = rows.withColumn("_values", F.array(*[F.col(f"`{c}`") for c in columns])).drop(*columns)
+    others = [c for c in rows.columns if c != "_values"]
+    rows = _under_header(rows, headers, columns).withColumn("_picked", _picked(columns))
+    return rows.selectExpr(*map(_quoted, others), *_unpacked(columns))
+
+
+def lines_by_header(lines: DataFrame, headers: DataFrame, options: dict[str, str], names: list[str], rescued: str) -> DataFrame:
+    """The ``data_lines`` of files as text columns ``names``, with each value under the name its own file's header gives it.
+
+    Values under other names go to ``rescued`` as JSON. A line that is too short or too long for its own header, or whose
+    header is longer than ``names``, is kept there as it is. ``_path`` stays.
+    """
+    # With a field more than any header has, every line counts as too short and keeps its text.
+    width = max(len(names), headers.agg(F.max(F.size("header"))).first()[0]) + 1
+    fields = [f"f{i}" for i in range(width)]
+    parsed = {k: options[k] for k in ("sep", "quote", "escape")} | {"columnNameOfCorruptRecord": _RAW}
+    kinds = ",".join(f"{f} string" for f in [*fields, _RAW])
+    rows = lines.select(_PATH, F.from_csv("value", kinds, parsed).alias("_fields"))
+    rows = rows.select(_PATH, F.expr(f"array({','.join(f'_fields.{f}' for f in fields)})").alias("_values"), f"_fields.{_RAW}")
+    # One row per file of the batch.
+    rows = _under_header(rows, F.broadcast(headers), names)
     values, header = F.col("_values"), F.col("_header")
-    named = {c: F.get(values, F.array_position(header, F.lit(c)).cast("int") - 1) for c in names}
-    if rescued:
-        pairs = F.filter(F.arrays_zip(header.alias("name"), values.alias("value")), lambda p: p["value"].isNotNull())
-        other = F.filter(pairs, lambda p: p["name"].isNotNull() & ~p["name"].isin(*names))
-        other = F.map_from_entries(F.transform(other, lambda p: F.struct(p["name"], p["value"])))
-        width = F.size(header)
-        surplus = F.exists(F.slice(values, width + 1, F.lit(len(columns))), lambda x: x.isNotNull())
-        fits = (width < len(columns)) & (width <= len(names)) & (F.size(F.split(rescued, re.escape(sep))) >= width) & ~surplus
-        line = F.when(~F.coalesce(fits, F.lit(False)), F.col(rescued))
-        named[rescued] = F.coalesce(line, F.nullif(F.to_json(other), F.lit("{}")))
-    return rows.withColumns(named).drop("_header", "_values")
+    pairs = F.filter(F.arrays_zip(header.alias("name"), values.alias("value")), lambda p: p["value"].isNotNull())
+    other = F.filter(pairs, lambda p: p["name"].isNotNull() & ~F.array_contains(_texts(names), p["name"]))
+    other = F.map_from_entries(F.transform(other, lambda p: F.struct(p["name"], p["value"])))
+    own = F.size(header)
+    surplus = F.exists(F.slice(values, own + 1, F.lit(width)), lambda x: x.isNotNull())
+    fits = (own < width) & (own <= len(names)) & (F.size(F.split(_RAW, re.escape(options["sep"]))) >= own) & ~surplus
+    line = F.when(~F.coalesce(fits, F.lit(False)), F.col(_RAW))
+    kept = F.coalesce(line, F.nullif(F.to_json(other), F.lit("{}")))
+    rows = rows.select(_PATH, kept.alias("_rescued"), _picked(names).alias("_picked"))
+    return rows.selectExpr(*_unpacked(names), f"_rescued AS {_quoted(rescued)}", _PATH)
+
+
+def _texts(values: list[str]) -> Column:
+    """A constant list: one expression however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), "array<string>")
+
+
+def _under_header(rows: DataFrame, headers: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with their file's header as ``_header``; ``names`` where that has none."""
+    rows = rows.join(headers.select(F.col("file").alias(_PATH), F.col("header").alias("_header")), _PATH, "left")
+    return rows.withColumn("_header", F.coalesce("_header", _texts(names)))
+
+
+def _picked(names: list[str]) -> Column:
+    """The values of ``_values`` that ``_header`` gives ``names``, as a list."""
+    return F.transform(_texts(names), lambda n: F.get("_values", F.array_position("_header", n).cast("int") - 1))
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def _unpacked(names: list[str]) -> list[str]:
+    return [f"_picked[{i}] AS {_quoted(n)}" for i, n in enumerate(names)]
 
 
 def files_by_encoding(spark: SparkSession, path: str) -> DataFrame:

@@ -14,14 +14,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from trackline import schemas
 from trackline.functions import sanitize_name, sanitize_names
-from trackline.session import checkpointed
+from trackline.session import checkpointed, many_files
 from trackline.sources.inventory import Spec, build_specs, hidden_files, list_files, spec_table, uncovered_files
 from trackline.sources.readers import (
-    BINARY_SCHEMA, CSV_OPTIONS, SCHEDULE_OPTIONS, alike, by_header, escaped, exact_glob, file_headers,
+    BINARY_SCHEMA, CSV_OPTIONS, SCHEDULE_OPTIONS, alike, data_lines, escaped, exact_glob, file_headers, lines_by_header,
 )
 from trackline.sources.tables import ensure_database
 from trackline.streaming.evolution import document_schema, header_schema, sync_table
@@ -75,21 +75,14 @@ def file_stream(
 def delimited_rows(spark: SparkSession, state: str, spec: Spec, paths: list[str]) -> DataFrame:
     """The lines of some files as text columns, each value under the name that its own file's header gives it."""
     options = CSV_OPTIONS if spec.layout == "csv" else SCHEDULE_OPTIONS
-    headers = file_headers(spark, paths, options)
+    headers = checkpointed(file_headers(spark, paths, options))
     schema = header_schema(spark, state, spec.table, headers)
     names = [n for n in schema.fieldNames() if n != RESCUED]
-    read = spark.read.options(**options, columnNameOfCorruptRecord=RESCUED)
     if alike(headers, names):
-        rows = read.schema(schema).csv(paths)
+        rows = spark.read.options(**options, columnNameOfCorruptRecord=RESCUED).schema(schema).csv(paths)
         return rows.select(*schema.fieldNames(), F.col("_metadata.file_path").alias(FILE))
-    # By position, with a field more than any header has: every line then counts as too short and keeps its text.
-    own = checkpointed(headers)
-    widest = max(len(names), own.agg(F.max(F.size("header"))).first()[0])
-    fields = [f"_field_{i}" for i in range(widest + 1)]
-    rows = read.schema(StructType([StructField(f, StringType()) for f in [*fields, RESCUED]])).csv(paths)
-    rows = rows.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_path").alias("_path"))
-    # One row per file of the batch.
-    return by_header(rows, fields, F.broadcast(own), RESCUED, options["sep"], names).select(*schema.fieldNames(), FILE)
+    rows = lines_by_header(data_lines(spark, paths, options), headers, options, names, RESCUED)
+    return rows.withColumnRenamed("_path", FILE)
 
 
 def document_rows(
@@ -114,7 +107,7 @@ def batch_rows(
     elif spec.layout == "json":
         rows = document_rows(spark, state, spec, exact, declared.get(spec.table))
     else:
-        rows = delimited_rows(spark, state, spec, exact)
+        rows = delimited_rows(many_files(spark), state, spec, exact)
     names = [n for n in rows.columns if n != FILE]
     rows = rows.toDF(*sanitize_names(names), FILE)
     return with_lineage(rows, spec.dataset, spec.source_format).drop(FILE)
@@ -178,8 +171,8 @@ def ingest(
 
 def coverage(spark: SparkSession, base: str) -> DataFrame:
     """Files below ``base`` that ``ingest`` leaves alone, hidden ones included, sorted."""
-    files = list_files(spark, base)
-    hidden = spark.createDataFrame([(p,) for p in hidden_files(spark, base)], "rel_path string")
+    files = checkpointed(list_files(spark, base))
+    hidden = spark.createDataFrame([(p,) for p in hidden_files(spark, base, files)], "rel_path string")
     return uncovered_files(files, spec_table(files)).unionAll(hidden).orderBy("rel_path")
 
 

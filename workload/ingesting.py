@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections import deque
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from trackline import schemas
@@ -73,6 +75,28 @@ def write_documents(rows: DataFrame, key: str, path: str, mode: str = "errorifex
     texts.select("value").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
+def write_single(texts: DataFrame, folder: str) -> None:
+    """A file per text, and the empty ``_SUCCESS`` that a finished writer leaves.
+
+    Python tasks write them: for each file Hadoop's local file system starts two processes that set its rights.
+    """
+    Path = texts.sparkSession._jvm.org.apache.hadoop.fs.Path  # noqa: N806
+    fs = Path(folder).getFileSystem(texts.sparkSession._jsc.hadoopConfiguration())
+    fs.mkdirs(Path(folder))
+
+    def write(rows: Iterable[Row]) -> None:
+        from pyarrow import fs as stores
+
+        store, place = stores.FileSystem.from_uri(folder)
+        part = TaskContext.get().partitionId()
+        for at, row in enumerate(rows):
+            with store.open_output_stream(f"{place}/part-{part:05d}-{at:09d}.txt") as out:
+                out.write(f"{'' if row.value is None else row.value}\n".encode())
+
+    texts.repartition(texts.sparkSession.sparkContext.defaultParallelism, "value").foreachPartition(write)
+    fs.create(Path(f"{folder}/_SUCCESS")).close()
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Rows straight from the tables with a ``key`` that is dense within each part: documents are full, none holds more."""
     return rows.withColumn("key", F.monotonically_increasing_id())
@@ -416,12 +440,12 @@ def ingest_accounting(spark, sf_dir):
     run = Run(spark)
     docs = views.frame(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("value"), "doc_id")
     for number, place in enumerate(("list.csv", "list.csv/sub", "list.csv/notes", "other")):
-        own = docs.filter(F.col("doc_id") % 4 == number).select("value").repartition(spark.sparkContext.defaultParallelism, "value")
-        own.write.option("maxRecordsPerFile", 1).mode("append").text(f"{run.raw}/{place}")
+        write_single(docs.filter(F.col("doc_id") % 4 == number).select("value"), f"{run.raw}/{place}")
     specs = run.load()
-    hidden = len([p for p in hidden_files(spark, run.raw) if not p.endswith(("_SUCCESS", ".crc"))])
-    listed = list_files(spark, run.raw).count() + hidden
-    loaded = route_files(list_files(spark, run.raw)).join(
+    files = checkpointed(list_files(spark, run.raw))
+    hidden = len([p for p in hidden_files(spark, run.raw, files) if not p.endswith(("_SUCCESS", ".crc"))])
+    listed = files.count() + hidden
+    loaded = route_files(files).join(
         spark.createDataFrame([(s.dataset,) for s in specs], "dataset string"), "dataset", "left_semi"
     )
     left = coverage(spark, run.raw).filter(~F.col("rel_path").rlike(r"(_SUCCESS|\.crc)$"))
