@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 import uuid
 from pathlib import Path
 
@@ -672,3 +673,38 @@ def test_a_file_per_text(spark, folder):
     assert sorted(p.read_text("utf-8") for p in found) == ["\n", "a\n", "a\n", "ñ\n"]
     assert [r.value for r in spark.read.text(f"{folder}/list.csv").where("value = 'a'").collect()] == ["a", "a"]
     assert sorted(p.name for p in Path(folder).glob("list.csv/*") if p not in found and p.suffix != ".crc") == ["_SUCCESS"]
+
+
+def test_a_batch_leaves_no_copy_of_its_objects(spark, place):
+    from trackline.session import checkpointed
+
+    checkpointed(spark.range(1))
+    kept = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(kept.glob("rdd-*"))
+    for i in range(3):
+        put(place.raw, f"n.json/{i}.json", [{"id": i}, {"id": None}])
+    place.load(max_files=1)
+    assert set(kept.glob("rdd-*")) == before
+    assert sorted(r.id for r in place.table("bronze_json_n").where("id IS NOT NULL").collect()) == [0, 1, 2]
+
+
+def test_compressed_documents_are_loaded_and_leave_no_shuffle_files(spark, sf_dir, place):
+    from workload import ingesting, views
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    feed = views.trip_feed(spark, sf_dir, "A")
+    ingesting.write_documents(ingesting.numbered(feed), "key", f"{place.raw}/trip_updates.json", compression="gzip")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    names = [p.name for p in Path(place.raw).glob("trip_updates.json/part-*")]
+    assert names and all(n.endswith(".gz") for n in names)
+    place.load()
+    given = feed.select("header.timestamp", F.to_json("entity.id"))
+    found = place.table("bronze_json_trip_updates").select("header.timestamp", F.to_json("entity.id"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, given.collect()), key=str)
